@@ -53,9 +53,10 @@ def _meet(acc: Column, b: Column) -> Column:
 
 def _level(units: DataFrame, chunk: Column, depth: int, seed: int) -> DataFrame:
     """(source, done, left) per chunk of units."""
-    unit = F.struct(uniform(F.col("doc_id"), F.lit(seed), F.lit(3 * depth)).alias("h"), "doc_id", "size", "whole", "source_size", "target", "p", uniform(F.col("doc_id"), F.lit(seed), F.lit(3 * depth + 1)).alias("u"))
+    # Large documents meet first, so that the one left over, and with it the miss, tends to be small.
+    unit = F.struct((-F.col("size")).alias("h"), "doc_id", "size", "whole", "source_size", "target", "p", uniform(F.col("doc_id"), F.lit(seed), F.lit(3 * depth + 1)).alias("u"))
     grouped = units.groupBy("source", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(unit)).alias("units"))
-    kind = "h double, doc_id bigint, size bigint, whole bigint, source_size bigint, target double, p double, u double"
+    kind = "h bigint, doc_id bigint, size bigint, whole bigint, source_size bigint, target double, p double, u double"
     kind = ", ".join(x.strip().replace(" ", ": ", 1) for x in kind.split(","))
     start = F.struct(F.expr(f"cast(array() as array<struct<{kind}>>)").alias("done"), F.expr(f"cast(null as struct<{kind}>)").alias("left"))
     return grouped.select("source", F.aggregate("units", start, _meet).alias("out")).select("source", "out.done", "out.left")
