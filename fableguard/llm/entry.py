@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fableguard.llm import exact_dedup, mixing, sharding
+from fableguard.llm import exact_dedup, language_id, mixing, sharding, vector_search, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_permutation_sharding": sharding.op1_permutation_sharding,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_language_codes": language_id.op3_language_codes,
+        "op5_dictionary_warc": warc.op5_dictionary_warc,
+        "op6_approximation_search": vector_search.op6_approximation_search,
         "op7_pivotal_mixing": mixing.op7_pivotal_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_permutation_sharding": sharding.sql(), "op2_exact_dedup": exact_dedup.SQL}
+    return {"op1_permutation_sharding": sharding.sql(), "op2_exact_dedup": exact_dedup.SQL, "op5_dictionary_warc": warc.SQL, "op6_approximation_search": vector_search.SQL}
