@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fableguard.llm import exact_dedup, language_id, mixing, sharding, vector_search, warc
+from fableguard.llm import exact_dedup, language_id, mixing, near_dup, sharding, vector_search, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,8 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_dictionary_warc": warc.op5_dictionary_warc,
         "op6_approximation_search": vector_search.op6_approximation_search,
         "op7_pivotal_mixing": mixing.op7_pivotal_mixing,
+        "op10_token_group_join": near_dup.op10_token_group_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_permutation_sharding": sharding.sql(), "op2_exact_dedup": exact_dedup.SQL, "op5_dictionary_warc": warc.SQL, "op6_approximation_search": vector_search.SQL}
+    return {"op1_permutation_sharding": sharding.sql(), "op2_exact_dedup": exact_dedup.SQL, "op5_dictionary_warc": warc.SQL, "op6_approximation_search": vector_search.SQL, "op10_token_group_join": near_dup.SQL}
