@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fableguard.llm import exact_dedup, language_id, mixing, near_dup, sentencepiece, sharding, vector_search, warc
+from fableguard.llm import exact_dedup, language_id, lm_scoring, mixing, near_dup, sentencepiece, sharding, vector_search, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_approximation_search": vector_search.op6_approximation_search,
         "op7_pivotal_mixing": mixing.op7_pivotal_mixing,
         "op8_sentencepiece": sentencepiece.op8_sentencepiece,
+        "op9_partial_matching": lm_scoring.op9_partial_matching,
         "op10_token_group_join": near_dup.op10_token_group_join,
     }
 
