@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fableguard.llm import exact_dedup, language_id, lm_scoring, mixing, near_dup, sentencepiece, sharding, vector_search, warc
+from fableguard.llm import exact_dedup, language_id, lm_scoring, mixing, near_dup, pii, sentencepiece, sharding, vector_search, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_permutation_sharding": sharding.op1_permutation_sharding,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_language_codes": language_id.op3_language_codes,
+        "op4_candidate_boosting": pii.op4_candidate_boosting,
         "op5_dictionary_warc": warc.op5_dictionary_warc,
         "op6_approximation_search": vector_search.op6_approximation_search,
         "op7_pivotal_mixing": mixing.op7_pivotal_mixing,
