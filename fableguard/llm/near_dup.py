@@ -29,20 +29,39 @@ from fableguard.llm.common import saved, table
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MASK = (1 << 64) - 1
-#: Parity sketches of 512 bits; the bits in which two differ are at most the shingles in which the sets do.
-SKETCH = 8
-#: A bitmap of so many bits (4 MB) tells which sets a pass needs; where it fills up more sets are sent, never fewer.
+#: Parity sketches have at least so many bits, and no fewer than the set has shingles; the bits in which two differ are
+#: at most the shingles in which the sets do. The upper half of a sketch can be folded onto the lower.
+SKETCH_BITS = 512
+#: A bitmap of so many bits (4 MB) tells which texts a pass needs; where it fills up more sets are sent, never fewer.
 FILTER_BITS = 1 << 25
 
 
-class _Words(dict):
-    """Hashes of words, looked up; forgets all when it has seen many."""
+class _Words:
+    """Hashes of a text's words: sums of a random number per byte times a power of an odd base, shifted to the word's start."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+    OF_BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64)
+    BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+    def __init__(self) -> None:
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, size: int) -> None:
+        size = max(size, 2 * len(self.powers))
+        base, back = self.BASE, np.uint64(pow(int(self.BASE), -1, 1 << 64))
+        self.powers, self.inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x)])) for x in (base, back))
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        data = np.frombuffer(text.translate(LOWER), np.uint8)
+        if len(data) >= len(self.powers):
+            self._grow(len(data) + 1)
+        word = np.zeros(len(data) + 2, np.int8)
+        word[1:-1] = ~self.BLANK[data]
+        edges = np.flatnonzero(np.diff(word))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.OF_BYTE[data] * self.powers[: len(data)], out=sums[1:])
+        start, end = edges[::2], edges[1::2]
+        return _mix((sums[end] - sums[start]) * self.inverse[start])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,15 +72,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: bytes, words: _Words, n: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text; fewer than n words count as one shingle, no word as none."""
-    tokens = text.translate(LOWER).split()
-    h = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
+    h = words(text)
     width = min(n, len(h))
     if not width:
         return h
     total = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
         total = total * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k]
-    return np.unique(_mix(total))
+    s = np.sort(_mix(total))
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def set_id(s: np.ndarray) -> int:
@@ -86,7 +105,7 @@ def needed(size: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, sid, n (set size) and the sketch's words k0.. per row of (doc_id, text)."""
+    """doc_id, sid, n (set size) and the set's parity sketch per row of (doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
@@ -94,15 +113,15 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
             sids, sizes, sketches = [], [], []
             for text in pdf["text"]:
                 s = shingles(text, words, n)
-                bits = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                width = max(SKETCH_BITS, 1 << max(0, len(s) - 1).bit_length())
+                bits = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
                 sids.append(set_id(s) if len(s) else None)
                 sizes.append(len(s))
                 sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
-            k = np.array(sketches).reshape(-1, SKETCH)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "sid": pd.array(sids, "Int64"), "n": sizes} | {f"k{j}": k[:, j] for j in range(SKETCH)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "sid": pd.array(sids, "Int64"), "n": sizes, "sketch": sketches})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInPandas(run, f"doc_id {kind}, sid long, n long, " + ", ".join(f"k{j} long" for j in range(SKETCH)))
+    return docs.mapInPandas(run, f"doc_id {kind}, sid long, n long, sketch array<long>")
 
 
 def frequent(docs: DataFrame, n: int, total: int, least: int = 8, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -181,14 +200,14 @@ def postings(docs: DataFrame, n: int, percent: int, keys: np.ndarray, dfs: np.nd
     return docs.select("text").mapInPandas(run, "token long, sid long, n long, hot boolean")
 
 
-def _bitmap(sids: DataFrame) -> np.ndarray:
-    """Which of FILTER_BITS hash values occur in sids (sid); what the driver gets is the bitmap, of fixed size."""
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Which of FILTER_BITS hash values occur in keys (key); what the driver gets is the bitmap, of fixed size."""
     chunk = 1 << 16
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(FILTER_BITS, bool)
         for pdf in batches:
-            bits[pdf["sid"].to_numpy(np.int64) & (FILTER_BITS - 1)] = True
+            bits[pdf["key"].to_numpy(np.int64) & (FILTER_BITS - 1)] = True
         for c in range(FILTER_BITS // chunk):
             part = bits[c * chunk : (c + 1) * chunk]
             if part.any():
@@ -197,31 +216,36 @@ def _bitmap(sids: DataFrame) -> np.ndarray:
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"c": pdf["c"][:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
 
-    parts = sids.select("sid").mapInPandas(mark, "c long, bits binary").groupBy("c").applyInPandas(unite, "c long, bits binary")
+    parts = keys.select("key").mapInPandas(mark, "c long, bits binary").groupBy("c").applyInPandas(unite, "c long, bits binary")
     out = np.zeros((FILTER_BITS // chunk, chunk // 8), np.uint8)
     for x in parts.toLocalIterator():
         out[x["c"]] = np.frombuffer(x["bits"], np.uint8)
     return out.reshape(-1)
 
 
-def sets_of(docs: DataFrame, sids: DataFrame, n: int) -> DataFrame:
-    """(sid, tokens binary) of the sets asked for (sid), and perhaps a few more."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(sids))
+def sets_of(docs: DataFrame, sids: DataFrame, info: DataFrame, n: int) -> DataFrame:
+    """(sid, tokens binary) of the sets asked for (sid), and perhaps a few more, from the text with the set's least id."""
+    keys = sids.distinct().join(info, "sid").select(F.xxhash64("least_id").alias("key"))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(keys))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, held, size = shared.value, [], 0
-        for i, s in _sets(batches, n):
-            at = i & (FILTER_BITS - 1)
-            if bits[at >> 3] >> (7 - (at & 7)) & 1:
-                held.append((i, s.tobytes()))
-                size += len(s)
-                if size >= 1 << 20:
-                    yield pd.DataFrame(held, columns=["sid", "tokens"])
-                    held, size = [], 0
+
+        def asked() -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                at = pdf["key"].to_numpy(np.int64) & (FILTER_BITS - 1)
+                yield pdf[(bits[at >> 3] >> (7 - (at & 7)) & 1) > 0]
+
+        for i, s in _sets(asked(), n):
+            held.append((i, s.tobytes()))
+            size += len(s)
+            if size >= 1 << 20:
+                yield pd.DataFrame(held, columns=["sid", "tokens"])
+                held, size = [], 0
         if held:
             yield pd.DataFrame(held, columns=["sid", "tokens"])
 
-    return saved(docs.select("text").mapInPandas(run, "sid long, tokens binary").dropDuplicates(["sid"]), "shingle-sets")
+    return saved(docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInPandas(run, "sid long, tokens binary").dropDuplicates(["sid"]), "shingle-sets")
 
 
 def verify(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
@@ -275,17 +299,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _near(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """The pairs (q, s) of sets whose sketches don't rule the threshold out."""
-    cols = [f"k{j}" for j in range(SKETCH)]
-    a = info.select(F.col("sid").alias("q"), F.col("n").alias("q_n"), *(F.col(c).alias(f"q_{c}") for c in cols))
-    b = info.select(F.col("sid").alias("s"), F.col("n").alias("s_n"), *(F.col(c).alias(f"s_{c}") for c in cols))
-    differ = sum((F.bit_count(F.col(f"q_{c}").bitwiseXOR(F.col(f"s_{c}"))) for c in cols), F.lit(0))
-    sizes = F.col("q_n") + F.col("s_n")
-    # overlap <= (sizes - differ) / 2, and the threshold asks for (100 + percent) * overlap >= percent * sizes
-    return pairs.join(a, "q").join(b, "s").where((100 + percent) * (sizes - differ) >= 2 * percent * sizes).select("q", "s")
+    a = info.select(F.col("sid").alias("q"), F.col("n").alias("q_n"), F.col("sketch").alias("q_sketch"))
+    b = info.select(F.col("sid").alias("s"), F.col("n").alias("s_n"), F.col("sketch").alias("s_sketch"))
 
+    def folded(x: str, y: str) -> Column:
+        half = F.size(y)
+        return F.when(F.size(x) == half, F.col(x)).otherwise(F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v)))
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    return percent * F.greatest(a, b) <= 100 * F.least(a, b)
+    # Sizes that fit differ by less than two times, sketches so by one folding at most.
+    own, other = folded("q_sketch", "s_sketch"), folded("s_sketch", "q_sketch")
+    own, other = F.when(F.size("q_sketch") > F.size("s_sketch"), own).otherwise(F.col("q_sketch")), F.when(F.size("s_sketch") > F.size("q_sketch"), other).otherwise(F.col("s_sketch"))
+    differ = F.aggregate(F.zip_with(own, other, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda x, y: x + y)
+    sizes = F.col("q_n") + F.col("s_n")
+    # overlap <= (sizes - differ) / 2, and the threshold asks for (100 + percent) * overlap >= percent * sizes
+    near = pairs.join(a, "q").join(b, "s").where(percent * F.greatest("q_n", "s_n") <= 100 * F.least("q_n", "s_n"))
+    return near.where((100 + percent) * (sizes - differ) >= 2 * percent * sizes).select("q", "s")
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, group: int = 64) -> DataFrame:
@@ -295,22 +323,28 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     their own id. Repeated rows and equal texts share a component. A null id is never a component's smallest id
     unless no other is there. An empty table gives no rows.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     all_rows = saved(describe(docs, n), "shingled")
     total = all_rows.agg(F.sum("n")).first()[0] or 0
-    info = saved(all_rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), *(F.first(f"k{j}").alias(f"k{j}") for j in range(SKETCH))), "sets")
+    info = saved(all_rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
 
     indexed = postings(docs, n, percent, *frequent(docs, n, total))
-    # A rare shingle's list is short: one shuffle brings it together. A frequent one's may be long and is only summed up.
-    same = Window.partitionBy("token")
-    rare = indexed.where("not hot").withColumn("lead", F.min("sid").over(same)).withColumn("last", F.max("sid").over(same)).where("lead < last").select("token", "sid", "n", "lead")
-    hot = saved(indexed.where("hot").select("token", "sid", "n").distinct(), "frequent-index")
+    # A rare shingle's list is short: one shuffle brings it together. A frequent one's may be long: it is dealt over
+    # many tasks, and summed up afterwards.
+    salt = F.when(F.col("hot"), F.xxhash64("sid"))
+    same = Window.partitionBy("token", "salt")
+    held = indexed.withColumn("salt", salt).withColumn("lead", F.min("sid").over(same)).withColumn("last", F.max("sid").over(same))
+    held = saved(held.where("hot or lead < last").select("token", "sid", "n", "hot", "lead").distinct(), "index")
+    hot = held.where("hot").select("token", "sid", "n")
     leads = saved(hot.groupBy("token").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead < last").select("token", "lead"), "leaders")
-    shared = saved(rare.unionByName(hot.join(leads, "token").select("token", "sid", "n", "lead")), "shared-index")
+    shared = held.where("not hot").select("token", "sid", "n", "lead").unionByName(hot.join(leads, "token").select("token", "sid", "n", "lead"))
+    shared = saved(shared, "shared-index")
 
     stars = shared.where("sid <> lead").select(F.col("sid").alias("q"), F.col("lead").alias("s")).distinct()
     stars = saved(_near(stars, info, percent), "leader-pairs")
-    sets = sets_of(docs, stars.select(F.explode(F.array("q", "s")).alias("sid")), n)
+    sets = sets_of(docs, stars.select(F.explode(F.array("q", "s")).alias("sid")), info, n)
     members = stars.select(F.col("s").alias("g"), F.col("s").alias("sid")).distinct()
     links = saved(verify(stars.select("q", F.col("s").alias("g")), members, sets, percent), "leader-links")
     comps = components(links)
@@ -336,7 +370,7 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     of_groups = chunks.select("g", "sid").join(met.select("g").distinct(), "g")
     of_single = met.join(chunks, "g", "left_anti").select("g", F.col("g").alias("sid")).distinct()
     members = saved(of_groups.unionByName(of_single), "group-members")
-    sets = sets_of(docs, met.select(F.col("q").alias("sid")).unionByName(members.select("sid")), n)
+    sets = sets_of(docs, met.select(F.col("q").alias("sid")).unionByName(members.select("sid")), info, n)
     comps = components(links.unionByName(verify(met, members, sets, percent)))
 
     whole = info.join(comps, info["sid"] == comps["node"], "left").select("sid", "least_id", comp.alias("comp"))
