@@ -50,7 +50,7 @@ def events_as_story(spark: SparkSession, sf_dir: str, hour: bool = False, places
     objects = stories.select("story_id", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("n")).select("story_id", F.concat(F.lit("o"), "n").alias("id"), _pick(F.col("n"), OBJECT_TYPES).alias("obj_type"))
     cast = e.select("story_id", "agent", "user_id").distinct()
     trait = lambda mod, name: F.when(F.col("user_id") % mod == 0, name)
-    traits = cast.select("story_id", F.col("agent").alias("character"), F.explode(F.array_compact(F.array(trait(11, "blind"), trait(13, "deaf"), trait(17, "mute"), trait(19, "claustrophobia"), trait(7, "acrophobic"), trait(5, "aquaphobia")))).alias("trait"))
+    traits = cast.select("story_id", F.col("agent").alias("character"), F.explode(F.array_compact(F.array(trait(11, "blind"), trait(13, "deaf"), trait(17, "mute"), trait(19, "claustrophobia"), trait(7, "acrophobic"), trait(5, "aquaphobic")))).alias("trait"))
     met = e.where("event_type = 'error'").select("story_id", F.col("agent").alias("src"), F.col("patient").alias("dst"), (F.col("user_id") + F.col("k")).alias("s")).distinct()
     felt = F.array_compact(F.array(F.when(F.col("s") % 13 == 0, "loves"), *(F.when(F.col("s") % 3 == 0, r) for r in ("hates", "fears", "distrusts"))))
     relationships = met.select("story_id", F.explode(felt).alias("rel"), "src", "dst")
@@ -108,7 +108,7 @@ stories AS (SELECT DISTINCT story_id FROM e),
 objects AS (SELECT story_id, 'o' || n AS id, {_values("n", OBJECT_TYPES)} AS obj_type FROM stories, range(120) r(n)),
 persons AS (SELECT DISTINCT story_id, agent, user_id FROM e),
 traits AS (SELECT story_id, agent, unnest(list_filter([CASE WHEN user_id % 11 = 0 THEN 'blind' END, CASE WHEN user_id % 13 = 0 THEN 'deaf' END, CASE WHEN user_id % 17 = 0 THEN 'mute' END,
-  CASE WHEN user_id % 19 = 0 THEN 'claustrophobia' END, CASE WHEN user_id % 7 = 0 THEN 'acrophobic' END, CASE WHEN user_id % 5 = 0 THEN 'aquaphobia' END], lambda x: x IS NOT NULL)) AS trait FROM persons),
+  CASE WHEN user_id % 19 = 0 THEN 'claustrophobia' END, CASE WHEN user_id % 7 = 0 THEN 'acrophobic' END, CASE WHEN user_id % 5 = 0 THEN 'aquaphobic' END], lambda x: x IS NOT NULL)) AS trait FROM persons),
 relations AS (SELECT DISTINCT story_id, rel, agent AS src, patient AS dst FROM e, (VALUES ('loves', 13), ('hates', 3), ('fears', 3), ('distrusts', 3)) r(rel, m) WHERE event_type = 'error' AND (user_id + k) % m = 0),
 moods AS (SELECT DISTINCT story_id, agent AS character, {_values("k", ["happy", "sad", "calm", "angry"])} AS emotion, t_start AS t FROM e WHERE event_type = 'view'),
 places AS (SELECT i, {_values("i", PLACES) if places else "'l' || i"} AS id FROM range(7) r(i)),
