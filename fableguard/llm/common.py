@@ -35,7 +35,7 @@ def new_folder(spark: SparkSession, what: str) -> str:
 def saved(df: DataFrame, what: str) -> DataFrame:
     """df, written once to the shared folder and read again: lost executors don't recompute it."""
     path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

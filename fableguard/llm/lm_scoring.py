@@ -6,25 +6,27 @@ number of distinct followers as the escape's weight) to the context one byte sho
 longer one are excluded, and in the end to equal shares. A text's score sums up the log10 probabilities of all its
 bytes and of its end.
 
-The trie lives in Spark tables, a row per context and byte. Texts are dealt out in blocks of bounded size; each block
-asks for the scores of its distinct grams and words, the tables answer by joins, and the answers meet the block's
-texts again. Nothing of the model goes through the driver.
+The trie lives in Spark tables, a row per context and byte. Texts are packed in chunks of bounded size; each chunk asks
+for the scores of its distinct grams and words, by their positions in the chunk, the tables answer by joins, and the
+answers meet the chunk's texts again. Nothing of the model goes through the driver.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fableguard.llm.common import saved, table
 from fableguard.llm.language_id import held_out
 
-ORDER = 5
+ORDER = 4
 #: Doesn't occur in UTF-8: stands before the text and ends it.
 END = 0xFF
 SYMBOLS = 257
@@ -60,28 +62,74 @@ def _runs(texts: list[bytes], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _ask(pdf: pd.DataFrame, order: int) -> pd.DataFrame:
-    """The distinct words and grams of a block, with how often the block's training texts hold them."""
-    words, trained, gram_n = Counter(), Counter(), {}
-    texts, training = [bytes(t) for t in pdf["text"]], pdf["training"].to_numpy(bool)
-    for text, train in zip(texts, training, strict=True):
-        tokens = text.translate(LOWER).split()
-        (trained if train else words).update(tokens)
-        (trained if train else words)[STOP] += 1
-    held = []
+def _words(texts: list[bytes]) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct tokens in order of appearance, and per text (positions in that order, counts)."""
+    index: dict[bytes, int] = {}
+    out = []
+    for text in texts:
+        counted = Counter(text.translate(LOWER).split())
+        counted[STOP] = 1
+        at = np.fromiter((index.setdefault(w, len(index)) for w in counted), np.int64, len(counted))
+        out.append((at, np.fromiter(counted.values(), np.int64, len(counted))))
+    return list(index), out
+
+
+def _codes(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per run of texts (its distinct grams, positions among these, starts of the texts)."""
     for at, to in _runs(texts):
         codes, starts = grams(texts[at:to], order)
-        weight = np.repeat(training[at:to].astype(np.float64), np.diff([*starts, len(codes)]))
         of, unique = pd.factorize(codes)
-        held.append((unique, np.bincount(of, weight, len(unique)).astype(np.int64)))
-    if held:
-        of, unique = pd.factorize(np.concatenate([u for u, _ in held]))
-        gram_n = (unique, np.bincount(of, np.concatenate([n for _, n in held]), len(unique)).astype(np.int64))
-    words.update(dict.fromkeys(trained, 0))
-    block = pdf["block"].iloc[0]
-    a = pd.DataFrame({"block": block, "word": list(words), "gram": pd.array([None] * len(words), "Int64"), "n": [trained.get(w, 0) for w in words]})
-    b = pd.DataFrame({"block": block, "word": None, "gram": pd.array(gram_n[0], "Int64"), "n": gram_n[1]}) if held else a[:0]
-    return pd.concat([a, b])
+        yield unique, of.astype(np.int32), starts
+
+
+COLUMNS = ("chunk", "pos", "ids", "training", "sizes", "blob", "word", "gram", "n")
+
+
+def _frame(**cols: object) -> pd.DataFrame:
+    out = pd.DataFrame(cols)
+    return out.assign(**{c: None for c in COLUMNS if c not in cols})[list(COLUMNS)].astype({"chunk": "int64", "pos": "Int64", "gram": "Int64", "n": "Int64"})
+
+
+def _chunk(ids: list, texts: list[bytes], training: list[bool], order: int) -> Iterator[pd.DataFrame]:
+    """A chunk's texts, packed, and its distinct words and grams with how often its training texts hold them."""
+    chunk, train, pack = uuid.uuid4().int >> 65, np.array(training, bool), zstandard.ZstdCompressor(level=3)
+    for seq, (at, to) in enumerate(_runs(texts)):
+        yield _frame(chunk=[chunk], pos=[seq], ids=[ids[at:to]], training=[training[at:to]], sizes=[list(map(len, texts[at:to]))], blob=[pack.compress(b"".join(texts[at:to]))])
+    words, of = _words(texts)
+    n = np.zeros(len(words), np.int64)
+    for (at, counts), t in zip(of, training, strict=True):
+        if t:
+            n[at] += counts
+    yield _frame(chunk=chunk, pos=np.arange(len(words)), word=words, n=n)
+    uniques, weights = [], []
+    for (unique, at, _), (i, j) in zip(_codes(texts, order), _runs(texts), strict=True):
+        weight = np.repeat(train[i:j], [len(t) + 1 for t in texts[i:j]])
+        uniques.append(unique)
+        weights.append(np.bincount(at[weight], minlength=len(unique)))
+    whole, unique = pd.factorize(np.concatenate(uniques))
+    n = np.bincount(whole, np.concatenate(weights), len(unique)).astype(np.int64)
+    yield _frame(chunk=chunk, pos=np.arange(len(unique)), gram=unique, n=n)
+
+
+def packed(rows: DataFrame, order: int, chunk_bytes: int) -> DataFrame:
+    """Rows (doc_id, text binary, training) in chunks; a chunk never spans two tasks, so nothing is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, texts, training, size = [], [], [], 0
+        for pdf in batches:
+            for i, text, train in zip(pdf["doc_id"], pdf["text"], pdf["training"], strict=True):
+                ids.append(None if pd.isna(i) else i)
+                texts.append(bytes(text))
+                training.append(bool(train))
+                size += len(text)
+                if size >= chunk_bytes:
+                    yield from _chunk(ids, texts, training, order)
+                    ids, texts, training, size = [], [], [], 0
+        if ids:
+            yield from _chunk(ids, texts, training, order)
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInPandas(run, f"chunk long, pos long, ids array<{kind}>, training array<boolean>, sizes array<long>, blob binary, word binary, gram long, n long")
 
 
 def trie(counts: DataFrame, order: int) -> list[DataFrame]:
@@ -139,7 +187,7 @@ def gram_scores(asked: DataFrame, counts: DataFrame, order: int) -> DataFrame:
     return out
 
 
-def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = 1 << 24) -> DataFrame:
+def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 
     The rows for which ``training`` holds teach the model, all rows are scored. A null text counts as empty and has
@@ -147,50 +195,44 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     has an equal share. Repeated rows count and are scored one by one; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = size // block_bytes + 1
-    # by the text too: rows that repeat an id don't share a block for that
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.octet_length("text")), F.lit(n_blocks)))
-    blocks = blocks.repartition(n_blocks, "block")
-    asked = blocks.groupBy("block").applyInPandas(lambda pdf: _ask(pdf, order), "block long, word binary, gram long, n long")
-    asked = saved(asked, "asked")
-
-    words = asked.where("gram is null")
-    counts = saved(words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    n, v = total["n"] or 0, total["v"]
-    known = words.select("block", "word").join(counts, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("lp"), (F.col("c") > 0).alias("known"))
-    of_grams = asked.where("gram is not null")
-    gram_counts = saved(of_grams.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
-    scores = gram_scores(gram_counts, gram_counts, order)
-    answers = of_grams.select("block", "gram").join(scores, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", "lp", F.lit(True).alias("known"))
-    answers = known.unionByName(answers).select(F.col("block").alias("a_block"), "word", "gram", "lp", "known")
-
-    def score(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        of = told[told["gram"].isna()]
-        lp_of = dict(zip(map(bytes, of["word"]), zip(of["lp"], of["known"], strict=True), strict=True))
-        of = told[told["gram"].notna()]
-        order_of = np.argsort(of["gram"].to_numpy(np.int64))
-        keys, lps = of["gram"].to_numpy(np.int64)[order_of], of["lp"].to_numpy()[order_of]
-        raw = [bytes(t) for t in texts["text"]]
-        n_tokens, n_known, base = [], [], []
-        for text in raw:
-            counted = Counter(text.translate(LOWER).split())
-            counted[STOP] = 1
-            got = [(n, *lp_of[w]) for w, n in counted.items()]
-            n_tokens.append(sum(n for n, _, _ in got))
-            n_known.append(sum(n for n, _, known in got if known))
-            base.append(float(sum(n * lp for n, lp, _ in got)))
-        scores = []
-        for at, to in _runs(raw):
-            codes, starts = grams(raw[at:to], order)
-            of, unique = pd.factorize(codes)
-            scores.append(np.add.reduceat(lps[np.searchsorted(keys, unique)][of], starts))
-        return pd.DataFrame({"doc_id": texts["doc_id"], "n_tokens": n_tokens, "n_known": n_known, "train_tokens": n, "base_score": base, "score": np.concatenate(scores), "n_bytes": list(map(len, raw))})
-
     kind = dict(rows.dtypes)["doc_id"]
-    answered = answers.repartition(n_blocks, "a_block").groupBy("a_block")
-    return blocks.groupBy("block").cogroup(answered).applyInPandas(score, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
+    whole = saved(packed(rows, order, chunk_bytes), "chunks")
+
+    # A word has a row per chunk at most, so one shuffle by word both counts it and answers.
+    of_word = Window.partitionBy("word")
+    words = whole.where("word is not null").select("chunk", "pos", "word", "n")
+    words = words.select("chunk", "pos", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("chunk")) == 1).alias("first"), "n")
+    words = saved(words, "word-counts")
+    total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("first") & (F.col("c") > 0), 1)).alias("v")).first()
+    n, v = total["n"] or 0, total["v"]
+    asked = whole.where("gram is not null").select("chunk", "pos", "gram", "n")
+    counts = saved(asked.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
+    answers = asked.select("chunk", "pos", "gram").join(gram_scores(counts, counts, order), "gram")
+    answers = answers.select("chunk", "pos", F.lit(None).cast("long").alias("c"), "lp").unionByName(words.select("chunk", "pos", "c", F.lit(None).cast("double").alias("lp")))
+    answers = answers.select(F.col("chunk").alias("a_chunk"), F.col("pos").cast("int").alias("a_pos"), "c", "lp")
+
+    def score(packs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        ids, texts, unpack = [], [], zstandard.ZstdDecompressor()
+        for x in packs.sort_values("pos").itertuples(index=False):
+            raw, ends = unpack.decompress(x.blob), np.cumsum([0, *x.sizes])
+            ids += list(x.ids)
+            texts += [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        words, of = _words(texts)
+        at, c_of, lp_of = (told[x].to_numpy() for x in ("a_pos", "c", "lp"))
+        is_word = ~np.isnan(c_of.astype(np.float64))
+        c, lps = np.zeros(len(words)), np.zeros((~is_word).sum())
+        c[at[is_word]], lps[at[~is_word]] = c_of[is_word], lp_of[~is_word]
+        base = np.log10((c + 1) / (n + v + 1))
+        runs = list(_codes(texts, order))
+        whole, _ = pd.factorize(np.concatenate([unique for unique, _, _ in runs]))
+        ends = np.cumsum([0, *(len(unique) for unique, _, _ in runs)])
+        scores = [np.add.reduceat(lps[whole[i:j]][codes], starts) for (_, codes, starts), i, j in zip(runs, ends[:-1], ends[1:], strict=True)]
+        rows = [(int(k.sum()), int(k[c[w] > 0].sum()), n, float((base[w] * k).sum())) for w, k in of]
+        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score"])
+        return out.assign(doc_id=pd.Series(ids, dtype="Int64" if kind in ("bigint", "int") else None), score=np.concatenate(scores), n_bytes=list(map(len, texts)))[["doc_id", *out.columns, "score", "n_bytes"]]
+
+    texts = whole.where("blob is not null").select("chunk", "pos", "ids", "sizes", "blob")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("a_chunk")).applyInPandas(score, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
 
 
 def op9_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:

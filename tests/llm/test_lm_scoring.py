@@ -44,7 +44,7 @@ def brute_force(texts, training, order):
 @pytest.mark.parametrize("part", [2, 3, 100])
 def test_scores(spark, part):
     docs = spark.createDataFrame([(k, t, "extra") for k, t in enumerate(TEXTS)], "doc_id long, text string, n string")
-    got = {r["doc_id"]: r for r in lm_scoring.lm_score(docs, F.col("doc_id") % part == 1, block_bytes=1000).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.lm_score(docs, F.col("doc_id") % part == 1, chunk_bytes=1000).collect()}
     training = [k % part == 1 for k in range(len(TEXTS))]
     for k, want in enumerate(brute_force(TEXTS, training, lm_scoring.ORDER)):
         assert got[k]["score"] == pytest.approx(want, rel=1e-9), k
