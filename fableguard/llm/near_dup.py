@@ -176,7 +176,7 @@ def frequent(docs: DataFrame, n: int, total: int, least: int = 8, most: int = 1
 
 
 def postings(docs: DataFrame, n: int, percent: int, keys: np.ndarray, dfs: np.ndarray) -> DataFrame:
-    """(token, sid, n, hot): every set under its rarest shingles."""
+    """(token, sid, n, room, hot): every set under its rarest shingles; room is how many of its shingles come no earlier."""
     shared = docs.sparkSession.sparkContext.broadcast((keys, dfs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,15 +189,15 @@ def postings(docs: DataFrame, n: int, percent: int, keys: np.ndarray, dfs: np.nd
                 at = np.minimum(np.searchsorted(keys, upper), len(keys) - 1)
                 df = np.where(keys[at] == upper, dfs[at], 0)
             top = np.lexsort((s, df))[: len(s) - needed(len(s), percent) + 1]
-            held.append((s[top].view(np.int64), np.full(len(top), i), np.full(len(top), len(s)), df[top] > 0))
+            held.append((s[top].view(np.int64), np.full(len(top), i), np.full(len(top), len(s)), len(s) - np.arange(len(top)), df[top] > 0))
             size += len(top)
             if size >= 1 << 16:
-                yield pd.DataFrame(dict(zip(("token", "sid", "n", "hot"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
+                yield pd.DataFrame(dict(zip(("token", "sid", "n", "room", "hot"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
                 held, size = [], 0
         if held:
-            yield pd.DataFrame(dict(zip(("token", "sid", "n", "hot"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
+            yield pd.DataFrame(dict(zip(("token", "sid", "n", "room", "hot"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
 
-    return docs.select("text").mapInPandas(run, "token long, sid long, n long, hot boolean")
+    return docs.select("text").mapInPandas(run, "token long, sid long, n long, room long, hot boolean")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -298,7 +298,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The pairs (q, s) of sets whose sketches don't rule the threshold out."""
+    """The pairs (q, s) of sets whose sketches don't rule the threshold out, with the number of bits that differ."""
     a = info.select(F.col("sid").alias("q"), F.col("n").alias("q_n"), F.col("sketch").alias("q_sketch"))
     b = info.select(F.col("sid").alias("s"), F.col("n").alias("s_n"), F.col("sketch").alias("s_sketch"))
 
@@ -312,11 +312,11 @@ def _near(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     differ = F.aggregate(F.zip_with(own, other, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda x, y: x + y)
     sizes = F.col("q_n") + F.col("s_n")
     # overlap <= (sizes - differ) / 2, and the threshold asks for (100 + percent) * overlap >= percent * sizes
-    near = pairs.join(a, "q").join(b, "s").where(percent * F.greatest("q_n", "s_n") <= 100 * F.least("q_n", "s_n"))
-    return near.where((100 + percent) * (sizes - differ) >= 2 * percent * sizes).select("q", "s")
+    near = pairs.join(a, "q").join(b, "s").where(percent * F.greatest("q_n", "s_n") <= 100 * F.least("q_n", "s_n")).withColumn("differ", differ)
+    return near.where((100 + percent) * (sizes - F.col("differ")) >= 2 * percent * sizes).select("q", "s", "differ")
 
 
-def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, group: int = 64) -> DataFrame:
+def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, group: int = 64, leaders: int = 8) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included).
 
     Rows with null or empty text, or without words, have no shingles and are linked with nothing: their component is
@@ -336,14 +336,19 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     salt = F.when(F.col("hot"), F.xxhash64("sid"))
     same = Window.partitionBy("token", "salt")
     held = indexed.withColumn("salt", salt).withColumn("lead", F.min("sid").over(same)).withColumn("last", F.max("sid").over(same))
-    held = saved(held.where("hot or lead < last").select("token", "sid", "n", "hot", "lead").distinct(), "index")
-    hot = held.where("hot").select("token", "sid", "n")
-    leads = saved(hot.groupBy("token").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead < last").select("token", "lead"), "leaders")
-    shared = held.where("not hot").select("token", "sid", "n", "lead").unionByName(hot.join(leads, "token").select("token", "sid", "n", "lead"))
+    held = saved(held.where("hot or lead < last").select("token", "sid", "n", "room", "hot", "lead").distinct(), "index")
+    hot = held.where("hot").select("token", "sid", "n", "room")
+    # Each frequent shingle picks two leaders at random, so that a set meets many of them and its likeliest are found.
+    picks = [F.min_by("sid", F.xxhash64("token", "sid", F.lit(k))) for k in range(2)]
+    leads = hot.groupBy("token").agg(F.array_distinct(F.array(*picks)).alias("leads"), F.min("sid").alias("x"), F.max("sid").alias("y"))
+    leads = saved(leads.where("x < y").select("token", F.explode("leads").alias("lead")), "leaders")
+    shared = held.where("not hot").select("token", "sid", "n", "room", "lead").unionByName(hot.join(leads, "token").select("token", "sid", "n", "room", "lead"))
     shared = saved(shared, "shared-index")
 
     stars = shared.where("sid <> lead").select(F.col("sid").alias("q"), F.col("lead").alias("s")).distinct()
-    stars = saved(_near(stars, info, percent), "leader-pairs")
+    nearest = Window.partitionBy("q").orderBy("differ", "s")
+    stars = _near(stars, info, percent).withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= leaders).select("q", "s")
+    stars = saved(stars, "leader-pairs")
     sets = sets_of(docs, stars.select(F.explode(F.array("q", "s")).alias("sid")), info, n)
     members = stars.select(F.col("s").alias("g"), F.col("s").alias("sid")).distinct()
     links = saved(verify(stars.select("q", F.col("s").alias("g")), members, sets, percent), "leader-links")
@@ -351,18 +356,20 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     # Only shingles shared between what isn't connected yet can add anything.
     comp = F.coalesce("comp", "sid")
-    known = shared.join(comps, shared["sid"] == comps["node"], "left").select("token", "sid", "n", comp.alias("comp"))
+    known = shared.select("token", "sid", "n", "room").distinct().join(comps, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", "room", comp.alias("comp"))
     mixed = saved(known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"), "open-shingles")
     known = saved(known.join(mixed, "token").distinct(), "open-index")
     sizes = comps.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(group)).alias("chunks"))
     chunks = saved(comps.join(sizes, "comp").select(F.col("node").alias("sid"), F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("g")), "groups")
-    grouped = known.join(chunks, "sid", "left").select("token", "sid", "n", "comp", F.coalesce("g", "sid").alias("g"), F.col("g").isNull().alias("single"))
+    grouped = known.join(chunks, "sid", "left").select("token", "sid", "n", "room", "comp", F.coalesce("g", "sid").alias("g"), F.col("g").isNull().alias("single"))
     grouped = saved(grouped, "grouped-index")
-    q = grouped.select("token", F.col("sid").alias("q"), F.col("n").alias("q_n"), F.col("comp").alias("q_comp"), F.col("single").alias("q_single"))
-    g = grouped.groupBy("token", "g", "comp", "single").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("sid").alias("s"))
+    q = grouped.select("token", F.col("sid").alias("q"), F.col("n").alias("q_n"), F.col("room").alias("q_room"), F.col("comp").alias("q_comp"), F.col("single").alias("q_single"))
+    g = grouped.groupBy("token", "g", "comp", "single").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("g_room"), F.min("sid").alias("s"))
     # Of two groups one asks, member by member: a single set asks a group, and else the smaller name the greater.
     asks = (F.col("q_single") & ~F.col("single")) | ((F.col("q_single") == F.col("single")) & (F.col("q_comp") < F.col("comp")))
     fits = (percent * F.col("low") <= 100 * F.col("q_n")) & (percent * F.col("q_n") <= 100 * F.col("high"))
+    # Under the first shingle that two sets share, both have room for the overlap that the threshold asks for.
+    fits &= (100 + percent) * F.least("q_room", "g_room") >= percent * (F.col("q_n") + F.col("low"))
     met = q.join(g, "token").where((F.col("q_comp") != F.col("comp")) & asks & fits).select("q", "g", "single", "s").groupBy("q", "g").agg(F.first("single").alias("single"), F.min("s").alias("s"))
     met = saved(met, "query-groups")
     alone = _near(met.where("single").select("q", "s"), info, percent).join(stars, ["q", "s"], "left_anti").select("q", F.col("s").alias("g"))
