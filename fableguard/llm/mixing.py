@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fableguard.llm.common import WORD, table, uniform
 
 MOST = 3
+FIELDS = ("h", "doc_id", "size", "whole", "source_size", "target", "p", "u")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -35,20 +36,22 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return leveled.select("source", "source_size", share.alias("target"))
 
 
+def _with_p(unit: Column, p: Column) -> Column:
+    return F.struct(*(unit[x].alias(x) for x in FIELDS if x not in ("p", "u")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"), unit["u"].alias("u"))
+
+
 def _meet(acc: Column, b: Column) -> Column:
     """Let the unit that acc still holds and unit b pass words to each other until one of them is whole."""
     a = acc["left"]
     room_a, has_a = (1 - a["p"]) * a["size"], a["p"] * a["size"]
     room_b, has_b = (1 - b["p"]) * b["size"], b["p"] * b["size"]
     to_a, to_b = F.least(room_a, has_b), F.least(has_a, room_b)
-    up = F.coalesce(b["u"] < to_b / F.nullif(to_a + to_b, F.lit(0.0)), F.lit(False))
+    up = b["u"] * (to_a + to_b) < to_b
     a_whole = F.when(up, room_a <= has_b).otherwise(has_a <= room_b)
     p_a = F.when(a_whole, F.when(up, 1.0).otherwise(0.0)).when(up, a["p"] + to_a / a["size"]).otherwise(a["p"] - to_b / a["size"])
     p_b = F.when(~a_whole, F.when(up, 0.0).otherwise(1.0)).when(up, b["p"] - to_a / b["size"]).otherwise(b["p"] + to_b / b["size"])
-    a, b = a.withField("p", p_a), b.withField("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p_b)))
-    a = a.withField("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), a["p"])))
-    met = F.struct(F.array_append(acc["done"], F.when(a_whole, a).otherwise(b)).alias("done"), F.when(a_whole, b).otherwise(a).alias("left"))
-    return F.when(acc["left"].isNull(), F.struct(acc["done"].alias("done"), b.alias("left"))).otherwise(met)
+    a, b = _with_p(a, p_a), _with_p(b, p_b)
+    return F.struct(F.array_append(acc["done"], F.when(a_whole, a).otherwise(b)).alias("done"), F.when(a_whole, b).otherwise(a).alias("left"))
 
 
 def _level(units: DataFrame, chunk: Column, depth: int, seed: int) -> DataFrame:
@@ -58,8 +61,9 @@ def _level(units: DataFrame, chunk: Column, depth: int, seed: int) -> DataFrame:
     grouped = units.groupBy("source", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(unit)).alias("units"))
     kind = "h bigint, doc_id bigint, size bigint, whole bigint, source_size bigint, target double, p double, u double"
     kind = ", ".join(x.strip().replace(" ", ": ", 1) for x in kind.split(","))
-    start = F.struct(F.expr(f"cast(array() as array<struct<{kind}>>)").alias("done"), F.expr(f"cast(null as struct<{kind}>)").alias("left"))
-    return grouped.select("source", F.aggregate("units", start, _meet).alias("out")).select("source", "out.done", "out.left")
+    start = F.struct(F.expr(f"cast(array() as array<struct<{kind}>>)").alias("done"), F.col("units")[0].alias("left"))
+    others = F.slice("units", F.lit(2), F.size("units"))
+    return grouped.select("source", F.aggregate(others, start, _meet).alias("out")).select("source", "out.done", "out.left")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, chunk: int = 256) -> DataFrame:
