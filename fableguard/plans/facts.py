@@ -75,7 +75,9 @@ class Facts:
         if name == "preconditions":
             return small(self.spark, K.PRECONDITIONS, "type", "polarity", "prop", "role")
         if name in SCHEMAS:
-            return self.spark.createDataFrame([], SCHEMAS[name].replace("EVENT", dict(self.events.dtypes)["event_id"]))
+            kinds = (x.split(" ") for x in SCHEMAS[name].replace("EVENT", dict(self.events.dtypes)["event_id"]).split(", "))
+            # known to be empty when planned, so that joins with it cost nothing
+            return self.spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {k}) AS {c}" for c, k in kinds) + " WHERE false")
         raise AttributeError(name)
 
     def has(self, name: str) -> bool:

@@ -31,7 +31,7 @@ def stem(path: Column) -> Column:
 def corpus_scan(spark: SparkSession, path: str) -> DataFrame:
     """book, chapter, text of a tree of book folders with one text file per chapter; bytes that don't decode are replaced."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("book"), stem(F.col("path")).alias("chapter"), F.decode("content", "UTF-8").alias("text"))
+    return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("book"), stem(F.col("path")).alias("chapter"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def flat_story_scan(spark: SparkSession, path: str) -> DataFrame:
