@@ -2,9 +2,11 @@
 
 Patterns with checks (Luhn, octets, digit counts) give the base spans. High-recall generators propose further,
 overlapping candidates: any run of grouped digits, any address with a spelled-out or spaced sign. Boosted trees rate
-each candidate by its format and context. They learn from the candidates themselves: what a base span confirms is
-positive, also with its leading sign taken away; what no base span touches is negative. Thresholds are calibrated per
-kind on held-out candidates for precision, and what passes is added to the base spans.
+each candidate by its format and context. They learn from evidence: what a base span confirms is positive, also in a
+masked form (phone numbers without their sign, addresses spelled out, card numbers with other signs between), and so is
+what its words or its format name; what fails the checks of its kind is negative. A candidate that no base span touches
+is no negative for that. Thresholds are calibrated per kind for precision, on the masked forms and on all candidates
+with evidence, each rated by trees that didn't see it, and what passes is added to the base spans.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ GENERATORS = {
 #: Without one of these signs a text has no match.
 NEEDS = {"email": "@", "phone": "+", "address": "[@\\[(]"}
 CONTEXT = 16
-FEATURES = ("digits", "length", "seps", "dots", "parens", "plus", "luhn", "octets", "at", "letters", "groups", "longest", "glued", "word_before", "sign_before")
+FEATURES = ("digits", "length", "seps", "dots", "parens", "plus", "luhn", "octets", "at", "letters", "groups", "longest", "glued", "word_before", "sign_before", "spelled", "sentence")
 PRECISION = 0.98
 
 
@@ -93,38 +95,74 @@ def features(hits: DataFrame) -> DataFrame:
         "letters": count("[A-Za-z]"), "groups": F.size(runs), "longest": F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)),
         "glued": (F.col("before").rlike("[A-Za-z0-9_=]$") | F.col("after").rlike("^[A-Za-z0-9_@]")).cast("int"),
         "word_before": F.col("before").rlike("(?i)(tel|phone|call|card|mail|contact|ip|address)").cast("int"), "sign_before": F.col("before").rlike("[\"'=:#/$]\\s*$").cast("int"),
+        "spelled": m.rlike("[(\\[](at|dot)[)\\]]").cast("int"), "sentence": m.rlike("@[A-Za-z0-9.-]*[A-Za-z0-9-]\\.\\x20").cast("int"),
     })
-    return out.withColumn("as", F.when(F.col("at") == 1, "email").when((F.col("dots") == 3) & (F.col("groups") == 4), "ip").when(F.col("digits") >= 13, "card").otherwise("phone"))
-
-
-def rated(candidates: DataFrame, train_rows: int, seed: int = 5) -> DataFrame | None:
-    """Candidates with their probability, for those whose kind has a calibrated threshold that they reach.
-
-    The trees learn from a sample by hash of about ``train_rows`` candidates and a fifth of it is held out for the
-    thresholds; without both classes in it there is no model, and None is returned.
+    return out.withColumn("as", F.when(F.col("at") == 1, "email").when((F.col("dots") == 3) & (F.col("groups") == 4) & (F.col("digits") <= 12), "ip").when(F.col("digits") >= 13, "card").otherwise("phone"))
+
+
+def evidence(candidates: DataFrame) -> DataFrame:
+    """Candidates with their label: 1 where a base span, words or format speak for the kind, 0 where a check or the context speaks against it, else null."""
+    kind, m = F.col("as"), F.col("match")
+    passes = valid(kind, m)
+    other = (F.col("glued") == 1) | F.col("before").rlike("[=#/$]\\s*$") | m.rlike("^(19|20)[0-9]{2}([-.\x20])(0[1-9]|1[0-2])\\2")
+    against = ~passes | ((kind == "phone") & other) | ((kind == "email") & (F.col("sentence") == 1) & (F.col("spelled") == 0))
+    named = F.when(kind == "email", m.rlike("[(\\[]at[)\\]].*[(\\[]dot[)\\]]")).otherwise(F.col("word_before") == 1)
+    return candidates.withColumn("label", F.when(F.col("touched"), F.when(passes, 1)).when(against, 0).when(named, 1))
+
+
+def masked(candidates: DataFrame) -> DataFrame:
+    """Confirmed candidates in forms that no base pattern finds (label 1, which counts in calibration), and broken so that their check fails (label 0)."""
+    m, kind = F.col("match"), F.col("as")
+    local, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    spelled = lambda at, dot: F.concat(local, F.lit(at), F.replace(host, F.lit("."), F.lit(dot)))
+    forms = {
+        "phone": [F.regexp_replace(m, "^\\+", ""), F.regexp_replace(m, "^\\+[0-9]{1,3}(?:[\x20.-]|(?=\\())+", ""), F.regexp_replace(m, "^\\+[0-9]{1,3}[\x20.-]*\\(([0-9]+)\\)\x20*", "$1-")],
+        "email": [spelled(" [at] ", " [dot] "), spelled("(at)", "(dot)"), spelled("[at]", "."), spelled(" @ ", " . ")],
+        "card": [F.regexp_replace(m, "[^0-9]?([0-9]{4})(?=[0-9])", f"$1{sign}") for sign in (".", "--")],
+    }
+    broken = {
+        "phone": F.regexp_extract(m, "^\\+?((?:[^0-9]*[0-9]){8})", 1), "email": F.concat(F.regexp_extract(m, "^([^@]*@[A-Za-z0-9-]+)", 1), F.lit(". The")),
+        "card": F.concat(F.expr("left(match, length(match) - 1)"), F.translate(F.right(m, F.lit(1)), "0123456789", "1234567890")), "ip": F.regexp_replace(m, "^[0-9]+", "999"),
+    }
+    form = lambda text, label: F.struct(text.alias("match"), F.lit(label).alias("label"))
+    several = [(kind == k, F.array(*(form(t, 1) for t in forms.get(k, [])), form(broken[k], 0))) for k in KINDS]
+    chosen = reduce(lambda c, x: c.when(*x), several[1:], F.when(*several[0]))
+    rows = candidates.where("touched and label = 1").select("row", "kind", "k", "before", "after", m.alias("whole"), kind.alias("was"), F.explode(chosen).alias("form"))
+    rows = features(rows.select("row", "kind", "k", "before", "after", "whole", "was", "form.*")).where("as = was and match <> whole")
+    return rows.where((valid(F.col("as"), F.col("match")) == (F.col("label") == 1)) | ((F.col("as") == "email") & (F.col("label") == 0)))
+
+
+def rated(candidates: DataFrame, train_rows: int, seed: int = 5) -> DataFrame:
+    """Candidates that no base span touches and no check speaks against, where their kind's threshold is reached.
+
+    Candidates are dealt into two halves by hash. The trees of a half learn from a sample by hash of about
+    ``train_rows`` of its rows and rate the other half, so all candidates with evidence count for the thresholds. A
+    kind without such evidence has the least threshold. Without both classes in each half there is no model, and what
+    words or format name is returned.
     """
-    total = candidates.count()
-    part = min(1.0, train_rows / max(1, total))
-    draw = uniform(F.col("row"), F.col("kind"), F.col("k"), F.lit(seed))
-    sample = candidates.where(draw < part).withColumn("held_out", draw >= 0.8 * part)
-    # A phone number without its leading sign is still one.
-    bare = sample.where("label = 1 and plus = 1 and not held_out").withColumns({"plus": F.lit(0), "length": F.col("length") - 1})
-    bare = bare.unionByName(bare.where("digits = 11").withColumns({"digits": F.lit(10), "groups": F.col("groups") - 1, "length": F.col("length") - 2, "seps": F.col("seps") - 1}))
+    draw = lambda n: uniform(F.col("row"), F.col("kind"), F.col("k"), F.lit(seed + n))
+    open_ = candidates.where("not touched and label is distinct from 0").withColumn("half", (draw(0) < 0.5).cast("int"))
+    forms = masked(candidates).withColumn("counts", F.col("label") == 1)
+    known = candidates.where("label is not null").withColumn("counts", ~F.col("touched"))
+    cols = ["row", "kind", "k", "as", "label", "counts", *FEATURES]
+    known = saved(known.select(cols).unionByName(forms.select(cols)).withColumn("half", (draw(0) < 0.5).cast("int")), "pii-evidence")
+    classes = {(r["half"], r["label"]): r["count"] for r in known.groupBy("half", "label").count().collect()}
+    if min(classes.get((h, y), 0) for h in (0, 1) for y in (0, 1)) < 10:
+        return open_.where("label = 1")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    learn = vectors.transform(saved(sample.where("not held_out").unionByName(bare).select("label", *FEATURES), "pii-sample"))
-    classes = {r["label"]: r["count"] for r in learn.groupBy("label").count().collect()}
-    if min(classes.get(0, 0), classes.get(1, 0)) < 10:
-        return None
-    model = GBTClassifier(labelCol="label", maxIter=10, maxDepth=4, stepSize=0.3, seed=seed).fit(learn)
-    score = lambda df: model.transform(vectors.transform(df)).withColumn("p", vector_to_array("probability")[1])
-    steps = score(sample.where("held_out")).groupBy("as", (F.floor(F.col("p") * 50) / 50).alias("step")).agg(F.sum("label").alias("right"), F.count("*").alias("n"))
+    part = reduce(lambda c, x: c.when((F.col("half") == x[0]) & (F.col("label") == x[1]), min(1.0, train_rows / 2 / classes[x])), classes, F.when(F.lit(False), 0.0))
+    learn = vectors.transform(saved(known.where(draw(1) < part).select("half", "label", *FEATURES), "pii-sample"))
+    models = [GBTClassifier(labelCol="label", maxIter=10, maxDepth=4, stepSize=0.3, seed=seed).fit(learn.where(F.col("half") == h)) for h in (0, 1)]
+    rate = lambda df, h: models[1 - h].transform(vectors.transform(df.where(F.col("half") == h))).withColumn("p", vector_to_array("probability")[1])
+    score = lambda df: rate(df, 0).unionByName(rate(df, 1))
+    steps = score(known.where("counts")).groupBy("as", (F.floor(F.col("p") * 50) / 50).alias("step")).agg(F.sum("label").alias("right"), F.count("*").alias("n"))
     down = Window.partitionBy("as").orderBy(F.desc("step"))
     sums = steps.select("as", "step", F.sum("right").over(down).alias("right"), F.sum("n").over(down).alias("n"))
-    limits = {r["as"]: r["step"] for r in sums.where((F.col("right") >= PRECISION * F.col("n")) & (F.col("step") >= 0.5)).groupBy("as").agg(F.min("step").alias("step")).collect()}
-    if not limits:
-        return None
-    limit = reduce(lambda c, k: c.when(F.col("as") == k, limits[k]), limits, F.when(F.lit(False), 1.0)).otherwise(2.0)
-    return score(candidates).where(F.col("p") >= limit)
+    reached = (F.col("right") >= PRECISION * F.col("n")) & (F.col("step") >= 0.5)
+    limits = {r["as"]: r["step"] for r in sums.groupBy("as").agg(F.min(F.when(reached, F.col("step"))).alias("step")).collect()}
+    limits = {k: limits.get(k, 0.5) for k in KINDS}
+    limit = reduce(lambda c, k: c.when(F.col("as") == k, 2.0 if limits[k] is None else limits[k]), KINDS, F.when(F.lit(False), 1.0))
+    return score(open_).where(F.col("p") >= limit)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 20_000) -> DataFrame:
@@ -149,11 +187,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     after = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     touched = both.withColumns({"before_end": before, "after_start": after}).where("kind is not null")
     touched = touched.select("row", "kind", "k", F.coalesce((F.col("before_end") > F.col("start")) | (F.col("after_start") < F.col("end")), F.col("before_end") > F.col("start"), F.col("after_start") < F.col("end"), F.lit(False)).alias("touched"))
-    candidates = saved(features(proposed).join(touched, ["row", "kind", "k"]).withColumn("label", F.col("touched").cast("int")), "pii-candidates")
+    candidates = saved(evidence(features(proposed).join(touched, ["row", "kind", "k"])), "pii-candidates")
     new = rated(candidates, train_rows)
-    spans = base.withColumn("base", F.lit(True))
-    if new is not None:
-        spans = spans.unionByName(new.where("label = 0").select("row", F.col("as").alias("kind"), "start", "end", F.lit(False).alias("base")).distinct())
+    spans = base.withColumn("base", F.lit(True)).unionByName(new.select("row", F.col("as").alias("kind"), "start", "end", F.lit(False).alias("base")).distinct())
     rank = reduce(lambda c, k: c.when(F.col("kind") == KINDS[k], k), range(1, len(KINDS)), F.when(F.col("kind") == KINDS[0], 0))
     sorted_spans = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "start", "end", "kind", "base")))
     text = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

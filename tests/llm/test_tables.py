@@ -127,6 +127,26 @@ def test_pii_base_spans(spark):
         assert r["n_email"] == sum(k == "email" for k, _, _ in want)
 
 
+def test_pii_adds_what_no_base_span_touches(spark):
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts, want, never = [], [], []
+    for k in range(900):
+        lead, form = f"{word()} {word()} ", k % 6
+        number = f"({digits(3)}) {digits(3)}-{digits(4)}"
+        hidden = [f"{word()}@{word()}.com", f"+1 {number}", number, f"{word()} [at] {word()} [dot] com", f"1 {number}", "4" + digits(15)][form]
+        texts.append(f"{lead}{hidden}, {word()}")
+        span = f"{len(lead)}:{len(lead) + len(hidden)}"
+        if form in (2, 3, 4):
+            want.append((k, ("email:" if form == 3 else "phone:") + span))
+        elif form == 5 and not valid("card", hidden):
+            never.append((k, span))
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.find_pii(docs(spark, texts)).collect()}
+    assert [x for x in want if x[1] not in got[x[0]]] == []
+    assert [x for x in never if any(s.endswith(x[1]) for s in got[x[0]])] == []
+
+
 def test_warc_round_trip(spark):
     html = ["<p>é</p>" * k for k in range(40)] + ["<p>é</p>" * 3, None, "", "big " * 50000]
     rows = [(k, None if k % 7 == 0 else f"http://x/{k}\r\nEvil: 1", h, "clash") for k, h in enumerate(html)]
