@@ -3,7 +3,7 @@
 Vectors are packed into blocks of bounded size. A block keeps, beside its exact vectors, a quantised copy: the cell of
 every component (16 cells per dimension and block) and the cells' edges. A query reads the cells first, which bound
 its score with every vector from both sides, and then reads exact vectors in order of the upper bound until no
-remaining bound reaches the kth score found. Blocks of queries meet blocks of vectors; each pair returns its k best.
+remaining bound reaches the kth score found. Blocks of queries meet blocks of vectors; each pair returns its k best ids.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ def usable(vec: Column) -> Column:
 
 
 def _pack(ids: list[int], vectors: np.ndarray) -> dict:
+    if len(set(ids)) < len(ids):  # equal rows once
+        rows = np.unique(np.column_stack([np.asarray(ids, np.int64), vectors]), axis=0)
+        ids, vectors = rows[:, 0], np.ascontiguousarray(rows[:, 1:])
     low, high = vectors.min(0), vectors.max(0)
     cells = np.minimum((vectors - low) * CELLS // np.maximum(high - low + 1, 1), CELLS - 1).astype(np.uint8)
     low_of, high_of = np.zeros((CELLS, vectors.shape[1]), np.int64), np.zeros((CELLS, vectors.shape[1]), np.int64)
@@ -57,10 +60,18 @@ def blocks(df: DataFrame, size: int) -> DataFrame:
     return df.mapInPandas(run, BLOCK)
 
 
+def _best(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Where each id has its best score."""
+    order = np.lexsort((-scores, ids))
+    return order[np.diff(ids[order], prepend=ids[order[0]] - 1) != 0]
+
+
 def _scan(row: dict, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, vector, score): each query's k best of the block, and more that tie with them."""
+    """(query, vector, score): each query's k best ids of the block, an id counting by its best vector."""
     dim = row["dim"]
     ids, own = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
+    once = len(np.unique(ids)) == len(ids)
+    best = lambda of, scores: np.arange(len(of)) if once else _best(of, scores)
     exact = np.frombuffer(row["vectors"], np.int64).reshape(-1, dim)
     queries = np.frombuffer(row["q_vectors"], np.int64).reshape(-1, dim).astype(np.float64)
     cells = np.frombuffer(row["cells"], np.uint8).reshape(-1, dim)
@@ -74,15 +85,17 @@ def _scan(row: dict, k: int) -> Iterator[tuple[int, int, int]]:
             other = ids != own[j]
             if not other.any():
                 continue
-            sure = np.partition(lo[other], -k)[-k] if other.sum() > k else -np.inf  # k vectors score at least this
+            least = lo[other][best(ids[other], lo[other])]
+            sure = np.partition(least, -k)[-k] if len(least) > k else -np.inf  # k ids score at least this
             left = np.flatnonzero(other & (up >= sure))
             left = left[np.argsort(-up[left], kind="stable")]
             scores, kth, read = np.empty(0, np.int64), -np.inf, 0
             while read < len(left) and up[left[read]] >= kth:
                 scores = np.append(scores, exact[left[read : read + 64]] @ queries[j].astype(np.int64))
                 read = len(scores)
-                kth = np.partition(scores, -k)[-k] if read >= k else -np.inf
-            for n in np.lexsort((ids[left[:read]], -scores))[:k]:
+                at_best = best(ids[left[:read]], scores)
+                kth = np.partition(scores[at_best], -k)[-k] if len(at_best) >= k else -np.inf
+            for n in at_best[np.lexsort((ids[left[at_best]], -scores[at_best]))[:k]]:
                 yield int(own[j]), int(ids[left[n]]), int(scores[n])
 
 

@@ -176,6 +176,24 @@ def test_vector_search(spark):
         assert [got[q][i + 1] for i in range(5)] == [(k, int(vectors[k] @ vectors[q])) for k in order]
 
 
+def test_vector_search_counts_repeated_ids_once(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, [int(x) for x in v]) for k, v in enumerate(rng.integers(-40, 40, (60, 4)))]
+    rows += [(900, [60, 60, 60, 60])] * 5 + [(901, [x, 50, 50, 50]) for x in range(40, 52)] + rows[10:20] * 3
+    queries = [(k, [int(x) for x in rng.integers(-40, 40, 4)]) for k in range(20, 25)] + [(2000, [9, 8, 7, 6]), (900, [1, 1, 1, 1])]
+    schema = "id long, vec array<long>"
+    found = vector_search.search(spark.createDataFrame(rows, schema).coalesce(1), spark.createDataFrame(queries, schema), k=5, block=64)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found.collect()}
+    want = {}
+    for q, v in queries:
+        score = {}
+        for k, w in rows:
+            if k != q:
+                score[k] = max(score.get(k, -(10**9)), int(np.dot(v, w)))
+        want |= {(q, n + 1): x for n, x in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5])}
+    assert got == want
+
+
 def sets_of(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
