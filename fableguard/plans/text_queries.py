@@ -25,13 +25,15 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("source").alias("book"), F.col("doc_id").alias("chapter"), F.when(F.col("doc_id") % 2 == 0, "original").otherwise("modified").alias("variant"), "text", "n_chars")
 
 
-def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def errors(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Chapters as error records; their description is the start of the text, or the whole text."""
     c = chapters(spark, sf_dir)
+    description = F.col("text") if whole else F.substring("text", 1, 200)
     raw = _pick(F.col("n_chars"), RAW_CATEGORIES)
     return c.select(
         "book", "chapter", "variant", F.col("chapter").cast("string").alias("story_id"), F.when(F.col("chapter") % 3 == 0, "logic").otherwise("llm").alias("source"), raw.alias("raw_category"),
-        F.when(raw == "plot", "coherence").otherwise(raw).alias("category"), _pick(F.col("n_chars"), KINDS).alias("type"), F.substring("text", 1, 200).alias("description"), _pick(F.col("n_chars"), SEVERITIES).alias("severity"),
-    ).withColumn("sig", F.substring(F.md5(F.concat_ws(":", F.col("raw_category"), F.lower("description")).cast("binary")), 1, 16))
+        F.when(raw == "plot", "coherence").otherwise(raw).alias("category"), _pick(F.col("n_chars"), KINDS).alias("type"), description.alias("description"), _pick(F.col("n_chars"), SEVERITIES).alias("severity"),
+    ).withColumn("sig", F.substring(F.md5(F.concat_ws(":", F.col("raw_category"), F.lower(F.substring("description", 1, 200))).cast("binary")), 1, 16))
 
 
 ERRORS = f"""
@@ -133,7 +135,7 @@ def queries() -> dict[str, Query]:
         "corpus_pair": _pairs, "top_n_chapters": _top(3), "pilot_chapters": _top(1),
         "sanitize_symbol": lambda s, d: c(s, d).select("chapter", symbols.sanitize_symbol(F.substring("text", 1, 40)).alias("symbol")),
         "sanitize_symbol_short": lambda s, d: c(s, d).select("chapter", symbols.sanitize_symbol_short(F.substring("text", 5, 70)).alias("symbol")),
-        "sanitize_list": lambda s, d: c(s, d).select("chapter", symbols.sanitize_list(F.split(F.substring("text", 1, 30), " ")).alias("symbol")),
+        "sanitize_list": lambda s, d: c(s, d).select("chapter", symbols.sanitize_list(F.split("text", " ")).alias("symbol")),
         "parse_term": lambda s, d: narrated(s, d).select("event_id", symbols.parse_term(F.when(F.col("k") % 2 == 0, F.concat_ws("", F.lit("not("), "type", F.lit("("), "agent", F.lit(", "), "patient", F.lit("))"))).otherwise(F.concat_ws("", "type", F.lit("("), "agent", F.lit(")")))).alias("t")).select("event_id", "t.negated", "t.functor", F.concat_ws("+", "t.args").alias("args")),
         "role_from_var": lambda s, d: narrated(s, d).select("event_id", symbols.role_from_var(_pick(F.col("k"), ["A", "B", "C", "Z"]), F.array(*map(F.lit, "ABC"))).alias("role")),
         "fact_quote": lambda s, d: c(s, d).select("chapter", F.md5(symbols.quote(F.col("text"), 500).cast("binary")).alias("quote_md5")),
@@ -173,7 +175,22 @@ def queries() -> dict[str, Query]:
         "fragment_by_quote": lambda s, d: c(s, d).select("chapter", F.concat_ws("//", E.fragments_by_quote(F.concat(F.lit("says 'the' and \""), F.substring("text", 3, 6), F.lit("\"")), F.col("text"), 20)).alias("fragments")),
         "fragment_by_sentence": lambda s, d: E.fragments_by_sentence(c(s, d), "chapter", "text", c(s, d).select("chapter", F.explode(F.array(F.lit("the"), F.lit("que"))).alias("word"))).select("chapter", "word", "at"),
     }
-    return out
+    return out | _whole_queries()
+
+
+def _whole_queries() -> dict[str, Query]:
+    """The operators that see only the start of a text in the queries above, on whole texts; long results as digests."""
+    e, c = lambda s, d: errors(s, d, whole=True), chapters
+    digest = lambda x: F.md5(x.cast("binary"))
+    sig = lambda f, *cols: lambda s, d: e(s, d).select("chapter", f(*map(F.col, cols)).alias("sig"))
+    return {
+        "sanitize_symbol_whole": lambda s, d: c(s, d).select("chapter", digest(symbols.sanitize_symbol(F.col("text"))).alias("symbol_md5")),
+        "sanitize_symbol_short_whole": lambda s, d: c(s, d).select("chapter", symbols.sanitize_symbol_short(F.col("text")).alias("symbol")),
+        "signature_normalized_whole": sig(E.signature_normalized, "raw_category", "type", "description"), "signature_words_whole": sig(E.signature_words, "category", "description"),
+        "signature_quoted_whole": lambda s, d: e(s, d).select("chapter", E.signature_quoted(F.col("category"), F.regexp_replace("description", " ", "'")).alias("sig")),
+        "classify_by_score_whole": lambda s, d: e(s, d).select("chapter", E.by_score(F.when(F.col("raw_category") == "plot", "plot"), F.col("type"), F.col("description")).alias("category")),
+        "type_samples_whole": lambda s, d: e(s, d).groupBy("type").agg(F.count("*").alias("n"), digest(F.min_by("description", "chapter")).alias("sample_md5")),
+    }
 
 
 def _when(c: str, table_: dict[str, list[str]], other: str = "coherence") -> str:
@@ -197,6 +214,7 @@ def oracle_sql() -> dict[str, str]:
     valid = "raw_category IN (" + ", ".join(f"'{c}'" for c in CATEGORIES) + ")"
     exact = "CASE " + " ".join(f"WHEN type IN ({', '.join(repr(k) for k in ks)}) THEN '{c}'" for c, ks in E.EXACT.items()) + " ELSE 'coherence' END"
     x, r, f = ERRORS, RESPONSES, facts_sql()
+    w = x.replace("substring(text, 1, 200) AS description", "text AS description")
     evaluated = _folds("contiguous") + ", known AS (SELECT DISTINCT k, fold, source, sig FROM folds JOIN x USING (book) WHERE role = 'train' AND variant = 'original'), ev AS (SELECT k, fold, source, count(*) FILTER (WHERE NOT hit) AS true_positives, count(*) FILTER (WHERE hit) AS filtered FROM (SELECT f.k, f.fold, x.source, EXISTS (SELECT 1 FROM known n WHERE n.k = f.k AND n.fold = f.fold AND n.source = x.source AND n.sig = x.sig) AS hit FROM folds f JOIN x USING (book) WHERE role = 'test' AND variant = 'modified') GROUP BY ALL) "
     number = "row_number() OVER (PARTITION BY book ORDER BY chapter)"
     cat = "(VALUES " + ", ".join(f"('{c}')" for c in CATEGORIES) + ") v(category)"
@@ -264,5 +282,12 @@ def oracle_sql() -> dict[str, str]:
         "normalize_lint": r + "SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'temporal' WHEN 1 THEN 'coherence' ELSE 'location' END AS category, CASE conv_id % 4 WHEN 0 THEN 'low' WHEN 2 THEN 'high' ELSE 'medium' END AS severity FROM r",
         "explode_errors": r + "SELECT conv_id, turn, 0 AS n, 'e' || turn AS id, 'x{1}' AS type FROM r", "extract_errors": r + "SELECT conv_id, turn, plain AS description, '' AS fragment FROM r",
         "error_description": f + "SELECT event_id, 'Violation: checked | Event type: ' || type || ' | Agent: ' || agent || CASE WHEN k % 2 = 0 THEN ' | Patient: ' || patient ELSE '' END || ' | Detail: ' || location AS description FROM e WHERE type IN ('die', 'kill', 'trust')",
+        "sanitize_symbol_whole": f"SELECT doc_id AS chapter, md5({symbol('text')}) AS symbol_md5 FROM documents",
+        "sanitize_symbol_short_whole": "SELECT chapter, substring(CASE WHEN regexp_matches(s, '^[0-9]') THEN 'x' || s ELSE s END, 1, 50) AS symbol FROM (SELECT doc_id AS chapter, regexp_replace(lower(text), '[^a-z0-9_]', '_', 'g') AS s FROM documents)",
+        "signature_normalized_whole": w + f"SELECT chapter, CASE WHEN {valid} THEN raw_category ELSE {pick} END || '|' || type || '|' || substring(trim(regexp_replace(regexp_replace(lower(description), '\\b(e[0-9]+|t[0-9]+)\\b', 'EID', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 100) AS sig FROM ({scored})",
+        "signature_words_whole": w + "SELECT chapter, category || ':' || array_to_string(list_sort(list_distinct(list_slice(regexp_extract_all(lower(description), '[0-9a-z_]{4,}'), 1, 5))), ':') AS sig FROM x",
+        "signature_quoted_whole": w + "SELECT chapter, category || ':' || array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(lower(replace(description, ' ', '''')), '''([^'']+)''', 1))), 1, 3), ':') AS sig FROM x",
+        "classify_by_score_whole": w + f"SELECT chapter, {pick} AS category FROM ({scored})",
+        "type_samples_whole": w + "SELECT type, count(*) AS n, md5(arg_min(description, chapter)) AS sample_md5 FROM x GROUP BY type",
         "event_lookup": f + "SELECT story_id, event_id, CASE WHEN k % 3 = 0 THEN type ELSE 'unknown' END AS type FROM e",
     }

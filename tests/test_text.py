@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fableguard.functions import symbols
 from fableguard.operators import errors
+from fableguard.plans import text_queries
 from fableguard.sources import stories
 
 
@@ -32,3 +33,18 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
     stories.fact_sink(spark.createDataFrame([("s", 1)], "story_id string, e long"), str(tmp_path / "facts"))
     assert spark.read.parquet(str(tmp_path / "facts")).select("story_id", "e").collect()[0]["e"] == 1
+
+
+def test_whole_texts(spark, tmp_path):
+    start = "Zz. " * 60
+    rows = [(1, start + "a violation of the temporal timeline and " + " ".join(errors.KEYWORDS["temporal"]), "s", 2), (2, start, "s", 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    q = {k: f(spark, str(tmp_path)) for k, f in text_queries.queries().items() if k.endswith("_whole") or k == "sanitize_list"}
+    assert {r["chapter"]: r["symbol"].count("__") for r in q["sanitize_list"].collect()} == {k: len(t.split(" ")) - 1 for k, t, _, _ in rows}
+    sig = {r["chapter"]: r["sig"].split(":")[1:] for r in q["signature_words_whole"].collect()}
+    assert {"temporal", "timeline", "violation"} <= set(sig[1])
+    assert sig[2] == [""]
+    quoted = {r["chapter"]: r["sig"] for r in q["signature_quoted_whole"].collect()}
+    assert quoted[1] != quoted[2]
+    assert len({r["symbol_md5"] for r in q["sanitize_symbol_whole"].collect()}) == 2
+    assert {r["chapter"]: r["category"] for r in q["classify_by_score_whole"].collect()}[1] == "temporal"
