@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fableguard.llm.common import saved, table
 from fableguard.llm.language_id import held_out
 
-ORDER = 4
+ORDER = 5
 #: Doesn't occur in UTF-8: stands before the text and ends it.
 END = 0xFF
 SYMBOLS = 257

@@ -65,3 +65,9 @@ def test_empty_table_and_no_training(spark):
     row = lm_scoring.lm_score(one, F.lit(False)).collect()[0]
     assert row["score"] == pytest.approx(-3 * math.log10(257))
     assert row["n_known"] == 0
+
+
+def test_contexts_of_five_bytes(spark):
+    docs = spark.createDataFrame([(1, "xabcdeK " * 30 + "ybcdeL " * 30), (2, "abcdeK")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_score(docs, F.col("doc_id") == 1).collect()}
+    assert got[2] == pytest.approx(brute_force(["xabcdeK " * 30 + "ybcdeL " * 30, "abcdeK"], [True, False], 5)[1], rel=1e-9)
