@@ -22,9 +22,15 @@ def _without(docs: DataFrame, gone: DataFrame, *on: Column, how: str = "left_ant
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that stands out, go; all else stays."""
+    """Documents without a letter, or without a language that stands out, go; all else stays.
+
+    Where no row teaches a language there is no model, and only documents without a letter go.
+    """
     found = language_id.identify(docs)
-    rejected = found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).where("doc_id is not null")
+    # With a model, und is what has no letter; without one, all is und.
+    unclear = found.where((F.col("lang_pred") != "und") & (F.col("score") < LEAST_SCORE)).select("doc_id")
+    plain = docs.where(~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select("doc_id")
+    rejected = unclear.unionByName(plain).where("doc_id is not null")
     rejected = saved(rejected.select(F.col("doc_id").alias("gone_id")).distinct(), "rejected")
     return _without(docs, rejected, F.col("doc_id") == F.col("gone_id"))
 

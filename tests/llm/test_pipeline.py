@@ -25,3 +25,10 @@ def test_stages(spark, tmp_path):
     assert 1 in kept["near duplicates"]
     assert sorted(kept["encoding"]) == sorted(kept["mixing"])
     assert set(kept["mixing"]) <= set(kept["near duplicates"])
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(k, t, None, "a", len(t or "")) for k, t in enumerate(["The thing and the other.", "Der Hund", "12345 !!!", None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.detect_language(spark, docs, None)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1]
