@@ -55,15 +55,19 @@ def shard(df: DataFrame, key_cols: list[str], shards: dict[str, int] | list[str]
     """df's key columns with slot, shard and shard_name: one row per input row, no shuffle.
 
     Rows of one key share a shard. Where a key may hold a large part of all rows, name columns that tell its rows
-    apart as ``salt_cols``: they join the key, and the rows spread over all shards. Null keys count as empty.
+    apart as ``salt_cols``: they join the key, and the rows spread over all shards. Null keys count as empty, repeated
+    rows are placed one by one, an empty table gives no rows. A key column named slot, shard or shard_name is returned
+    as key_slot, key_shard or key_shard_name.
     """
     names = list(shards)
     owners = lookup_table(shards, slots)
     filled = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, owners))), ",")).alias("slot", "shard"))
+    own = ("slot", "shard", "shard_name")
     filled = filled.select("slot", F.col("shard").cast("int").alias("shard"), F.element_at(F.array(*map(F.lit, names)), F.col("shard").cast("int") + 1).alias("shard_name"))
     kept = [*key_cols, *(salt_cols or [])]
     key = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in kept))
-    return df.select(*kept, slot_of(key, slots).alias("slot")).join(F.broadcast(filled), "slot").select(*kept, "slot", "shard", "shard_name")
+    keyed = df.select(slot_of(key, slots).alias("slot"), *(F.col(c).alias(f"key_{c}" if c in own else c) for c in kept))
+    return keyed.join(F.broadcast(filled), "slot").select(*(c for c in keyed.columns if c != "slot"), *own)
 
 
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
