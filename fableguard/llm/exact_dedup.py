@@ -2,7 +2,8 @@
 
 A Misra-Gries summary per partition finds the digests that may be frequent. Their exact counts and winners are
 verified, broadcast (at most ``counters`` rows) and decide all losing rows on the map side; only the other digests
-and the winners' rows are shuffled.
+and the winners' rows of one
+partition are shuffled.
 """
 
 from __future__ import annotations
@@ -42,15 +43,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal texts the row with the largest id stays. A null text counts as empty. Among repeated rows (same id, same
     text) exactly one is kept; rows without id stay only if no row of their group has one. An empty table gives no rows.
     """
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"), F.spark_partition_id().alias("part"))
     keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
     total = keyed.count()
     candidates = summaries(keyed, counters).groupBy("digest").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "digest").limit(counters).select("digest")
-    heavy = keyed.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.count("*").alias("heavy_size"), F.max("doc_id").alias("heavy_keep"))
+    # The largest id wins, and of its repeated rows those of the first partition that has one.
+    best = F.max(F.struct(F.col("doc_id").alias("id"), (-F.col("part")).alias("part")))
+    heavy = keyed.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.count("*").alias("heavy_size"), best.alias("best"))
+    heavy = heavy.select("digest", "heavy_size", F.col("best.id").alias("heavy_keep"), (-F.col("best.part")).alias("heavy_part"))
     # Verified: only what holds its share of rows is worth the map-side way. At most `counters` rows can be left.
     heavy = saved(heavy.where((F.col("heavy_size") > 1) & (F.col("heavy_size") * (counters + 1) > total)), "heavy-digests")
     split = keyed.join(F.broadcast(heavy), "digest", "left")
-    loses = F.coalesce(F.col("doc_id") < F.col("heavy_keep"), F.col("heavy_keep").isNotNull())
+    wins = F.col("doc_id").eqNullSafe(F.col("heavy_keep")) & (F.col("part") == F.col("heavy_part"))
+    loses = F.col("heavy_size").isNotNull() & ~wins
     lost = split.where(loses).select("doc_id", F.col("heavy_keep").alias("keep_id"), F.col("heavy_size").alias("group_size"), F.lit(False).alias("kept"), F.col("digest").alias("text_sha256"))
     same = Window.partitionBy("digest")
     rest = split.where(~loses).select(
