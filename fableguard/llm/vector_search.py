@@ -4,6 +4,8 @@ Vectors are packed into blocks of bounded size. A block keeps, beside its exact
 every component (16 cells per dimension and block) and the cells' edges. A query reads the cells first, which bound
 its score with every vector from both sides, and then reads exact vectors in order of the upper bound until no
 remaining bound reaches the kth score found. Blocks of queries meet blocks of vectors; each pair returns its k best ids.
+Where the query blocks are small enough for Spark to broadcast they come to the vectors; else both sides are dealt over
+the pairs of a part of the queries and a part of the vectors.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fableguard.llm.common import table
+from fableguard.llm.common import saved, table
 
 CELLS = 16
 BLOCK = "dim int, ids binary, cells binary, low binary, high binary, vectors binary"
@@ -78,9 +80,11 @@ def _scan(row: dict, k: int) -> Iterator[tuple[int, int, int]]:
     low = np.take_along_axis(np.frombuffer(row["low"], np.int64).reshape(CELLS, dim), cells, 0).astype(np.float64)
     high = np.take_along_axis(np.frombuffer(row["high"], np.int64).reshape(CELLS, dim), cells, 0).astype(np.float64)
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
+    # What sums of doubles may be off by: nothing that counts until they pass 2^50.
+    slack = dim * float(np.abs(queries).max(initial=0)) * float(np.abs(exact.astype(np.float64)).max(initial=0)) * 2.0**-50
     for at in range(0, len(queries), 128):
-        upper = plus[at : at + 128] @ high.T + minus[at : at + 128] @ low.T
-        lower = plus[at : at + 128] @ low.T + minus[at : at + 128] @ high.T
+        upper = plus[at : at + 128] @ high.T + minus[at : at + 128] @ low.T + slack
+        lower = plus[at : at + 128] @ low.T + minus[at : at + 128] @ high.T - slack
         for j, (up, lo) in enumerate(zip(upper, lower, strict=True), at):
             other = ids != own[j]
             if not other.any():
@@ -99,16 +103,22 @@ def _scan(row: dict, k: int) -> Iterator[tuple[int, int, int]]:
                 yield int(own[j]), int(ids[left[n]]), int(scores[n])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 8192, query_block: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 8192, query_block: int = 1024, task_blocks: int = 64) -> DataFrame:
     """The k best of vectors for each row of queries, both (id, vec of whole numbers): query_id, rank, vec_id, score.
 
-    A query's own id is no candidate; repeated rows of one id count as one; ties go to the smaller id; vectors of
-    another dimension than the query's are no candidates. Empty tables give no rows.
+    A query's own id is no candidate; repeated rows of one id count as one, by their best vector; ties go to the smaller
+    id; vectors of another dimension than the query's are no candidates. Scores are exact below 2^63. Empty tables give
+    no rows.
     """
-    n = queries.count()
-    asked = blocks(queries.repartition(max(1, -(-n // query_block))), query_block).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    parts, salts = max(1, -(-queries.count() // query_block)), max(1, -(-vectors.count() // (block * task_blocks)))
+    # Queries are dealt into parts of about query_block; a part may make more than one block, of one dimension each.
+    dealt = queries.repartition(parts, F.pmod(F.xxhash64("id", "vec"), F.lit(parts)))
+    asked = blocks(dealt, query_block).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("q_ids"), F.lit(parts))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    asked = saved(asked, "query-blocks")
     # Blocks meet blocks, a stated query set against all rows: each pair is one row of bounded size.
-    pairs = blocks(vectors, block).crossJoin(asked).where("dim = q_dim")
+    held = blocks(vectors, block).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    pairs = held.join(asked, (F.col("dim") == F.col("q_dim")) & (held["part"] == asked["part"]) & (held["salt"] == asked["salt"])).select(*held.columns[:6], "q_ids", "q_vectors")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -124,6 +134,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 8192
 def op6_approximation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = rows.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vec"))
+    rows = saved(rows, "vectors")
     return search(rows, rows.where(F.col("id") % 50 == 0))
 
 
@@ -132,8 +143,8 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+  SELECT a.vec_id AS query_id, b.vec_id, max(CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT)) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q) GROUP BY a.vec_id, b.vec_id)
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM pairs
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
