@@ -1,7 +1,8 @@
 """WARC archives of records that are compressed one by one with a shared Zstandard dictionary.
 
-An archive starts with a skippable frame that holds the dictionary, built from the archive's own records; every record
-follows as a frame of its own. Of pages with equal payloads the one with the smallest id is stored as a response, the
+An archive starts with a skippable frame that holds the dictionary, built from the archive's own records: a trained one,
+or, where the records are too few or too uniform to train on, some of their content. Every record follows as a frame of
+its own. Of pages with equal payloads the one with the smallest id is stored as a response, the
 others as revisits that refer to it.
 """
 
@@ -45,17 +46,25 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: int | No
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def dictionary(records: list[bytes], size: int, sample_bytes: int = 1 << 21) -> bytes:
-    """A dictionary from records spread over the archive; empty if they are too few or too small to train one."""
-    total = sum(map(len, records))
-    step = max(1, total // sample_bytes)
-    samples = [r[: 1 << 16] for r in records[::step]]
-    if len(samples) < 8 or sum(map(len, samples)) < 8 * size // 4:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, samples, d=8, k=256).as_bytes()
-    except zstandard.ZstdError:
+def dictionary(records: list[bytes], size: int, sample_bytes: int = 1 << 21, piece: int = 1 << 14) -> bytes:
+    """A dictionary for an archive of these records: of ``size`` bytes, or a sixteenth of a small archive.
+
+    It is trained on about ``sample_bytes`` in pieces of up to ``piece`` bytes, spread evenly over whole records. Where
+    the pieces are too few or too uniform for the trainer, the last of them are the dictionary as they are. An archive
+    below 128 bytes has none.
+    """
+    pieces = [r[at : at + piece] for r in records for at in range(0, len(r), piece)]
+    total = sum(map(len, pieces))
+    samples, room = pieces[:: max(1, total // sample_bytes)], min(size, total // 16)
+    if room < 8:
         return b""
+    if room >= 1024 and len(samples) >= 8:
+        try:
+            return zstandard.train_dictionary(room, samples, d=8, k=256).as_bytes()
+        except zstandard.ZstdError as e:  # the trainer's refusal of uniform samples; anything else goes on
+            if "train" not in str(e):
+                raise
+    return b"".join(samples)[-room:]
 
 
 def archive(records: list[bytes], level: int = 9, dict_size: int = 1 << 16) -> bytes:
@@ -99,10 +108,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write pages to ``folder`` (shared by all executors) and return the manifest (path, records, bytes).
 
     A null payload counts as empty, a null url as unknown. Payloads below ``min_bytes`` are never revisits. Of equal
-    payloads the rows with the smallest id are responses; rows without id are revisits if another row has one. An
-    archive holds about ``archive_bytes`` of records. A task that runs again writes the same archives under the same names.
+    payloads the rows with the smallest id are responses, repeated rows of that id too; rows without id are revisits if
+    another row has one. Ids are taken as long integers, what is none counts as null. An archive holds about
+    ``archive_bytes`` of records, an empty table makes none. A task that runs again writes the same archives under the
+    same names.
     """
-    named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+    named = pages.select(F.col(id_col).try_cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     named = named.withColumn("digest", F.sha2("payload", 256))
     repeated = named.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull())
     repeated = saved(repeated.select("digest", "first"), "repeated-payloads")
