@@ -248,7 +248,7 @@ def sets_of(docs: DataFrame, sids: DataFrame, info: DataFrame, n: int) -> DataFr
     return saved(docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInPandas(run, "sid long, tokens binary").dropDuplicates(["sid"]), "shingle-sets")
 
 
-def verify(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
+def verify(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, chunk: int = 64) -> DataFrame:
     """Links (a, b) between queries and members of the groups that they are paired with.
 
     pairs: (q, g); members: (g, sid), a bounded number per group. At most about ``chunk`` queries meet a group at once.
