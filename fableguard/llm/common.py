@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share. Where none is configured a local session takes a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="fableguard-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -39,6 +42,13 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more."""
+    for folder in {os.path.dirname(f) for t in tables for f in t.inputFiles()}:
+        store, path = pyarrow.fs.FileSystem.from_uri(folder)
+        store.delete_dir(path)
+
+
 def uniform(*cols: Column) -> Column:
     """A number in [0, 1) that depends on cols alone."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11)).cast("double") / F.lit(float(2**53))
