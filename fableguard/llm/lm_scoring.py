@@ -6,9 +6,10 @@ number of distinct followers as the escape's weight) to the context one byte sho
 longer one are excluded, and in the end to equal shares. A text's score sums up the log10 probabilities of all its
 bytes and of its end.
 
-The trie lives in Spark tables, a row per context and byte. Texts are packed in chunks of bounded size; each chunk asks
-for the scores of its distinct grams and words, by their positions in the chunk, the tables answer by joins, and the
-answers meet the chunk's texts again. Nothing of the model goes through the driver.
+The trie is dealt over tasks by the nearest bytes of its contexts: what lies beyond them is one branch, of bounded size,
+in which a task finds the longer contexts of all grams that end there; the levels below live in small Spark tables. Texts
+are packed in chunks of bounded size; each chunk asks for the scores of its distinct grams and words, by their positions
+in the chunk, and the answers meet the chunk's texts again. Nothing of the model goes through the driver.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fableguard.llm.common import saved, table
+from fableguard.llm.common import release, saved, table
 from fableguard.llm.language_id import held_out
 
 ORDER = 5
+#: Contexts of so many bytes and more are looked up within branches of the trie, shorter ones in Spark tables. A branch
+#: holds at most 257^(order - NEAR + 1) grams: 17 million for order 5.
+NEAR = 3
 #: Doesn't occur in UTF-8: stands before the text and ends it.
 END = 0xFF
 SYMBOLS = 257
@@ -133,10 +137,7 @@ def packed(rows: DataFrame, order: int, chunk_bytes: int) -> DataFrame:
 
 
 def trie(counts: DataFrame, order: int) -> list[DataFrame]:
-    """The levels 0 to ``order`` of the trie from (gram, n): key, c (count of context and byte), ctx and its t, d, x_t.
-
-    t and d: total and distinct followers of the context; x_t: what those followers count for in the next shorter context.
-    """
+    """The levels 0 to ``order`` of the trie, (gram, n) each, from (gram, n)."""
     levels: list[DataFrame] = []
     below = counts.where("n > 0")
     for k in range(order, -1, -1):
@@ -147,7 +148,10 @@ def trie(counts: DataFrame, order: int) -> list[DataFrame]:
 
 
 def contexts(levels: list[DataFrame]) -> list[DataFrame]:
-    """Per level (ctx, t, d, x_t)."""
+    """Per level (ctx, t, d, x_t).
+
+    t and d: total and distinct followers of the context; x_t: what those followers count for in the next shorter context.
+    """
     out = []
     for k, level in enumerate(levels):
         ctx = F.shiftright("gram", 8).alias("ctx")
@@ -160,30 +164,96 @@ def contexts(levels: list[DataFrame]) -> list[DataFrame]:
     return out
 
 
-def gram_scores(asked: DataFrame, counts: DataFrame, order: int) -> DataFrame:
-    """(gram, lp): the log10 probability of each gram of asked (gram), given the training counts (gram, n)."""
-    levels = trie(counts, order)
+def _branch(gram: np.ndarray, n: np.ndarray, order: int, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whole branches of the trie: (log10 probability so far, whether it is still open) per gram, and the (gram, n) of level near."""
+    symbol = gram & 255
+    key = np.zeros(len(gram), np.int64)  # the context's bytes, nearest first
+    for k in range(1, order + 1):
+        key = (key << 8) | ((gram >> 8 * k) & 255)
+    open_, lp = np.ones(len(gram), bool), np.zeros(len(gram))
+    seen_t, seen_d = np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)
+    levels = []
+    for k in range(order, near - 1, -1):
+        u, first, of = np.unique((key >> 8 * (order - k)) << 8 | symbol, return_index=True, return_inverse=True)
+        levels.append((u, first, of, np.bincount(of, n, len(u)).astype(np.int64)))
+    for at, (u, first, of, c) in enumerate(levels):
+        ctx = np.flatnonzero(np.diff(u >> 8, prepend=-1))
+        at_ctx = np.cumsum(np.diff(u >> 8, prepend=-1) != 0) - 1
+        t, d = np.add.reduceat(c, ctx), np.add.reduceat((c > 0).astype(np.int64), ctx)
+        row = at_ctx[of]
+        t_here, d_here = t[row] - seen_t, d[row] - seen_d
+        found, weight = c[of] > 0, (t_here + d_here).astype(np.float64)
+        choice = open_ & (weight > 0)  # nothing new in this context: no choice, and no cost
+        share = np.where(found, c[of], d_here)[choice] / weight[choice]
+        lp[choice] += np.log10(share)
+        open_ &= ~found
+        if at + 1 < len(levels):
+            _, _, shorter, short_c = levels[at + 1]
+            x_t = np.add.reduceat(np.where(c > 0, short_c[shorter[first]], 0), ctx)
+            known = t[row] > 0
+            seen_t, seen_d = np.where(known, x_t[row], seen_t), np.where(known, d[row], seen_d)
+    _, first, _, c = levels[-1]
+    return lp, open_, (gram[first] & ((1 << 8 * (near + 1)) - 1))[c > 0], c[c > 0]
+
+
+def branches(counts: DataFrame, order: int, near: int, rows: int = 1 << 20) -> DataFrame:
+    """From (gram, n), distinct: (gram, lp, open) for each, and (near, n) with the counts of level ``near``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(gram: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+            lp, open_, short, short_n = _branch(gram, n, order, near)
+            yield pd.DataFrame({"gram": gram, "lp": lp, "open": open_, "near": None, "n": None}).astype({"near": "Int64", "n": "Int64"})
+            yield pd.DataFrame({"gram": None, "lp": None, "open": None, "near": short, "n": short_n}, columns=["gram", "lp", "open", "near", "n"]).astype({"gram": "Int64", "lp": "Float64", "open": "boolean"})
+
+        held, size = [], 0
+        for pdf in batches:
+            held.append((pdf["branch"].to_numpy(), pdf["gram"].to_numpy(), pdf["n"].to_numpy()))
+            size += len(pdf)
+            if size >= rows:  # up to where the last branch starts
+                branch, gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                to = int(np.searchsorted(branch, branch[-1]))
+                if to:
+                    yield from told(gram[:to], n[:to])
+                held, size = [(branch[to:], gram[to:], n[to:])], len(branch) - to
+        if size:
+            _, gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from told(gram, n)
+
+    branch = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * near) - 1)).alias("branch")
+    dealt = counts.select(branch, "gram", "n").repartition("branch").sortWithinPartitions("branch")
+    return dealt.mapInPandas(run, "gram long, lp double, open boolean, near long, n long")
+
+
+def gram_scores(counts: DataFrame, order: int) -> DataFrame:
+    """(gram, lp): the log10 probability of each gram of counts (gram, n), which are distinct, n being how often it is in training."""
+    near = min(NEAR, order)
+    told = saved(branches(counts, order, near), "branches")
+    levels = trie(told.where("near is not null").select(F.col("near").alias("gram"), "n"), near)
     ctxs = contexts(levels)
-    # open grams: lp so far; seen_t, seen_d: what is excluded here, known from the longer context
+    # What is open at level near goes on alike for all grams that end alike.
     zero = F.lit(0).cast("long")
-    left, done = asked.select("gram", F.lit(0.0).alias("lp"), zero.alias("seen_t"), zero.alias("seen_d")), []
-    for k in range(order, -1, -1):
+    ends = F.col("gram").bitwiseAND(F.lit((1 << 8 * (near + 1)) - 1))
+    left = told.where("open").select(ends.alias("end")).distinct().withColumn("ctx", F.shiftright("end", 8)).join(ctxs[near], "ctx", "left")
+    left = saved(left.select("end", F.lit(0.0).alias("lp"), F.coalesce("x_t", zero).alias("seen_t"), F.coalesce("d", zero).alias("seen_d")), "open-grams")
+    done = []
+    for k in range(near - 1, -1, -1):
         mask = (1 << 8 * (k + 1)) - 1
         level = levels[k].select(F.col("gram").alias("key"), F.col("n").alias("c"))
-        ctx = ctxs[k]
-        at = left.withColumn("key", F.col("gram").bitwiseAND(F.lit(mask))).withColumn("ctx", F.shiftright("key", 8))
-        at = at.join(level, "key", "left").join(ctx, "ctx", "left")
+        at = left.withColumn("key", F.col("end").bitwiseAND(F.lit(mask))).withColumn("ctx", F.shiftright("key", 8))
+        at = at.join(level, "key", "left").join(ctxs[k], "ctx", "left")
         t, d = F.coalesce(F.col("t"), zero) - F.col("seen_t"), F.coalesce(F.col("d"), zero) - F.col("seen_d")
         weight = (t + d).cast("double")
-        # Nothing new in this context: no choice, and no cost.
         lp = F.col("lp") + F.when(weight == 0, 0.0).when(F.col("c").isNotNull(), F.log10(F.col("c") / weight)).otherwise(F.log10(d / weight))
-        at = saved(at.select("gram", lp.alias("lp"), F.col("c").isNotNull().alias("found"), F.coalesce("x_t", "seen_t").alias("seen_t"), F.coalesce("d", "seen_d").alias("seen_d")), f"scores-{k}")
-        done.append(at.where("found").select("gram", "lp"))
-        left = at.where("not found").select("gram", "lp", "seen_t", "seen_d")
-    done.append(left.select("gram", (F.col("lp") - F.log10(F.lit(float(SYMBOLS)) - F.col("seen_d"))).alias("lp")))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
+        at = saved(at.select("end", lp.alias("lp"), F.col("c").isNotNull().alias("found"), F.coalesce("x_t", "seen_t").alias("seen_t"), F.coalesce("d", "seen_d").alias("seen_d")), f"scores-{k}")
+        done.append(at.where("found").select("end", "lp"))
+        left = at.where("not found").select("end", "lp", "seen_t", "seen_d")
+    tail = left.select("end", (F.col("lp") - F.log10(F.lit(float(SYMBOLS)) - F.col("seen_d"))).alias("lp"))
+    for x in done:
+        tail = tail.unionByName(x)
+    tail = saved(tail.select("end", F.col("lp").alias("tail_lp")), "tails")
+    rest = told.where("open").withColumn("end", ends).join(tail, "end").select("gram", (F.col("lp") + F.col("tail_lp")).alias("lp"))
+    out = saved(told.where("not open").select("gram", "lp").unionByName(rest), "gram-scores")
+    release(told)
     return out
 
 
@@ -207,9 +277,12 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     n, v = total["n"] or 0, total["v"]
     asked = whole.where("gram is not null").select("chunk", "pos", "gram", "n")
     counts = saved(asked.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
-    answers = asked.select("chunk", "pos", "gram").join(gram_scores(counts, counts, order), "gram")
-    answers = answers.select("chunk", "pos", F.lit(None).cast("long").alias("c"), "lp").unionByName(words.select("chunk", "pos", "c", F.lit(None).cast("double").alias("lp")))
-    answers = answers.select(F.col("chunk").alias("a_chunk"), F.col("pos").cast("int").alias("a_pos"), "c", "lp")
+    scores = gram_scores(counts, order)
+    release(counts)
+    # A gram's score at its position, a word's count at -1 less its position.
+    answers = asked.select("chunk", F.col("pos").alias("at"), "gram").join(scores, "gram").select("chunk", "at", F.col("lp").alias("told"))
+    answers = answers.unionByName(words.select("chunk", (-1 - F.col("pos")).alias("at"), F.col("c").cast("double").alias("told")))
+    answers = answers.select(F.col("chunk").alias("a_chunk"), F.col("at").cast("int").alias("at"), "told")
 
     def score(packs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         ids, texts, unpack = [], [], zstandard.ZstdDecompressor()
@@ -218,10 +291,10 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
             ids += list(x.ids)
             texts += [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
         words, of = _words(texts)
-        at, c_of, lp_of = (told[x].to_numpy() for x in ("a_pos", "c", "lp"))
-        is_word = ~np.isnan(c_of.astype(np.float64))
+        at, value = told["at"].to_numpy(), told["told"].to_numpy()
+        is_word = at < 0
         c, lps = np.zeros(len(words)), np.zeros((~is_word).sum())
-        c[at[is_word]], lps[at[~is_word]] = c_of[is_word], lp_of[~is_word]
+        c[-1 - at[is_word]], lps[at[~is_word]] = value[is_word], value[~is_word]
         base = np.log10((c + 1) / (n + v + 1))
         runs = list(_codes(texts, order))
         whole, _ = pd.factorize(np.concatenate([unique for unique, _, _ in runs]))

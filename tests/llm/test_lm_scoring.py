@@ -58,6 +58,18 @@ def test_scores(spark, part):
         assert (got[k]["n_tokens"], got[k]["n_known"], got[k]["train_tokens"]) == (len(words), sum(count[w] > 0 for w in words), n)
 
 
+@pytest.mark.parametrize("order", [0, 1, 3, 4])
+def test_orders_repeats_long_texts_and_clashes(spark, order):
+    """Repeated rows, a text longer than a chunk, and columns that are named like the operator's own."""
+    texts = ["abab", "abab", "ba", None, "the quick " * 400, "zz"]
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, chunk int, training string").union(spark.createDataFrame([(2, "ba", 1, "x")] * 2, "doc_id long, text string, chunk int, training string"))
+    all_texts, ids = [*texts, "ba", "ba"], [*range(len(texts)), 2, 2]
+    want = brute_force(all_texts, [k != 5 for k in ids], order)
+    got = sorted((r["doc_id"], r["score"]) for r in lm_scoring.lm_score(docs, F.col("doc_id") != 5, order=order, chunk_bytes=64).collect())
+    for (i, score), (j, other) in zip(got, sorted(zip(ids, want, strict=True)), strict=True):
+        assert (i, score) == (j, pytest.approx(other, rel=1e-9))
+
+
 def test_empty_table_and_no_training(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lm_scoring.lm_score(empty, F.lit(True)).collect() == []

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -40,6 +41,16 @@ def test_exact_dedup(spark):
     assert all(r["doc_id"] == r["keep_id"] for r in rows if r["kept"])
 
 
+def test_exact_dedup_of_repeated_rows(spark):
+    """Heavy texts whose winner is repeated, and one without any id."""
+    rows = [(9, "hot")] * 50 + [(k, "hot") for k in range(9)] + [(None, "none")] * 40 + [(3, "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = exact_dedup.exact_dedup(table, counters=2).collect()
+    assert len(got) == len(rows)
+    assert sorted((r["doc_id"] or -1, r["group_size"]) for r in got if r["kept"]) == [(-1, 40), (3, 1), (9, 59)]
+    assert {(r["keep_id"], r["group_size"]) for r in got} == {(9, 59), (None, 40), (3, 1)}
+
+
 def test_misra_gries_keeps_heavy_digests(spark):
     keyed = spark.createDataFrame([("h",)] * 30 + [(f"x{k}",) for k in range(60)], "digest string").repartition(3)
     assert "h" in {r["digest"] for r in exact_dedup.summaries(keyed, 4).collect()}
@@ -81,6 +92,13 @@ def test_sharding(spark):
     assert np.mean([x != y for x, y in zip(table, fewer, strict=True) if x != 2]) < 0.35
     rows = sharding.shard(docs(spark, ["x", None], ids=[None, 7]), ["doc_id"], names, 1009).collect()
     assert {r["doc_id"] for r in rows} == {None, 7}
+    clash = spark.createDataFrame([(1, "x", 2), (1, "x", 2)], "slot int, shard_name string, shard int")
+    rows = sharding.shard(clash, ["slot"], names, 1009, ["shard_name"]).collect()
+    assert [(r["key_slot"], r["key_shard_name"], table[r["slot"]] == r["shard"]) for r in rows] == [(1, "x", True)] * 2
+    assert sharding.shard(clash.limit(0), ["shard"], names, 1009).columns == ["key_shard", "slot", "shard", "shard_name"]
+    assert sharding.shard(clash.limit(0), ["shard"], names, 1009).collect() == []
+    # ties of weights go by the order given: equal shards claim in turn
+    assert abs(int((np.array(sharding.lookup_table(["a", "b"], 1009)) == 0).sum()) - 505) <= 1
     with pytest.raises(ValueError, match="prime"):
         sharding.lookup_table(names, 1000)
 
@@ -102,6 +120,33 @@ def test_language_codes(spark):
         assert (np.abs(code.sum(0)) < n).all()
 
 
+def test_language_codes_by_hand(spark):
+    """Margins and shares against a plain loop over trigrams; a repeated row, a long text in pieces, a column named score."""
+    rng = random.Random(9)
+    words = {"en": ["the", "and", "thing"], "de": ["der", "und", "über"], "fr": ["le", "être", "que"]}
+    rows = [(k, " ".join(rng.choices(words[x], k=rng.randint(1, 20))), x, 0.5) for k, x in enumerate(rng.choices(list(words), k=120))]
+    rows += [rows[3], (500, "The über " * 60_000, None, 0.1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    model = language_id.fit(language_id.labelled(table))
+    got = sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.predict(table, model).collect())
+
+    def features(text):
+        data = b"  " + text.lower().encode().translate(language_id.PLAIN) + b" " + b"  "
+        grams = [int.from_bytes(data[i : i + 3], "big") for i in range(len(data) - 2)]
+        return [((g * 2654435761) & 0xFFFFFFFF) >> (32 - language_id.FEATURES.bit_length() + 1) for g in grams]
+
+    want = []
+    for k, text, _, _ in rows[:-1]:  # the long text's pieces each have blanks around
+        f = features(text)
+        margin = sum(model.weights[x].astype(float) for x in f) / np.sqrt(1 + len(f))
+        distance = [float((np.log1p(np.exp(-margin * c)) * t).sum()) for c, t in zip(model.code, model.trust, strict=True)]
+        share = np.exp(min(distance) - np.array(distance))
+        best = int(np.argmin(distance))
+        want.append((k, model.langs[best], round(float(share[best] / share.sum()), 9)))
+    assert [x for x in got if x[0] != 500] == sorted(want)
+    assert [x[1] for x in got if x[0] == 500] in (["de"], ["en"])
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -163,19 +208,66 @@ def test_warc_round_trip(spark):
         assert (got[k]["payload"] is None) if first != k else (bytes(got[k]["payload"]) == own)
 
 
+@pytest.mark.parametrize(("records", "trained"), [([b"<p>record %d %s</p>" % (k, bytes([97 + k * j % 26 for j in range(400)])) for k in range(400)], True), ([b"small %d" % k for k in range(40)], False)])
+def test_warc_dictionary(records, trained):
+    data = warc.archive(records)
+    kind, size = struct.unpack_from("<II", data)
+    assert kind == warc.SKIPPABLE
+    assert size > 0
+    assert (data[8:12] == b"\x37\xa4\x30\xec") == trained
+    assert list(warc.frames(data)) == records
+    assert list(warc.frames(warc.archive([b"tiny"]))) == [b"tiny"]
+
+
+def test_warc_edges(spark):
+    schema = "page_id long, url string, html string"
+    folder = new_folder(spark, "warc")
+    assert warc.write_archives(spark.createDataFrame([], schema), folder).collect() == []
+    rows = [(5, "u", "same"), (5, "u", "same"), (None, "u", "same"), (7, None, "same"), (None, None, "alone"), (2, "x" * 5000, "y" * 2_000_000)]
+    warc.write_archives(spark.createDataFrame(rows, schema).repartition(2), folder)
+    got = sorted((r["page_id"] or -1, r["payload_bytes"], r["record_type"], r["refers_to"] or -1) for r in warc.read_archives(spark, folder).collect())
+    assert got == [(-1, 4, "revisit", 5), (-1, 5, "response", -1), (2, 2_000_000, "response", -1), (5, 4, "response", -1), (5, 4, "response", -1), (7, 4, "revisit", 5)]
+    folder = new_folder(spark, "warc")
+    warc.write_archives(spark.createDataFrame([("12", "u", "a"), ("x-1", "u", "b")], "page_id string, url string, html string"), folder)
+    assert sorted(r["page_id"] or -1 for r in warc.read_archives(spark, folder).collect()) == [-1, 12]
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(5)
     vectors = rng.integers(-40, 40, (400, 6))
     vectors[5:30] = vectors[4]
     df = spark.createDataFrame([(k, [int(x) for x in v]) for k, v in enumerate(vectors)], "id long, vec array<long>").repartition(3)
     got = {}
-    for r in vector_search.search(df, df.where("id % 50 = 0"), k=5, block=64, query_block=3).collect():
+    for r in vector_search.search(df, df.where("id % 50 = 0"), k=5, block=64, query_block=3, task_blocks=2).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     for q in range(0, 400, 50):
         order = sorted((k for k in range(400) if k != q), key=lambda k: (-int(vectors[k] @ vectors[q]), k))[:5]
         assert [got[q][i + 1] for i in range(5)] == [(k, int(vectors[k] @ vectors[q])) for k in order]
 
 
+def test_vector_search_query(spark, tmp_path):
+    """The query with nulls, not finite components, other dimensions, ties over the kth place, repeats; and an empty table."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.normal(size=4).round(2)]) for k in range(160)]
+    rows += [(k, [0.5, 0.5, 0.5, 0.5]) for k in range(200, 212)] + rows[:30]
+    rows += [(300, None), (350, [None, 1.0, 1.0, 1.0]), (400, [float("nan")] * 4), (450, [float("inf")] * 4), (500, []), (550, [1.0, 2.0]), (551, [3.0, 1.0]), (None, [1.0] * 4), (600, [1e6, -1e6, 1e6, 1e6])]
+    schema = "vec_id long, embedding array<float>, id string, vec string"
+    spark.createDataFrame([(*r, "a", "b") for r in rows], schema).repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    usable = {}
+    for k, v in rows:
+        if k is not None and v and all(x is not None and np.isfinite(x) for x in v):
+            usable[k] = [int(np.floor(256 * float(np.float32(x)))) for x in v]
+    want = {}
+    for q in (k for k in usable if k % 50 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(v, usable[q], strict=True)), k) for k, v in usable.items() if k != q and len(v) == len(usable[q]))
+        want |= {(q, n + 1): (k, -s) for n, (s, k) in enumerate(scores[:5])}
+    got = vector_search.op6_approximation_search(spark, str(tmp_path)).collect()
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == want
+    assert len(got) == len(want)
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "embeddings.parquet"))
+    assert vector_search.op6_approximation_search(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_vector_search_counts_repeated_ids_once(spark):
     rng = np.random.default_rng(7)
     rows = [(k, [int(x) for x in v]) for k, v in enumerate(rng.integers(-40, 40, (60, 4)))]
@@ -228,6 +320,51 @@ def test_near_duplicates(spark):
     assert got == {k: (len(sets[k]), root(k)) for k in range(len(texts))}
 
 
+def _field(number, value):
+    """A protobuf field: varints, floats and bytes."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc"])
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("kind", [sentencepiece.UNIGRAM, sentencepiece.BPE])
+def test_sentencepiece_parity(spark, tmp_path, kind, fallback, rule):
+    """Models put together from the pieces of the model file, of both kinds, with and without bytes and a map of characters."""
+    import sentencepiece as library
+
+    with open(sentencepiece.MODEL, "rb") as f:
+        own = sentencepiece.parse(f.read())
+    charsmap = b""
+    if rule != "identity":
+        spec = next(v for k, v in sentencepiece._fields(library.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()) if k == 3)
+        charsmap = dict(sentencepiece._fields(spec))[2]
+    kept = [(p, s, k) for p, s, k in own.pieces if fallback or k != sentencepiece.BYTE]
+    scores = [-np.log(n + 20.0) - 0.3 * (n % 7) if k == sentencepiece.NORMAL and kind == sentencepiece.UNIGRAM else s for n, (_, s, k) in enumerate(kept)]
+    data = b"".join(_field(1, _field(1, p.encode()) + _field(2, float(s)) + _field(3, k)) for (p, _, k), s in zip(kept, scores, strict=True))
+    data += _field(2, _field(3, kind) + _field(35, int(fallback)) + _field(40, own.unknown)) + _field(3, _field(1, rule.encode()) + _field(2, charsmap) + _field(3, 1) + _field(4, int(rule != "identity")))
+    path = tmp_path / "made.model"
+    path.write_bytes(data)
+    texts = ["The thing, and the other.", "<s> </s> <unk> <0x41> x<s>y", "日本語 😀 é ﬁ ½ Å", "", "  two  spaces ", "caf\u00e9 über naïve", "".join(random.Random(1).choices("etaoinshr", k=300)), "\u2581 mark \u2581\u2581x", "ünknown ☃☃ ☃ sign", "abc def " * 500]
+    rows = sentencepiece.parity(docs(spark, texts), str(path)).collect()
+    assert [texts[r["doc_id"]] for r in rows if not r["same"]] == []
+    ids = sentencepiece.encode(docs(spark, texts), str(path))
+    back = {r["doc_id"]: r["text"] for r in sentencepiece.decode(ids, str(path)).collect()}
+    codec = library.SentencePieceProcessor(model_file=str(path))
+    assert [back[k] for k in range(len(texts))] == [codec.decode(codec.encode(t)) for t in texts]
+    assert all(r["round_trip"] == (back[r["doc_id"]] == texts[r["doc_id"]]) for r in ids.collect())
+
+
 def test_sentencepiece(spark):
     texts = [None, "", " ", "  two  spaces \t tab\nline ", "日本語 😀 é", "<s> </s> <unk> <0x41>", "x" * 20000, "a b " * 9000, "The thing, and the other."]
     table = docs(spark, texts)
