@@ -20,7 +20,8 @@ from fableguard.llm.common import table, uniform
 
 #: Trigrams are hashed to so many features; with the number of languages it bounds the model.
 FEATURES = 1 << 17
-PIECE = 1 << 21
+#: So many bytes of text are turned into features at once, whatever the size of a batch or a text.
+PIECE = 1 << 18
 #: Bytes that tell nothing about the language (digits, ASCII signs, blanks) are read as one blank.
 PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -34,9 +35,9 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     for k, text in enumerate(texts):
         for at in range(0, max(1, len(text)), PIECE):
             piece = text[max(0, at - 2) : at + PIECE]
-            run.append(b" " + piece + b" ")
+            run.append(b"  " + piece + b" ")  # two blanks, so that no trigram holds a byte of the next text
             index.append(k)
-            held += len(piece) + 2
+            held += len(piece) + 3
             if held >= PIECE:
                 yield _features(run, index)
                 run, index, held = [], [], 0
@@ -56,6 +57,15 @@ def _plain(texts: pd.Series) -> list[bytes]:
     return [t.lower().encode("utf-8", "ignore").translate(PLAIN) for t in texts.fillna("")]
 
 
+def _slices(texts: pd.Series, size: int = 4 * PIECE) -> Iterator[slice]:
+    """Runs of texts of about ``size`` characters, so that copies of a batch never exist as a whole."""
+    ends, at = np.cumsum(texts.str.len().fillna(0).to_numpy(np.int64)), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield slice(at, to)
+        at = to
+
+
 def feature_counts(docs: DataFrame) -> DataFrame:
     """(lang, feature, n) over all rows of docs (lang, text); each task sums up before anything is shuffled."""
 
@@ -64,8 +74,9 @@ def feature_counts(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
                 counts = held.setdefault(lang, np.zeros(FEATURES, np.int64))
-                for features, _, _ in _pieces(_plain(texts)):
-                    counts += np.bincount(features, minlength=FEATURES)
+                for part in _slices(texts):
+                    for features, _, _ in _pieces(_plain(texts.iloc[part])):
+                        counts += np.bincount(features, minlength=FEATURES)
         for lang, counts in held.items():
             used = np.flatnonzero(counts)
             yield pd.DataFrame({"lang": lang, "feature": used, "n": counts[used]})
@@ -142,9 +153,11 @@ def fit(labelled: DataFrame, smoothing: float = 0.5, trust_rows: int = 8192) ->
         m = shared.value
         right, rows = np.zeros(m.code.shape), np.zeros(len(m.langs))
         for pdf in batches:
-            of = pdf["lang"].map({x: k for k, x in enumerate(m.langs)}).to_numpy(int)
-            np.add.at(right, of, np.sign(m.margins(_plain(pdf["text"]))) == m.code[of])
-            np.add.at(rows, of, 1)
+            langs = pdf["lang"].map({x: k for k, x in enumerate(m.langs)}).to_numpy(int)
+            for part in _slices(pdf["text"]):
+                of = langs[part]
+                np.add.at(right, of, np.sign(m.margins(_plain(pdf["text"].iloc[part]))) == m.code[of])
+                np.add.at(rows, of, 1)
         yield pd.DataFrame({"lang": np.arange(len(rows)), "rows": rows, "right": list(right)})
 
     part = min(1.0, trust_rows / max(1, labelled.count()))
@@ -168,9 +181,11 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         m = shared.value
         names = np.array([*m.langs], dtype=object)
         for pdf in batches:
-            best, score, second = m.decode(m.margins(_plain(pdf["text"])))
-            letters = pdf["letters"].to_numpy(bool)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": np.where(letters, names[best], "und"), "score": np.where(letters, score, 0.0), "ambiguous": letters & (score < ambiguous_below)})
+            for part in _slices(pdf["text"]):
+                rows = pdf.iloc[part]
+                best, score, _ = m.decode(m.margins(_plain(rows["text"])))
+                letters = rows["letters"].to_numpy(bool)
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "lang_pred": np.where(letters, names[best], "und"), "score": np.where(letters, score, 0.0), "ambiguous": letters & (score < ambiguous_below)})
 
     kind = dict(named.dtypes)["doc_id"]
     return named.mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
@@ -181,14 +196,18 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """The rows that teach: text and lang are there, and the id isn't in the held-out fifth."""
+    return docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on the labelled four fifths of documents and predict every row: doc_id, held_out, lang_pred, score, ambiguous.
 
     Rows with null or empty text or null lang teach nothing; repeated rows are predicted one by one; an empty table
     gives no rows.
     """
-    labelled = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
-    out = predict(docs, fit(labelled))
+    out = predict(docs, fit(labelled(docs)))
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
