@@ -1,7 +1,8 @@
 """A training corpus in five stages: language ID, exact dedup, near duplicates, mixing, encoding.
 
 Each stage works on all that the stage before kept, as read from Parquet, and returns the columns of documents; the
-last returns token ids. Rows are told apart by doc_id; rows without an id stay where a stage could drop them only by id.
+last returns token ids. Rows are told apart by doc_id and text together, so repeated or missing ids are no matter. A
+null text counts as empty; an empty table stays empty; further columns are passed on.
 """
 
 from __future__ import annotations
@@ -16,52 +17,65 @@ from fableguard.llm.common import saved, table
 LEAST_SCORE = 0.5
 
 
-def _without(docs: DataFrame, gone: DataFrame, *on: Column, how: str = "left_anti") -> DataFrame:
-    """docs without the rows named in gone, a written table: where it is small Spark broadcasts it, else it shuffles."""
-    return docs.join(gone, list(on), how)
+def _row_key(doc_id: Column, sha256: Column) -> Column:
+    """Sixteen bytes: the id, in the order of whole numbers and missing ones last, and half of the text's digest."""
+    number = F.coalesce(F.lpad(F.hex(doc_id), 16, "0"), F.lit("F" * 16))
+    return F.unhex(F.concat(number, F.substring(sha256, 1, 16)))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("row_key", _row_key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+
+
+def _apply(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """docs by decisions (row_key, ...), a written table: where it is small Spark broadcasts it, else it shuffles."""
+    return docs.join(decided, "row_key", how).drop("row_key")
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a language that stands out, go; all else stays.
 
-    Where no row teaches a language there is no model, and only documents without a letter go.
+    Null and empty texts have no letter. Repeated rows are decided alike. Where no row teaches a language there is no
+    model, and only documents without a letter go.
     """
-    found = language_id.identify(docs)
+    keyed = _keyed(docs)
+    found = language_id.predict(keyed, language_id.fit(language_id.labelled(docs)), id_col="row_key")
     # With a model, und is what has no letter; without one, all is und.
-    unclear = found.where((F.col("lang_pred") != "und") & (F.col("score") < LEAST_SCORE)).select("doc_id")
-    plain = docs.where(~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select("doc_id")
-    rejected = unclear.unionByName(plain).where("doc_id is not null")
-    rejected = saved(rejected.select(F.col("doc_id").alias("gone_id")).distinct(), "rejected")
-    return _without(docs, rejected, F.col("doc_id") == F.col("gone_id"))
+    unclear = found.where((F.col("lang_pred") != "und") & (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("row_key"))
+    plain = keyed.where(~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select("row_key")
+    return _apply(keyed, saved(unclear.unionByName(plain).distinct(), "rejected"), "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts one stays, also of rows that are equal in everything."""
-    decided = exact_dedup.exact_dedup(docs).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
-    decided = saved(decided.agg(F.max("kept").alias("any_kept"), F.count("*").alias("n")).where("not any_kept or n > 1"), "copies")
-    keyed = docs.withColumn("keyed_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = (F.col("doc_id").eqNullSafe(F.col("gone_id")), F.col("keyed_sha") == F.col("gone_sha"))
-    rest = _without(keyed, decided, *same)
-    repeated = _without(keyed, decided.where("any_kept"), *same, how="left_semi").dropDuplicates(["doc_id", "keyed_sha"])
-    return rest.unionByName(repeated).drop("keyed_sha")
+    """Of documents with equal texts (null: empty) that with the largest id stays, and of rows equal in both just one."""
+    decided = exact_dedup.exact_dedup(docs).groupBy("doc_id", F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("any_kept"), F.count("*").alias("n"))
+    decided = saved(decided.where("not any_kept or n > 1").select(_row_key(F.col("doc_id"), F.col("sha")).alias("row_key"), "any_kept"), "copies")
+    keyed = _keyed(docs)
+    repeated = keyed.join(decided.where("any_kept"), "row_key", "left_semi").dropDuplicates(["row_key"]).drop("row_key")
+    return _apply(keyed, decided, "left_anti").unionByName(repeated)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    near = near_dup.near_dup(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return _without(docs, saved(near, "near-copies"), F.col("doc_id") == F.col("gone_id"))
+    """Of each group of near duplicates the document with the smallest id stays. What has no word has no duplicate."""
+    keyed = _keyed(docs)
+    near = near_dup.near_dup(keyed, id_col="row_key").where("doc_id <> component_id").select(F.col("doc_id").alias("row_key")).distinct()
+    return _apply(keyed, saved(near, "near-copies"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").cast("int").alias("mixed_copies"))
-    copies = saved(copies, "copies")
-    mixed = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    """Every document as often as the mix takes it; a text without words is never taken, a null source is one of its own.
+
+    Rows equal in id and text are taken equally often.
+    """
+    keyed = _keyed(docs).withColumn("row_key", F.xxhash64("row_key"))
+    copies = mixing.mix(keyed, id_col="row_key").where("copies > 0").groupBy(F.col("doc_id").alias("row_key"))
+    copies = saved(copies.agg(F.max("copies").cast("int").alias("mixed_copies")), "copies")
+    mixed = _apply(keyed, copies, "inner")
     return mixed.withColumn("mixed_copy", F.explode(F.array_repeat(F.lit(0), F.col("mixed_copies")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids of every document of the mix."""
+    """doc_id, n_tokens, ids of every document of the mix; a null or empty text has no ids."""
     return sentencepiece.encode(docs).select("doc_id", "n_tokens", "ids")
 
 
