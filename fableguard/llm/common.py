@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: What separates words: blank and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +37,18 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
-    """df, written once to the shared folder and read again: lost executors don't recompute it."""
-    path = new_folder(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written once to the shared folder and read again: lost executors don't recompute it.
+
+    The shuffle files of the write go when it has ended, as nothing reads them again.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, what)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(*tables: DataFrame) -> None:

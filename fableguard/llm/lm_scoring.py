@@ -15,7 +15,6 @@ in the chunk, and the answers meet the chunk's texts again. Nothing of the model
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,16 +65,28 @@ def _runs(texts: list[bytes], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _words(texts: list[bytes]) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
-    """The distinct tokens in order of appearance, and per text (positions in that order, counts)."""
-    index: dict[bytes, int] = {}
-    out = []
+class _Index(dict):
+    """Numbers keys in order of appearance."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens in order of appearance, each token's place in that order, and where each text's tokens start."""
+    index, ids = _Index(), []
     for text in texts:
-        counted = Counter(text.translate(LOWER).split())
-        counted[STOP] = 1
-        at = np.fromiter((index.setdefault(w, len(index)) for w in counted), np.int64, len(counted))
-        out.append((at, np.fromiter(counted.values(), np.int64, len(counted))))
-    return list(index), out
+        tokens = text.translate(LOWER).split()
+        tokens.append(STOP)
+        ids.append(np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens)))
+    return list(index), np.concatenate(ids), np.cumsum([0, *map(len, ids)])[:-1]
+
+
+def _in_training(words: list[bytes], ids: np.ndarray, starts: np.ndarray, training: list[bool]) -> np.ndarray:
+    """How often each of a chunk's words is in its training texts."""
+    lengths = np.diff([*starts, len(ids)])
+    return np.bincount(ids[np.repeat(np.array(training, bool), lengths)], minlength=len(words))
 
 
 def _codes(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -99,12 +110,9 @@ def _chunk(ids: list, texts: list[bytes], training: list[bool], order: int) -> I
     chunk, train, pack = uuid.uuid4().int >> 65, np.array(training, bool), zstandard.ZstdCompressor(level=3)
     for seq, (at, to) in enumerate(_runs(texts)):
         yield _frame(chunk=[chunk], pos=[seq], ids=[ids[at:to]], training=[training[at:to]], sizes=[list(map(len, texts[at:to]))], blob=[pack.compress(b"".join(texts[at:to]))])
-    words, of = _words(texts)
-    n = np.zeros(len(words), np.int64)
-    for (at, counts), t in zip(of, training, strict=True):
-        if t:
-            n[at] += counts
-    yield _frame(chunk=chunk, pos=np.arange(len(words)), word=words, n=n)
+    words, ids_of, starts = _words(texts)
+    yield _frame(chunk=chunk, pos=np.arange(len(words)), word=words, n=_in_training(words, ids_of, starts, training))
+    del words, ids_of
     uniques, weights = [], []
     for (unique, at, _), (i, j) in zip(_codes(texts, order), _runs(texts), strict=True):
         weight = np.repeat(train[i:j], [len(t) + 1 for t in texts[i:j]])
@@ -279,32 +287,34 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     counts = saved(asked.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
     scores = gram_scores(counts, order)
     release(counts)
-    # A gram's score at its position, a word's count at -1 less its position.
+    # A gram's score at its position, a word's count at -1 less its position if other chunks add to it.
     answers = asked.select("chunk", F.col("pos").alias("at"), "gram").join(scores, "gram").select("chunk", "at", F.col("lp").alias("told"))
-    answers = answers.unionByName(words.select("chunk", (-1 - F.col("pos")).alias("at"), F.col("c").cast("double").alias("told")))
-    answers = answers.select(F.col("chunk").alias("a_chunk"), F.col("at").cast("int").alias("at"), "told")
+    answers = answers.unionByName(words.where("c <> n").select("chunk", (-1 - F.col("pos")).alias("at"), F.col("c").cast("double").alias("told")))
+    answers = saved(answers.select(F.col("chunk").alias("a_chunk"), F.col("at").cast("int").alias("at"), "told"), "answers")
+    release(scores, words)
 
     def score(packs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        ids, texts, unpack = [], [], zstandard.ZstdDecompressor()
+        ids, texts, training, unpack = [], [], [], zstandard.ZstdDecompressor()
         for x in packs.sort_values("pos").itertuples(index=False):
             raw, ends = unpack.decompress(x.blob), np.cumsum([0, *x.sizes])
             ids += list(x.ids)
+            training += list(x.training)
             texts += [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-        words, of = _words(texts)
+        words, ids_of, word_starts = _words(texts)
         at, value = told["at"].to_numpy(), told["told"].to_numpy()
         is_word = at < 0
-        c, lps = np.zeros(len(words)), np.zeros((~is_word).sum())
+        c, lps = _in_training(words, ids_of, word_starts, training).astype(np.float64), np.zeros((~is_word).sum())
         c[-1 - at[is_word]], lps[at[~is_word]] = value[is_word], value[~is_word]
         base = np.log10((c + 1) / (n + v + 1))
         runs = list(_codes(texts, order))
         whole, _ = pd.factorize(np.concatenate([unique for unique, _, _ in runs]))
         ends = np.cumsum([0, *(len(unique) for unique, _, _ in runs)])
         scores = [np.add.reduceat(lps[whole[i:j]][codes], starts) for (_, codes, starts), i, j in zip(runs, ends[:-1], ends[1:], strict=True)]
-        rows = [(int(k.sum()), int(k[c[w] > 0].sum()), n, float((base[w] * k).sum())) for w, k in of]
-        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score"])
+        tokens, known = np.diff([*word_starts, len(ids_of)]), np.add.reduceat((c > 0)[ids_of].astype(np.int64), word_starts)
+        out = pd.DataFrame({"n_tokens": tokens, "n_known": known, "train_tokens": n, "base_score": np.add.reduceat(base[ids_of], word_starts)})
         return out.assign(doc_id=pd.Series(ids, dtype="Int64" if kind in ("bigint", "int") else None), score=np.concatenate(scores), n_bytes=list(map(len, texts)))[["doc_id", *out.columns, "score", "n_bytes"]]
 
-    texts = whole.where("blob is not null").select("chunk", "pos", "ids", "sizes", "blob")
+    texts = whole.where("blob is not null").select("chunk", "pos", "ids", "training", "sizes", "blob")
     return texts.groupBy("chunk").cogroup(answers.groupBy("a_chunk")).applyInPandas(score, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
 
 
