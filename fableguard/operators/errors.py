@@ -151,6 +151,59 @@ def describe(kind: Column, event_type: Column, agent: Column, patient: Column, d
     return F.concat_ws(" | ", labelled("Violation: ", kind), labelled("Event type: ", event_type), labelled("Agent: ", agent), labelled("Patient: ", patient), labelled("Detail: ", detail))
 
 
+def fragments_by_entity(text: Column, entities: Column, around: int = 250, most: int = 3) -> Column:
+    """Text around the first mention of each entity (its _ read as blanks), the first few, with ellipses where it is cut."""
+    blank = "^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$"
+
+    def around_mention(entity: Column) -> Column:
+        at = F.position(F.lower(F.replace(entity, F.lit("_"), F.lit(" "))), F.lower(text))
+        start = F.greatest(F.lit(1), at - around)
+        end = F.least(F.length(text) + 1, at + F.length(entity) + around)
+        cut = F.regexp_replace(F.substring(text, start, end - start), blank, "")
+        return F.when((at > 0) & (entity != ""), F.concat(F.when(start > 1, "...").otherwise(""), cut, F.when(end <= F.length(text), "...").otherwise("")))
+
+    return F.slice(F.array_compact(F.transform(entities, around_mention)), 1, most)
+
+
+def fragments_by_event(errors: DataFrame, fragments: DataFrame) -> DataFrame:
+    """errors with fragments: what fragments (story_id, event_id, fragment) has for the error's event and, if it names one, its detail."""
+    named = errors.select("story_id", "id", F.posexplode(F.array("event", "detail")).alias("at", "event_id")).where("event_id is not null")
+    quoted = fragments.select("story_id", F.col("event_id").cast("string").alias("event_id"), "fragment").where("fragment is not null")
+    found = named.join(quoted, ["story_id", "event_id"]).groupBy("story_id", "id").agg(F.array_sort(F.collect_set(F.struct("at", "fragment"))).alias("f"))
+    return errors.join(found, ["story_id", "id"], "left").withColumn("fragments", F.coalesce(F.col("f.fragment"), F.array().cast("array<string>"))).drop("f")
+
+
+# --- findings of rules as error records
+
+
+def error_of_parts(parts: Column) -> Column:
+    """struct(category, type, event, detail) of a raw finding: with four parts as they are, with two or three without its category, else null."""
+    part = lambda k: F.get(parts, F.lit(k))
+    four = F.struct(F.lower(part(0)).alias("category"), part(1).alias("type"), part(2).alias("event"), part(3).alias("detail"))
+    fewer = F.struct(by_substring(part(0)).alias("category"), part(0).alias("type"), part(1).alias("event"), F.coalesce(part(2), F.lit("")).alias("detail"))
+    return F.when(F.size(parts) >= 4, four).when(F.size(parts) >= 2, fewer)
+
+
+def violation_to_error(findings: DataFrame, first: str = "category") -> DataFrame:
+    """story_id, id, source, category, type, event, detail, description of the findings of ``rules.check``.
+
+    Errors are numbered per story by type, event and detail. With ``first="type"`` findings are read without their
+    category, as those of ruleset base are, and get it from their type.
+    """
+    parts = F.array_compact(F.array(*[c for c in ("category", "type") if c >= first], "subject", "detail"))
+    e = findings.select("story_id", error_of_parts(parts).alias("e")).where("e is not null").select("story_id", "e.*")
+    described = F.concat(F.lit("Violation: "), F.col("type"), F.lit(" at event "), F.col("event"), F.when(F.col("detail") != "", F.concat(F.lit(" ("), F.col("detail"), F.lit(")"))).otherwise(""))
+    number = F.row_number().over(Window.partitionBy("story_id").orderBy("type", "event", "detail"))
+    return e.select("story_id", F.concat(F.lit("logic_"), number.cast("string")).alias("id"), F.lit("logic").alias("source"), "category", "type", "event", "detail", described.alias("description"))
+
+
+def event_lookup(refs: DataFrame, events: DataFrame) -> DataFrame:
+    """refs (story_id, event_id, ...) with type, agent, patient and description of events; what isn't found is ``unknown``."""
+    told = ["type", "agent", "patient", "description"]
+    out = refs.join(events.select("story_id", "event_id", *told), ["story_id", "event_id"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in told})
+
+
 # --- model responses
 
 

@@ -77,11 +77,19 @@ def folds_combinations(books: DataFrame, k: int, name: str = "book") -> DataFram
 
 
 def fold_evaluate(errors: DataFrame, folds: DataFrame) -> DataFrame:
-    """k, fold, source, true_positives, filtered: errors (book, variant, source, sig) of each fold's test books against its training books."""
-    test = folds.where("role = 'test'").join(errors.where("variant = 'modified'").select("book", "source", "sig"), "book")
-    known = folds.where("role = 'train'").join(errors.where("variant = 'original'").select("book", "source", "sig").distinct(), "book").select("k", "fold", "source", "sig").distinct().withColumn("known", F.lit(1))
-    both = test.join(known, ["k", "fold", "source", "sig"], "left")
-    return both.groupBy("k", "fold", "source").agg(F.count(F.when(F.col("known").isNull(), 1)).alias("true_positives"), F.count("known").alias("filtered"))
+    """k, fold, source, true_positives, filtered: errors (book, variant, source, sig) of each fold's test books against its training books.
+
+    Errors are not copied per fold: each signature of a test book gets the books whose originals hold it, at most as
+    many as there are books, in one join; a fold then only asks whether one of these trains it. Books and folds are few.
+    """
+    test = errors.where("variant = 'modified'").groupBy("book", "source", "sig").agg(F.count("*").alias("n"))
+    holders = errors.where("variant = 'original'").groupBy("source", "sig").agg(F.collect_set("book").alias("holders"))
+    held = test.join(holders, ["source", "sig"], "left").groupBy("book", "source", F.array_sort(F.coalesce("holders", F.array().cast("array<string>"))).alias("holders")).agg(F.sum("n").alias("n"))
+    trains = folds.where("role = 'train'").groupBy("k", "fold").agg(F.collect_set("book").alias("trains"))
+    both = held.join(folds.where("role = 'test'"), "book").join(trains, ["k", "fold"], "left")
+    known = F.coalesce(F.arrays_overlap("holders", "trains"), F.lit(False))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)).alias
+    return both.groupBy("k", "fold", "source").agg(total(~known)("true_positives"), total(known)("filtered"))
 
 
 def fold_aggregate(evaluated: DataFrame, folds: DataFrame) -> DataFrame:
@@ -123,9 +131,11 @@ def story_summary(errors: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("total", F.col("llm") + F.col("logic"))
 
 
-def corpus_summary(errors: DataFrame) -> DataFrame:
-    stories = errors.groupBy("story_id").agg(F.count("*").alias("n"))
-    a = stories.agg(F.count("*").alias("stories"), F.sum("n").alias("errors"), F.round(F.avg("n"), 6).alias("mean"), F.count(F.when(F.col("n") > 1, 1)).alias("with_many"))
+def corpus_summary(errors: DataFrame, stories: DataFrame) -> DataFrame:
+    """Totals over all of stories (story_id), with and without errors: with_errors counts those that have one at least."""
+    n = errors.groupBy("story_id").agg(F.count("*").alias("n"))
+    stories = stories.select("story_id").distinct().join(n, "story_id", "left").na.fill(0, ["n"])
+    a = stories.agg(F.count("*").alias("stories"), F.sum("n").alias("errors"), F.round(F.avg("n"), 6).alias("mean"), F.count(F.when(F.col("n") > 0, 1)).alias("with_errors"))
     return a.crossJoin(errors.agg(F.countDistinct("sig").alias("signatures"), F.countDistinct("book").alias("books")))
 
 

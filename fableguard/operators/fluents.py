@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fableguard.functions import knowledge as K
 from fableguard.operators.timeline import lt, time_points
-from fableguard.plans.facts import Facts
+from fableguard.plans.facts import Facts, in_scope
 
 
 def role_arg(facts: Facts) -> DataFrame:
@@ -16,11 +17,17 @@ def role_arg(facts: Facts) -> DataFrame:
 
 def effects(facts: Facts, polarity: str) -> DataFrame:
     """story_id, pred, arg, t, t_ord of the effects of this polarity, at the end of the events that have them."""
-    table = facts.effects.where(F.col("polarity") == polarity).select("type", F.col("prop").alias("pred"), "role")
-    at = facts.events.join(F.broadcast(table) if not facts.has("effects") else table, "type").join(role_arg(facts), ["story_id", "event_id", "role"])
+    table = facts.effects.where(F.col("polarity") == polarity).select("scope", "type", F.col("prop").alias("pred"), "role")
+    at = in_scope(facts.events.select("story_id", "event_id", "type", "t_end", "end_ord"), table, ["type"]).join(role_arg(facts), ["story_id", "event_id", "role"])
     return at.select("story_id", "pred", "arg", F.col("t_end").alias("t"), F.col("end_ord").alias("t_ord")).distinct()
 
 
+def fluent_caused(facts: Facts) -> DataFrame:
+    """story_id, pred, arg, t of stated fluents that an event brings about at the very point at which they start."""
+    f = facts.fluents.select("story_id", "pred", "arg", F.col("t_start").alias("t")).distinct()
+    return f.join(effects(facts, "pos").select("story_id", "pred", "arg", "t"), ["story_id", "pred", "arg", "t"], "left_semi")
+
+
 def holds_at_interval(facts: Facts, points: DataFrame | None = None) -> DataFrame:
     """story_id, pred, arg, t, t_ord: stated fluents at each time point of their closed interval."""
     points = time_points(facts) if points is None else points
@@ -34,36 +41,57 @@ def holds_at(facts: Facts, ruleset: str, demand: DataFrame | None = None) -> Dat
 
     A fluent holds where it is stated or brought about, and later unless negated: in ``base`` from the first negation
     on, in the other rulesets only at the negation's own point; ``inertial`` lets the latest effect win. ``demand``
-    (story_id, pred, arg, t, t_ord) restricts the answer to the points asked for, which is all that a rule needs.
+    (story_id, pred, arg, t, t_ord) restricts the answer to the points asked for, which is all that a rule needs: then
+    only stated intervals of the fluents asked for meet only the points asked for.
     """
-    points = time_points(facts)
-    seed = holds_at_interval(facts, points).unionByName(effects(facts, "pos")).distinct()
-    neg = effects(facts, "neg")
     fluent = ["story_id", "pred", "arg"]
-    asked = seed.select(*fluent).distinct().join(points, "story_id") if demand is None else demand.select(*fluent, "t", "t_ord").distinct()
+    neg, caused = effects(facts, "neg"), effects(facts, "pos")
+    if demand is None:
+        seed = holds_at_interval(facts).unionByName(caused).distinct()
+        asked = seed.select(*fluent).distinct().join(time_points(facts), "story_id")
+        earliest = seed.select(*fluent, "t_ord")
+    else:
+        asked = demand.select(*fluent, "t", "t_ord").distinct()
+        wanted = asked.select(*fluent).distinct()
+        neg, caused = (x.join(wanted, fluent, "left_semi") for x in (neg, caused))
+        stated = facts.fluents.join(wanted, fluent, "left_semi").select(*fluent, "start_ord", "end_ord")
+        inside = ~lt(F.col("t_ord"), F.col("start_ord")) & ~lt(F.col("end_ord"), F.col("t_ord"))
+        seed = asked.join(stated, fluent).where(inside).select(*fluent, "t", "t_ord").unionByName(caused).distinct()
+        # A stated fluent holds from its start, or, without one, from the first point that its story has.
+        loose = stated.where("start_ord is null").select(*fluent, "end_ord")
+        first = loose.join(time_points(facts).groupBy("story_id").agg(F.min("t_ord").alias("t_ord")), "story_id").where(~lt(F.col("end_ord"), F.col("t_ord")))
+        whole = stated.where(~lt(F.col("end_ord"), F.col("start_ord"))).select(*fluent, F.col("start_ord").alias("t_ord"))
+        earliest = whole.unionByName(first.select(*fluent, "t_ord")).unionByName(caused.select(*fluent, "t_ord"))
     if ruleset == "inertial":
         changes = seed.withColumn("on", F.lit(1)).unionByName(neg.withColumn("on", F.lit(0))).where("t_ord is not null")
+        if demand is not None:
+            # Of a stated interval its last point before the one asked for counts, which is no question's: ask where it ends.
+            changes = changes.unionByName(_last_stated(stated, asked, fluent))
         rows = changes.select(*fluent, "t_ord", "on", F.lit(None).cast("long").alias("t")).unionByName(asked.where("t_ord is not null").select(*fluent, "t_ord", F.lit(None).cast("int").alias("on"), "t"))
         # strictly before the point asked for: questions come first among equals
         order = Window.partitionBy(*fluent).orderBy("t_ord", F.col("on").isNotNull(), "on").rowsBetween(Window.unboundedPreceding, -1)
         told = rows.withColumn("last", F.last("on", ignorenulls=True).over(order)).where("t is not null and last = 1").select(*fluent, "t")
         return told.unionByName(asked.join(seed.select(*fluent, "t"), [*fluent, "t"], "left_semi").select(*fluent, "t")).distinct()
     here = seed.select(*fluent, "t")
-    earliest = seed.groupBy(*fluent).agg(F.min("t_ord").alias("since"))
-    later = asked.join(earliest, fluent).where(lt(F.col("since"), F.col("t_ord")))
+    later = asked.join(earliest.groupBy(*fluent).agg(F.min("t_ord").alias("since")), fluent).where(lt(F.col("since"), F.col("t_ord")))
     if ruleset == "base":
         first = neg.groupBy(*fluent).agg(F.min("t_ord").alias("off"))
         later = later.join(first, fluent, "left").where(~F.coalesce(F.col("off") <= F.col("t_ord"), F.lit(False)))
-        later = later.join(neg.select(*fluent, "t"), [*fluent, "t"], "left_anti")
-    else:
-        later = later.join(neg.select(*fluent, "t"), [*fluent, "t"], "left_anti")
+    later = later.join(neg.select(*fluent, "t"), [*fluent, "t"], "left_anti")
     return asked.join(here, [*fluent, "t"], "left_semi").select(*fluent, "t").unionByName(later.select(*fluent, "t")).distinct()
 
 
+def _last_stated(stated: DataFrame, asked: DataFrame, fluent: list[str]) -> DataFrame:
+    """A stated interval as changes at its start and end, for those that the points asked for come after."""
+    ends = F.explode(F.array("start_ord", "end_ord")).alias("t_ord")
+    whole = stated.where(~lt(F.col("end_ord"), F.col("start_ord"))).select(*fluent, ends).where("t_ord is not null").withColumn("on", F.lit(1))
+    return whole.withColumn("t", F.lit(None).cast(dict(asked.dtypes)["t"])).select(*fluent, "t", "t_ord", "on").distinct()
+
+
 def requires(facts: Facts, polarity: str) -> DataFrame:
     """story_id, event_id, pred, arg, t, t_ord: what must (pos) or must not (neg) hold when an event starts."""
-    table = facts.preconditions.where(F.col("polarity") == polarity).select("type", F.col("prop").alias("pred"), "role")
-    at = facts.events.join(table, "type").join(role_arg(facts), ["story_id", "event_id", "role"])
+    table = facts.preconditions.where(F.col("polarity") == polarity).select("scope", "type", F.col("prop").alias("pred"), "role")
+    at = in_scope(facts.events.select("story_id", "event_id", "type", "t_start", "start_ord"), table, ["type"]).join(role_arg(facts), ["story_id", "event_id", "role"])
     return at.select("story_id", "event_id", "pred", "arg", F.col("t_start").alias("t"), F.col("start_ord").alias("t_ord")).distinct()
 
 
@@ -71,3 +99,18 @@ def has_after(facts: Facts, verbs: list[str]) -> DataFrame:
     """story_id, agent, object, t: who has what from the end of which acquisition."""
     got = facts.acts().where(F.col("type").isin(verbs)).join(facts.event_role.where("role = 'patient'").select("story_id", "event_id", F.col("arg").alias("object")), ["story_id", "event_id"])
     return got.select("story_id", "agent", "object", F.col("t_end").alias("t")).distinct()
+
+
+def possession(facts: Facts) -> DataFrame:
+    """story_id, agent, object, t, t_ord, has: who gains (1) or loses (0) what at the end of which event.
+
+    Taking gains; giving loses, and lets the recipient gain (without a recipient: a patient that is a character); dropping loses.
+    """
+    thing = facts.event_role.where("role = 'patient'").select("story_id", "event_id", F.col("arg").alias("object"))
+    acts = facts.acts().join(thing, ["story_id", "event_id"]).select("story_id", "event_id", "type", "agent", "object", F.col("t_end").alias("t"), F.col("end_ord").alias("t_ord"))
+    change = F.when(F.col("type").isin(K.ACQUIRING), 1).when(F.col("type").isin(K.LOSING), 0)
+    own = acts.withColumn("has", change).where("has is not null")
+    to = facts.event_role.where("role = 'recipient'").select("story_id", "event_id", F.col("arg").alias("to"))
+    got = acts.where("type = 'give'").join(to, ["story_id", "event_id"]).withColumn("agent", F.col("to")).withColumn("has", F.lit(1))
+    cols = ["story_id", "agent", "object", "t", "t_ord", "has"]
+    return own.select(cols).unionByName(got.select(cols)).distinct()

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fableguard.functions import knowledge as K
 from fableguard.operators import fluents, timeline
 from fableguard.operators.timeline import lt
-from fableguard.plans.facts import Facts, small
+from fableguard.plans.facts import Facts, in_scope, small
 
 Rule = Callable[[Facts, str], DataFrame]
 #: name: (rule, the rulesets that have it)
@@ -51,6 +52,16 @@ def _unless(df: DataFrame, facts: Facts, hook: str, on: list[str], how: str = "l
 # --- temporal
 
 
+@rule(*LATER)
+def circular_time(facts: Facts, ruleset: str) -> DataFrame:
+    """Points of a stated time order that come before each other. Ranked time points alone can't: without an order there is none."""
+    if not facts.has("time_order"):
+        return found(facts.time_order, ruleset, "temporal", "circular_time", F.col("t1"), F.col("t2"))
+    loops = timeline.circular_time(timeline.closure(facts.time_order))
+    message = F.format_string("Circular time ordering: %s < %s < %s", *(F.col(c).cast("string") for c in ("t1", "t2", "t1")))
+    return found(loops, ruleset, "temporal", "circular_time", F.col("t1"), F.col("t2"), message)
+
+
 @rule(*LATER)
 def negative_duration(facts: Facts, ruleset: str) -> DataFrame:
     e = facts.events.where(lt(F.col("end_ord"), F.col("start_ord")))
@@ -122,16 +133,17 @@ def proximity_required(facts: Facts, ruleset: str) -> DataFrame:
 def impossible_travel(facts: Facts, ruleset: str) -> DataFrame:
     acts = facts.acts().where("location is not null").select("story_id", "agent", "event_id", "location", "type", "t_start", "t_end", "start_ord", "end_ord")
     if ruleset == "v2":
-        near = timeline.pairs(acts, acts, ["story_id", "agent"], False, facts.bucket).where("a_location <> b_location").withColumnsRenamed({"a_story_id": "story_id", "a_agent": "agent"})
-        need = facts.travel_time.select(F.col("src").alias("a_location"), F.col("dst").alias("b_location"), "min_time")
-        hasty = named(near.withColumn("took", F.col("b_start_ord") - F.col("a_end_ord")).join(need, ["a_location", "b_location"]).where("took < min_time"), facts, who="agent", x="a_location", y="b_location")
+        need = facts.travel_time.select("scope", F.col("src").alias("a_location"), F.col("dst").alias("b_location"), "min_time")
+        near = timeline.soon_after(acts, need.agg(F.max("min_time").alias("most")), ["story_id", "agent"]).where("a_location <> b_location").withColumnsRenamed({"a_story_id": "story_id", "a_agent": "agent"})
+        near = near.withColumn("took", F.col("b_start_ord") - F.col("a_end_ord"))
+        hasty = named(in_scope(near, need, ["a_location", "b_location"]).where("took < min_time"), facts, who="agent", x="a_location", y="b_location")
         message = F.format_string("Character '%s' travels from '%s' to '%s' in %d time (requires %d)", "who", "x", "y", "took", "min_time")
         return found(hasty, ruleset, "location", "impossible_travel", F.col("a_event_id"), F.col("b_event_id"), message)
     still = acts.where(~F.col("type").isin(K.TRAVEL[ruleset]))
     a = still.select("story_id", "agent", F.col("event_id").alias("e1"), F.col("location").alias("src"), F.col("t_end").alias("t"))
     b = still.select("story_id", "agent", F.col("event_id").alias("e2"), F.col("location").alias("dst"), F.col("t_start").alias("t"))
-    far = facts.location_graph.where("relation = 'distant'").select("src", "dst").distinct()
-    both = a.join(b, ["story_id", "agent", "t"]).where("e1 <> e2 and src <> dst").join(far, ["src", "dst"])
+    far = facts.location_graph.where("relation = 'distant'").select("scope", "src", "dst").distinct()
+    both = in_scope(a.join(b, ["story_id", "agent", "t"]).where("e1 <> e2 and src <> dst"), far, ["src", "dst"])
     return found(both, ruleset, "location", "impossible_travel", F.col("e1"), F.col("e2"))
 
 
@@ -371,8 +383,21 @@ def sudden_shift(facts: Facts, ruleset: str) -> DataFrame:
     return found(hit, ruleset, "emotional", "sudden_shift", F.col("character"), F.col("s2"))
 
 
+def once(facts: Facts) -> Facts:
+    """The same facts, with events, roles and their join kept in memory or on local disks while rules read them many times.
+
+    What an executor loses is computed again from the source.
+    """
+    if facts.kept is not None:
+        return facts
+    keep = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
+    acts = {r: keep(facts.acts(r)) for r in ("agent", "patient")}
+    return Facts(facts.spark, keep(facts.events), keep(facts.event_role), facts.bucket, facts.tables, acts)
+
+
 def check(facts: Facts, ruleset: str, only: list[str] | None = None, own: dict[str, Rule] | None = None) -> DataFrame:
     """All findings of a ruleset, with column ruleset; ``own`` adds rules of the user's."""
+    facts = once(facts)
     rules = [f for name, (f, sets) in RULES.items() if ruleset in sets and (only is None or name in only)] + list((own or {}).values())
     out = None
     for f in rules:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fableguard.functions.knowledge import EMOTIONS, RELATION_OF
+from fableguard.functions.knowledge import DOMAIN_EFFECTS, EFFECTS, EMOTIONS, RELATION_OF
 from fableguard.functions.symbols import parse_term, quote, role_from_var, sanitize_symbol
 from fableguard.plans.facts import Facts, small
 
@@ -99,6 +100,12 @@ def relationship_inference(rel: DataFrame) -> DataFrame:
     return rel.join(F.broadcast(small(rel.sparkSession, RELATION_OF, "rel", "known")), "rel").select("story_id", F.col("known").alias("rel"), "src", "dst").distinct()
 
 
+def emotional_quotes(stories: DataFrame) -> DataFrame:
+    """story_id, character, emotion, fragment: what the text says of a character's state."""
+    x = _rows(stories, "emotional_states").where("x.story_fragment is not null")
+    return x.select("story_id", sanitize_symbol(F.coalesce("x.character", F.lit("unknown"))).alias("character"), sanitize_symbol(F.coalesce("x.emotion", F.lit("neutral"))).alias("emotion"), quote(F.col("x.story_fragment"), 500).alias("fragment")).distinct()
+
+
 def emotional_states(stories: DataFrame) -> DataFrame:
     x = _rows(stories, "emotional_states")
     return x.select("story_id", sanitize_symbol(F.coalesce("x.character", F.lit("unknown"))).alias("character"), sanitize_symbol(F.coalesce("x.emotion", F.lit("neutral"))).alias("emotion"), sanitize_symbol(F.coalesce("x.time.start", F.lit("t_unknown"))).alias("t")).distinct()
@@ -137,9 +144,81 @@ def domain_emotions(fl: DataFrame, words: list[str] | None = None) -> DataFrame:
     return hit.select("story_id", F.col("arg").alias("character"), F.col("pred").alias("emotion"), F.when(F.col("t_start") == "t_unknown", "t0").otherwise(F.col("t_start")).alias("t")).distinct()
 
 
-def load(stories: DataFrame, scope: str = "story") -> Facts:
-    """All facts of structured stories. With scope ``corpus`` first events of any story exempt equal ids in all."""
+def location_types(stories: DataFrame) -> DataFrame:
+    """story_id, location, kind of places whose kind is told."""
+    x = stories.select("story_id", F.explode("entities.locations").alias("x")).where("x.type is not null and x.type <> ''")
+    return x.select("story_id", sanitize_symbol(F.col("x.id")).alias("location"), sanitize_symbol(F.col("x.type")).alias("kind")).distinct()
+
+
+def domain_relationships(stories: DataFrame) -> DataFrame:
+    """rel, src, dst of all stories together, where all three are told."""
+    x = _rows(stories, "relationships")
+    told = [F.coalesce(F.col(f"x.{c}"), F.lit("")) != "" for c in ("type", "from", "to")]
+    x = x.where(told[0] & told[1] & told[2])
+    return x.select(*(sanitize_symbol(F.col(f"x.{c}")).alias(n) for c, n in (("type", "rel"), ("from", "src"), ("to", "dst")))).distinct()
+
+
+def domain_union(stories: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """kind, a, b, c: what a corpus' stories say together, each once.
+
+    Distances (both ways), relationships, emotional states that fluents name, significant and first events, the default
+    and the stories' own effects and preconditions (type and property), and ``marks`` (kind, id): decorative objects and
+    justified harms, named by the user.
+    """
     spark, stories = stories.sparkSession, story_defaults(stories)
+    ev, own, none = events(stories), rules(stories), F.lit(None).cast("string")
+    row = lambda df, kind, *cols: df.select(F.lit(kind).alias("kind"), *(c.alias(n) for c, n in zip([*map(F.col, cols), *[none] * (3 - len(cols))], "abc", strict=True)))
+    emotions = domain_emotions(fluents(stories).where("not negated"))
+    defaults = small(spark, [*EFFECTS, *DOMAIN_EFFECTS], "type", "polarity", "prop", "role")
+    parts = [
+        row(domain_distance(stories), "distant", "src", "dst"), row(domain_relationships(stories), "relationship", "rel", "src", "dst"), row(emotions, "emotional_state", "character", "emotion", "t"),
+        row(ev.where("is_significant"), "significant_event", "event_id"), row(ev.where("pos = 0"), "initial_event", "event_id"), row(defaults, "effect", "type", "polarity", "prop"),
+        row(own.where("kind = 'causes'"), "effect", "type", "polarity", "prop"), row(own.where("kind = 'precondition'"), "precondition", "type", "polarity", "prop"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    if marks is not None:
+        out = out.unionByName(marks.select("kind", sanitize_symbol(F.col("id")).alias("a"), none.alias("b"), none.alias("c")))
+    return out.distinct()
+
+
+def validate(stories: DataFrame) -> DataFrame:
+    """story_id, problem, ref: what is wrong with a structured story, by the ids that it states.
+
+    duplicate_id (within a section), malformed_id, malformed_event_id, malformed_time, missing_reference (agent, patient
+    or location that no entity has), ends_before_start (by the numbers of the times) of events, and of fluents too.
+    """
+    stories = story_defaults(stories)
+    out = []
+    tell = lambda df, problem, ref: out.append(df.select("story_id", F.lit(problem).alias("problem"), ref.cast("string").alias("ref")))
+    ids = [stories.select("story_id", F.lit(k).alias("section"), F.explode(f"entities.{k}.id").alias("id")) for k in ("characters", "objects", "locations")]
+    known = ids[0].unionByName(ids[1]).unionByName(ids[2])
+    ev = _rows(stories, "events").select("story_id", "x.*").withColumns({"start": F.coalesce("time.start", "time_start"), "end": F.coalesce("time.end", "time_end", "time.start", "time_start")})
+    every = known.unionByName(ev.select("story_id", F.lit("events").alias("section"), "id"))
+    tell(every.groupBy("story_id", "section", "id").agg(F.count("*").alias("n")).where("n > 1"), "duplicate_id", F.col("id"))
+    tell(known.where(~F.coalesce(F.col("id").rlike("^[a-z][a-z0-9_]*$"), F.lit(False))), "malformed_id", F.col("id"))
+    tell(ev.where(~F.coalesce(F.col("id").rlike("^e[0-9]+$"), F.lit(False))), "malformed_event_id", F.col("id"))
+    fl = _rows(stories, "fluents").select("story_id", F.coalesce("x.id", "x.name", "x.property").alias("id"), F.coalesce("x.time.start", "x.start", "x.time_start").alias("start"), F.coalesce("x.time.end", "x.end", "x.time_end").alias("end"))
+    times = ev.select("story_id", "id", "start", "end").unionByName(fl)
+    tell(times.select("story_id", F.explode(F.array_compact(F.array("start", "end"))).alias("t")).where(~F.col("t").rlike("^t[0-9]+$")), "malformed_time", F.col("t"))
+    names = F.flatten(F.array(*(_several(F.col(c)) for c in ("agent", "patient", "location"))))
+    refs = ev.select("story_id", F.explode(F.array_distinct(names)).alias("id"))
+    tell(refs.join(known.select("story_id", sanitize_symbol(F.col("id")).alias("id")), ["story_id", "id"], "left_anti"), "missing_reference", F.col("id"))
+    number = lambda c: F.regexp_extract(c, "^t([0-9]+)$", 1).try_cast("long")
+    tell(times.where(number("end") < number("start")), "ends_before_start", F.col("id"))
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return whole.distinct()
+
+
+def load(stories: DataFrame, scope: str = "story") -> Facts:
+    """All facts of structured stories. With scope ``corpus`` first events of any story exempt equal ids in all.
+
+    A story's own rules and distances hold in that story alone.
+    """
+    spark, stories = stories.sparkSession, story_defaults(stories).persist(StorageLevel.MEMORY_AND_DISK)  # read by every table
     ev = events(stories)
     points = time_points_ranked(ev)
     rank = lambda df, t, o: df.join(points.select("story_id", F.col("t").alias(t), F.col("t_ord").alias(o)), ["story_id", t], "left")
@@ -148,15 +227,15 @@ def load(stories: DataFrame, scope: str = "story") -> Facts:
     first = ev.where("pos = 0").select("story_id", "event_id")
     if scope == "corpus":
         first = ev.select("story_id", "event_id").join(first.select("event_id").distinct(), "event_id", "left_semi")
-    own = rules(stories)
+    own, of_story = rules(stories), F.col("story_id").alias("scope")
     tables = {
         "characters": entities(stories, "characters").select("story_id", "id"), "objects": entities(stories, "objects"), "locations": entities(stories, "locations").select("story_id", "id"),
         "fluents": rank(rank(fl, "t_start", "start_ord"), "t_end", "end_ord"), "traits": traits(stories), "relationships": relationships(stories).unionByName(relationship_inference(relationships(stories))).distinct(),
-        "emotional_states": rank(emotional_states(stories), "t", "t_ord"), "location_graph": location_graph(stories).select("relation", "src", "dst").unionByName(domain_distance(stories).select(F.lit("distant").alias("relation"), "src", "dst")).distinct(),
+        "emotional_states": rank(emotional_states(stories), "t", "t_ord"), "location_graph": location_graph(stories).select(of_story, "relation", "src", "dst").unionByName(domain_distance(stories).select(of_story, F.lit("distant").alias("relation"), "src", "dst")).distinct(), "location_types": location_types(stories),
         "causal_chain": causal_chain(stories), "significant_event": ev.where("is_significant").select("story_id", "event_id"), "initial_event": first,
         "names": entities(stories, "characters").select("story_id", "id", "name").unionByName(entities(stories, "objects").select("story_id", "id", "name")).unionByName(entities(stories, "locations").select("story_id", "id", "name")).dropDuplicates(["story_id", "id"]),
     }
     facts = Facts(spark, timed, event_role(stories), 32, tables)
     for table, kind in (("effects", "causes"), ("preconditions", "precondition")):
-        facts.tables[table] = getattr(Facts(spark, timed, timed), table).unionByName(own.where(F.col("kind") == kind).select("type", "polarity", "prop", "role")).distinct()
+        facts.tables[table] = getattr(Facts(spark, timed, timed), table).unionByName(own.where(F.col("kind") == kind).select(of_story, "type", "polarity", "prop", "role")).distinct()
     return facts

@@ -75,6 +75,21 @@ def pairs(left: DataFrame, right: DataFrame, keys: list[str], overlap: bool, buc
     return near.unionByName(loose(a, "a").join(b, [*same, meet])).unionByName(ranked(a, "a").join(loose(b, "b"), [*same, meet]))
 
 
+def soon_after(acts: DataFrame, most: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of intervals of the same keys, prefixed a_ and b_, where b starts after a's end by less than ``most`` (a row).
+
+    Time is cut in slices as wide as ``most``: b starts in the slice in which a ends or in the next one.
+    """
+    wide = F.greatest(F.coalesce("most", F.lit(1)), F.lit(1))
+    a = acts.select(*(F.col(c).alias(f"a_{c}") for c in acts.columns)).crossJoin(F.broadcast(most))
+    b = acts.select(*(F.col(c).alias(f"b_{c}") for c in acts.columns)).crossJoin(F.broadcast(most)).withColumn("b_slice", F.floor(F.col("b_start_ord") / wide)).drop("most")
+    at = F.floor(F.col("a_end_ord") / wide)
+    a = a.where("a_end_ord is not null").withColumn("a_slice", F.explode(F.array(at, at + 1)))
+    same = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
+    took = F.col("b_start_ord") - F.col("a_end_ord")
+    return a.join(b, [*same, F.col("a_slice") == F.col("b_slice"), took > 0, took < F.col("most")]).drop("a_slice", "b_slice", "most")
+
+
 def overlap(facts: Facts) -> DataFrame:
     """story_id, e1, e2 of overlapping events, both ways round."""
     e = facts.events.select("story_id", "event_id", "start_ord", "end_ord")

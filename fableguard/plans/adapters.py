@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fableguard.plans.facts import Facts, small
+from fableguard.functions.knowledge import PRECONDITIONS
+from fableguard.plans.facts import Facts, everywhere, small
 
 HOUR = 3_600_000_000
 OBJECT_TYPES = ["rock", "food", "metal", "bread", "tool", "glass", "candy"]
@@ -56,7 +57,9 @@ def events_as_story(spark: SparkSession, sf_dir: str, hour: bool = False, places
     relationships = met.select("story_id", F.explode(felt).alias("rel"), "src", "dst")
     moods = e.where("event_type = 'view'").select("story_id", F.col("agent").alias("character"), _pick(F.col("k"), ["happy", "sad", "calm", "angry"]).alias("emotion"), F.col("t_start").alias("t"), F.col("t_start").alias("t_ord")).distinct()
     names = PLACES if places else [f"l{i}" for i in range(7)]
-    graph = small(spark, [("distant", names[i], names[j]) for i in range(7) for j in range(7) if abs(i - j) >= 4], "relation", "src", "dst")
+    graph = everywhere(small(spark, [("distant", names[i], names[j]) for i in range(7) for j in range(7) if abs(i - j) >= 4], "relation", "src", "dst"))
+    number, at = F.expr("cast(substring(id, 2) as int)"), lambda where, *more: e.where(where).select("story_id", *more, "event_id")
+    shifts = moods.select("story_id", "character", F.col("t").alias("t1")).distinct().withColumn("t2", F.lead("t1").over(Window.partitionBy("story_id", "character").orderBy("t1")))
     earlier = Window.partitionBy("story_id", "agent").orderBy("t_start", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     chain = e.withColumn("cause", F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).over(earlier)).where("cause is not null").select("story_id", "cause", F.col("event_id").alias("effect"))
     tables = {
@@ -75,11 +78,28 @@ def events_as_story(spark: SparkSession, sf_dir: str, hour: bool = False, places
         "brave_moment": e.where("type = 'visit' and k % 7 = 0").select("story_id", "event_id"),
         "justified_harm": e.where("event_type = 'error' and k % 11 = 0").select("story_id", "event_id"),
         "duration_constraint": small(spark, [("eat", "1", "2"), ("sleep", "1", "2")], "type", "a", "b").select("type", F.lit(600_000_000).alias("low"), F.lit(4 * HOUR).alias("high")),
-        "travel_time": graph.select("src", "dst", F.lit(HOUR).alias("min_time")),
+        "travel_time": graph.select("scope", "src", "dst", F.lit(HOUR).alias("min_time")),
+        "background_event": at("k % 9 = 4"),
+        "decorative": objects.where(number % 6 == 0).select("story_id", "id"),
+        "mentioned_object": stories.select("story_id", F.lit("x1").alias("id")),
+        "mentioned_in_event": e.where("event_type = 'view' and k % 4 = 1").select("story_id", F.concat(F.lit("o"), (F.col("k") + 1).cast("string")).alias("id")).distinct(),
+        "edible_tool": objects.where((F.col("obj_type") == "tool") & (number % 14 == 4)).select("story_id", "id"),
+        "explicitly_inedible": objects.where(number % 5 == 2).select("story_id", "id"),
+        "initial_state": cast.where("user_id % 4 = 0").select("story_id", F.lit("tired").alias("pred"), F.col("agent").alias("arg")),
+        "strategic_help": at("event_type = 'error' and k % 20 = 2"),
+        "forced_approach": at("event_type = 'error' and k % 20 = 3"),
+        "trust_earned": at("event_type = 'error' and k % 20 = 4", F.col("patient").alias("dst")),
+        "trust_restored": at("event_type = 'error' and k % 30 = 4", F.col("agent").alias("src"), F.col("patient").alias("dst")),
+        "allows_remote": at("k % 6 = 1"),
+        "emotional_trigger": shifts.where(F.floor(F.col("t2") / 60_000_000) % 3 == 0),
+        "preconditions": everywhere(small(spark, [*PRECONDITIONS, ("travel", "neg", "asleep", "agent")], "type", "polarity", "prop", "role")),
         "requires_proximity": e.where("event_type = 'click'").select("story_id", "event_id"),
         "object_location": e.where("event_type = 'click'").select("story_id", F.col("patient").alias("id"), F.concat(F.lit("l"), (F.col("k") % 7).cast("string")).alias("location"), "event_id"),
     }
-    fluents = e.where("type = 'sleep'").select("story_id", F.lit("tired").alias("pred"), F.col("agent").alias("arg"), "t_start", "t_end", F.col("t_start").alias("start_ord"), F.col("t_end").alias("end_ord")).distinct()
+    # Sleepers are tired, by no event; what is opened is open, stated at the end of the event or, without cause, at its start.
+    tired = e.where("type = 'sleep'").select("story_id", F.lit("tired").alias("pred"), F.col("agent").alias("arg"), "t_start", "t_end")
+    opened = e.where("type = 'open' and k % 3 < 2").select("story_id", F.lit("open").alias("pred"), F.col("patient").alias("arg"), F.when(F.col("k") % 3 == 0, F.col("t_end")).otherwise(F.col("t_start")).alias("t"))
+    fluents = tired.unionByName(opened.select("story_id", "pred", "arg", F.col("t").alias("t_start"), F.col("t").alias("t_end"))).distinct().withColumns({"start_ord": F.col("t_start"), "end_ord": F.col("t_end")})
     return Facts(spark, events, roles, HOUR, tables | {"fluents": fluents})
 
 
@@ -111,6 +131,10 @@ traits AS (SELECT story_id, agent, unnest(list_filter([CASE WHEN user_id % 11 =
   CASE WHEN user_id % 19 = 0 THEN 'claustrophobia' END, CASE WHEN user_id % 7 = 0 THEN 'acrophobic' END, CASE WHEN user_id % 5 = 0 THEN 'aquaphobic' END], lambda x: x IS NOT NULL)) AS trait FROM persons),
 relations AS (SELECT DISTINCT story_id, rel, agent AS src, patient AS dst FROM e, (VALUES ('loves', 13), ('hates', 3), ('fears', 3), ('distrusts', 3)) r(rel, m) WHERE event_type = 'error' AND (user_id + k) % m = 0),
 moods AS (SELECT DISTINCT story_id, agent AS character, {_values("k", ["happy", "sad", "calm", "angry"])} AS emotion, t_start AS t FROM e WHERE event_type = 'view'),
+stated AS (SELECT DISTINCT story_id, 'tired' AS pred, agent AS arg, t_start, t_end FROM e WHERE type = 'sleep'
+  UNION SELECT story_id, 'open', patient, CASE k % 3 WHEN 0 THEN t_end ELSE t_start END, CASE k % 3 WHEN 0 THEN t_end ELSE t_start END FROM e WHERE type = 'open' AND k % 3 < 2),
+brought AS (SELECT DISTINCT story_id, CASE WHEN type IN ('open', 'close') THEN 'open' WHEN type IN ('lock', 'unlock') THEN 'locked' ELSE 'asleep' END AS pred,
+  CASE WHEN type IN ('sleep', 'wake') THEN agent ELSE patient END AS arg, t_end AS t, type IN ('open', 'lock', 'sleep') AS pos FROM e WHERE type IN ('open', 'close', 'lock', 'unlock', 'sleep', 'wake')),
 places AS (SELECT i, {_values("i", PLACES) if places else "'l' || i"} AS id FROM range(7) r(i)),
 far AS (SELECT a.id AS src, b.id AS dst FROM places a, places b WHERE abs(a.i - b.i) >= 4)
 """

@@ -19,7 +19,7 @@ SCHEMAS = {
     "traits": "story_id string, character string, trait string",
     "relationships": "story_id string, rel string, src string, dst string",
     "emotional_states": "story_id string, character string, emotion string, t bigint, t_ord bigint",
-    "location_graph": "relation string, src string, dst string",
+    "location_graph": "scope string, relation string, src string, dst string",
     "causal_chain": "story_id string, cause EVENT, effect EVENT",
     # hooks: a row exempts, or marks, what it names
     "significant_event": "story_id string, event_id EVENT",
@@ -44,10 +44,12 @@ SCHEMAS = {
     "object_location": "story_id string, id string, location string, event_id EVENT",
     "must_precede": "story_id string, e1 EVENT, e2 EVENT",
     "emotional_trigger": "story_id string, character string, t1 bigint, t2 bigint",
+    "time_order": "story_id string, t1 TIME, t2 TIME",
+    "location_types": "story_id string, location string, kind string",
     "duration_constraint": "type string, low bigint, high bigint",
-    "travel_time": "src string, dst string, min_time bigint",
-    "effects": "type string, polarity string, prop string, role string",
-    "preconditions": "type string, polarity string, prop string, role string",
+    "travel_time": "scope string, src string, dst string, min_time bigint",
+    "effects": "scope string, type string, polarity string, prop string, role string",
+    "preconditions": "scope string, type string, polarity string, prop string, role string",
     "names": "story_id string, id string, name string",
 }
 
@@ -57,7 +59,8 @@ class Facts:
     """events: story_id, event_id, type, location, t_start, t_end, start_ord, end_ord, requires_focus.
 
     event_role: story_id, event_id, role, arg. Ords rank the time points of a story; null ones are comparable with none.
-    ``bucket`` is the width, in ords, of the time slices that interval joins deal their rows over.
+    ``bucket`` is the width, in ords, of the time slices that interval joins deal their rows over. ``scope`` is the story
+    that a rule or a distance belongs to, or ``*`` where it belongs to all.
     """
 
     spark: SparkSession
@@ -65,17 +68,19 @@ class Facts:
     event_role: DataFrame
     bucket: int = 64
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    kept: dict[str, DataFrame] | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         tables = self.__dict__.get("tables", {})
         if name in tables:
             return tables[name]
         if name == "effects":
-            return small(self.spark, K.EFFECTS, "type", "polarity", "prop", "role")
+            return everywhere(small(self.spark, K.EFFECTS, "type", "polarity", "prop", "role"))
         if name == "preconditions":
-            return small(self.spark, K.PRECONDITIONS, "type", "polarity", "prop", "role")
+            return everywhere(small(self.spark, K.PRECONDITIONS, "type", "polarity", "prop", "role"))
         if name in SCHEMAS:
-            kinds = (x.split(" ") for x in SCHEMAS[name].replace("EVENT", dict(self.events.dtypes)["event_id"]).split(", "))
+            types = dict(self.events.dtypes)
+            kinds = (x.split(" ") for x in SCHEMAS[name].replace("EVENT", types["event_id"]).replace("TIME", types["t_start"]).split(", "))
             # known to be empty when planned, so that joins with it cost nothing
             return self.spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {k}) AS {c}" for c, k in kinds) + " WHERE false")
         raise AttributeError(name)
@@ -85,10 +90,26 @@ class Facts:
 
     def acts(self, role: str = "agent") -> DataFrame:
         """The events with one row per participant in ``role``."""
+        if self.kept and role in self.kept:
+            return self.kept[role]
         who = self.event_role.where(F.col("role") == role).select("story_id", "event_id", F.col("arg").alias(role))
         return self.events.join(who, ["story_id", "event_id"])
 
 
+def everywhere(table: DataFrame) -> DataFrame:
+    """A table of rules or distances that belong to all stories."""
+    return table.select(F.lit("*").alias("scope"), "*")
+
+
+def in_scope(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """df (story_id, ...) joined with the rows of table (scope, ...) that belong to its story or to all stories.
+
+    Two equi-joins; what a story and all stories have in common is found twice.
+    """
+    own = table.where("scope <> '*'").withColumnRenamed("scope", "story_id")
+    return df.join(own, ["story_id", *on]).unionByName(df.join(table.where("scope = '*'").drop("scope"), on))
+
+
 def small(spark: SparkSession, rows: list[tuple[str, ...]], *names: str) -> DataFrame:
     """A table of a few fixed rows, as SQL values."""
     values = ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fableguard.functions import knowledge as K
-from fableguard.operators import fluents, rules, timeline
+from fableguard.operators import documented, fluents, rules, timeline
 from fableguard.plans.adapters import HOUR, events_as_story, facts_sql, table
 from fableguard.plans.facts import Facts
 
@@ -48,7 +48,8 @@ def rule_sql(name: str, r: str) -> str | None:
     if name == "non_edible_food":
         if v2:
             return _finding("coherence", "non_edible", "e.event_id", "e.patient", f"FROM e JOIN objects o ON o.story_id = e.story_id AND o.id = e.patient WHERE e.type IN {_in(lists['eat'])} AND o.obj_type IN {_in(lists['non'])}").format(s="e")
-        ok = f"(o.obj_type NOT IN {_in(lists['non'])} OR o.obj_type IN {_in(lists['ed'])})"
+        tool = "OR (o.obj_type = 'tool' AND CAST(substr(o.id, 2) AS INTEGER) % 14 = 4)" if r == "narrative" else ""
+        ok = f"(o.obj_type NOT IN {_in(lists['non'])} OR o.obj_type IN {_in(lists['ed'])} {tool})"
         return _finding("coherence", name, "e.event_id", d("e.patient"), f"FROM e WHERE e.type IN {_in(lists['eat'])} AND NOT EXISTS (SELECT 1 FROM objects o WHERE o.story_id = e.story_id AND o.id = e.patient AND {ok})").format(s="e")
     if name == "physical_impossibility":
         need = _pairs([(t, v) for t, vs in lists["needs"].items() for v in vs])
@@ -62,30 +63,32 @@ def rule_sql(name: str, r: str) -> str | None:
     if name == "harm_loved":
         return feel(name, lists["harm"], "loves", "AND NOT (e.event_type = 'error' AND e.k % 11 = 0)")
     if name == "help_enemy":
-        return feel(name, lists["help"], "hates")
+        return feel(name, lists["help"], "hates", "AND NOT (e.event_type = 'error' AND e.k % 20 = 2)")
     if name == "approach_feared":
-        return feel(name, lists["app"], "fears", "AND e.k % 7 <> 0" if r == "narrative" else "")
+        return feel(name, lists["app"], "fears", "AND e.k % 20 <> 3" + (" AND e.k % 7 <> 0" if r == "narrative" else ""))
     if name == "misplaced_trust":
-        return feel(name, ["trust"], "distrusts")
+        return feel(name, ["trust"], "distrusts", f"AND e.k % {30 if v2 else 20} <> 4")
     if name == "state_action_mismatch":
         return _finding("emotional", "state_mismatch" if v2 else name, "e.event_id", "m.emotion", f"FROM e JOIN moods m ON m.story_id = e.story_id AND m.character = e.agent AND m.t = e.t_start JOIN {_pairs(lists['con'])} c(s, v) ON c.s = m.emotion AND c.v = e.type").format(s="e")
     if name == "sudden_shift":
-        return _finding("emotional", name, "a.character", "b.emotion", f"FROM moods a JOIN moods b ON a.story_id = b.story_id AND a.character = b.character AND a.t < b.t JOIN {_pairs(K.OPPOSITE)} o(x, y) ON o.x = a.emotion AND o.y = b.emotion").format(s="a")
+        return _finding("emotional", name, "a.character", "b.emotion", f"FROM moods a JOIN moods b ON a.story_id = b.story_id AND a.character = b.character AND a.t < b.t JOIN {_pairs(K.OPPOSITE)} o(x, y) ON o.x = a.emotion AND o.y = b.emotion WHERE NOT ((b.t // 60000000) % 3 = 0 AND NOT EXISTS (SELECT 1 FROM moods m WHERE m.story_id = a.story_id AND m.character = a.character AND m.t > a.t AND m.t < b.t))").format(s="a")
     if name == "chekhov_gun":
-        hook = "AND regexp_matches(o.id, '[05]$')" if r == "narrative" else ""
+        hook = "AND CAST(substr(o.id, 2) AS INTEGER) % 6 <> 0" + (" AND regexp_matches(o.id, '[05]$')" if r == "narrative" else "")
+        hook += " AND NOT EXISTS (SELECT 1 FROM e WHERE e.story_id = o.story_id AND e.event_type = 'view' AND e.k % 4 = 1 AND 'o' || (e.k + 1) = o.id)" if v2 else ""
         return _finding("causality", "chekhovs_gun" if v2 else name, "o.id", none("o.id"), f"FROM objects o WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.story_id = o.story_id AND (e.patient = o.id OR e.agent = o.id)) {hook}").format(s="o")
     if name == "uncaused_event":
-        return _finding("causality", name, "e.event_id", none("e.event_id"), "FROM e WHERE e.value > 100 AND e.event_id <> (SELECT min(i.event_id) FROM e i WHERE i.story_id = e.story_id) AND NOT EXISTS (SELECT 1 FROM e c WHERE c.story_id = e.story_id AND c.agent = e.agent AND c.event_type = 'click' AND (c.t_start < e.t_start OR (c.t_start = e.t_start AND c.event_id < e.event_id)))").format(s="e")
+        return _finding("causality", name, "e.event_id", none("e.event_id"), f"FROM e WHERE e.value > 100 {'AND e.k % 9 <> 4' if r == 'narrative' else ''} AND e.event_id <> (SELECT min(i.event_id) FROM e i WHERE i.story_id = e.story_id) AND NOT EXISTS (SELECT 1 FROM e c WHERE c.story_id = e.story_id AND c.agent = e.agent AND c.event_type = 'click' AND (c.t_start < e.t_start OR (c.t_start = e.t_start AND c.event_id < e.event_id)))").format(s="e")
     if name == "effect_without_cause":
-        return _finding("causality", name, "'fluent(tired,' || e.agent || ')'", "e.t_start", "FROM e WHERE e.type = 'sleep'").format(s="e")
+        known = "AND NOT EXISTS (SELECT 1 FROM persons p WHERE p.story_id = f.story_id AND p.agent = f.arg AND f.pred = 'tired' AND p.user_id % 4 = 0)" if r in ("narrative", "v2") else ""
+        return _finding("causality", name, "'fluent(' || f.pred || ',' || f.arg || ')'", "f.t_start", f"FROM stated f WHERE NOT EXISTS (SELECT 1 FROM brought b WHERE b.pos AND b.story_id = f.story_id AND b.pred = f.pred AND b.arg = f.arg AND b.t = f.t_start) {known}").format(s="f")
     if name == "negative_duration":
         return _finding("temporal", name, "e.event_id", none("e.event_id"), "FROM e WHERE e.t_end < e.t_start").format(s="e")
     if name == "impossible_duration":
         return _finding("temporal", name, "e.event_id", "e.t_end - e.t_start", f"FROM e WHERE e.type IN ('eat', 'sleep') AND (e.t_end - e.t_start < 600000000 OR e.t_end - e.t_start > {4 * HOUR})").format(s="e")
     if name == "proximity_required":
         if v2:
-            return _finding("location", name, "e.event_id", "e.patient", "FROM e WHERE e.event_type = 'click' AND e.location <> 'l' || (e.k % 7)").format(s="e")
-        return _finding("location", name, "e.event_id", "e.patient", "FROM e WHERE FALSE").format(s="e")
+            return _finding("location", name, "e.event_id", "e.patient", "FROM e WHERE e.event_type = 'click' AND e.location <> 'l' || (e.k % 7) AND e.k % 6 <> 1").format(s="e")
+        return None  # one event in one place: see proximity_required_general
     if name == "impossible_travel":
         if v2:
             return _finding("location", name, "a.event_id", "b.event_id", f"FROM e a JOIN e b ON a.story_id = b.story_id AND a.agent = b.agent AND a.t_end < b.t_start AND b.t_start - a.t_end < {HOUR} JOIN far f ON f.src = a.location AND f.dst = b.location").format(s="a")
@@ -93,9 +96,9 @@ def rule_sql(name: str, r: str) -> str | None:
     return None
 
 
-#: holds_at as the recursive definition, for the points at which someone wakes.
+#: holds_at as the recursive definition, for the points at which someone wakes or travels.
 HOLDS = """
-, asked AS (SELECT DISTINCT story_id, agent, event_id, t_start AS t FROM e WHERE type = 'wake'),
+, asked AS (SELECT DISTINCT story_id, agent, event_id, t_start AS t, type FROM e WHERE type IN ('wake', 'travel')),
 points AS (SELECT DISTINCT story_id, t_start AS t FROM e UNION SELECT story_id, t_end FROM e),
 change AS (SELECT story_id, agent, t_end AS t, type FROM e WHERE type IN ('sleep', 'wake')),
 own AS (SELECT DISTINCT story_id, agent, t FROM asked UNION SELECT story_id, agent, t FROM change),
@@ -161,7 +164,11 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name, (_, sets) in rules.RULES.items():
         for r in sets:
-            if name not in ("explicit_order_violated", "negative_duration"):
+            if name == "circular_time":
+                out[f"{name}_{r}"] = lambda spark, sf_dir, r=r: rules.circular_time(_months_story(spark, sf_dir), r).select(*COLS)
+            elif name == "proximity_required" and r != "v2":
+                out[f"{name}_{r}"] = lambda spark, sf_dir, r=r: rules.proximity_required(_two_places(spark, sf_dir), r).select(*COLS)
+            elif name not in ("explicit_order_violated", "negative_duration"):
                 out[f"{name}_{r}"] = _rule(name, r, name in ("impossible_travel",) and r != "v2", name.endswith("phobia"))
     for r in rules.LATER:
         for name in ("explicit_order_violated", "negative_duration"):
@@ -185,7 +192,18 @@ def queries() -> dict[str, Query]:
         "effect_positive": _facts(lambda f: fluents.effects(f, "pos").select("story_id", "pred", "arg", "t")),
         "effect_negative": _facts(lambda f: fluents.effects(f, "neg").select("story_id", "pred", "arg", "t")),
         "requires": _facts(lambda f: fluents.requires(f, "pos").select("story_id", "event_id", "pred", "arg", "t")),
-        "fluent_caused": _facts(lambda f: fluents.effects(f, "pos").select("story_id", "pred", "arg", "t").distinct()),
+        "fluent_caused": _facts(lambda f: fluents.fluent_caused(f).select("story_id", "pred", "arg", "t")),
+        "holds_at_acts": _facts(lambda f: fluents.holds_at(f, "general", _all_fluents(f))),
+        "introduced_narrative": _facts(lambda f: rules.introduced(f, "narrative")),
+        "used_v2": _facts(lambda f: rules.used(f, "v2")),
+        "caused_narrative": _facts(lambda f: rules.caused(f, "narrative")),
+        "edible_narrative": _facts(lambda f: rules.edible(f, "narrative")),
+        "edible_v2": _facts(lambda f: rules.edible(f, "v2")),
+        "possession": _facts(lambda f: fluents.possession(f).select("story_id", "agent", "object", "t", "has")),
+        "possession_documented": _facts(lambda f: documented.possession(f).select(*COLS)),
+        "dead_agent_documented": _facts(lambda f: documented.dead_agent(f).select(*COLS), True),
+        "focus_overlap_documented": _facts(lambda f: documented.focus_overlap(f).select(*COLS), True),
+        "pacifist_documented": _facts(lambda f: documented.pacifist(_with_pacifists(f)).select(*COLS)),
         "has_after": _facts(lambda f: fluents.has_after(f, K.ACQUIRING)),
         "at_during": _facts(lambda f: rules.at_during(f, "general")),
         "is_travel_event": _facts(lambda f: f.events.where(F.col("type").isin(K.TRAVEL["narrative"])).select("story_id", "event_id")),
@@ -206,6 +224,32 @@ def queries() -> dict[str, Query]:
     return out
 
 
+def _months_story(spark: SparkSession, sf_dir: str) -> Facts:
+    """Nations as stories whose stated time order leads back from every January's successor."""
+    facts = events_as_story(spark, sf_dir)
+    return Facts(spark, facts.events, facts.event_role, 32, {"time_order": _region_edges(spark, sf_dir, True)})
+
+
+def _two_places(spark: SparkSession, sf_dir: str) -> Facts:
+    """The story with some events in two places at once."""
+    facts = events_as_story(spark, sf_dir)
+    also = table(spark, sf_dir, "events").where("event_type = 'error' and cast(regexp_extract(props, '[0-9]+', 0) as long) % 4 = 1").select("event_id")
+    moved = facts.events.join(also, "event_id", "left_semi").withColumn("location", F.concat(F.lit("l"), ((F.col("event_id") + 1) % 7).cast("string")))
+    return Facts(spark, facts.events.unionByName(moved), facts.event_role, facts.bucket, facts.tables)
+
+
+def _all_fluents(facts: Facts) -> DataFrame:
+    """Whatever may hold of those who take part in an event, at its start."""
+    at = facts.events.join(fluents.role_arg(facts), ["story_id", "event_id"])
+    preds = F.explode(F.array(*map(F.lit, ("open", "locked", "asleep", "tired"))))
+    return at.select("story_id", preds.alias("pred"), "arg", F.col("t_start").alias("t"), F.col("start_ord").alias("t_ord")).distinct()
+
+
+def _with_pacifists(facts: Facts) -> Facts:
+    own = facts.characters.where("cast(substring(id, 2) as long) % 6 = 0").select("story_id", F.col("id").alias("character"), F.lit("pacifist").alias("trait"))
+    return Facts(facts.spark, facts.events, facts.event_role, facts.bucket, facts.tables | {"traits": facts.traits.unionByName(own)})
+
+
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The months in which each nation's customers order, as time points."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -238,16 +282,23 @@ def oracle_sql() -> dict[str, str]:
         out[f"negative_duration_{r}"] = LINES + f"SELECT DISTINCT story_id, 'temporal' AS category, 'negative_duration' AS type, ship_id AS subject, {none} AS detail FROM s WHERE shipped < ordered"
         kind = "order_violated" if r == "v2" else "explicit_order_violated"
         out[f"explicit_order_violated_{r}"] = LINES + f"SELECT DISTINCT story_id, 'temporal' AS category, '{kind}' AS type, order_id AS subject, 's' || ship_id AS detail FROM s WHERE NOT ordered < shipped"
+    ask = "a.type = 'wake'"
     met = " AND ".join(["s.story_id = a.story_id", "s.agent = a.agent", "s.kind = 'on'", "s.t = a.t"])
-    holds = HOLDS.format(op="<=") + f"SELECT DISTINCT a.story_id, 'asleep' AS pred, a.agent AS arg, a.t FROM asked a WHERE EXISTS (SELECT 1 FROM state s WHERE {met})"
+    holds = HOLDS.format(op="<=") + f"SELECT DISTINCT a.story_id, 'asleep' AS pred, a.agent AS arg, a.t FROM asked a WHERE {ask} AND EXISTS (SELECT 1 FROM state s WHERE {met})"
     out["holds_at_base"] = f + holds
-    out["holds_at_general"] = f + HOLDS.format(op="=") + f"SELECT DISTINCT a.story_id, 'asleep' AS pred, a.agent AS arg, a.t FROM asked a WHERE EXISTS (SELECT 1 FROM state s WHERE {met})"
+    out["holds_at_general"] = f + HOLDS.format(op="=") + f"SELECT DISTINCT a.story_id, 'asleep' AS pred, a.agent AS arg, a.t FROM asked a WHERE {ask} AND EXISTS (SELECT 1 FROM state s WHERE {met})"
     last = "(SELECT c.type FROM change c WHERE c.story_id = a.story_id AND c.agent = a.agent AND c.t < a.t ORDER BY c.t DESC, c.type LIMIT 1)"
-    out["holds_at_inertial"] = f + HOLDS.format(op="=") + f"SELECT DISTINCT a.story_id, 'asleep' AS pred, a.agent AS arg, a.t FROM asked a WHERE {last} = 'sleep' OR EXISTS (SELECT 1 FROM change c WHERE c.story_id = a.story_id AND c.agent = a.agent AND c.t = a.t AND c.type = 'sleep')"
+    out["holds_at_inertial"] = f + HOLDS.format(op="=") + f"SELECT DISTINCT a.story_id, 'asleep' AS pred, a.agent AS arg, a.t FROM asked a WHERE {ask} AND ({last} = 'sleep' OR EXISTS (SELECT 1 FROM change c WHERE c.story_id = a.story_id AND c.agent = a.agent AND c.t = a.t AND c.type = 'sleep'))"
     for r, op in (("base", "<="), ("v2", "=")):
         kind = "missing_precondition" if r == "v2" else "precondition_not_met"
-        out[f"precondition_not_met_{r}"] = f + HOLDS.format(op=op) + f"SELECT DISTINCT a.story_id, 'causality' AS category, '{kind}' AS type, CAST(a.event_id AS VARCHAR) AS subject, 'asleep' AS detail FROM asked a WHERE NOT EXISTS (SELECT 1 FROM state s WHERE {met})"
-    out["precondition_violated_base"] = f + _finding("causality", "precondition_violated", "e.event_id", "'asleep'", "FROM e WHERE FALSE").format(s="e")
+        out[f"precondition_not_met_{r}"] = f + HOLDS.format(op=op) + f"SELECT DISTINCT a.story_id, 'causality' AS category, '{kind}' AS type, CAST(a.event_id AS VARCHAR) AS subject, 'asleep' AS detail FROM asked a WHERE {ask} AND NOT EXISTS (SELECT 1 FROM state s WHERE {met})"
+    violated = f"SELECT DISTINCT a.story_id, 'causality' AS category, 'precondition_violated' AS type, CAST(a.event_id AS VARCHAR) AS subject, 'asleep' AS detail FROM asked a WHERE a.type = 'travel' AND EXISTS (SELECT 1 FROM state s WHERE {met})"
+    out["precondition_violated_base"] = f + HOLDS.format(op="<=") + violated
+    moved = "EXISTS (SELECT 1 FROM persons p WHERE p.story_id = e.story_id AND p.agent = e.patient)"
+    for r in ("general", "narrative"):
+        out[f"proximity_required_{r}"] = f + _finding("location", "proximity_required", "e.event_id", "e.patient", f"FROM e WHERE e.event_type = 'error' AND e.k % 4 = 1 AND e.k % 6 <> 1 AND {moved}").format(s="e")
+    for r in rules.LATER:
+        out[f"circular_time_{r}"] = MONTHS + EDGES.format(more=BACK) + "SELECT DISTINCT a.story_id, 'temporal' AS category, 'circular_time' AS type, CAST(a.t1 AS VARCHAR) AS subject, CAST(a.t2 AS VARCHAR) AS detail FROM p a JOIN p b ON a.story_id = b.story_id AND a.t1 = b.t2 AND a.t2 = b.t1"
     for r in K.RULESETS:
         parts = []
         for name, (_, sets) in rules.RULES.items():
@@ -255,11 +306,13 @@ def oracle_sql() -> dict[str, str]:
                 continue
             if name == "precondition_not_met":
                 parts.append("SELECT * FROM unmet")
+            elif name == "precondition_violated":
+                parts.append("SELECT * FROM violated")
             elif (body := rule_sql(name, r)) is not None:
                 parts.append(body)
         unmet = ""
         if r in ("base", "v2"):
-            unmet = HOLDS.format(op="<=" if r == "base" else "=").rstrip() + f", unmet AS (SELECT DISTINCT a.story_id, 'causality' AS category, '{'missing_precondition' if r == 'v2' else 'precondition_not_met'}' AS type, CAST(a.event_id AS VARCHAR) AS subject, 'asleep' AS detail FROM asked a WHERE NOT EXISTS (SELECT 1 FROM state s WHERE {met}))\n"
+            unmet = HOLDS.format(op="<=" if r == "base" else "=").rstrip() + f", unmet AS (SELECT DISTINCT a.story_id, 'causality' AS category, '{'missing_precondition' if r == 'v2' else 'precondition_not_met'}' AS type, CAST(a.event_id AS VARCHAR) AS subject, 'asleep' AS detail FROM asked a WHERE {ask} AND NOT EXISTS (SELECT 1 FROM state s WHERE {met}))" + (f", violated AS ({violated})\n" if r == "base" else "\n")
         out[f"violations_{r}"] = f + unmet + f"SELECT DISTINCT '{r}' AS ruleset, * FROM (" + " UNION ALL ".join(x for x in parts if x) + ")"
     pair = "SELECT a.story_id, a.event_id AS e1, b.event_id AS e2 FROM e a JOIN e b ON a.story_id = b.story_id AND a.agent = b.agent AND a.event_id <> b.event_id AND "
     effects = lambda verbs: f"SELECT DISTINCT story_id, CASE WHEN type IN ('open', 'close') THEN 'open' WHEN type IN ('lock', 'unlock') THEN 'locked' ELSE 'asleep' END AS pred, CASE WHEN type IN ('sleep', 'wake') THEN agent ELSE patient END AS arg, t_end AS t FROM e WHERE type IN {_in(verbs)}"
@@ -276,10 +329,21 @@ def oracle_sql() -> dict[str, str]:
         "before_graph": MONTHS + EDGES.format(more="") + "SELECT * FROM p",
         "circular_time": MONTHS + EDGES.format(more=BACK) + "SELECT DISTINCT a.* FROM p a JOIN p b ON a.story_id = b.story_id AND a.t1 = b.t2 AND a.t2 = b.t1",
         "role_arg": f + "SELECT DISTINCT story_id, event_id, 'agent' AS role, agent AS arg FROM e UNION SELECT story_id, event_id, 'patient', patient FROM e",
-        "holds_at_interval": h + f"SELECT DISTINCT e.story_id, 'tired' AS pred, agent AS arg, p.t FROM e JOIN ({points}) p ON p.story_id = e.story_id AND p.t BETWEEN e.t_start AND e.t_end WHERE type = 'sleep'",
+        "holds_at_interval": h + f"SELECT DISTINCT e.story_id, 'tired' AS pred, agent AS arg, p.t FROM e JOIN ({points}) p ON p.story_id = e.story_id AND p.t BETWEEN e.t_start AND e.t_end WHERE type = 'sleep' UNION SELECT DISTINCT story_id, pred, arg, t_start FROM stated WHERE pred = 'open'",
         "effect_positive": f + effects(["open", "lock", "sleep"]),
         "effect_negative": f + effects(["close", "unlock", "wake"]),
-        "fluent_caused": f + effects(["open", "lock", "sleep"]),
+        "fluent_caused": f + "SELECT DISTINCT s.story_id, s.pred, s.arg, s.t_start AS t FROM stated s JOIN brought b ON b.pos AND b.story_id = s.story_id AND b.pred = s.pred AND b.arg = s.arg AND b.t = s.t_start",
+        "holds_at_acts": f + "SELECT * FROM (SELECT DISTINCT story_id, pred, arg, t FROM (SELECT story_id, agent AS arg, t_start AS t FROM e UNION SELECT story_id, patient, t_start FROM e), (VALUES ('open'), ('locked'), ('asleep'), ('tired')) v(pred)) a WHERE EXISTS (SELECT 1 FROM stated s WHERE s.story_id = a.story_id AND s.pred = a.pred AND s.arg = a.arg AND a.t BETWEEN s.t_start AND s.t_end) OR EXISTS (SELECT 1 FROM brought b WHERE b.pos AND b.story_id = a.story_id AND b.pred = a.pred AND b.arg = a.arg AND b.t = a.t) OR (NOT EXISTS (SELECT 1 FROM brought b WHERE NOT b.pos AND b.story_id = a.story_id AND b.pred = a.pred AND b.arg = a.arg AND b.t = a.t) AND (EXISTS (SELECT 1 FROM stated s WHERE s.story_id = a.story_id AND s.pred = a.pred AND s.arg = a.arg AND s.t_start < a.t) OR EXISTS (SELECT 1 FROM brought b WHERE b.pos AND b.story_id = a.story_id AND b.pred = a.pred AND b.arg = a.arg AND b.t < a.t)))",
+        "introduced_narrative": f + "SELECT story_id, agent AS id FROM persons UNION SELECT story_id, id FROM objects UNION SELECT story_id, 'x1' FROM stories",
+        "used_v2": f + "SELECT story_id, agent AS id FROM e UNION SELECT story_id, patient FROM e UNION SELECT story_id, 'o' || (k + 1) FROM e WHERE event_type = 'view' AND k % 4 = 1",
+        "edible_narrative": f + f"SELECT story_id, id FROM objects WHERE obj_type NOT IN {_in(K.NON_EDIBLE['narrative'])} OR obj_type IN {_in(K.EDIBLE['narrative'])} OR (obj_type = 'tool' AND CAST(substr(id, 2) AS INTEGER) % 14 = 4)",
+        "edible_v2": f + f"SELECT story_id, id FROM objects WHERE (obj_type NOT IN {_in(K.NON_EDIBLE['v2'])} AND CAST(substr(id, 2) AS INTEGER) % 5 <> 2) OR obj_type IN {_in(K.EDIBLE['v2'])}",
+        "possession": f + "SELECT DISTINCT story_id, agent, patient AS object, t_end AS t, CASE type WHEN 'take' THEN 1 ELSE 0 END AS has FROM e WHERE type IN ('take', 'give')",
+        "possession_documented": f + _finding("coherence", "possession", "e.event_id", "e.patient", "FROM e WHERE e.type = 'give' AND coalesce((SELECT max(CASE c.type WHEN 'take' THEN 1 ELSE 0 END) FROM e c WHERE c.type IN ('take', 'give') AND c.story_id = e.story_id AND c.agent = e.agent AND c.patient = e.patient AND c.t_end = (SELECT max(l.t_end) FROM e l WHERE l.type IN ('take', 'give') AND l.story_id = e.story_id AND l.agent = e.agent AND l.patient = e.patient AND l.t_end <= e.t_start)), 0) = 0").format(s="e"),
+        "dead_agent_documented": h + _finding("coherence", "dead_agent", "e.event_id", "e.agent", "FROM e WHERE e.type <> 'die' AND EXISTS (SELECT 1 FROM e k WHERE k.story_id = e.story_id AND k.t_end <= e.t_start AND ((k.type = 'die' AND k.agent = e.agent) OR (k.type = 'kill' AND k.patient = e.agent)))").format(s="e"),
+        "focus_overlap_documented": h + _finding("coherence", "focus_overlap", "a.event_id", "b.event_id", f"FROM e a JOIN e b ON a.story_id = b.story_id AND a.agent = b.agent AND a.event_id < b.event_id AND a.type = 'read' AND b.type = 'read' AND {OVERLAP}").format(s="a"),
+        "pacifist_documented": f + _finding("coherence", "pacifist", "e.event_id", "NULL", "FROM e WHERE e.type IN ('attack', 'kill') AND e.user_id % 6 = 0").format(s="e"),
+        "caused_narrative": f + "SELECT story_id, min(event_id) AS event_id FROM e GROUP BY story_id UNION SELECT story_id, event_id FROM e x WHERE k % 9 = 4 OR EXISTS (SELECT 1 FROM e c WHERE c.story_id = x.story_id AND c.agent = x.agent AND c.event_type = 'click' AND (c.t_start < x.t_start OR (c.t_start = x.t_start AND c.event_id < x.event_id)))",
         "requires": f + "SELECT DISTINCT story_id, event_id, 'asleep' AS pred, agent AS arg, t_start AS t FROM e WHERE type = 'wake'",
         "has_after": f + f"SELECT DISTINCT story_id, agent, patient AS object, t_end AS t FROM e WHERE type IN {_in(K.ACQUIRING)}",
         "at_during": f + "SELECT story_id, agent AS entity, location, event_id FROM e UNION SELECT e.story_id, patient, location, event_id FROM e JOIN persons p ON p.story_id = e.story_id AND p.agent = e.patient",

@@ -11,7 +11,10 @@ from fableguard.functions import symbols
 from fableguard.functions.knowledge import CATEGORIES
 from fableguard.operators import errors as E
 from fableguard.operators import evaluate as V
+from fableguard.operators import rules
 from fableguard.plans.adapters import _pick, _values, events_as_story, facts_sql, narrated, table
+from fableguard.plans.rule_queries import rule_sql
+from fableguard.sources import stories
 
 Query = Callable[[SparkSession, str], DataFrame]
 KINDS = ["ubiquity", "chekhov_gun", "dead_agent", "harm_loved", "negative_duration", "effect_without_cause", "focus_overlap"]
@@ -22,25 +25,24 @@ KS = [1, 2, 3, 7, 25]
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("book"), F.col("doc_id").alias("chapter"), F.when(F.col("doc_id") % 2 == 0, "original").otherwise("modified").alias("variant"), "text", "n_chars")
+    return d.select(F.col("source").alias("book"), F.col("doc_id").alias("chapter"), F.when(F.floor(F.col("doc_id") / 20) % 2 == 0, "original").otherwise("modified").alias("variant"), "text", "n_chars")
 
 
-def errors(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Chapters as error records; their description is the start of the text, or the whole text."""
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters as error records; their description is the whole text."""
     c = chapters(spark, sf_dir)
-    description = F.col("text") if whole else F.substring("text", 1, 200)
     raw = _pick(F.col("n_chars"), RAW_CATEGORIES)
     return c.select(
         "book", "chapter", "variant", F.col("chapter").cast("string").alias("story_id"), F.when(F.col("chapter") % 3 == 0, "logic").otherwise("llm").alias("source"), raw.alias("raw_category"),
-        F.when(raw == "plot", "coherence").otherwise(raw).alias("category"), _pick(F.col("n_chars"), KINDS).alias("type"), description.alias("description"), _pick(F.col("n_chars"), SEVERITIES).alias("severity"),
+        F.when(raw == "plot", "coherence").otherwise(raw).alias("category"), _pick(F.col("n_chars"), KINDS).alias("type"), F.col("text").alias("description"), _pick(F.col("n_chars"), SEVERITIES).alias("severity"),
     ).withColumn("sig", F.substring(F.md5(F.concat_ws(":", F.col("raw_category"), F.lower(F.substring("description", 1, 200))).cast("binary")), 1, 16))
 
 
 ERRORS = f"""
-WITH RECURSIVE c AS (SELECT source AS book, doc_id AS chapter, CASE WHEN doc_id % 2 = 0 THEN 'original' ELSE 'modified' END AS variant, text, n_chars FROM documents),
+WITH RECURSIVE c AS (SELECT source AS book, doc_id AS chapter, CASE WHEN (doc_id // 20) % 2 = 0 THEN 'original' ELSE 'modified' END AS variant, text, n_chars FROM documents),
 x0 AS (SELECT book, chapter, variant, CAST(chapter AS VARCHAR) AS story_id, CASE WHEN chapter % 3 = 0 THEN 'logic' ELSE 'llm' END AS source, {_values("n_chars", RAW_CATEGORIES)} AS raw_category,
-  {_values("n_chars", KINDS)} AS type, substring(text, 1, 200) AS description, {_values("n_chars", SEVERITIES)} AS severity, text FROM c),
-x AS (SELECT *, CASE raw_category WHEN 'plot' THEN 'coherence' ELSE raw_category END AS category, substring(md5(raw_category || ':' || lower(description)), 1, 16) AS sig FROM x0),
+  {_values("n_chars", KINDS)} AS type, text AS description, {_values("n_chars", SEVERITIES)} AS severity, text FROM c),
+x AS (SELECT *, CASE raw_category WHEN 'plot' THEN 'coherence' ELSE raw_category END AS category, substring(md5(raw_category || ':' || lower(substring(description, 1, 200))), 1, 16) AS sig FROM x0),
 books AS (SELECT book, row_number() OVER (ORDER BY book) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT book FROM c)),
 ks AS (SELECT unnest({KS}) AS k)
 """
@@ -115,6 +117,45 @@ def _chapter_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("book", "chapter", F.when(F.col("n") >= k, F.least(F.floor((F.col("rn") - 1) / F.floor(F.col("n") / k)), F.lit(k - 1))).otherwise(F.col("rn") - 1).cast("int").alias("fold"))
 
 
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = errors(spark, sf_dir).withColumn("story_id", F.concat_ws("/", "book", (F.col("chapter") % 500).cast("string")))
+    return V.corpus_summary(e.where("severity = 'odd'"), e)
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return narrated(spark, sf_dir).withColumn("description", F.concat("agent", F.lit(" did "), "type"))
+
+
+def _looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the references lead nowhere."""
+    told = _told(spark, sf_dir)
+    refs = told.select("story_id", F.when(F.col("k") % 3 == 0, F.col("event_id")).otherwise(F.col("event_id") + 10_000_000).alias("event_id"))
+    return E.event_lookup(refs, told)
+
+
+#: Rules whose findings become error records in the queries.
+FOUND = ("dead_agent", "ubiquity")
+ENTITIES = ["no_such_thing", "the", "que", "de_la", "a"]
+
+
+def _found(spark: SparkSession, sf_dir: str, ruleset: str = "general") -> DataFrame:
+    """Findings as error records; those of base are read without their category."""
+    findings = rules.check(events_as_story(spark, sf_dir), ruleset, list(FOUND))
+    return E.violation_to_error(findings, "type" if ruleset == "base" else "category")
+
+
+def _found_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of odd days whose signature (category, type, whom or what they are about) no even day has."""
+    e = _found(spark, sf_dir).withColumn("sig", E.signature_md5(F.col("category"), F.col("type"), F.col("detail")))
+    base = F.dayofmonth(F.col("story_id").cast("date")) % 2 == 0
+    return V.true_positives(e.where(~base), e.where(base), ["sig"]).select("story_id", "id", "sig")
+
+
+def _event_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fragments = _told(spark, sf_dir).select("story_id", "event_id", F.col("description").alias("fragment"))
+    return E.fragments_by_event(_found(spark, sf_dir), fragments).select("story_id", "id", F.concat_ws("//", "fragments").alias("fragments"))
+
+
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = narrated(spark, sf_dir).where("type in ('die', 'kill', 'trust')")
     return e.select("event_id", E.describe(F.lit("checked"), F.col("type"), F.col("agent"), F.when(F.col("k") % 2 == 0, F.col("patient")), F.col("location")).alias("description"))
@@ -133,8 +174,8 @@ def queries() -> dict[str, Query]:
         "chapter_title": lambda s, d: c(s, d).select("chapter", F.coalesce(F.nullif(F.split(F.expr(text), "\n")[0], F.lit("")), F.concat_ws("-", "book", "chapter")).alias("title")),
         "story_id_from_file": lambda s, d: c(s, d).select("chapter", F.regexp_extract(F.concat(F.col("book"), F.lit("_Chapter_"), F.lpad(F.col("chapter").cast("string"), 9, "0"), F.lit(".json")), "^(.*)_Chapter_([0-9]+)\\.json$", 1).alias("book"), F.regexp_extract(F.concat(F.col("book"), F.lit("_Chapter_"), F.lpad(F.col("chapter").cast("string"), 9, "0"), F.lit(".json")), "_Chapter_([0-9]+)", 1).cast("long").alias("number")),
         "corpus_pair": _pairs, "top_n_chapters": _top(3), "pilot_chapters": _top(1),
-        "sanitize_symbol": lambda s, d: c(s, d).select("chapter", symbols.sanitize_symbol(F.substring("text", 1, 40)).alias("symbol")),
-        "sanitize_symbol_short": lambda s, d: c(s, d).select("chapter", symbols.sanitize_symbol_short(F.substring("text", 5, 70)).alias("symbol")),
+        "sanitize_symbol": lambda s, d: c(s, d).select("chapter", symbols.sanitize_symbol(F.col("text")).alias("symbol")),
+        "sanitize_symbol_short": lambda s, d: c(s, d).select("chapter", symbols.sanitize_symbol_short(F.col("text")).alias("symbol")),
         "sanitize_list": lambda s, d: c(s, d).select("chapter", symbols.sanitize_list(F.split("text", " ")).alias("symbol")),
         "parse_term": lambda s, d: narrated(s, d).select("event_id", symbols.parse_term(F.when(F.col("k") % 2 == 0, F.concat_ws("", F.lit("not("), "type", F.lit("("), "agent", F.lit(", "), "patient", F.lit("))"))).otherwise(F.concat_ws("", "type", F.lit("("), "agent", F.lit(")")))).alias("t")).select("event_id", "t.negated", "t.functor", F.concat_ws("+", "t.args").alias("args")),
         "role_from_var": lambda s, d: narrated(s, d).select("event_id", symbols.role_from_var(_pick(F.col("k"), ["A", "B", "C", "Z"]), F.array(*map(F.lit, "ABC"))).alias("role")),
@@ -160,7 +201,7 @@ def queries() -> dict[str, Query]:
         "category_source_matrix": lambda s, d: V.category_source_matrix(e(s, d)), "category_winner": lambda s, d: V.category_winner(V.category_source_matrix(e(s, d))),
         "type_distribution": lambda s, d: e(s, d).groupBy("category", "type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category", "type"), "order_by_count": lambda s, d: e(s, d).groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type"),
         "type_samples": lambda s, d: e(s, d).groupBy("type").agg(F.count("*").alias("n"), F.min_by("description", "chapter").alias("sample")),
-        "story_summary": lambda s, d: V.story_summary(e(s, d), ["book", "variant"]), "corpus_summary": lambda s, d: V.corpus_summary(e(s, d).withColumn("story_id", F.concat_ws("/", "book", (F.col("chapter") % 50).cast("string")))),
+        "story_summary": lambda s, d: V.story_summary(e(s, d), ["book", "variant"]), "corpus_summary": _summary,
         "rollup_report": lambda s, d: V.rollup_report(e(s, d)), "batch_status": lambda s, d: c(s, d).agg(F.count("*").alias("total"), F.sum(F.when(F.col("n_chars") >= 500, 1).otherwise(0)).alias("successful"), F.sum(F.when(F.col("n_chars") < 500, 1).otherwise(0)).alias("failed")),
         "chapter_status": lambda s, d: e(s, d).groupBy("book", "variant").agg(F.count(F.when(F.col("source") == "llm", 1)).alias("llm"), F.count(F.when(F.col("source") == "logic", 1)).alias("logic"), F.count(F.when(F.col("raw_category") == "plot", 1)).alias("other")).withColumn("success", F.col("llm") > 0),
         "top_n_errors": lambda s, d: e(s, d).select("book", "chapter", F.row_number().over(Window.partitionBy("book").orderBy("chapter")).alias("rn")).where("rn <= 3"), "error_numbering": lambda s, d: e(s, d).select("chapter", F.concat(F.lit("logic_"), F.row_number().over(Window.partitionBy("book").orderBy("chapter")).cast("string")).alias("id")),
@@ -171,7 +212,9 @@ def queries() -> dict[str, Query]:
         "sanitize_json": lambda s, d: responses(s, d).select("conv_id", "turn", E.parse_lint(F.concat(F.lit('{"errors": [{"description": "a\n\tb '), "plain", F.lit('"}]}')))["errors"][0]["description"].alias("description")),
         "normalize_lint": lambda s, d: E.explode_errors(_parsed(s, d), ["conv_id", "turn"]).select("conv_id", "turn", "category", "severity"), "explode_errors": lambda s, d: E.explode_errors(_parsed(s, d), ["conv_id", "turn"]).select("conv_id", "turn", "n", "id", "type"), "extract_errors": lambda s, d: E.explode_errors(_parsed(s, d), ["conv_id", "turn"]).select("conv_id", "turn", "description", "fragment"),
         "error_description": _described, "fragment_by_term": _fragments,
-        "event_lookup": lambda s, d: narrated(s, d).select("story_id", "event_id", F.when(F.col("k") % 3 == 0, F.col("type")).alias("type")).select("story_id", "event_id", F.coalesce("type", F.lit("unknown")).alias("type")),
+        "event_lookup": _looked_up, "violation_to_error": lambda s, d: _found(s, d), "violation_to_error_base": lambda s, d: _found(s, d, "base"), "finding_true_positives": lambda s, d: _found_split(s, d),
+        "fragment_by_event": _event_fragments, "chunked_stories": lambda s, d: stories.chunked(c(s, d), "chapter", "text").select("chapter", "chunk", F.md5(F.col("text").cast("binary")).alias("text_md5")),
+        "fragment_by_entity": lambda s, d: c(s, d).select("chapter", F.md5(F.concat_ws("//", E.fragments_by_entity(F.col("text"), F.array(*map(F.lit, ENTITIES)))).cast("binary")).alias("fragments_md5")),
         "fragment_by_quote": lambda s, d: c(s, d).select("chapter", F.concat_ws("//", E.fragments_by_quote(F.concat(F.lit("says 'the' and \""), F.substring("text", 3, 6), F.lit("\"")), F.col("text"), 20)).alias("fragments")),
         "fragment_by_sentence": lambda s, d: E.fragments_by_sentence(c(s, d), "chapter", "text", c(s, d).select("chapter", F.explode(F.array(F.lit("the"), F.lit("que"))).alias("word"))).select("chapter", "word", "at"),
     }
@@ -180,7 +223,7 @@ def queries() -> dict[str, Query]:
 
 def _whole_queries() -> dict[str, Query]:
     """The operators that see only the start of a text in the queries above, on whole texts; long results as digests."""
-    e, c = lambda s, d: errors(s, d, whole=True), chapters
+    e, c = errors, chapters
     digest = lambda x: F.md5(x.cast("binary"))
     sig = lambda f, *cols: lambda s, d: e(s, d).select("chapter", f(*map(F.col, cols)).alias("sig"))
     return {
@@ -214,7 +257,13 @@ def oracle_sql() -> dict[str, str]:
     valid = "raw_category IN (" + ", ".join(f"'{c}'" for c in CATEGORIES) + ")"
     exact = "CASE " + " ".join(f"WHEN type IN ({', '.join(repr(k) for k in ks)}) THEN '{c}'" for c, ks in E.EXACT.items()) + " ELSE 'coherence' END"
     x, r, f = ERRORS, RESPONSES, facts_sql()
-    w = x.replace("substring(text, 1, 200) AS description", "text AS description")
+    numbered = ", er AS (SELECT story_id, 'logic_' || row_number() OVER (PARTITION BY story_id ORDER BY type, event, detail) AS id, category, type, event, detail, 'Violation: ' || type || ' at event ' || event || CASE WHEN detail <> '' THEN ' (' || detail || ')' ELSE '' END AS description FROM fi) "
+    all_of = lambda r: " UNION ALL ".join(rule_sql(n, r) for n in FOUND)
+    found = f", fi AS (SELECT story_id, category, type, subject AS event, detail FROM ({all_of('general')}))" + numbered
+    found_base = f", fi AS (SELECT story_id, {_when('type', E.SUBSTRINGS)} AS category, type, subject AS event, coalesce(detail, '') AS detail FROM ({all_of('base')}))" + numbered
+    at, size = "strpos(lower(text), lower(replace(x, '_', ' ')))", "length(text)"
+    low, high = f"greatest(1, {at} - 250)", f"least({size} + 1, {at} + length(x) + 250)"
+    around = f"CASE WHEN {at} > 0 THEN CASE WHEN {low} > 1 THEN '...' ELSE '' END || regexp_replace(substring(text, {low}, {high} - {low}), '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g') || CASE WHEN {high} <= {size} THEN '...' ELSE '' END END"
     evaluated = _folds("contiguous") + ", known AS (SELECT DISTINCT k, fold, source, sig FROM folds JOIN x USING (book) WHERE role = 'train' AND variant = 'original'), ev AS (SELECT k, fold, source, count(*) FILTER (WHERE NOT hit) AS true_positives, count(*) FILTER (WHERE hit) AS filtered FROM (SELECT f.k, f.fold, x.source, EXISTS (SELECT 1 FROM known n WHERE n.k = f.k AND n.fold = f.fold AND n.source = x.source AND n.sig = x.sig) AS hit FROM folds f JOIN x USING (book) WHERE role = 'test' AND variant = 'modified') GROUP BY ALL) "
     number = "row_number() OVER (PARTITION BY book ORDER BY chapter)"
     cat = "(VALUES " + ", ".join(f"('{c}')" for c in CATEGORIES) + ") v(category)"
@@ -227,8 +276,8 @@ def oracle_sql() -> dict[str, str]:
         "corpus_pair": x + ", o AS (SELECT book, variant, chapter, row_number() OVER (PARTITION BY book, variant ORDER BY chapter) AS rn FROM c) SELECT a.book, a.chapter AS original, b.chapter AS modified FROM o a JOIN o b ON a.book = b.book AND a.rn = b.rn AND a.variant = 'original' AND b.variant = 'modified'",
         "top_n_chapters": x + f"SELECT book, chapter, rn FROM (SELECT book, chapter, CAST({number} AS INTEGER) AS rn FROM c) WHERE rn <= 3",
         "pilot_chapters": x + f"SELECT book, chapter, rn FROM (SELECT book, chapter, CAST({number} AS INTEGER) AS rn FROM c) WHERE rn <= 1",
-        "sanitize_symbol": f"SELECT doc_id AS chapter, {symbol('substring(text, 1, 40)')} AS symbol FROM documents",
-        "sanitize_symbol_short": "SELECT chapter, substring(CASE WHEN regexp_matches(s, '^[0-9]') THEN 'x' || s ELSE s END, 1, 50) AS symbol FROM (SELECT doc_id AS chapter, regexp_replace(lower(substring(text, 5, 70)), '[^a-z0-9_]', '_', 'g') AS s FROM documents)",
+        "sanitize_symbol": f"SELECT doc_id AS chapter, {symbol('text')} AS symbol FROM documents",
+        "sanitize_symbol_short": "SELECT chapter, substring(CASE WHEN regexp_matches(s, '^[0-9]') THEN 'x' || s ELSE s END, 1, 50) AS symbol FROM (SELECT doc_id AS chapter, regexp_replace(lower(text), '[^a-z0-9_]', '_', 'g') AS s FROM documents)",
         "parse_term": f + "SELECT event_id, k % 2 = 0 AS negated, type AS functor, CASE WHEN k % 2 = 0 THEN agent || '+' || patient ELSE agent END AS args FROM e",
         "role_from_var": f + "SELECT event_id, CASE k % 4 WHEN 0 THEN 'agent' WHEN 1 THEN 'patient' WHEN 2 THEN 'arg3' ELSE 'unknown' END AS role FROM e",
         "fact_quote": "SELECT doc_id AS chapter, md5(substring(replace(replace(text, chr(10), ' '), '\"', chr(92) || '\"'), 1, 500)) AS quote_md5 FROM documents",
@@ -265,7 +314,7 @@ def oracle_sql() -> dict[str, str]:
         "type_distribution": x + "SELECT category, type, count(*) AS n FROM x GROUP BY ALL", "order_by_count": x + "SELECT type, count(*) AS n FROM x GROUP BY ALL",
         "type_samples": x + "SELECT type, count(*) AS n, arg_min(description, chapter) AS sample FROM x GROUP BY type",
         "story_summary": x + "SELECT book, variant, count(*) FILTER (WHERE source = 'llm') AS llm, count(*) FILTER (WHERE source = 'logic') AS logic, count(*) AS total FROM x GROUP BY ALL",
-        "corpus_summary": x + ", st AS (SELECT book || '/' || (chapter % 50) AS s, count(*) AS n FROM x GROUP BY ALL) SELECT count(*) AS stories, CAST(sum(n) AS BIGINT) AS errors, round(avg(n), 6) AS mean, count(*) FILTER (WHERE n > 1) AS with_many, (SELECT count(DISTINCT sig) FROM x) AS signatures, (SELECT count(DISTINCT book) FROM x) AS books FROM st",
+        "corpus_summary": x + ", st AS (SELECT book || '/' || (chapter % 500) AS s, count(*) FILTER (WHERE severity = 'odd') AS n FROM x GROUP BY ALL) SELECT count(*) AS stories, CAST(sum(n) AS BIGINT) AS errors, round(avg(n), 6) AS mean, count(*) FILTER (WHERE n >= 1) AS with_errors, (SELECT count(DISTINCT sig) FROM x WHERE severity = 'odd') AS signatures, (SELECT count(DISTINCT book) FROM x WHERE severity = 'odd') AS books FROM st",
         "rollup_report": x + "SELECT category, source, book, count(*) AS n, CAST(grouping_id(category, source, book) AS BIGINT) AS level FROM x GROUP BY ROLLUP (category, source, book)",
         "batch_status": "SELECT count(*) AS total, count(*) FILTER (WHERE n_chars >= 500) AS successful, count(*) FILTER (WHERE n_chars < 500) AS failed FROM documents",
         "chapter_status": x + "SELECT book, variant, count(*) FILTER (WHERE source = 'llm') AS llm, count(*) FILTER (WHERE source = 'logic') AS logic, count(*) FILTER (WHERE raw_category = 'plot') AS other, count(*) FILTER (WHERE source = 'llm') > 0 AS success FROM x GROUP BY ALL",
@@ -284,10 +333,16 @@ def oracle_sql() -> dict[str, str]:
         "error_description": f + "SELECT event_id, 'Violation: checked | Event type: ' || type || ' | Agent: ' || agent || CASE WHEN k % 2 = 0 THEN ' | Patient: ' || patient ELSE '' END || ' | Detail: ' || location AS description FROM e WHERE type IN ('die', 'kill', 'trust')",
         "sanitize_symbol_whole": f"SELECT doc_id AS chapter, md5({symbol('text')}) AS symbol_md5 FROM documents",
         "sanitize_symbol_short_whole": "SELECT chapter, substring(CASE WHEN regexp_matches(s, '^[0-9]') THEN 'x' || s ELSE s END, 1, 50) AS symbol FROM (SELECT doc_id AS chapter, regexp_replace(lower(text), '[^a-z0-9_]', '_', 'g') AS s FROM documents)",
-        "signature_normalized_whole": w + f"SELECT chapter, CASE WHEN {valid} THEN raw_category ELSE {pick} END || '|' || type || '|' || substring(trim(regexp_replace(regexp_replace(lower(description), '\\b(e[0-9]+|t[0-9]+)\\b', 'EID', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 100) AS sig FROM ({scored})",
-        "signature_words_whole": w + "SELECT chapter, category || ':' || array_to_string(list_sort(list_distinct(list_slice(regexp_extract_all(lower(description), '[0-9a-z_]{4,}'), 1, 5))), ':') AS sig FROM x",
-        "signature_quoted_whole": w + "SELECT chapter, category || ':' || array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(lower(replace(description, ' ', '''')), '''([^'']+)''', 1))), 1, 3), ':') AS sig FROM x",
-        "classify_by_score_whole": w + f"SELECT chapter, {pick} AS category FROM ({scored})",
-        "type_samples_whole": w + "SELECT type, count(*) AS n, md5(arg_min(description, chapter)) AS sample_md5 FROM x GROUP BY type",
-        "event_lookup": f + "SELECT story_id, event_id, CASE WHEN k % 3 = 0 THEN type ELSE 'unknown' END AS type FROM e",
+        "signature_normalized_whole": x + f"SELECT chapter, CASE WHEN {valid} THEN raw_category ELSE {pick} END || '|' || type || '|' || substring(trim(regexp_replace(regexp_replace(lower(description), '\\b(e[0-9]+|t[0-9]+)\\b', 'EID', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 100) AS sig FROM ({scored})",
+        "signature_words_whole": x + "SELECT chapter, category || ':' || array_to_string(list_sort(list_distinct(list_slice(regexp_extract_all(lower(description), '[0-9a-z_]{4,}'), 1, 5))), ':') AS sig FROM x",
+        "signature_quoted_whole": x + "SELECT chapter, category || ':' || array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(lower(replace(description, ' ', '''')), '''([^'']+)''', 1))), 1, 3), ':') AS sig FROM x",
+        "classify_by_score_whole": x + f"SELECT chapter, {pick} AS category FROM ({scored})",
+        "type_samples_whole": x + "SELECT type, count(*) AS n, md5(arg_min(description, chapter)) AS sample_md5 FROM x GROUP BY type",
+        "event_lookup": f + "SELECT r.story_id, r.event_id, coalesce(e.type, 'unknown') AS type, coalesce(e.agent, 'unknown') AS agent, coalesce(e.patient, 'unknown') AS patient, coalesce(e.agent || ' did ' || e.type, 'unknown') AS description FROM (SELECT story_id, CASE WHEN k % 3 = 0 THEN event_id ELSE event_id + 10000000 END AS event_id FROM e) r LEFT JOIN e ON e.story_id = r.story_id AND e.event_id = r.event_id",
+        "violation_to_error": f + found + "SELECT story_id, id, 'logic' AS source, category, type, event, detail, description FROM er",
+        "violation_to_error_base": f + found_base + "SELECT story_id, id, 'logic' AS source, category, type, event, detail, description FROM er",
+        "finding_true_positives": f + found + ", si AS (SELECT *, substring(md5(category || ':' || type || ':' || lower(detail)), 1, 16) AS sig, day(CAST(story_id AS DATE)) % 2 = 0 AS base FROM er) SELECT story_id, id, sig FROM si t WHERE NOT base AND NOT EXISTS (SELECT 1 FROM si b WHERE b.base AND b.sig = t.sig)",
+        "fragment_by_event": f + found + "SELECT er.story_id, er.id, coalesce(a.agent || ' did ' || a.type, '') || coalesce('//' || b.agent || ' did ' || b.type, '') AS fragments FROM er LEFT JOIN e a ON a.story_id = er.story_id AND CAST(a.event_id AS VARCHAR) = er.event LEFT JOIN e b ON b.story_id = er.story_id AND CAST(b.event_id AS VARCHAR) = er.detail",
+        "chunked_stories": "SELECT doc_id AS chapter, CAST(n AS INTEGER) AS chunk, md5(array_to_string(l[n * 50 + 1 : n * 50 + 50], chr(10))) AS text_md5 FROM (SELECT doc_id, l, unnest(range(0, (len(l) - 1) // 50 + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
+        "fragment_by_entity": f"SELECT doc_id AS chapter, md5(array_to_string(list_slice(list_filter(list_transform({ENTITIES}, lambda x: {around}), lambda y: y IS NOT NULL), 1, 3), '//')) AS fragments_md5 FROM documents",
     }

@@ -35,9 +35,29 @@ def corpus_scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flat_story_scan(spark: SparkSession, path: str) -> DataFrame:
-    """title, text of a flat folder of text files."""
-    files = spark.read.text(f"{path}/*.txt", wholetext=True)
-    return files.select(stem(F.col("_metadata.file_path")).alias("title"), F.col("value").alias("text"))
+    """title, text of a flat folder of text files; bytes that don't decode are replaced."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    return files.select(stem(F.col("path")).alias("title"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, lines: int = 50) -> DataFrame:
+    """id, chunk, text: every text in chunks of so many lines. A null text has none, an empty one a single empty chunk."""
+    split = F.split(F.col(text_col), "\n", -1)
+    n = F.floor((F.size("lines") - 1) / lines).cast("int")
+    parts = docs.select(id_col, split.alias("lines")).where("lines is not null").select(id_col, "lines", F.explode(F.sequence(F.lit(0), n)).alias("chunk"))
+    return parts.select(id_col, "chunk", F.array_join(F.slice("lines", F.col("chunk") * lines + 1, F.lit(lines)), "\n").alias("text"))
+
+
+def call_log_scan(spark: SparkSession, path: str) -> DataFrame:
+    """type, model, duration, prompt_length, response_length, status, prompt, response of a log of model calls in JSON lines."""
+    schema = "type STRING, model STRING, duration DOUBLE, prompt_length LONG, response_length LONG, status STRING, prompt STRING, response STRING"
+    rows = spark.read.schema(schema).json(path)
+    return rows.withColumns({"prompt_length": F.coalesce("prompt_length", F.length("prompt")), "response_length": F.coalesce("response_length", F.length("response")), "status": F.coalesce("status", F.lit("ok"))})
+
+
+def response_table(df: DataFrame, story_id: str, response: str, call_type: str = "lint") -> DataFrame:
+    """story_id, call_type, response of any table that holds model answers."""
+    return df.select(F.col(story_id).cast("string").alias("story_id"), F.lit(call_type).alias("call_type"), F.col(response).alias("response"))
 
 
 def structured_story_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -64,8 +84,10 @@ def result_sink(df: DataFrame, path: str, *by: str, mode: str = "append") -> Non
 
 
 def fact_sink(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """A fact table as Parquet, its stories dealt over a fixed number of folders."""
-    df.withColumn("story_bucket", F.pmod(F.xxhash64("story_id"), F.lit(buckets))).repartition("story_bucket").write.mode("overwrite").partitionBy("story_bucket").parquet(path)
+    """A fact table as Parquet, its stories dealt over a fixed number of folders; tasks are dealt by row, so a hot story is written by many."""
+    dealt = df.withColumn("story_bucket", F.pmod(F.xxhash64("story_id"), F.lit(buckets)))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(8))
+    dealt.repartition("story_bucket", salt).write.mode("overwrite").partitionBy("story_bucket").parquet(path)
 
 
 def summary_sink(df: DataFrame, path: str) -> None:
