@@ -28,8 +28,9 @@ def possession(facts: Facts) -> DataFrame:
     kind = dict(facts.events.dtypes)["event_id"]
     change = fluents.possession(facts).select("story_id", "agent", "object", "t_ord", "has", F.lit(None).cast(kind).alias("event_id"))
     both = change.unionByName(asked.select("story_id", "agent", "object", "t_ord", F.lit(None).cast("int").alias("has"), "event_id")).where("t_ord is not null")
-    # Changes at the very start of an event count; of a gain and a loss at once, the gain.
-    order = Window.partitionBy("story_id", "agent", "object").orderBy("t_ord", F.col("has").isNull(), "has").rowsBetween(Window.unboundedPreceding, -1)
+    # What is gained at the very start of an event is there, what is lost then, by the event itself perhaps, was there.
+    turn = F.when(F.col("has") == 1, 0).when(F.col("has").isNull(), 1).otherwise(2)
+    order = Window.partitionBy("story_id", "agent", "object").orderBy("t_ord", turn).rowsBetween(Window.unboundedPreceding, -1)
     told = both.withColumn("last", F.last("has", ignorenulls=True).over(order)).where("event_id is not null and coalesce(last, 0) = 0")
     return found(told, SET, "coherence", "possession", F.col("event_id"), F.col("object"))
 

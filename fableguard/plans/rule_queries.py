@@ -339,7 +339,7 @@ def oracle_sql() -> dict[str, str]:
         "edible_narrative": f + f"SELECT story_id, id FROM objects WHERE obj_type NOT IN {_in(K.NON_EDIBLE['narrative'])} OR obj_type IN {_in(K.EDIBLE['narrative'])} OR (obj_type = 'tool' AND CAST(substr(id, 2) AS INTEGER) % 14 = 4)",
         "edible_v2": f + f"SELECT story_id, id FROM objects WHERE (obj_type NOT IN {_in(K.NON_EDIBLE['v2'])} AND CAST(substr(id, 2) AS INTEGER) % 5 <> 2) OR obj_type IN {_in(K.EDIBLE['v2'])}",
         "possession": f + "SELECT DISTINCT story_id, agent, patient AS object, t_end AS t, CASE type WHEN 'take' THEN 1 ELSE 0 END AS has FROM e WHERE type IN ('take', 'give')",
-        "possession_documented": f + _finding("coherence", "possession", "e.event_id", "e.patient", "FROM e WHERE e.type = 'give' AND coalesce((SELECT max(CASE c.type WHEN 'take' THEN 1 ELSE 0 END) FROM e c WHERE c.type IN ('take', 'give') AND c.story_id = e.story_id AND c.agent = e.agent AND c.patient = e.patient AND c.t_end = (SELECT max(l.t_end) FROM e l WHERE l.type IN ('take', 'give') AND l.story_id = e.story_id AND l.agent = e.agent AND l.patient = e.patient AND l.t_end <= e.t_start)), 0) = 0").format(s="e"),
+        "possession_documented": f + _finding("coherence", "possession", "e.event_id", "e.patient", "FROM e WHERE e.type = 'give' AND NOT EXISTS (SELECT 1 FROM e g WHERE g.type = 'take' AND g.story_id = e.story_id AND g.agent = e.agent AND g.patient = e.patient AND g.t_end = e.t_start) AND coalesce((SELECT min(CASE c.type WHEN 'take' THEN 1 ELSE 0 END) FROM e c WHERE c.type IN ('take', 'give') AND c.story_id = e.story_id AND c.agent = e.agent AND c.patient = e.patient AND c.t_end = (SELECT max(l.t_end) FROM e l WHERE l.type IN ('take', 'give') AND l.story_id = e.story_id AND l.agent = e.agent AND l.patient = e.patient AND l.t_end < e.t_start)), 0) = 0").format(s="e"),
         "dead_agent_documented": h + _finding("coherence", "dead_agent", "e.event_id", "e.agent", "FROM e WHERE e.type <> 'die' AND EXISTS (SELECT 1 FROM e k WHERE k.story_id = e.story_id AND k.t_end <= e.t_start AND ((k.type = 'die' AND k.agent = e.agent) OR (k.type = 'kill' AND k.patient = e.agent)))").format(s="e"),
         "focus_overlap_documented": h + _finding("coherence", "focus_overlap", "a.event_id", "b.event_id", f"FROM e a JOIN e b ON a.story_id = b.story_id AND a.agent = b.agent AND a.event_id < b.event_id AND a.type = 'read' AND b.type = 'read' AND {OVERLAP}").format(s="a"),
         "pacifist_documented": f + _finding("coherence", "pacifist", "e.event_id", "NULL", "FROM e WHERE e.type IN ('attack', 'kill') AND e.user_id % 6 = 0").format(s="e"),
