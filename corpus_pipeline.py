@@ -65,12 +65,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; a text without words is never taken, a null source is one of its own.
 
-    Rows equal in id and text are taken equally often.
+    Rows equal in id and text are taken equally often. What is taken has about as many rows as docs, so both sides are
+    shuffled, never broadcast, at every size.
     """
     keyed = _keyed(docs).withColumn("row_key", F.xxhash64("row_key"))
     copies = mixing.mix(keyed, id_col="row_key").where("copies > 0").groupBy(F.col("doc_id").alias("row_key"))
     copies = saved(copies.agg(F.max("copies").cast("int").alias("mixed_copies")), "copies")
-    mixed = _apply(keyed, copies, "inner")
+    mixed = _apply(keyed, copies.hint("merge"), "inner")
     return mixed.withColumn("mixed_copy", F.explode(F.array_repeat(F.lit(0), F.col("mixed_copies")))).select(*docs.columns)
 
 
