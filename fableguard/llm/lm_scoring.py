@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -97,51 +98,57 @@ def _codes(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield unique, of.astype(np.int32), starts
 
 
-COLUMNS = ("chunk", "pos", "ids", "training", "sizes", "blob", "word", "gram", "n")
+def _schema(kind: pa.DataType) -> pa.Schema:
+    """A row of a chunk is a run of its texts, a word or a gram."""
+    return pa.schema([("chunk", pa.int64()), ("pos", pa.int64()), ("ids", pa.list_(kind)), ("training", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("blob", pa.binary()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
-def _frame(**cols: object) -> pd.DataFrame:
-    out = pd.DataFrame(cols)
-    return out.assign(**{c: None for c in COLUMNS if c not in cols})[list(COLUMNS)].astype({"chunk": "int64", "pos": "Int64", "gram": "Int64", "n": "Int64"})
+def _rows(schema: pa.Schema, chunk: int, pos: np.ndarray, **cols: object) -> pa.RecordBatch:
+    cols |= {"chunk": np.full(len(pos), chunk), "pos": pos}
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(len(pos), f.type) for f in schema], schema=schema)
 
 
-def _chunk(ids: list, texts: list[bytes], training: list[bool], order: int) -> Iterator[pd.DataFrame]:
+def _chunk(schema: pa.Schema, ids: list, texts: list[bytes], training: list[bool], order: int) -> Iterator[pa.RecordBatch]:
     """A chunk's texts, packed, and its distinct words and grams with how often its training texts hold them."""
     chunk, train, pack = uuid.uuid4().int >> 65, np.array(training, bool), zstandard.ZstdCompressor(level=3)
     for seq, (at, to) in enumerate(_runs(texts)):
-        yield _frame(chunk=[chunk], pos=[seq], ids=[ids[at:to]], training=[training[at:to]], sizes=[list(map(len, texts[at:to]))], blob=[pack.compress(b"".join(texts[at:to]))])
+        yield _rows(schema, chunk, np.array([seq]), ids=[ids[at:to]], training=[training[at:to]], sizes=[list(map(len, texts[at:to]))], blob=[pack.compress(b"".join(texts[at:to]))])
     words, ids_of, starts = _words(texts)
-    yield _frame(chunk=chunk, pos=np.arange(len(words)), word=words, n=_in_training(words, ids_of, starts, training))
+    yield _rows(schema, chunk, np.arange(len(words)), word=words, n=_in_training(words, ids_of, starts, training))
     del words, ids_of
     uniques, weights = [], []
     for (unique, at, _), (i, j) in zip(_codes(texts, order), _runs(texts), strict=True):
         weight = np.repeat(train[i:j], [len(t) + 1 for t in texts[i:j]])
         uniques.append(unique)
         weights.append(np.bincount(at[weight], minlength=len(unique)))
-    whole, unique = pd.factorize(np.concatenate(uniques))
+    joined = np.concatenate(uniques)
+    del uniques, at, unique, weight
+    whole, unique = pd.factorize(joined)
+    del joined
     n = np.bincount(whole, np.concatenate(weights), len(unique)).astype(np.int64)
-    yield _frame(chunk=chunk, pos=np.arange(len(unique)), gram=unique, n=n)
+    yield _rows(schema, chunk, np.arange(len(unique)), gram=unique, n=n)
 
 
 def packed(rows: DataFrame, order: int, chunk_bytes: int) -> DataFrame:
     """Rows (doc_id, text binary, training) in chunks; a chunk never spans two tasks, so nothing is shuffled."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, texts, training, size = [], [], [], 0
-        for pdf in batches:
-            for i, text, train in zip(pdf["doc_id"], pdf["text"], pdf["training"], strict=True):
-                ids.append(None if pd.isna(i) else i)
-                texts.append(bytes(text))
-                training.append(bool(train))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, training, size, schema = [], [], [], 0, None
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):  # few texts at once as Python objects
+            schema = _schema(batch.column("doc_id").type)
+            for i, text, train in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "training")), strict=True):
+                ids.append(i)
+                texts.append(text)
+                training.append(train)
                 size += len(text)
                 if size >= chunk_bytes:
-                    yield from _chunk(ids, texts, training, order)
+                    yield from _chunk(schema, ids, texts, training, order)
                     ids, texts, training, size = [], [], [], 0
         if ids:
-            yield from _chunk(ids, texts, training, order)
+            yield from _chunk(schema, ids, texts, training, order)
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInPandas(run, f"chunk long, pos long, ids array<{kind}>, training array<boolean>, sizes array<long>, blob binary, word binary, gram long, n long")
+    return rows.mapInArrow(run, f"chunk long, pos long, ids array<{kind}>, training array<boolean>, sizes array<long>, blob binary, word binary, gram long, n long")
 
 
 def trie(counts: DataFrame, order: int) -> list[DataFrame]:
@@ -280,8 +287,10 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     of_word = Window.partitionBy("word")
     words = whole.where("word is not null").select("chunk", "pos", "word", "n")
     words = words.select("chunk", "pos", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("chunk")) == 1).alias("first"), "n")
-    words = saved(words, "word-counts")
-    total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("first") & (F.col("c") > 0), 1)).alias("v")).first()
+    # Where a chunk has all of a word's count itself it needs no answer.
+    other = F.col("c") != F.col("n")
+    words = saved(words.where(other | F.col("first")).select(*(F.when(other, F.col(c)).alias(c) for c in ("chunk", "pos")), "c", "first"), "word-counts")
+    total = words.where("first").agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     asked = whole.where("gram is not null").select("chunk", "pos", "gram", "n")
     counts = saved(asked.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
@@ -289,7 +298,7 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     release(counts)
     # A gram's score at its position, a word's count at -1 less its position if other chunks add to it.
     answers = asked.select("chunk", F.col("pos").alias("at"), "gram").join(scores, "gram").select("chunk", "at", F.col("lp").alias("told"))
-    answers = answers.unionByName(words.where("c <> n").select("chunk", (-1 - F.col("pos")).alias("at"), F.col("c").cast("double").alias("told")))
+    answers = answers.unionByName(words.where("chunk is not null").select("chunk", (-1 - F.col("pos")).alias("at"), F.col("c").cast("double").alias("told")))
     answers = saved(answers.select(F.col("chunk").alias("a_chunk"), F.col("at").cast("int").alias("at"), "told"), "answers")
     release(scores, words)
 
