@@ -110,7 +110,7 @@ def _rows(schema: pa.Schema, chunk: int, pos: np.ndarray, **cols: object) -> pa.
 
 def _chunk(schema: pa.Schema, ids: list, texts: list[bytes], training: list[bool], order: int) -> Iterator[pa.RecordBatch]:
     """A chunk's texts, packed, and its distinct words and grams with how often its training texts hold them."""
-    chunk, train, pack = uuid.uuid4().int >> 65, np.array(training, bool), zstandard.ZstdCompressor(level=3)
+    chunk, train, pack = uuid.uuid4().int >> 65, np.array(training, bool), zstandard.ZstdCompressor(level=6)
     for seq, (at, to) in enumerate(_runs(texts)):
         yield _rows(schema, chunk, np.array([seq]), ids=[ids[at:to]], training=[training[at:to]], sizes=[list(map(len, texts[at:to]))], blob=[pack.compress(b"".join(texts[at:to]))])
     words, ids_of, starts = _words(texts)
