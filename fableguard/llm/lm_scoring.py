@@ -323,7 +323,9 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
         out = pd.DataFrame({"n_tokens": tokens, "n_known": known, "train_tokens": n, "base_score": np.add.reduceat(base[ids_of], word_starts)})
         return out.assign(doc_id=pd.Series(ids, dtype="Int64" if kind in ("bigint", "int") else None), score=np.concatenate(scores), n_bytes=list(map(len, texts)))[["doc_id", *out.columns, "score", "n_bytes"]]
 
-    texts = whole.where("blob is not null").select("chunk", "pos", "ids", "training", "sizes", "blob")
+    # From here on only the texts are needed: the grams, most of the chunks' bytes, go before the last shuffle.
+    texts = saved(whole.where("blob is not null").select("chunk", "pos", "ids", "training", "sizes", "blob"), "texts")
+    release(whole)
     return texts.groupBy("chunk").cogroup(answers.groupBy("a_chunk")).applyInPandas(score, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
 
 
