@@ -34,6 +34,8 @@ NEAR = 3
 #: Doesn't occur in UTF-8: stands before the text and ends it.
 END = 0xFF
 SYMBOLS = 257
+#: About so many bytes of text have their grams held as 64-bit numbers at once.
+CODED = 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The token that ends every text. Words hold no blank, so it is no word.
 STOP = b" "
@@ -92,9 +94,10 @@ def _in_training(words: list[bytes], ids: np.ndarray, starts: np.ndarray, traini
 
 def _codes(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per run of texts (its distinct grams, positions among these, starts of the texts)."""
-    for at, to in _runs(texts):
+    for at, to in _runs(texts, CODED):
         codes, starts = grams(texts[at:to], order)
         of, unique = pd.factorize(codes)
+        del codes
         yield unique, of.astype(np.int32), starts
 
 
@@ -117,7 +120,7 @@ def _chunk(schema: pa.Schema, ids: list, texts: list[bytes], training: list[bool
     yield _rows(schema, chunk, np.arange(len(words)), word=words, n=_in_training(words, ids_of, starts, training))
     del words, ids_of
     uniques, weights = [], []
-    for (unique, at, _), (i, j) in zip(_codes(texts, order), _runs(texts), strict=True):
+    for (unique, at, _), (i, j) in zip(_codes(texts, order), _runs(texts, CODED), strict=True):
         weight = np.repeat(train[i:j], [len(t) + 1 for t in texts[i:j]])
         uniques.append(unique)
         weights.append(np.bincount(at[weight], minlength=len(unique)))
@@ -302,6 +305,20 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     answers = saved(answers.select(F.col("chunk").alias("a_chunk"), F.col("at").cast("int").alias("at"), "told"), "answers")
     release(scores, words)
 
+    def word_scores(texts: list[bytes], training: list[bool], pos: np.ndarray, told: np.ndarray) -> pd.DataFrame:
+        words, ids_of, starts = _words(texts)
+        c = _in_training(words, ids_of, starts, training).astype(np.float64)
+        c[pos] = told
+        base = np.log10((c + 1) / (n + v + 1))
+        tokens, known = np.diff([*starts, len(ids_of)]), np.add.reduceat((c > 0)[ids_of].astype(np.int64), starts)
+        return pd.DataFrame({"n_tokens": tokens, "n_known": known, "train_tokens": n, "base_score": np.add.reduceat(base[ids_of], starts)})
+
+    def text_scores(texts: list[bytes], lps: np.ndarray) -> np.ndarray:
+        runs = list(_codes(texts, order))
+        ends = np.cumsum([0, *(len(unique) for unique, _, _ in runs)])
+        whole = pd.factorize(np.concatenate([unique for unique, _, _ in runs]))[0]
+        return np.concatenate([np.add.reduceat(lps[whole[i:j]][codes], starts) for (_, codes, starts), i, j in zip(runs, ends[:-1], ends[1:], strict=True)])
+
     def score(packs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         ids, texts, training, unpack = [], [], [], zstandard.ZstdDecompressor()
         for x in packs.sort_values("pos").itertuples(index=False):
@@ -309,19 +326,13 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
             ids += list(x.ids)
             training += list(x.training)
             texts += [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-        words, ids_of, word_starts = _words(texts)
         at, value = told["at"].to_numpy(), told["told"].to_numpy()
         is_word = at < 0
-        c, lps = _in_training(words, ids_of, word_starts, training).astype(np.float64), np.zeros((~is_word).sum())
-        c[-1 - at[is_word]], lps[at[~is_word]] = value[is_word], value[~is_word]
-        base = np.log10((c + 1) / (n + v + 1))
-        runs = list(_codes(texts, order))
-        whole, _ = pd.factorize(np.concatenate([unique for unique, _, _ in runs]))
-        ends = np.cumsum([0, *(len(unique) for unique, _, _ in runs)])
-        scores = [np.add.reduceat(lps[whole[i:j]][codes], starts) for (_, codes, starts), i, j in zip(runs, ends[:-1], ends[1:], strict=True)]
-        tokens, known = np.diff([*word_starts, len(ids_of)]), np.add.reduceat((c > 0)[ids_of].astype(np.int64), word_starts)
-        out = pd.DataFrame({"n_tokens": tokens, "n_known": known, "train_tokens": n, "base_score": np.add.reduceat(base[ids_of], word_starts)})
-        return out.assign(doc_id=pd.Series(ids, dtype="Int64" if kind in ("bigint", "int") else None), score=np.concatenate(scores), n_bytes=list(map(len, texts)))[["doc_id", *out.columns, "score", "n_bytes"]]
+        out = word_scores(texts, training, -1 - at[is_word], value[is_word])
+        lps = np.zeros((~is_word).sum())
+        lps[at[~is_word]] = value[~is_word]
+        del at, value, is_word
+        return out.assign(doc_id=pd.Series(ids, dtype="Int64" if kind in ("bigint", "int") else None), score=text_scores(texts, lps), n_bytes=list(map(len, texts)))[["doc_id", *out.columns, "score", "n_bytes"]]
 
     # From here on only the texts are needed: the grams, most of the chunks' bytes, go before the last shuffle.
     texts = saved(whole.where("blob is not null").select("chunk", "pos", "ids", "training", "sizes", "blob"), "texts")
