@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fableguard.llm import exact_dedup, language_id, lm_scoring, mixing, near_dup, pii, sentencepiece, sharding, vector_search, warc
+from fableguard.llm import exact_dedup, language_id, lm_scoring, mixing, near_dup, pii, prefix_trie, sentencepiece, sharding, vector_search, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": sentencepiece.op8_sentencepiece,
         "op9_partial_matching": lm_scoring.op9_partial_matching,
         "op10_token_group_join": near_dup.op10_token_group_join,
+        "op11_radix_trie": prefix_trie.op11_radix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_permutation_sharding": sharding.sql(), "op2_exact_dedup": exact_dedup.SQL, "op5_dictionary_warc": warc.SQL, "op6_approximation_search": vector_search.SQL, "op10_token_group_join": near_dup.SQL}
+    return {
+        "op1_permutation_sharding": sharding.sql(),
+        "op2_exact_dedup": exact_dedup.SQL,
+        "op5_dictionary_warc": warc.SQL,
+        "op6_approximation_search": vector_search.SQL,
+        "op10_token_group_join": near_dup.SQL,
+        "op11_radix_trie": prefix_trie.SQL,
+    }
