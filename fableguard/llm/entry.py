@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fableguard.llm import exact_dedup, hard_negatives, language_id, lm_scoring, mixing, near_dup, pii, prefix_trie, sentencepiece, sharding, vector_search, warc
+from fableguard.llm import exact_dedup, hard_negatives, language_id, licenses, lm_scoring, mixing, near_dup, pii, prefix_trie, sentencepiece, sharding, vector_search, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_partial_matching": lm_scoring.op9_partial_matching,
         "op10_token_group_join": near_dup.op10_token_group_join,
         "op11_radix_trie": prefix_trie.op11_radix_trie,
+        "op12_license_scan": licenses.op12_license_scan,
         "op13_residue_negatives": hard_negatives.op13_residue_negatives,
     }
 
