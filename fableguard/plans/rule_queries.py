@@ -11,6 +11,7 @@ from fableguard.functions import knowledge as K
 from fableguard.operators import documented, fluents, rules, timeline
 from fableguard.plans.adapters import HOUR, events_as_story, facts_sql, table
 from fableguard.plans.facts import Facts
+from fableguard.plans.store import FactStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 COLS = ("story_id", "category", "type", "subject", "detail")
@@ -118,6 +119,18 @@ def _holds(ruleset: str) -> Query:
     return run
 
 
+#: The store of each session's input folder, which all violations_* queries read.
+STORES: dict[tuple[str, str], FactStore] = {}
+
+
+def fact_store(spark: SparkSession, sf_dir: str) -> FactStore:
+    """The events of a folder as a fact store, written by the first query that asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in STORES:
+        STORES[key] = FactStore.write(events_as_story(spark, sf_dir))
+    return STORES[key]
+
+
 def _rule(name: str, ruleset: str, hour: bool, places: bool) -> Query:
     return lambda spark, sf_dir: rules.RULES[name][0](events_as_story(spark, sf_dir, hour, places), ruleset).select(*COLS)
 
@@ -174,7 +187,7 @@ def queries() -> dict[str, Query]:
         for name in ("explicit_order_violated", "negative_duration"):
             out[f"{name}_{r}"] = lambda spark, sf_dir, name=name, r=r: rules.RULES[name][0](_lineitem_story(spark, sf_dir), r).select(*COLS)
     for r in K.RULESETS:
-        out[f"violations_{r}"] = lambda spark, sf_dir, r=r: rules.check(events_as_story(spark, sf_dir), r).select("ruleset", *COLS)
+        out[f"violations_{r}"] = lambda spark, sf_dir, r=r: fact_store(spark, sf_dir).check(r).select("ruleset", *COLS)
     for r in ("base", "general", "inertial"):
         out[f"holds_at_{r}"] = _holds(r)
     out |= {
