@@ -73,7 +73,7 @@ def aquaphobia(facts: Facts) -> DataFrame:
 def focus_overlap(facts: Facts) -> DataFrame:
     """Overlapping acts of one character by verbs that need focus, whatever the events say."""
     acts = facts.acts().where(F.col("type").isin(K.FOCUS_VERBS)).select("story_id", "agent", "event_id", "start_ord", "end_ord")
-    both = timeline.pairs(acts, acts, ["story_id", "agent"], True, facts.bucket).where("a_event_id < b_event_id").withColumnRenamed("a_story_id", "story_id")
+    both = timeline.together(acts, ["story_id", "agent"], facts.bucket).where("a_event_id < b_event_id").withColumnRenamed("a_story_id", "story_id")
     return found(both, SET, "coherence", "focus_overlap", F.col("a_event_id"), F.col("b_event_id"))
 
 

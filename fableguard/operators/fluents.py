@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fableguard.functions import knowledge as K
-from fableguard.operators.timeline import lt, time_points
+from fableguard.operators.timeline import lt, stab, time_points
 from fableguard.plans.facts import Facts, in_scope
 
 
@@ -29,11 +29,12 @@ def fluent_caused(facts: Facts) -> DataFrame:
 
 
 def holds_at_interval(facts: Facts, points: DataFrame | None = None) -> DataFrame:
-    """story_id, pred, arg, t, t_ord: stated fluents at each time point of their closed interval."""
+    """story_id, pred, arg, t, t_ord: stated fluents at each time point of their closed interval, by the dyadic index."""
     points = time_points(facts) if points is None else points
-    f = facts.fluents.alias("f")
-    inside = ~lt(F.col("p.t_ord"), F.col("f.start_ord")) & ~lt(F.col("f.end_ord"), F.col("p.t_ord"))
-    return f.join(points.alias("p"), (F.col("f.story_id") == F.col("p.story_id")) & inside).select("f.story_id", "f.pred", "f.arg", "p.t", "p.t_ord").distinct()
+    stated = facts.fluents.select("story_id", "pred", "arg", "start_ord", "end_ord")
+    near = stab(points.select("story_id", "t", "t_ord"), stated, ["story_id"], "t_ord", "start_ord", "end_ord", facts.bucket)
+    inside = ~lt(F.col("t_ord"), F.col("start_ord")) & ~lt(F.col("end_ord"), F.col("t_ord"))
+    return near.where(inside).select("story_id", "pred", "arg", "t", "t_ord").distinct()
 
 
 def holds_at(facts: Facts, ruleset: str, demand: DataFrame | None = None) -> DataFrame:

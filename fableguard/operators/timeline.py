@@ -50,29 +50,100 @@ def circular_time(closed: DataFrame) -> DataFrame:
     return closed.alias("a").join(closed.alias("b"), same, "left_semi").distinct()
 
 
-def pairs(left: DataFrame, right: DataFrame, keys: list[str], overlap: bool, bucket: int) -> DataFrame:
-    """Pairs of intervals of the same keys, columns prefixed a_ and b_, that overlap or (else) where a precedes b.
+#: Levels of what has no bounds, or no rank: one node that all of its keys meet.
+OPEN, UNRANKED = 100, 101
+NODE = "array<struct<level:int,node:bigint>>"
+LEAST = -(2**63)
+
+
+def _cell(c: Column, bucket: int) -> Column:
+    """The number of the cell of ``bucket`` ords that c lies in, rounded down."""
+    return F.call_function("div", c - F.pmod(c, F.lit(bucket)), F.lit(bucket))
+
+
+def cover(low: str, high: str, top: str) -> Column:
+    """The dyadic nodes (level, node) that make up the cells from low to high, columns: at most two a level."""
+    left, right = "s.l < s.r and (s.l & 1L) = 1L", "s.l + (s.l & 1L) < s.r and (s.r & 1L) = 1L"
+    return F.expr(f"""aggregate(sequence(0, {top}),
+      named_struct('l', {low}, 'r', {high} + 1L, 'n', cast(array() as {NODE})),
+      (s, k) -> named_struct(
+        'l', shiftright(s.l + (s.l & 1L), 1), 'r', shiftright(s.r - (s.r & 1L), 1),
+        'n', concat(s.n, filter(array(
+          if({left}, named_struct('level', k, 'node', s.l), null),
+          if({right}, named_struct('level', k, 'node', s.r - 1L), null)), x -> x is not null))),
+      s -> s.n)""")
+
+
+def ancestors(cell: str, top: str) -> Column:
+    """The dyadic nodes (level, node) above a cell, itself included: one a level."""
+    return F.expr(f"transform(sequence(0, {top}), k -> named_struct('level', k, 'node', shiftright({cell}, k)))")
 
-    Intervals are closed; what has no rank overlaps with everything and precedes nothing. For overlaps each ranked
-    interval is dealt over the time slices that it covers, and a pair is found in the first slice that both cover, so
-    that a busy key spreads over its slices.
-    """
-    a = left.select(*(F.col(c).alias(f"a_{c}") for c in left.columns))
-    b = right.select(*(F.col(c).alias(f"b_{c}") for c in right.columns))
-    same = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
-    if not overlap:
-        return a.join(b, [*same, F.col("a_end_ord") < F.col("b_start_ord")])
 
-    def sliced(df: DataFrame, p: str) -> DataFrame:
-        lo, hi = (F.floor(F.col(f"{p}_{x}_ord") / bucket) for x in ("start", "end"))
-        return df.withColumn(f"{p}_first", F.least(lo, hi)).withColumn(f"{p}_slice", F.explode(F.sequence(F.least(lo, hi), F.greatest(lo, hi))))
+def _node_if(where: Column, level: int) -> Column:
+    return F.when(where, F.expr(f"cast(array(named_struct('level', {level}, 'node', 0L)) as {NODE})")).otherwise(F.expr(f"cast(array() as {NODE})"))
 
-    ranked = lambda df, p: df.where(F.col(f"{p}_start_ord").isNotNull() & F.col(f"{p}_end_ord").isNotNull())
-    loose = lambda df, p: df.where(F.col(f"{p}_start_ord").isNull() | F.col(f"{p}_end_ord").isNull())
-    meet = ~lt(F.col("a_end_ord"), F.col("b_start_ord")) & ~lt(F.col("b_end_ord"), F.col("a_start_ord"))
-    first = F.greatest("a_first", "b_first") == F.col("a_slice")
-    near = sliced(ranked(a, "a"), "a").join(sliced(ranked(b, "b"), "b"), [*same, F.col("a_slice") == F.col("b_slice"), first, meet]).drop("a_slice", "b_slice", "a_first", "b_first")
-    return near.unionByName(loose(a, "a").join(b, [*same, meet])).unionByName(ranked(a, "a").join(loose(b, "b"), [*same, meet]))
+
+def stab(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, low: str, high: str, bucket: int, loose: bool = True) -> DataFrame:
+    """Points with the intervals of equal keys whose cells reach theirs; but for the keys their columns differ.
+
+    A dyadic index: an interval is at most two nodes a level, a point one node a level. Of an interval's nodes only one lies
+    above a point, so an equi-join meets every pair once, and an interval as long as its story costs some twice log n rows.
+    An interval that lacks a bound meets every point. A point without rank meets every interval, or, unless ``loose``, only
+    those that lack a bound. The caller tests the exact bounds.
+    """
+    ends = _cell(F.col(low), bucket), _cell(F.col(high), bucket)
+    bounded = F.col(low).isNotNull() & F.col(high).isNotNull()
+    first, last = F.when(bounded, F.least(*ends)), F.when(bounded, F.greatest(*ends))
+    level = F.ceil(F.log2(F.max(last - first + 1).cast("double"))).cast("int") + 1
+    # One row: the highest level that a cover may need, and whether any interval is open.
+    sizes = intervals.agg(F.coalesce(level, F.lit(0)).alias("top_"), F.coalesce(F.bool_or(~bounded), F.lit(False)).alias("open_"))
+    known = intervals.crossJoin(F.broadcast(sizes)).withColumns({"first_": first, "last_": last})
+    unranked = F.lit(False)
+    if loose:
+        known = known.crossJoin(F.broadcast(points.agg(F.coalesce(F.bool_or(F.col(at).isNull()), F.lit(False)).alias("unranked_"))))
+        unranked = F.col("unranked_")
+    down = F.when(F.col("first_").isNull(), _node_if(F.lit(True), OPEN)).otherwise(F.concat(cover("first_", "last_", "top_"), _node_if(unranked, UNRANKED)))
+    own = points.crossJoin(F.broadcast(sizes)).withColumn("cell_", _cell(F.col(at), bucket))
+    up = F.when(F.col("cell_").isNull(), _node_if(F.lit(loose), UNRANKED)).otherwise(ancestors("cell_", "top_"))
+    own = own.withColumn("at_", F.explode(F.concat(up, _node_if(F.col("open_"), OPEN)))).select(*points.columns, "at_.level", "at_.node")
+    known = known.withColumn("at_", F.explode(down)).select(*intervals.columns, "at_.level", "at_.node")
+    return own.join(known, [*keys, "level", "node"]).drop("level", "node")
+
+
+def _sides(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    a, b = (df.select(*(F.col(k).alias(f"key{n}_") for n, k in enumerate(keys)), *(F.col(c).alias(f"{p}_{c}") for c in df.columns)) for p in "ab")
+    return a, b
+
+
+def together(df: DataFrame, keys: list[str], bucket: int) -> DataFrame:
+    """Pairs of rows of equal keys whose intervals (start_ord, end_ord) overlap, both ways round, prefixed a_ and b_.
+
+    Intervals are closed; what has no rank overlaps with everything. A row is found by its start within the other's interval and
+    turned round; where both start in one cell each finds the other. A row also overlaps with itself.
+    """
+    a, b = _sides(df, keys)
+    ranked = F.col("a_start_ord").isNotNull() & F.col("a_end_ord").isNotNull()
+    a = a.withColumn("from_", F.when(ranked, F.least("a_start_ord", "a_end_ord")))
+    met = stab(a, b, [f"key{n}_" for n in range(len(keys))], "from_", "b_start_ord", "b_end_ord", bucket, loose=False)
+    met = met.where(~lt(F.col("a_end_ord"), F.col("b_start_ord")) & ~lt(F.col("b_end_ord"), F.col("a_start_ord")))
+    other = F.when(F.col("b_start_ord").isNotNull() & F.col("b_end_ord").isNotNull(), F.least("b_start_ord", "b_end_ord"))
+    start = lambda c: F.coalesce(_cell(c, bucket), F.lit(LEAST))
+    ways = F.when(start(other) < start(F.col("from_")), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    met = met.withColumn("turned_", F.explode(ways))
+    side = lambda x, y, c: F.when(F.col("turned_"), F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")).alias(f"{x}_{c}")
+    return met.select(*(side("a", "b", c) for c in df.columns), *(side("b", "a", c) for c in df.columns))
+
+
+def in_order(df: DataFrame, keys: list[str], bucket: int) -> DataFrame:
+    """Pairs of rows of equal keys, prefixed a_ and b_, where a ends before b starts; what has no rank precedes nothing.
+
+    b's start is looked up in the time after a's end.
+    """
+    a, b = _sides(df, keys)
+    last = df.agg(F.max("start_ord").alias("last_start_"))  # one row
+    a = a.where("a_end_ord is not null").crossJoin(F.broadcast(last)).where("a_end_ord < last_start_")
+    found = stab(b.where("b_start_ord is not null"), a, [f"key{n}_" for n in range(len(keys))], "b_start_ord", "a_end_ord", "last_start_", bucket)
+    return found.where("a_end_ord < b_start_ord").select(*(f"{p}_{c}" for p in "ab" for c in df.columns))
 
 
 def soon_after(acts: DataFrame, most: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,18 +161,20 @@ def soon_after(acts: DataFrame, most: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, [*same, F.col("a_slice") == F.col("b_slice"), took > 0, took < F.col("most")]).drop("a_slice", "b_slice", "most")
 
 
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a_story_id").alias("story_id"), F.col("a_event_id").alias("e1"), F.col("b_event_id").alias("e2"))
+
+
 def overlap(facts: Facts) -> DataFrame:
     """story_id, e1, e2 of overlapping events, both ways round."""
     e = facts.events.select("story_id", "event_id", "start_ord", "end_ord")
-    out = pairs(e, e, ["story_id"], True, facts.bucket).where("a_event_id <> b_event_id")
-    return out.select(F.col("a_story_id").alias("story_id"), F.col("a_event_id").alias("e1"), F.col("b_event_id").alias("e2"))
+    return _named(together(e, ["story_id"], facts.bucket).where("a_event_id <> b_event_id"))
 
 
 def precedes(facts: Facts) -> DataFrame:
     """story_id, e1, e2 where e1 ends before e2 starts."""
     e = facts.events.select("story_id", "event_id", "start_ord", "end_ord")
-    out = pairs(e, e, ["story_id"], False, facts.bucket)
-    return out.select(F.col("a_story_id").alias("story_id"), F.col("a_event_id").alias("e1"), F.col("b_event_id").alias("e2"))
+    return _named(in_order(e, ["story_id"], facts.bucket))
 
 
 def meets(facts: Facts) -> DataFrame:

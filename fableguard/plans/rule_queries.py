@@ -139,13 +139,13 @@ def _facts(f: Callable[[Facts], DataFrame], hour: bool = False) -> Query:
     return lambda spark, sf_dir: f(events_as_story(spark, sf_dir, hour))
 
 
-def _agent_pairs(overlap: bool) -> Query:
-    """Interval relations within a story and agent: a story's events all with each other would be its square."""
+def _agent_pairs(relation: Callable[[DataFrame, list[str], int], DataFrame]) -> Query:
+    """Interval relations within a story and agent."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         facts = events_as_story(spark, sf_dir)
         acts = facts.acts().select("story_id", "agent", "event_id", "start_ord", "end_ord")
-        both = timeline.pairs(acts, acts, ["story_id", "agent"], overlap, facts.bucket).where("a_event_id <> b_event_id")
+        both = relation(acts, ["story_id", "agent"], facts.bucket).where("a_event_id <> b_event_id")
         return both.select(F.col("a_story_id").alias("story_id"), F.col("a_event_id").alias("e1"), F.col("b_event_id").alias("e2"))
 
     return run
@@ -193,9 +193,11 @@ def queries() -> dict[str, Query]:
     out |= {
         "time_point": _facts(lambda f: timeline.time_points(f).select("story_id", "t")),
         "same_time": _facts(lambda f: timeline.time_points(f).select("story_id", F.col("t").alias("t1"), F.col("t").alias("t2"))),
-        "overlap": _agent_pairs(True),
-        "precedes": _agent_pairs(False),
-        "concurrent": lambda spark, sf_dir: timeline.symmetric(_agent_pairs(True)(spark, sf_dir)),
+        "overlap": _facts(timeline.overlap),
+        "precedes": _facts(timeline.precedes),
+        "concurrent": _facts(lambda f: timeline.symmetric(timeline.overlap(f))),
+        "overlap_agent": _agent_pairs(timeline.together),
+        "precedes_agent": _agent_pairs(timeline.in_order),
         "meets": _facts(lambda f: timeline.meets(f).groupBy("story_id").agg(F.count("*").alias("n")), True),
         "before": lambda spark, sf_dir: timeline.before(_regions(spark, sf_dir)),
         "before_graph": lambda spark, sf_dir: timeline.closure(_region_edges(spark, sf_dir)),
@@ -328,15 +330,18 @@ def oracle_sql() -> dict[str, str]:
             unmet = HOLDS.format(op="<=" if r == "base" else "=").rstrip() + f", unmet AS (SELECT DISTINCT a.story_id, 'causality' AS category, '{'missing_precondition' if r == 'v2' else 'precondition_not_met'}' AS type, CAST(a.event_id AS VARCHAR) AS subject, 'asleep' AS detail FROM asked a WHERE {ask} AND NOT EXISTS (SELECT 1 FROM state s WHERE {met}))" + (f", violated AS ({violated})\n" if r == "base" else "\n")
         out[f"violations_{r}"] = f + unmet + f"SELECT DISTINCT '{r}' AS ruleset, * FROM (" + " UNION ALL ".join(x for x in parts if x) + ")"
     pair = "SELECT a.story_id, a.event_id AS e1, b.event_id AS e2 FROM e a JOIN e b ON a.story_id = b.story_id AND a.agent = b.agent AND a.event_id <> b.event_id AND "
+    whole = pair.replace("a.agent = b.agent AND ", "")
     effects = lambda verbs: f"SELECT DISTINCT story_id, CASE WHEN type IN ('open', 'close') THEN 'open' WHEN type IN ('lock', 'unlock') THEN 'locked' ELSE 'asleep' END AS pred, CASE WHEN type IN ('sleep', 'wake') THEN agent ELSE patient END AS arg, t_end AS t FROM e WHERE type IN {_in(verbs)}"
     points = "SELECT story_id, t_start AS t FROM e UNION SELECT story_id, t_end FROM e"
     good = f"obj_type NOT IN {_in(K.NON_EDIBLE['general'])} OR obj_type IN {_in(K.EDIBLE['general'])}"
     out |= {
         "time_point": f + points,
         "same_time": f + f"SELECT story_id, t AS t1, t AS t2 FROM ({points})",
-        "overlap": f + pair + OVERLAP,
-        "precedes": f + pair + "a.t_end < b.t_start",
-        "concurrent": f + pair.replace("SELECT", "SELECT DISTINCT", 1) + OVERLAP,
+        "overlap": f + whole + OVERLAP,
+        "precedes": f + whole + "a.t_end < b.t_start",
+        "concurrent": f + whole.replace("SELECT", "SELECT DISTINCT", 1) + OVERLAP,
+        "overlap_agent": f + pair + OVERLAP,
+        "precedes_agent": f + pair + "a.t_end < b.t_start",
         "meets": h + "SELECT a.story_id, count(*) AS n FROM e a JOIN e b ON a.story_id = b.story_id AND a.t_end = b.t_start AND a.event_id <> b.event_id GROUP BY a.story_id",
         "before": MONTHS + " SELECT a.story_id, a.t AS t1, b.t AS t2 FROM m a JOIN m b ON a.story_id = b.story_id AND a.t < b.t",
         "before_graph": MONTHS + EDGES.format(more="") + "SELECT * FROM p",

@@ -1,8 +1,8 @@
 """A fact store: the fact tables of a corpus, written once in buckets by story, and the rules as few passes over them.
 
 All rules join within a story. Tables in equally many buckets by ``story_id`` meet without any exchange, whatever further
-keys a join has. Beside the facts themselves the store keeps what most rules ask together: ``deeds`` (an event with each agent
-and patient), ``cast`` (what is known of a character or object), ``ties``, ``moods`` and ``stated`` fluents. One pass over the
+keys a join has. Beside the facts themselves the store keeps what most rules ask together: ``acts`` (an event with each agent), ``deeds`` (with each
+patient too), ``cast`` (what is known of a character or object), ``ties``, ``moods`` and ``stated`` fluents. One pass over the
 deeds finds what the rules of acts find one by one.
 
 A story with more than ``most`` events isn't put into a bucket: it goes through the plain rules, which spread a story
@@ -63,7 +63,8 @@ class FactStore:
         out.plain = {t: df for t, df in tables.items() if KEY not in df.columns}
         out._save({t: df.repartition(n, KEY) for t, df in jobs.items()}, n)
         raw = out.facts()
-        out._save({"deeds": deeds(raw), "cast": cast(raw), "ties": ties(raw), "moods": moods(raw), "stated": stated(raw)}, n)
+        kept = {"acts": raw.acts(), "deeds": deeds(raw), "cast": cast(raw), "ties": ties(raw), "moods": moods(raw), "stated": stated(raw)}
+        out._save(kept, n)
         if not split:
             delete(spark, large.inputFiles()[0].rpartition("/")[0])
         return out
@@ -84,7 +85,8 @@ class FactStore:
     def facts(self) -> Facts:
         """The facts as any rule reads them, from the buckets."""
         tables = {t: self.table(t) for t in self.held if t in SCHEMAS} | self.plain
-        return Facts(self.spark, self.table("events"), self.table("event_role"), self.bucket, tables)
+        kept = {"agent": self.table("acts")} if "acts" in self.held else None
+        return Facts(self.spark, self.table("events"), self.table("event_role"), self.bucket, tables, kept)
 
     def drop(self) -> None:
         """Forget the tables and delete their files."""
@@ -139,7 +141,8 @@ def deeds(facts: Facts) -> DataFrame:
     """
     e, roles = facts.events, facts.event_role
     marks = _marks(facts, EVENT_MARKS, "event_id")
-    caused = facts.causal_chain.select(KEY, F.col("effect").alias("event_id")).distinct().withColumn("caused", F.lit(True))
+    chain = facts.causal_chain.select(KEY, F.col("effect").alias("event_id"))
+    caused = chain.unionByName(e.where("type = 'natural'").select(KEY, "event_id")).distinct().withColumn("caused", F.lit(True))
     # An event may be told more than once, in several places.
     places = e.groupBy(KEY, "event_id").agg(F.collect_set("location").alias("places"))
     agents = roles.where("role = 'agent'").select(KEY, "event_id", F.col("arg").alias("agent")).distinct()
@@ -280,7 +283,7 @@ def pairs_pass(store: FactStore, facts: Facts, ruleset: str) -> DataFrame:
     """Acts of one character at one time: in two places, or both with focus."""
     cols = [KEY, "agent", "event_id", "location", "requires_focus", "start_ord", "end_ord"]
     acts = facts.acts().select(cols)
-    both = timeline.pairs(acts, acts, [KEY, "agent"], True, facts.bucket).where("a_event_id <> b_event_id").withColumnRenamed("a_story_id", KEY)
+    both = timeline.together(acts, [KEY, "agent"], facts.bucket).where("a_event_id <> b_event_id").withColumnRenamed("a_story_id", KEY)
     first = F.col("a_event_id") < F.col("b_event_id")
     apart = F.col("a_location") != F.col("b_location")
     hits = [
@@ -300,7 +303,7 @@ def things_pass(store: FactStore, facts: Facts, ruleset: str) -> DataFrame:
 
 def events_pass(store: FactStore, facts: Facts, ruleset: str) -> DataFrame:
     """Events that end before they start, and significant ones without a cause."""
-    known = F.col("caused") | _marked("initial_event") | F.coalesce(F.col("type") == "natural", F.lit(False))
+    known = F.col("caused") | _marked("initial_event")
     if ruleset == "narrative":
         known = known | _marked("background_event")
     hits = [
