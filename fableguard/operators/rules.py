@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fableguard.functions import knowledge as K
-from fableguard.operators import fluents, timeline
+from fableguard.operators import fluents, partial_order, timeline
 from fableguard.operators.timeline import lt
 from fableguard.plans.facts import Facts, in_scope, small
 
@@ -57,7 +57,7 @@ def circular_time(facts: Facts, ruleset: str) -> DataFrame:
     """Points of a stated time order that come before each other. Ranked time points alone can't: without an order there is none."""
     if not facts.has("time_order"):
         return found(facts.time_order, ruleset, "temporal", "circular_time", F.col("t1"), F.col("t2"))
-    loops = timeline.circular_time(timeline.closure(facts.time_order))
+    loops = partial_order.circular(facts.time_order)
     message = F.format_string("Circular time ordering: %s < %s < %s", *(F.col(c).cast("string") for c in ("t1", "t2", "t1")))
     return found(loops, ruleset, "temporal", "circular_time", F.col("t1"), F.col("t2"), message)
 

@@ -44,12 +44,6 @@ def closure(edges: DataFrame) -> DataFrame:
         size = grown
 
 
-def circular_time(closed: DataFrame) -> DataFrame:
-    """story_id, t1, t2 where each is before the other."""
-    same = F.expr("a.story_id = b.story_id and a.t1 = b.t2 and a.t2 = b.t1")
-    return closed.alias("a").join(closed.alias("b"), same, "left_semi").distinct()
-
-
 #: Levels of what has no bounds, or no rank: one node that all of its keys meet.
 OPEN, UNRANKED = 100, 101
 NODE = "array<struct<level:int,node:bigint>>"
@@ -130,7 +124,9 @@ def together(df: DataFrame, keys: list[str], bucket: int) -> DataFrame:
     start = lambda c: F.coalesce(_cell(c, bucket), F.lit(LEAST))
     ways = F.when(start(other) < start(F.col("from_")), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     met = met.withColumn("turned_", F.explode(ways))
-    side = lambda x, y, c: F.when(F.col("turned_"), F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")).alias(f"{x}_{c}")
+    key = {k: F.col(f"key{n}_") for n, k in enumerate(keys)}  # the same on both sides, and what the rows are dealt by
+    turned = lambda x, y, c: F.when(F.col("turned_"), F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}"))
+    side = lambda x, y, c: (key[c] if c in key else turned(x, y, c)).alias(f"{x}_{c}")
     return met.select(*(side("a", "b", c) for c in df.columns), *(side("b", "a", c) for c in df.columns))
 
 

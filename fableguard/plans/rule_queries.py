@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fableguard.functions import knowledge as K
-from fableguard.operators import documented, fluents, rules, timeline
+from fableguard.operators import documented, fluents, partial_order, rules, timeline
 from fableguard.plans.adapters import HOUR, events_as_story, facts_sql, table
 from fableguard.plans.facts import Facts
 from fableguard.plans.store import FactStore
@@ -201,7 +201,12 @@ def queries() -> dict[str, Query]:
         "meets": _facts(lambda f: timeline.meets(f).groupBy("story_id").agg(F.count("*").alias("n")), True),
         "before": lambda spark, sf_dir: timeline.before(_regions(spark, sf_dir)),
         "before_graph": lambda spark, sf_dir: timeline.closure(_region_edges(spark, sf_dir)),
-        "circular_time": lambda spark, sf_dir: timeline.circular_time(timeline.closure(_region_edges(spark, sf_dir, True))),
+        "circular_time": lambda spark, sf_dir: partial_order.circular(_region_edges(spark, sf_dir, True)),
+        "before_labels": _before_labels,
+        "precedes_partial": _partial(lambda f, o: partial_order.precedes(f, o, by_agent=True)),
+        "dead_agent_partial": _partial(partial_order.dead_agent),
+        "holds_at_partial_base": _partial(lambda f, o: partial_order.holds_at(f, o, "base", _asleep(f))),
+        "holds_at_partial_general": _partial(lambda f, o: partial_order.holds_at(f, o, "general", _asleep(f))),
         "role_arg": _facts(fluents.role_arg),
         "holds_at_interval": _facts(lambda f: fluents.holds_at_interval(f).select("story_id", "pred", "arg", "t"), True),
         "effect_positive": _facts(lambda f: fluents.effects(f, "pos").select("story_id", "pred", "arg", "t")),
@@ -279,6 +284,59 @@ def _region_edges(spark: SparkSession, sf_dir: str, cycle: bool = False) -> Data
     return from_to
 
 
+def _side_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The months in order, and a side way from every June that joins the months again in September."""
+    months = _region_edges(spark, sf_dir)
+    june = _regions(spark, sf_dir).where("t % 12 = 6")
+    out = june.select("story_id", F.col("t").alias("t1"), (F.col("t") + 100_000).alias("t2"))
+    back = june.select("story_id", (F.col("t") + 100_000).alias("t1"), (F.col("t") + 3).alias("t2"))
+    return months.unionByName(out).unionByName(back)
+
+
+def _before_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of points that the side ways and the Januaries' ways back leave in order, told by labels."""
+    edges = _side_edges(spark, sf_dir).unionByName(_region_edges(spark, sf_dir, True)).distinct()
+    points = edges.select("story_id", F.explode(F.array("t1", "t2")).alias("t")).distinct()
+    pairs = points.withColumnRenamed("t", "t1").join(points.withColumnRenamed("t", "t2"), "story_id")
+    return partial_order.Order.of(edges).before(pairs, "t1", "t2")
+
+
+def _partial(f: Callable[[Facts, partial_order.Order], DataFrame]) -> Query:
+    """Nations as stories of their customers' orders, whose time is a month or the side way of a June."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+        month = (F.year(F.col("o_orderdate").cast("date")) * 12 + F.month(F.col("o_orderdate").cast("date"))).cast("long")
+        side = (F.col("m") % 12 == 6) & (F.col("o_orderkey") % 2 == 0)
+        kind = F.when(F.col("o_orderkey") % 11 == 0, "die").when(F.col("o_orderkey") % 3 == 0, "sleep").otherwise("wake")
+        e = o.withColumn("m", month).join(c, o["o_custkey"] == c["c_custkey"]).select(
+            F.col("c_nationkey").cast("string").alias("story_id"), F.col("o_orderkey").alias("event_id"), kind.alias("type"),
+            F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("agent"), F.when(side, F.col("m") + 100_000).otherwise(F.col("m")).alias("t"),
+        )
+        none = F.lit(None)
+        events = e.select("story_id", "event_id", "type", none.cast("string").alias("location"), F.col("t").alias("t_start"), F.col("t").alias("t_end"), none.cast("long").alias("start_ord"), none.cast("long").alias("end_ord"), F.lit(False).alias("requires_focus"))
+        roles = e.select("story_id", "event_id", F.lit("agent").alias("role"), F.col("agent").alias("arg"))
+        return f(Facts(spark, events, roles), partial_order.Order.of(_side_edges(spark, sf_dir)))
+
+    return run
+
+
+def _asleep(facts: Facts) -> DataFrame:
+    """Whether those who act are asleep at the time."""
+    return facts.acts().select("story_id", F.lit("asleep").alias("pred"), F.col("agent").alias("arg"), F.col("t_start").alias("t")).distinct()
+
+
+SIDE = """UNION ALL SELECT story_id, t, t + 100000 FROM m WHERE t % 12 = 6 UNION ALL SELECT story_id, t + 100000, t + 3 FROM m WHERE t % 12 = 6"""
+PARTIAL = """, ev AS (SELECT story_id, event_id, agent, type, CASE WHEN m % 12 = 6 AND event_id % 2 = 0 THEN m + 100000 ELSE m END AS t FROM (
+  SELECT CAST(c_nationkey AS VARCHAR) AS story_id, o_orderkey AS event_id, 'c' || o_custkey AS agent,
+    CASE WHEN o_orderkey % 11 = 0 THEN 'die' WHEN o_orderkey % 3 = 0 THEN 'sleep' ELSE 'wake' END AS type,
+    CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS m FROM orders JOIN customer ON o_custkey = c_custkey)),
+asked AS (SELECT DISTINCT story_id, 'asleep' AS pred, agent AS arg, t FROM ev),
+later AS (SELECT DISTINCT a.* FROM asked a JOIN ev s ON s.story_id = a.story_id AND s.agent = a.arg AND s.type = 'sleep' JOIN p ON p.story_id = a.story_id AND p.t1 = s.t AND p.t2 = a.t),
+here AS (SELECT DISTINCT a.* FROM asked a JOIN ev s ON s.story_id = a.story_id AND s.agent = a.arg AND s.type = 'sleep' AND s.t = a.t),
+off AS (SELECT DISTINCT a.* FROM asked a JOIN ev s ON s.story_id = a.story_id AND s.agent = a.arg AND s.type = 'wake' JOIN p ON p.story_id = a.story_id AND p.t1 = s.t AND p.t2 = a.t),
+now AS (SELECT DISTINCT a.* FROM asked a JOIN ev s ON s.story_id = a.story_id AND s.agent = a.arg AND s.type = 'wake' AND s.t = a.t) """
+
 MONTHS = "WITH RECURSIVE m AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS story_id, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS t FROM orders JOIN customer ON o_custkey = c_custkey)"
 EDGES = ", l AS (SELECT story_id, t AS t1, lead(t) OVER (PARTITION BY story_id ORDER BY t) AS t2 FROM m), g AS (SELECT * FROM l WHERE t2 IS NOT NULL {more}), p(story_id, t1, t2) AS (SELECT * FROM g UNION SELECT p.story_id, p.t1, g.t2 FROM p JOIN g ON p.story_id = g.story_id AND p.t2 = g.t1) "
 BACK = "UNION ALL SELECT story_id, t2, t1 FROM l WHERE t2 % 12 = 1"
@@ -330,6 +388,7 @@ def oracle_sql() -> dict[str, str]:
             unmet = HOLDS.format(op="<=" if r == "base" else "=").rstrip() + f", unmet AS (SELECT DISTINCT a.story_id, 'causality' AS category, '{'missing_precondition' if r == 'v2' else 'precondition_not_met'}' AS type, CAST(a.event_id AS VARCHAR) AS subject, 'asleep' AS detail FROM asked a WHERE {ask} AND NOT EXISTS (SELECT 1 FROM state s WHERE {met}))" + (f", violated AS ({violated})\n" if r == "base" else "\n")
         out[f"violations_{r}"] = f + unmet + f"SELECT DISTINCT '{r}' AS ruleset, * FROM (" + " UNION ALL ".join(x for x in parts if x) + ")"
     pair = "SELECT a.story_id, a.event_id AS e1, b.event_id AS e2 FROM e a JOIN e b ON a.story_id = b.story_id AND a.agent = b.agent AND a.event_id <> b.event_id AND "
+    ordered = MONTHS + EDGES.format(more=SIDE) + PARTIAL
     whole = pair.replace("a.agent = b.agent AND ", "")
     effects = lambda verbs: f"SELECT DISTINCT story_id, CASE WHEN type IN ('open', 'close') THEN 'open' WHEN type IN ('lock', 'unlock') THEN 'locked' ELSE 'asleep' END AS pred, CASE WHEN type IN ('sleep', 'wake') THEN agent ELSE patient END AS arg, t_end AS t FROM e WHERE type IN {_in(verbs)}"
     points = "SELECT story_id, t_start AS t FROM e UNION SELECT story_id, t_end FROM e"
@@ -346,6 +405,11 @@ def oracle_sql() -> dict[str, str]:
         "before": MONTHS + " SELECT a.story_id, a.t AS t1, b.t AS t2 FROM m a JOIN m b ON a.story_id = b.story_id AND a.t < b.t",
         "before_graph": MONTHS + EDGES.format(more="") + "SELECT * FROM p",
         "circular_time": MONTHS + EDGES.format(more=BACK) + "SELECT DISTINCT a.* FROM p a JOIN p b ON a.story_id = b.story_id AND a.t1 = b.t2 AND a.t2 = b.t1",
+        "before_labels": MONTHS + EDGES.format(more=BACK + " " + SIDE) + "SELECT * FROM p",
+        "precedes_partial": ordered + "SELECT DISTINCT a.story_id, a.event_id AS e1, b.event_id AS e2 FROM ev a JOIN ev b ON a.story_id = b.story_id AND a.agent = b.agent JOIN p ON p.story_id = a.story_id AND p.t1 = a.t AND p.t2 = b.t",
+        "dead_agent_partial": ordered + "SELECT DISTINCT e.story_id, e.event_id, e.agent FROM ev e JOIN ev d ON d.story_id = e.story_id AND d.agent = e.agent AND d.type = 'die' JOIN p ON p.story_id = e.story_id AND p.t1 = d.t AND p.t2 = e.t",
+        "holds_at_partial_base": ordered + "SELECT * FROM here UNION (SELECT * FROM later EXCEPT SELECT * FROM now EXCEPT SELECT * FROM off)",
+        "holds_at_partial_general": ordered + "SELECT * FROM here UNION (SELECT * FROM later EXCEPT SELECT * FROM now)",
         "role_arg": f + "SELECT DISTINCT story_id, event_id, 'agent' AS role, agent AS arg FROM e UNION SELECT story_id, event_id, 'patient', patient FROM e",
         "holds_at_interval": h + f"SELECT DISTINCT e.story_id, 'tired' AS pred, agent AS arg, p.t FROM e JOIN ({points}) p ON p.story_id = e.story_id AND p.t BETWEEN e.t_start AND e.t_end WHERE type = 'sleep' UNION SELECT DISTINCT story_id, pred, arg, t_start FROM stated WHERE pred = 'open'",
         "effect_positive": f + effects(["open", "lock", "sleep"]),
