@@ -77,18 +77,49 @@ def focus_overlap(facts: Facts) -> DataFrame:
     return found(both, SET, "coherence", "focus_overlap", F.col("a_event_id"), F.col("b_event_id"))
 
 
-def at_during(facts: Facts) -> DataFrame:
-    """story_id, entity, location, event_id: places that fluents at(entity_place) state at the start of a character's events.
+def stated_places(facts: Facts) -> DataFrame:
+    """story_id, agent, place, start_ord, end_ord of fluents ``at(who, where)``, by their argument lists."""
+    at = facts.fluents.where("pred = 'at' and size(args) = 2")
+    return at.select("story_id", F.col("args")[0].alias("agent"), F.col("args")[1].alias("place"), "start_ord", "end_ord")
+
 
-    The place is the fluent's argument and the character its predicate's rest: ``at_ann(cave)``.
+def place_at(facts: Facts, asked: DataFrame) -> DataFrame:
+    """asked (story_id, agent, t_ord, ...) with the place that is stated for the agent at that point.
+
+    An as-of lookup: of what starts at or before the point the latest counts (several places, if they start together),
+    as long as it has not ended. What has no start holds from the beginning, what has no end until the next statement.
+    Statements and questions are merged in order of time, so each is read once.
     """
-    stated = facts.fluents.where("pred like 'at\\_%'").select("story_id", F.substring("pred", 4, 1000).alias("agent"), F.col("arg").alias("place"), F.col("start_ord").alias("low"), F.col("end_ord").alias("high"))
-    inside = ~timeline.lt(F.col("start_ord"), F.col("low")) & ~timeline.lt(F.col("high"), F.col("start_ord"))
-    acts = facts.acts().select("story_id", "agent", "event_id", "start_ord")
-    return acts.join(stated, ["story_id", "agent"]).where(inside).select("story_id", F.col("agent").alias("entity"), F.col("place").alias("location"), "event_id").distinct()
+    start = F.coalesce("start_ord", F.lit(timeline.LEAST)).alias("t_ord")
+    said = stated_places(facts).groupBy("story_id", "agent", start).agg(F.collect_set(F.struct("place", "end_ord")).alias("said"))
+    more = [c for c in asked.columns if c not in ("story_id", "agent", "t_ord")]
+    rows = asked.withColumn("asks", F.lit(1)).unionByName(said.withColumn("asks", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy("story_id", "agent").orderBy("t_ord", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = rows.withColumn("latest", F.last("said", ignorenulls=True).over(order)).where("asks = 1 and t_ord is not null")
+    told = told.select("story_id", "agent", "t_ord", *more, F.explode("latest").alias("x")).where(~timeline.lt(F.col("x.end_ord"), F.col("t_ord")))
+    return told.select("story_id", "agent", "t_ord", *more, "x.place")
+
+
+def at_during(facts: Facts) -> DataFrame:
+    """story_id, entity, location, event_id: where agents are in their events, by the event or by what fluents state at its start."""
+    acts = facts.acts()
+    told = acts.where("location is not null").select("story_id", F.col("agent").alias("entity"), "location", "event_id")
+    asked = acts.select("story_id", "agent", F.col("start_ord").alias("t_ord"), "event_id").distinct()
+    stated = place_at(facts, asked).select("story_id", F.col("agent").alias("entity"), F.col("place").alias("location"), "event_id")
+    return told.unionByName(stated).distinct()
+
+
+def ubiquity(facts: Facts) -> DataFrame:
+    """Characters in two places at a time, by their events' places or stated ones: in two overlapping acts, or within one."""
+    cast = facts.characters.select("story_id", F.col("id").alias("agent")).distinct()
+    at = at_during(facts).withColumnRenamed("entity", "agent").join(cast, ["story_id", "agent"], "left_semi")
+    when = facts.events.select("story_id", "event_id", "start_ord", "end_ord").distinct()
+    both = timeline.together(at.join(when, ["story_id", "event_id"]), ["story_id", "agent"], facts.bucket)
+    both = both.where("a_location <> b_location and a_event_id <= b_event_id").withColumnRenamed("a_story_id", "story_id")
+    return found(both, SET, "location", "ubiquity", F.col("a_event_id"), F.col("b_event_id"))
 
 
-RULES: dict[str, Callable[[Facts], DataFrame]] = {f.__name__: f for f in (possession, dead_agent, claustrophobia, acrophobia, aquaphobia, focus_overlap)}
+RULES: dict[str, Callable[[Facts], DataFrame]] = {f.__name__: f for f in (possession, dead_agent, claustrophobia, acrophobia, aquaphobia, focus_overlap, ubiquity)}
 
 
 def check(facts: Facts) -> DataFrame:

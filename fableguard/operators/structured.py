@@ -78,14 +78,15 @@ def entities(stories: DataFrame, kind: str) -> DataFrame:
 
 
 def fluents(stories: DataFrame) -> DataFrame:
-    """story_id, pred, arg, t_start, t_end, negated. Terms with one argument keep it; others keep their name alone."""
+    """story_id, pred, arg, args, t_start, t_end, negated. ``arg`` is the argument of terms with one, ``args`` has all."""
     x = _rows(stories, "fluents")
     made = F.when(F.col("x.name").isNotNull(), F.concat(F.col("x.name"), F.lit("("), F.array_join(F.coalesce("x.args", F.array().cast("array<string>")), ","), F.lit(")")))
     made = F.coalesce(F.col("x.id"), made, F.concat(F.col("x.property"), F.lit("("), F.col("x.entity"), F.lit(")")))
     x = x.withColumn("term", parse_term(made)).where("term is not null and term.functor is not null")
     arg = F.when(F.size("term.args") == 1, sanitize_symbol(F.col("term.args")[0]))
+    args = F.transform("term.args", sanitize_symbol)
     time = lambda *cs: sanitize_symbol(F.coalesce(*cs, F.lit("t_unknown")))
-    return x.select("story_id", sanitize_symbol(F.col("term.functor")).alias("pred"), arg.alias("arg"), time("x.time.start", "x.start", "x.time_start").alias("t_start"), time("x.time.end", "x.end", "x.time_end").alias("t_end"), F.col("term.negated").alias("negated"))
+    return x.select("story_id", sanitize_symbol(F.col("term.functor")).alias("pred"), arg.alias("arg"), args.alias("args"), time("x.time.start", "x.start", "x.time_start").alias("t_start"), time("x.time.end", "x.end", "x.time_end").alias("t_end"), F.col("term.negated").alias("negated"))
 
 
 def relationships(stories: DataFrame, strict: bool = False) -> DataFrame:

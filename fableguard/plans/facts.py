@@ -14,7 +14,7 @@ SCHEMAS = {
     "characters": "story_id string, id string",
     "objects": "story_id string, id string, obj_type string",
     "locations": "story_id string, id string",
-    "fluents": "story_id string, pred string, arg string, t_start bigint, t_end bigint, start_ord bigint, end_ord bigint",
+    "fluents": "story_id string, pred string, arg string, args array<string>, t_start TIME, t_end TIME, start_ord bigint, end_ord bigint",
     "time_points": "story_id string, t bigint, t_ord bigint",
     "traits": "story_id string, character string, trait string",
     "relationships": "story_id string, rel string, src string, dst string",
@@ -59,7 +59,7 @@ class Facts:
     """events: story_id, event_id, type, location, t_start, t_end, start_ord, end_ord, requires_focus.
 
     event_role: story_id, event_id, role, arg. Ords rank the time points of a story; null ones are comparable with none.
-    ``bucket`` is the width, in ords, of the time slices that interval joins deal their rows over. ``scope`` is the story
+    ``bucket`` is the width, in ords, of the cells that interval joins look rows up in. ``scope`` is the story
     that a rule or a distance belongs to, or ``*`` where it belongs to all.
     """
 
@@ -73,7 +73,10 @@ class Facts:
     def __getattr__(self, name: str) -> DataFrame:
         tables = self.__dict__.get("tables", {})
         if name in tables:
-            return tables[name]
+            table = tables[name]
+            if name == "fluents" and "args" not in table.columns:
+                return table.withColumn("args", F.array("arg"))
+            return table
         if name == "effects":
             return everywhere(small(self.spark, K.EFFECTS, "type", "polarity", "prop", "role"))
         if name == "preconditions":

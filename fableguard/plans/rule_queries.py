@@ -97,6 +97,15 @@ def rule_sql(name: str, r: str) -> str | None:
     return None
 
 
+#: Where agents are, by the event or by where they have travelled last.
+STATED = f"""
+, went AS (SELECT story_id, agent, t_end AS since, CASE WHEN event_id % 2 = 0 THEN t_end + {2 * HOUR} END AS until, 'l' || (event_id % 5) AS place FROM e WHERE type = 'travel'),
+last AS (SELECT e.story_id, e.agent, e.event_id, e.t_start, max(w.since) AS since FROM e JOIN went w ON w.story_id = e.story_id AND w.agent = e.agent AND w.since <= e.t_start GROUP BY ALL),
+stood AS (SELECT story_id, agent AS entity, location, event_id FROM e UNION
+  SELECT l.story_id, l.agent, w.place, l.event_id FROM last l JOIN went w ON w.story_id = l.story_id AND w.agent = l.agent AND w.since = l.since AND (w.until IS NULL OR w.until >= l.t_start)),
+placed AS (SELECT s.*, e.t_start, e.t_end FROM stood s JOIN e ON e.story_id = s.story_id AND e.event_id = s.event_id)
+"""
+
 #: holds_at as the recursive definition, for the points at which someone wakes or travels.
 HOLDS = """
 , asked AS (SELECT DISTINCT story_id, agent, event_id, t_start AS t, type FROM e WHERE type IN ('wake', 'travel')),
@@ -151,6 +160,10 @@ def _agent_pairs(relation: Callable[[DataFrame, list[str], int], DataFrame]) ->
     return run
 
 
+def _typed_places(name: str) -> Query:
+    return lambda spark, sf_dir: documented.RULES[name](_with_traits(events_as_story(spark, sf_dir, places=True))).select(*COLS)
+
+
 def _lineitem_story(spark: SparkSession, sf_dir: str) -> Facts:
     """Each customer's orders and shipments: an order must precede its shipments."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
@@ -223,7 +236,16 @@ def queries() -> dict[str, Query]:
         "possession_documented": _facts(lambda f: documented.possession(f).select(*COLS)),
         "dead_agent_documented": _facts(lambda f: documented.dead_agent(f).select(*COLS), True),
         "focus_overlap_documented": _facts(lambda f: documented.focus_overlap(f).select(*COLS), True),
-        "pacifist_documented": _facts(lambda f: documented.pacifist(_with_pacifists(f)).select(*COLS)),
+        "pacifist_documented": _facts(lambda f: documented.pacifist(_with_traits(f)).select(*COLS)),
+        "vegetarian_documented": _facts(lambda f: documented.vegetarian(_with_traits(f)).select(*COLS)),
+        "self_talk_documented": _facts(lambda f: documented.self_talk(_talking(f)).select(*COLS)),
+        "dead_agent_ghosts": _facts(lambda f: documented.dead_agent(_with_traits(f)).select(*COLS), True),
+        "at_during_stated": _facts(lambda f: documented.at_during(_travelled(f))),
+        "ubiquity_documented": _facts(lambda f: documented.ubiquity(_travelled(f)).select(*COLS)),
+    }
+    for name in ("claustrophobia", "acrophobia", "aquaphobia"):
+        out[f"{name}_documented"] = _typed_places(name)
+    out |= {
         "has_after": _facts(lambda f: fluents.has_after(f, K.ACQUIRING)),
         "at_during": _facts(lambda f: rules.at_during(f, "general")),
         "is_travel_event": _facts(lambda f: f.events.where(F.col("type").isin(K.TRAVEL["narrative"])).select("story_id", "event_id")),
@@ -265,9 +287,40 @@ def _all_fluents(facts: Facts) -> DataFrame:
     return at.select("story_id", preds.alias("pred"), "arg", F.col("t_start").alias("t"), F.col("start_ord").alias("t_ord")).distinct()
 
 
-def _with_pacifists(facts: Facts) -> Facts:
-    own = facts.characters.where("cast(substring(id, 2) as long) % 6 = 0").select("story_id", F.col("id").alias("character"), F.lit("pacifist").alias("trait"))
-    return Facts(facts.spark, facts.events, facts.event_role, facts.bucket, facts.tables | {"traits": facts.traits.unionByName(own)})
+def _replaced(facts: Facts, **tables: DataFrame) -> Facts:
+    """The facts with other tables; events and event_role count as tables too."""
+    events, roles = tables.pop("events", facts.events), tables.pop("event_role", facts.event_role)
+    return Facts(facts.spark, events, roles, facts.bucket, facts.tables | tables)
+
+
+def _with_traits(facts: Facts) -> Facts:
+    """Some characters are pacifists, vegetarians, ghosts or afraid of narrow places; some things are of meat; places have kinds."""
+    number = F.expr("cast(substring(id, 2) as long)")
+    has = [("pacifist", 6, 0), ("vegetarian", 4, 1), ("ghost", 3, 2), ("claustrophobic", 5, 3)]
+    trait = F.explode(F.array_compact(F.array(*(F.when(number % m == r, F.lit(t)) for t, m, r in has))))
+    own = facts.characters.select("story_id", F.col("id").alias("character"), trait.alias("trait"))
+    meat = facts.objects.where(number % 8 == 3).select("story_id", "id", F.lit("meat").alias("obj_type"))
+    kinds = facts.locations.select("story_id", F.col("id").alias("location"), F.col("id").alias("kind"))
+    return _replaced(facts, traits=facts.traits.unionByName(own), objects=facts.objects.unionByName(meat), location_types=kinds)
+
+
+def _talking(facts: Facts) -> Facts:
+    """Help is talk, and half of the helpers are spoken to themselves."""
+    events = facts.events.withColumn("type", F.when(F.col("type") == "help", "talk").otherwise(F.col("type")))
+    own = facts.event_role.where("role = 'agent' and event_id % 2 = 0").withColumn("role", F.lit("patient"))
+    return _replaced(facts, events=events, event_role=facts.event_role.unionByName(own))
+
+
+def _travelled(facts: Facts) -> Facts:
+    """Who has travelled is stated to be somewhere from then on, half of them for two hours only."""
+    went = facts.acts().where("type = 'travel'")
+    ends = F.when(F.col("event_id") % 2 == 0, F.col("t_end") + 2 * HOUR)
+    place = F.concat(F.lit("l"), (F.col("event_id") % 5).cast("string"))
+    at = went.select(
+        "story_id", F.lit("at").alias("pred"), F.lit(None).cast("string").alias("arg"), F.array("agent", place).alias("args"),
+        F.col("t_end").alias("t_start"), ends.alias("t_end"), F.col("t_end").alias("start_ord"), ends.alias("end_ord"),
+    )
+    return _replaced(facts, fluents=at)
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,6 +478,14 @@ def oracle_sql() -> dict[str, str]:
         "dead_agent_documented": h + _finding("coherence", "dead_agent", "e.event_id", "e.agent", "FROM e WHERE e.type <> 'die' AND EXISTS (SELECT 1 FROM e k WHERE k.story_id = e.story_id AND k.t_end <= e.t_start AND ((k.type = 'die' AND k.agent = e.agent) OR (k.type = 'kill' AND k.patient = e.agent)))").format(s="e"),
         "focus_overlap_documented": h + _finding("coherence", "focus_overlap", "a.event_id", "b.event_id", f"FROM e a JOIN e b ON a.story_id = b.story_id AND a.agent = b.agent AND a.event_id < b.event_id AND a.type = 'read' AND b.type = 'read' AND {OVERLAP}").format(s="a"),
         "pacifist_documented": f + _finding("coherence", "pacifist", "e.event_id", "NULL", "FROM e WHERE e.type IN ('attack', 'kill') AND e.user_id % 6 = 0").format(s="e"),
+        "vegetarian_documented": f + _finding("coherence", "dietary", "e.event_id", "NULL", "FROM e WHERE e.type = 'eat' AND e.user_id % 4 = 1 AND e.k % 8 = 3 AND e.k < 120").format(s="e"),
+        "self_talk_documented": f + _finding("coherence", "self_talk", "e.event_id", "NULL", "FROM e WHERE e.type = 'help' AND (e.event_id % 2 = 0 OR e.patient = e.agent)").format(s="e"),
+        "dead_agent_ghosts": h + _finding("coherence", "dead_agent", "e.event_id", "e.agent", "FROM e WHERE e.type <> 'die' AND e.user_id % 3 <> 2 AND EXISTS (SELECT 1 FROM e k WHERE k.story_id = e.story_id AND k.t_end <= e.t_start AND ((k.type = 'die' AND k.agent = e.agent) OR (k.type = 'kill' AND k.patient = e.agent)))").format(s="e"),
+        "at_during_stated": f + STATED + "SELECT * FROM stood",
+        "ubiquity_documented": f + STATED + _finding("location", "ubiquity", "a.event_id", "b.event_id", f"FROM placed a JOIN placed b ON a.story_id = b.story_id AND a.entity = b.entity AND a.event_id <= b.event_id AND a.location <> b.location AND {OVERLAP}").format(s="a"),
+        "claustrophobia_documented": p + _finding("coherence", "claustrophobia", "e.event_id", "NULL", f"FROM e WHERE e.user_id % 5 = 3 AND e.location IN {_in(K.ENCLOSED_KINDS)}").format(s="e"),
+        "acrophobia_documented": p + _finding("coherence", "acrophobia", "e.event_id", "NULL", f"FROM e WHERE e.user_id % 7 = 0 AND e.location IN {_in(K.HIGH_KINDS)}").format(s="e"),
+        "aquaphobia_documented": p + _finding("coherence", "aquaphobia", "e.event_id", "NULL", f"FROM e WHERE e.user_id % 5 = 0 AND e.location IN {_in(K.WATER_KINDS)}").format(s="e"),
         "caused_narrative": f + "SELECT story_id, min(event_id) AS event_id FROM e GROUP BY story_id UNION SELECT story_id, event_id FROM e x WHERE k % 9 = 4 OR EXISTS (SELECT 1 FROM e c WHERE c.story_id = x.story_id AND c.agent = x.agent AND c.event_type = 'click' AND (c.t_start < x.t_start OR (c.t_start = x.t_start AND c.event_id < x.event_id)))",
         "requires": f + "SELECT DISTINCT story_id, event_id, 'asleep' AS pred, agent AS arg, t_start AS t FROM e WHERE type = 'wake'",
         "has_after": f + f"SELECT DISTINCT story_id, agent, patient AS object, t_end AS t FROM e WHERE type IN {_in(K.ACQUIRING)}",

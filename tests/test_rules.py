@@ -23,42 +23,68 @@ def found(df):
     return sorted((r["type"], r["subject"], r["detail"]) for r in df.collect())
 
 
-SMITHY = {
-    "entities": {"characters": [{"id": "bram"}], "objects": [{"id": "ingot", "type": "metal"}], "locations": [{"id": "forge"}, {"id": "quay"}]},
+#: Three people: one who can't see reads and dies, one hurts whom she loves while she is elsewhere, one sleeps and wakes.
+HARBOUR = {
+    "entities": {
+        "characters": [{"id": "mara"}, {"id": "joss"}, {"id": "tilde"}],
+        "objects": [{"id": "lamp", "type": "glass"}, {"id": "rope", "type": "tool"}],
+        "locations": [{"id": "pier"}, {"id": "attic"}, {"id": "loft"}],
+    },
     "events": [
-        event("e1", "arrive", "bram", "t10", "t20", location="forge"),
-        event("e2", "eat", "bram", "t20", "t30", patient="ingot", location="forge", requires_focus=True),
-        event("e3", "row", "bram", "t50", "t70", location="quay", requires_focus=True),
-        event("e4", "carve", "bram", "t50", "t70", location="quay", requires_focus=True),
+        event("e1", "sleep", "joss", "t1", "t2", location="loft"),
+        event("e2", "read", "tilde", "t1", "t3", location="pier"),
+        event("e3", "wake", "joss", "t2", "t4", location="loft"),
+        event("e4", "attack", "mara", "t3", "t5", patient="tilde", instrument="rope", location="pier"),
+        event("e5", "whistle", "mara", "t4", "t6", location="attic"),
+        event("e6", "die", "tilde", "t5", "t6"),
+        event("e7", "sing", "tilde", "t7", "t8", location="loft"),
+        event("e8", "wake", "mara", "t8"),
     ],
-    "fluents": [{"id": "soaked(bram)", "time": {"start": "t5", "end": "t30"}}],
-    "rules": [{"type": "precondition", "head": "eat(X,Y)", "body": ["cooled(Y)"]}, {"type": "causes", "head": "eat(X,Y)", "body": ["not(soaked(X))"]}],
+    "fluents": [{"id": "wet(mara)", "time": {"start": "t3", "end": "t5"}}],
+    "traits": [{"character": "tilde", "trait": "blind"}],
+    "relationships": [{"type": "loves", "from": "mara", "to": "tilde"}],
 }
 
 
-def test_smithy(spark):
-    facts = story(spark, **SMITHY)
-    assert found(rules.check(facts, "base")) == [("focus_overlap", "e3", "e4"), ("non_edible_food", "e2", None), ("precondition_not_met", "e2", "cooled")]
-    assert found(rules.check(facts, "general")) == [("effect_without_cause", "fluent(soaked,bram)", "t5"), ("focus_overlap", "e3", "e4"), ("non_edible_food", "e2", "ingot")]
-    pairs = lambda df: sorted((r["e1"], r["e2"]) for r in df.collect())
-    assert pairs(timeline.overlap(facts)) == [("e1", "e2"), ("e2", "e1"), ("e3", "e4"), ("e4", "e3")]
-    assert pairs(timeline.precedes(facts)) == [("e1", "e3"), ("e1", "e4"), ("e2", "e3"), ("e2", "e4")]
-    assert pairs(timeline.meets(facts)) == [("e1", "e2")]
-    holds = lambda r: sorted(x["t"] for x in fluents.holds_at(facts, r).where("pred = 'soaked'").collect())
-    assert holds("base") == ["t10", "t20", "t30", "t5"]
-    assert holds("general") == ["t10", "t20", "t30", "t5", "t50", "t70"]
+def test_harbour(spark):
+    facts = story(spark, **HARBOUR)
+    base = [("dead_agent", "e7", None), ("physical_impossibility", "e2", None), ("precondition_not_met", "e8", "asleep"), ("ubiquity", "e4", "e5"), ("ubiquity", "e5", "e4")]
+    assert found(rules.check(facts, "base")) == base
+    general = [("chekhov_gun", "lamp", "lamp"), ("dead_agent", "e7", "tilde"), ("effect_without_cause", "fluent(wet,mara)", "t3"), ("harm_loved", "e4", "tilde")]
+    general += [("physical_impossibility", "e2", "blind"), ("ubiquity", "e4", "e5")]
+    assert found(rules.check(facts, "general")) == general
+    pairs = lambda df: sorted((r["e1"][1], r["e2"][1]) for r in df.collect())
+    one_way = ["12", "13", "23", "24", "34", "35", "45", "46", "56", "78"]
+    assert pairs(timeline.overlap(facts)) == sorted([(a, b) for a, b in one_way] + [(b, a) for a, b in one_way])
+    after = {"1": "45678", "2": "5678", "3": "678", "4": "78", "5": "78", "6": "78"}
+    assert pairs(timeline.precedes(facts)) == sorted((a, b) for a, bs in after.items() for b in bs)
+    assert pairs(timeline.meets(facts)) == [("1", "3"), ("2", "4"), ("3", "5"), ("4", "6"), ("7", "8")]
+    holds = lambda r, pred: sorted(x["t"] for x in fluents.holds_at(facts, r).where(f"pred = '{pred}'").collect())
+    assert holds("base", "asleep") == ["t2", "t3"]
+    assert holds("general", "asleep") == ["t2", "t3", "t5", "t6", "t7", "t8"]
+    assert holds("base", "wet") == holds("general", "wet") == ["t3", "t4", "t5", "t6", "t7", "t8"]
 
 
 def test_rules_and_distances_stay_in_their_story(spark):
-    plain = {k: v for k, v in SMITHY.items() if k != "rules"} | {"events": [event("e1", "eat", "bram", "t1", patient="ingot", location="forge"), event("e2", "rest", "bram", "t1", location="quay")]}
-    far = SMITHY | {"location_graph": [{"relation": "distant", "from": "forge", "to": "quay"}]}
+    plain = HARBOUR | {"events": [event("e1", "sing", "mara", "t1", location="pier"), event("e2", "rest", "mara", "t1", location="attic")]}
+    far = HARBOUR | {"rules": [{"type": "precondition", "head": "sing(X)", "body": ["ready(X)"]}], "location_graph": [{"relation": "distant", "from": "attic", "to": "pier"}]}
     docs = spark.createDataFrame([("a", json.dumps(far)), ("b", json.dumps(plain))], "story_id string, json string")
     both = structured.load(parse_stories(docs, "story_id", "json"))
     asked = rules.check(both, "base", ["precondition_not_met"]).collect()
-    assert {(r["story_id"], r["subject"]) for r in asked} == {("a", "e2")}
+    assert {(r["story_id"], r["subject"]) for r in asked} == {("a", "e7"), ("a", "e8")}
     assert rules.impossible_travel(both, "general").collect() == []
 
 
+def test_stated_places(spark):
+    """Places of fluents with two arguments, looked up as of an event's start; a later statement replaces an earlier one."""
+    events = [event("e1", "rest", "mara", "t1", location="pier"), event("e2", "rest", "mara", "t2", "t3"), event("e3", "rest", "mara", "t4", location="loft")]
+    stated = [{"id": "at(mara, attic)", "time": {"start": "t2", "end": "t3"}}, {"name": "at", "args": ["mara", "Loft"], "time": {"start": "t3", "end": "t4"}}]
+    facts = story(spark, entities=HARBOUR["entities"], events=[*events, event("e4", "rest", "mara", "t3", location="pier")], fluents=stated)
+    got = sorted((r["event_id"], r["location"]) for r in documented.at_during(facts).collect())
+    assert got == [("e1", "pier"), ("e2", "attic"), ("e3", "loft"), ("e4", "loft"), ("e4", "pier")]
+    assert [x for x in found(documented.check(facts)) if x[0] == "ubiquity"] == [("ubiquity", "e2", "e4"), ("ubiquity", "e4", "e4")]
+
+
 def test_documented(spark):
     events = [event("e1", "take", "ann", "t1", patient="cup"), event("e2", "give", "ann", "t2", patient="cup", recipient="bo"), event("e3", "drop", "ann", "t3", patient="cup"), event("e4", "drop", "bo", "t4", patient="cup")]
     events += [event("e5", "cut", "bo", "t5", instrument="saw"), event("e6", "die", "bo", "t6"), event("e7", "walk", "bo", "t6"), event("e8", "enter", "ann", "t7", destination="den"), event("e9", "die", "cy", "t6"), event("e10", "walk", "cy", "t8")]
