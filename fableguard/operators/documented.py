@@ -124,7 +124,7 @@ RULES: dict[str, Callable[[Facts], DataFrame]] = {f.__name__: f for f in (posses
 
 def check(facts: Facts) -> DataFrame:
     """All findings of the documented ruleset."""
-    out = None
+    facts, out = rules.once(facts), None
     for f in RULES.values():
         out = f(facts) if out is None else out.unionByName(f(facts))
     return out.withColumn("ruleset", F.lit(SET)).distinct()

@@ -204,6 +204,46 @@ def event_lookup(refs: DataFrame, events: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in told})
 
 
+def keywords_of(description: Column) -> Column:
+    """What a description quotes, then its capitalised words: three letters at least, each once whatever its case."""
+    found = [F.regexp_extract_all(description, F.lit(p), F.lit(1)) for p in ('"([^"]+)"', "'([^']+)'", r"\b([A-Z][a-z]+)\b")]
+    long = F.filter(F.concat(*found), lambda w: F.length(w) >= 3)
+    numbered = F.transform(long, lambda w, k: F.struct(w.alias("word"), k.alias("at")))
+    lowered = F.transform(long, F.lower)
+    return F.transform(F.filter(numbered, lambda x: F.array_position(lowered, F.lower(x["word"])) == x["at"] + 1), lambda x: x["word"])
+
+
+def fragments_by_keyword(text: Column, description: Column, context: int = 200, each: int = 2, most: int = 5) -> Column:
+    """Array of (keyword, start, end, text): the sentences of the text around the keywords of a description.
+
+    Of each keyword the first ``each`` places count, in any case, ``most`` of all in the keywords' order. A fragment has ``context``
+    characters on both sides and goes on to the ends of its sentences; one of 20 characters or less is none. Start counts from 0, end is
+    exclusive. A place is looked up after the one before, so the work is a few passes over the text for each keyword.
+    """
+    plain, size = F.lower(text), F.length(text)
+
+    def piece(word: Column, at: Column) -> Column:
+        low, high = F.greatest(F.lit(0), at - 1 - context), F.least(size, at - 1 + F.length(word) + context)
+        left = F.substring(text, F.lit(1), low + 1)
+        tail = F.length(F.regexp_extract(left, r"[^.!?\n]*$", 0))
+        start = F.when(low == 0, 0).otherwise(F.greatest(F.lit(0), F.length(left) - tail - 1))
+        end = high + F.length(F.regexp_extract(F.substring(text, high + 1, size), r"^[^.!?\n]*", 0))
+        cut = F.regexp_replace(F.substring(text, start + 1, end - start), r"^\s+|\s+$", "")
+        return F.struct(word.alias("keyword"), start.cast("int").alias("start"), end.cast("int").alias("end"), cut.alias("text"))
+
+    def of(word: Column) -> Column:
+        step = lambda acc, _: F.when(F.element_at(acc, -1) == 0, acc).otherwise(F.array_append(acc, _locate(F.lower(word), plain, F.element_at(acc, -1) + F.length(word))))
+        at = F.aggregate(F.sequence(F.lit(2), F.lit(each)), F.array(_locate(F.lower(word), plain, F.lit(1))), step) if each > 1 else F.array(_locate(F.lower(word), plain, F.lit(1)))
+        return F.transform(F.filter(at, lambda a: a > 0), lambda a: piece(word, a))
+
+    every = F.flatten(F.transform(keywords_of(description), of))
+    return F.slice(F.filter(every, lambda x: F.length(x["text"]) > 20), 1, most)
+
+
+def _locate(word: Column, text: Column, start: Column) -> Column:
+    return F.call_function("locate", word, text, start)
+
+
 # --- model responses
 
 
@@ -236,7 +276,7 @@ REPORT = "STRUCT<error_count: BIGINT, errors: ARRAY<STRUCT<id: STRING, category:
 
 
 def parse_lint(c: Column) -> Column:
-    """The report in a response, raw control characters allowed; null where there is none."""
+    """The report in a response, raw control characters allowed; null where there is none (answers.parse_answers tells why)."""
     return F.from_json(c, REPORT, {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE"})
 
 

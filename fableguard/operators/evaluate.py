@@ -92,6 +92,26 @@ def fold_evaluate(errors: DataFrame, folds: DataFrame) -> DataFrame:
     return both.groupBy("k", "fold", "source").agg(total(~known)("true_positives"), total(known)("filtered"))
 
 
+def fold_evaluate_slices(errors: DataFrame, items: DataFrame, ks: list[int], group: list[str], item: str) -> DataFrame:
+    """k, fold, source, true_positives, filtered over contiguous folds of the items of each group, k up to their number.
+
+    items: group, item, rn (from 1), n of its group. A fold's training items lie outside its slice, so a signature is known to
+    training if its least or its greatest holder among the originals does: two numbers a signature, however many items there are.
+    With one fold all items train. Folds of several groups are counted together.
+    """
+    at = errors.join(items, [*group, item])
+    holders = at.where("variant = 'original'").groupBy(*group, "source", "sig").agg(F.min("rn").alias("low"), F.max("rn").alias("high"))
+    test = at.where("variant = 'modified'").groupBy(*group, "source", "sig", "rn", "n").agg(F.count("*").alias("errors"))
+    both = test.join(holders, [*group, "source", "sig"], "left").withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("k <= n")
+    size = F.floor(F.col("n") / F.col("k"))
+    both = both.withColumn("fold", F.least(F.floor((F.col("rn") - 1) / size), F.col("k") - 1).cast("int"))
+    first = F.col("fold") * size + 1
+    last = F.when(F.col("fold") == F.col("k") - 1, F.col("n")).otherwise(first + size - 1)
+    known = F.coalesce((F.col("k") == 1) & F.col("low").isNotNull() | (F.col("low") < first) | (F.col("high") > last), F.lit(False))
+    total = lambda c: F.sum(F.when(c, F.col("errors")).otherwise(0)).alias
+    return both.groupBy("k", "fold", "source").agg(total(~known)("true_positives"), total(known)("filtered"))
+
+
 def fold_aggregate(evaluated: DataFrame, folds: DataFrame) -> DataFrame:
     """k, folds, true_positives, filtered, mean_true_positives; folds without any error count as zero."""
     per_fold = folds.select("k", "fold").distinct().join(evaluated, ["k", "fold"], "left").groupBy("k", "fold").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("true_positives", "filtered")))
@@ -143,6 +163,15 @@ def timing_summary(calls: DataFrame, *by: str) -> DataFrame:
     return calls.groupBy(*by).agg(F.count("*").alias("calls"), F.round(F.sum("duration"), 4).alias("seconds"), F.round(F.avg("duration"), 4).alias("mean_seconds"))
 
 
+def call_stats(calls: DataFrame, *by: str) -> DataFrame:
+    """Calls of a log (call_log_scan) by status and ``by``: calls, seconds, mean_prompt, mean_response, longest_response."""
+    mean = lambda c, name: F.round(F.avg(c), 4).alias(name)
+    return calls.groupBy(*by, "status").agg(
+        F.count("*").alias("calls"), F.round(F.sum("duration"), 4).alias("seconds"),
+        mean("prompt_length", "mean_prompt"), mean("response_length", "mean_response"), F.max("response_length").alias("longest_response"),
+    )
+
+
 def rollup_report(errors: DataFrame) -> DataFrame:
     """Counts by category, source and book and at all levels above, in one pass; level tells which are rolled up."""
     return errors.rollup("category", "source", "book").agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))

@@ -64,7 +64,7 @@ def queries() -> dict[str, Query]:
         "fact_event_location": _of(lambda s: ev(s).where("location is not null").select("story_id", "event_id", "location")), "fact_time": _of(lambda s: ev(s).select("story_id", "event_id", "t_start", "t_end")),
         "fact_requires_focus": _of(lambda s: ev(s).where("requires_focus").select("story_id", "event_id")), "fact_story_fragment": _of(lambda s: ev(s).select("story_id", "event_id", "fragment")),
         "time_points_ranked": _of(points), "fact_time_order": _of(lambda s: structured.time_order(points(s))), "fact_character": _of(lambda s: structured.entities(s, "characters").select("story_id", "id")),
-        "fact_object_type": _of(lambda s: structured.entities(s, "objects").select("story_id", "id", "obj_type")), "fact_fluent": _of(structured.fluents), "fact_relationship": _of(structured.relationships),
+        "fact_object_type": _of(lambda s: structured.entities(s, "objects").select("story_id", "id", "obj_type")), "fact_fluent": _of(lambda s: structured.fluents(s).drop("args")), "fact_relationship": _of(structured.relationships),
         "relationship_inference": _of(lambda s: structured.relationship_inference(structured.relationships(s))), "fact_trait": _of(structured.traits), "fact_rule": _of(structured.rules), "fact_causal_chain": _of(structured.causal_chain),
         "fact_location_graph": _of(structured.location_graph), "initial_event": _of(lambda s: ev(s).where("pos = 0").select("story_id", "event_id")), "significant_event": _of(lambda s: ev(s).where("is_significant").select("story_id", "event_id")),
         "domain_emotions": _of(lambda s: structured.domain_emotions(structured.fluents(s), ["afraid"])), "domain_entities": _of(lambda s: structured.entities(s, "characters").select("id").distinct()),
@@ -96,12 +96,6 @@ st AS (SELECT DISTINCT story_id, who FROM s) """  # noqa: S608
         "fact_causal_chain": "SELECT story_id, 'e_1' AS cause, 'e_2' AS effect FROM st", "fact_location_graph": "SELECT story_id, 'distant' AS relation, 'loc__1' AS src, 'loc__5' AS dst FROM st",
         "initial_event": "SELECT story_id, event_id FROM s QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY n) = 1", "significant_event": "SELECT story_id, event_id FROM s WHERE value > 100",
         "domain_emotions": "SELECT story_id, who AS character, 'afraid' AS emotion, 't0' AS t FROM st", "domain_entities": "SELECT DISTINCT who AS id FROM st",
-        "fact_object": _of(lambda s: structured.entities(s, "objects").select("story_id", "id")), "fact_location": _of(lambda s: structured.entities(s, "locations").select("story_id", "id")), "fact_location_type": _of(structured.location_types),
-        "fact_emotional_state": _of(structured.emotional_states), "fact_emotional_quote": _of(structured.emotional_quotes), "fact_instrument": _of(lambda s: role(s, "instrument")), "fact_recipient": _of(lambda s: role(s, "recipient")),
-        "domain_relationships": _of(structured.domain_relationships), "domain_distance": _of(structured.domain_distance), "domain_rules": _of(lambda s: structured.rules(s).select("type", "polarity", "prop", "role").distinct()),
-        "default_effects": lambda spark, sf_dir: _default_effects(spark, sf_dir), "domain_union": _of(lambda s: structured.domain_union(s, s.sparkSession.sql("SELECT 'decorative' AS kind, 'Old Vase' AS id"))),
-        "reference_validation": _of(lambda s: structured.validate(s).groupBy("story_id", "problem").agg(F.count("*").alias("n"))), "story_defaults": _of(lambda s: s.select("story_id", F.size("relationships").alias("relationships"), F.size("character_relations").alias("character_relations"))),
-        "scoped_precondition": _of(lambda s: rules.precondition_not_met(structured.load(s), "base").where("detail = 'shut'").select("story_id", "subject", "detail")), "scoped_distance": _of(lambda s: structured.load(s).location_graph),
         "fact_object": "SELECT story_id, 'o1' AS id FROM st", "fact_location": "SELECT story_id, 'loc__1' AS id FROM st", "fact_location_type": "SELECT story_id, 'loc__1' AS location, 'cave' AS kind FROM st",
         "fact_emotional_state": "SELECT story_id, who AS character, 'joy' AS emotion, 't0' AS t FROM st", "fact_emotional_quote": "SELECT story_id, who AS character, 'joy' AS emotion, 'said ' || chr(92) || '\"hi' || chr(92) || '\"' AS fragment FROM st",
         "fact_instrument": "SELECT story_id, event_id, 'key_1' AS arg FROM s WHERE k % 7 = 0", "fact_recipient": "SELECT story_id, event_id, 'u9' AS arg FROM s WHERE k % 7 = 0",

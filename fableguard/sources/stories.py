@@ -49,10 +49,26 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, lines: int = 50) -> Dat
 
 
 def call_log_scan(spark: SparkSession, path: str) -> DataFrame:
-    """type, model, duration, prompt_length, response_length, status, prompt, response of a log of model calls in JSON lines."""
-    schema = "type STRING, model STRING, duration DOUBLE, prompt_length LONG, response_length LONG, status STRING, prompt STRING, response STRING"
-    rows = spark.read.schema(schema).json(path)
-    return rows.withColumns({"prompt_length": F.coalesce("prompt_length", F.length("prompt")), "response_length": F.coalesce("response_length", F.length("response")), "status": F.coalesce("status", F.lit("ok"))})
+    """file, type, model, duration, prompt_length, response_length, status, line of a log of model calls in JSON lines.
+
+    Lengths that a line doesn't state are those of its texts. ``status`` is what the line says, else ok or, without an answer,
+    empty; a line that is no JSON object is kept whole in ``line``, with status corrupt.
+    """
+    rows = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), "value", F.try_parse_json("value").alias("v"))
+    get = lambda c, kind: F.expr(f"try_variant_get(v, '$.{c}', '{kind}')")
+    good = F.coalesce(F.expr("schema_of_variant(v)").startswith("OBJECT"), F.lit(False))
+    answer = F.coalesce(get("response_length", "bigint"), F.length(get("response", "string")).cast("long"), F.lit(0).cast("long"))
+    status = F.when(~good, "corrupt").otherwise(F.coalesce(get("status", "string"), F.when(answer == 0, "empty").otherwise("ok")))
+    return rows.select(
+        "file",
+        get("type", "string").alias("type"),
+        get("model", "string").alias("model"),
+        F.coalesce(get("duration_seconds", "double"), get("duration", "double")).alias("duration"),
+        F.coalesce(get("prompt_length", "bigint"), F.length(get("prompt", "string")).cast("long")).alias("prompt_length"),
+        F.when(good, answer).alias("response_length"),
+        status.alias("status"),
+        F.when(~good, F.col("value")).alias("line"),
+    )
 
 
 def response_table(df: DataFrame, story_id: str, response: str, call_type: str = "lint") -> DataFrame:
@@ -70,21 +86,58 @@ def parse_stories(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("string").alias("story_id"), F.from_json(json_col, STORY).alias("s")).select("story_id", "s.*")
 
 
-def results_scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The JSON files of a run's folder, with the book and chapter that their names tell (X_Chapter_007)."""
-    rows = spark.read.schema(schema).json(path, multiLine=True, recursiveFileLookup=True)
-    name = stem(F.col("_metadata.file_path"))
-    book = F.coalesce(F.nullif(F.regexp_extract(name, "^(.*)_Chapter_", 1), F.lit("")), name)
-    return rows.select(book.alias("book"), F.nullif(F.regexp_extract(name, "_Chapter_([0-9]+)", 1), F.lit("")).alias("chapter"), "*")
+#: The folders of a run.
+RUN_FOLDERS = ("stories", "structured_json", "llm_results", "logic_results", "fol_rules")
+
+
+def results_scan(spark: SparkSession, path: str, folders: tuple[str, ...] = RUN_FOLDERS) -> DataFrame:
+    """book, chapter, a column for each folder of a run, missing, corrupt: a row per book and chapter that any folder has.
+
+    A file X_Chapter_007.json, or the files of a folder name=X_Chapter_007, are of book X and chapter 007; other names are books without
+    chapter. Text files come as they are, JSON as its text; what is not there is null and named in ``missing``, JSON that can't be
+    parsed is null and named, with its file, in ``corrupt``. All folders are read and grouped once.
+    """
+    have = [f for f in folders if _exists(spark, f"{path}/{f}")]
+    files = spark.read.text([f"{path}/{f}" for f in have], wholetext=True, recursiveFileLookup=True)
+    at = F.url_decode(F.col("_metadata.file_path"))
+    name = F.coalesce(F.nullif(F.regexp_extract(at, "/name=([^/]+)/[^/]+$", 1), F.lit("")), stem(at))
+    rows = files.select(
+        F.regexp_extract(at, f"/({'|'.join(folders)})/[^/]+(/[^/]+)*$", 1).alias("folder"),
+        F.coalesce(F.nullif(F.regexp_extract(name, "^(.*)_Chapter_", 1), F.lit("")), name).alias("book"),
+        F.nullif(F.regexp_extract(name, "_Chapter_([0-9]+)", 1), F.lit("")).alias("chapter"),
+        at.alias("file"),
+        F.col("value").alias("text"),
+    )
+    good = (F.col("folder") == "stories") | F.try_parse_json("text").isNotNull()
+    rows = rows.withColumn("good", good)
+    one = lambda f: F.max(F.when((F.col("folder") == f) & F.col("good"), F.col("text"))).alias(f)
+    broken = F.array_sort(F.collect_set(F.when(~F.col("good"), F.concat("folder", F.lit(": "), F.regexp_extract("file", "([^/]+(/[^/]+)?)$", 1)))))
+    known = rows.groupBy("book", "chapter").agg(*(one(f) for f in folders), broken.alias("corrupt"), F.collect_set("folder").alias("has"))
+    return known.withColumn("missing", F.array_except(F.array(*map(F.lit, folders)), "has")).drop("has")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
 
 
 def result_sink(df: DataFrame, path: str, *by: str, mode: str = "append") -> None:
-    """JSON lines, a folder per value of ``by``; appending is how run histories grow."""
+    """JSON lines, a folder per value of ``by``."""
     df.write.mode(mode).partitionBy(*by).json(path)
 
 
+def history_append(df: DataFrame, path: str, run_id: str) -> None:
+    """The records of a run, added to a history exactly once.
+
+    A run has a folder of its own. It is written aside and moved there when all tasks have ended, in place of what an earlier
+    attempt of the same run left; other runs' folders aren't touched. So neither a repeated run nor a retried task counts twice.
+    """
+    own = df.withColumn("run_id", F.lit(run_id))
+    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)
+
+
 def fact_sink(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """A fact table as Parquet, its stories dealt over a fixed number of folders; tasks are dealt by row, so a hot story is written by many."""
+    """A fact table as Parquet, its stories dealt over a fixed number of folders; a hot story is written by many tasks."""
     dealt = df.withColumn("story_bucket", F.pmod(F.xxhash64("story_id"), F.lit(buckets)))
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(8))
     dealt.repartition("story_bucket", salt).write.mode("overwrite").partitionBy("story_bucket").parquet(path)

@@ -82,7 +82,7 @@ def test_stated_places(spark):
     facts = story(spark, entities=HARBOUR["entities"], events=[*events, event("e4", "rest", "mara", "t3", location="pier")], fluents=stated)
     got = sorted((r["event_id"], r["location"]) for r in documented.at_during(facts).collect())
     assert got == [("e1", "pier"), ("e2", "attic"), ("e3", "loft"), ("e4", "loft"), ("e4", "pier")]
-    assert [x for x in found(documented.check(facts)) if x[0] == "ubiquity"] == [("ubiquity", "e2", "e4"), ("ubiquity", "e4", "e4")]
+    assert found(documented.ubiquity(facts)) == [("ubiquity", "e2", "e4"), ("ubiquity", "e4", "e4")]
 
 
 def test_documented(spark):
