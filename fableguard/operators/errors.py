@@ -115,7 +115,7 @@ def signature_prefix50(category: Column, description: Column) -> Column:
 
 
 def fragment_by_term(text: Column, terms: list[Column], around: int = 100, widen: int = 50) -> Column:
-    """Text around the first term found, widened to sentence ends that are near, with ellipses where it is cut."""
+    """Text around the first term found, widened to sentence ends that are near, with ellipses where it is cut; null if none is."""
     places = [F.position(F.lower(t), F.lower(text)) for t in terms]
     at = F.coalesce(*(F.when((F.length(t) > 2) & (p > 0), p) for t, p in zip(terms, places, strict=True)))
     size = F.coalesce(*(F.when((F.length(t) > 2) & (p > 0), F.length(t)) for t, p in zip(terms, places, strict=True)))
@@ -125,7 +125,8 @@ def fragment_by_term(text: Column, terms: list[Column], around: int = 100, widen
     start = F.when(to_left > 0, low - to_left + 1).otherwise(low)
     to_right = F.length(F.regexp_extract(F.substring(text, high, F.lit(widen)), r"^[^.!?]*[.!?]", 0))
     end = high + to_right
-    return F.concat(F.when(start > 1, "...").otherwise(""), F.trim(F.substring(text, start, end - start)), F.when(end <= F.length(text), "...").otherwise(""))
+    cut = F.concat(F.when(start > 1, "...").otherwise(""), F.trim(F.substring(text, start, end - start)), F.when(end <= F.length(text), "...").otherwise(""))
+    return F.when(at.isNotNull(), cut)
 
 
 def fragments_by_quote(description: Column, text: Column, around: int = 100, least: int = 3, tried: int = 3, most: int = 2) -> Column:

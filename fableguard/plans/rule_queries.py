@@ -201,6 +201,7 @@ def queries() -> dict[str, Query]:
             out[f"{name}_{r}"] = lambda spark, sf_dir, name=name, r=r: rules.RULES[name][0](_lineitem_story(spark, sf_dir), r).select(*COLS)
     for r in K.RULESETS:
         out[f"violations_{r}"] = lambda spark, sf_dir, r=r: fact_store(spark, sf_dir).check(r).select("ruleset", *COLS)
+    out["violations_narrative_context"] = lambda spark, sf_dir: fact_store(spark, sf_dir).check("narrative").select("story_id", "type", "subject", "detail", "context")
     for r in ("base", "general", "inertial"):
         out[f"holds_at_{r}"] = _holds(r)
     out |= {
@@ -440,6 +441,10 @@ def oracle_sql() -> dict[str, str]:
         if r in ("base", "v2"):
             unmet = HOLDS.format(op="<=" if r == "base" else "=").rstrip() + f", unmet AS (SELECT DISTINCT a.story_id, 'causality' AS category, '{'missing_precondition' if r == 'v2' else 'precondition_not_met'}' AS type, CAST(a.event_id AS VARCHAR) AS subject, 'asleep' AS detail FROM asked a WHERE {ask} AND NOT EXISTS (SELECT 1 FROM state s WHERE {met}))" + (f", violated AS ({violated})\n" if r == "base" else "\n")
         out[f"violations_{r}"] = f + unmet + f"SELECT DISTINCT '{r}' AS ruleset, * FROM (" + " UNION ALL ".join(x for x in parts if x) + ")"
+    texts = " ".join(f"WHEN '{kind}' THEN '{text.replace(chr(39), 2 * chr(39))}'" for kind, text in K.CONTEXT.items() if kind != "physical_impossibility")
+    sense = "CASE detail WHEN 'blind' THEN 'sight' WHEN 'deaf' THEN 'hearing' WHEN 'mute' THEN 'speech' ELSE 'mobility' END"
+    unable = f"upper(substring(detail, 1, 1)) || substring(detail, 2) || ' character performs action requiring ' || {sense}"
+    out["violations_narrative_context"] = f"SELECT story_id, type, subject, detail, CASE type WHEN 'physical_impossibility' THEN {unable} {texts} END AS context FROM ({out['violations_narrative']})"
     pair = "SELECT a.story_id, a.event_id AS e1, b.event_id AS e2 FROM e a JOIN e b ON a.story_id = b.story_id AND a.agent = b.agent AND a.event_id <> b.event_id AND "
     ordered = MONTHS + EDGES.format(more=SIDE) + PARTIAL
     whole = pair.replace("a.agent = b.agent AND ", "")

@@ -133,14 +133,19 @@ def _looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.event_lookup(refs, told)
 
 
-#: Rules whose findings become error records in the queries.
-FOUND = ("dead_agent", "ubiquity")
+
+
+def _found_rules(ruleset: str) -> list[str]:
+    """The rules of a ruleset whose findings become error records in the queries: all that SQL restates."""
+    return [name for name, (_, sets) in rules.RULES.items() if ruleset in sets and rule_sql(name, ruleset)]
+
+
 ENTITIES = ["no_such_thing", "the", "que", "de_la", "a"]
 
 
 def _found(spark: SparkSession, sf_dir: str, ruleset: str = "general") -> DataFrame:
     """Findings as error records; those of base are read without their category."""
-    findings = rules.check(events_as_story(spark, sf_dir), ruleset, list(FOUND))
+    findings = rules.check(events_as_story(spark, sf_dir), ruleset, _found_rules(ruleset))
     return E.violation_to_error(findings, "type" if ruleset == "base" else "category")
 
 
@@ -258,7 +263,22 @@ def oracle_sql() -> dict[str, str]:
     exact = "CASE " + " ".join(f"WHEN type IN ({', '.join(repr(k) for k in ks)}) THEN '{c}'" for c, ks in E.EXACT.items()) + " ELSE 'coherence' END"
     x, r, f = ERRORS, RESPONSES, facts_sql()
     numbered = ", er AS (SELECT story_id, 'logic_' || row_number() OVER (PARTITION BY story_id ORDER BY type, event, detail) AS id, category, type, event, detail, 'Violation: ' || type || ' at event ' || event || CASE WHEN detail <> '' THEN ' (' || detail || ')' ELSE '' END AS description FROM fi) "
-    all_of = lambda r: " UNION ALL ".join(rule_sql(n, r) for n in FOUND)
+    all_of = lambda r: " UNION ALL ".join(rule_sql(n, r) for n in _found_rules(r))
+    word = "regexp_replace(translate(w, ' -.,:', '_____'), '[^a-zA-Z0-9_]', '', 'g')"
+    words = f"list_transform(string_split(text, ' '), lambda w: CASE WHEN {word} = '' THEN 'unknown' WHEN regexp_matches({word}, '^[0-9]') THEN 'n' || lower({word}) ELSE lower({word}) END)"
+    place = "strpos(lower(text), {w})".format
+    by_term = (
+        f"WITH a AS (SELECT doc_id, text, CASE WHEN {place(w=repr('no such words'))} > 0 THEN {place(w=repr('no such words'))} WHEN {place(w=repr('the'))} > 0 THEN {place(w=repr('the'))} WHEN {place(w=repr('que'))} > 0 THEN {place(w=repr('que'))} END AS pos,"
+        f" CASE WHEN {place(w=repr('no such words'))} > 0 THEN 13 ELSE 3 END AS size FROM documents),"
+        " b AS (SELECT *, greatest(1, pos - 100) AS low, least(length(text) + 1, pos + size + 100) AS high FROM a),"
+        " m AS (SELECT *, length(regexp_extract(substring(text, greatest(1, low - 50), low - greatest(1, low - 50)), '[.!?][^.!?]*$')) AS back, length(regexp_extract(substring(text, high, 50), '^[^.!?]*[.!?]')) AS on_ FROM b),"
+        " n AS (SELECT *, CASE WHEN back > 0 THEN low - back + 1 ELSE low END AS first, high + on_ AS last FROM m)"
+        " SELECT doc_id, CASE WHEN pos IS NOT NULL THEN CASE WHEN first > 1 THEN '...' ELSE '' END || trim(substring(text, first, last - first)) || CASE WHEN last <= length(text) THEN '...' ELSE '' END END AS fragment FROM n"
+    )
+    quoted = "list_slice(list_filter(regexp_extract_all('says ''the'' and \"' || substring(text, 3, 6) || '\"', '[\"'']([^\"'']+)[\"'']', 1), lambda q: length(q) >= 3), 1, 3)"
+    by_quote = f"SELECT doc_id AS chapter, array_to_string(list_slice(list_transform(list_filter({quoted}, lambda q: strpos(lower(text), lower(q)) > 0), lambda q: substring(text, greatest(1, strpos(lower(text), lower(q)) - 20), length(q) + 40)), 1, 2), '//') AS fragments FROM documents"
+    parts = "string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1))"
+    by_sentence = f"SELECT chapter, word, pos AS \"at\" FROM (SELECT chapter, word, CAST(pos AS INTEGER) AS pos, row_number() OVER (PARTITION BY chapter, word ORDER BY pos) AS n FROM (SELECT doc_id AS chapter, unnest({parts}) AS sentence, unnest(range(len({parts}))) AS pos FROM documents), (VALUES ('the'), ('que')) v(word) WHERE contains(sentence, word)) WHERE n <= 2"
     found = f", fi AS (SELECT story_id, category, type, subject AS event, detail FROM ({all_of('general')}))" + numbered
     found_base = f", fi AS (SELECT story_id, {_when('type', E.SUBSTRINGS)} AS category, type, subject AS event, coalesce(detail, '') AS detail FROM ({all_of('base')}))" + numbered
     at, size = "strpos(lower(text), lower(replace(x, '_', ' ')))", "length(text)"
@@ -331,6 +351,10 @@ def oracle_sql() -> dict[str, str]:
         "normalize_lint": r + "SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'temporal' WHEN 1 THEN 'coherence' ELSE 'location' END AS category, CASE conv_id % 4 WHEN 0 THEN 'low' WHEN 2 THEN 'high' ELSE 'medium' END AS severity FROM r",
         "explode_errors": r + "SELECT conv_id, turn, 0 AS n, 'e' || turn AS id, 'x{1}' AS type FROM r", "extract_errors": r + "SELECT conv_id, turn, plain AS description, '' AS fragment FROM r",
         "error_description": f + "SELECT event_id, 'Violation: checked | Event type: ' || type || ' | Agent: ' || agent || CASE WHEN k % 2 = 0 THEN ' | Patient: ' || patient ELSE '' END || ' | Detail: ' || location AS description FROM e WHERE type IN ('die', 'kill', 'trust')",
+        "sanitize_list": f"SELECT doc_id AS chapter, array_to_string({words}, '__') AS symbol FROM documents",
+        "fragment_by_term": by_term,
+        "fragment_by_quote": by_quote,
+        "fragment_by_sentence": by_sentence,
         "sanitize_symbol_whole": f"SELECT doc_id AS chapter, md5({symbol('text')}) AS symbol_md5 FROM documents",
         "sanitize_symbol_short_whole": "SELECT chapter, substring(CASE WHEN regexp_matches(s, '^[0-9]') THEN 'x' || s ELSE s END, 1, 50) AS symbol FROM (SELECT doc_id AS chapter, regexp_replace(lower(text), '[^a-z0-9_]', '_', 'g') AS s FROM documents)",
         "signature_normalized_whole": x + f"SELECT chapter, CASE WHEN {valid} THEN raw_category ELSE {pick} END || '|' || type || '|' || substring(trim(regexp_replace(regexp_replace(lower(description), '\\b(e[0-9]+|t[0-9]+)\\b', 'EID', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 100) AS sig FROM ({scored})",
