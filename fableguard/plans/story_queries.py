@@ -25,7 +25,7 @@ def story_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda c: F.concat(F.lit("T."), F.floor(F.col(c) / MINUTE).cast("string"))
     event = F.concat(
         F.lit('{"id": "E '), F.col("event_id").cast("string"), F.lit('", "type": '), q(F.col("type")), F.lit(', "agent": '), F.when(k % 3 == 0, F.concat(F.lit("["), q(who), F.lit(', "Old Friend"]'))).otherwise(q(who)),
-        F.lit(', "patient": '), F.when(k % 5 == 0, "null").otherwise(q(F.col("patient"))), F.when(k % 7 == 0, ', "instrument": "Key 1", "recipient": "u9"').otherwise(""), F.lit(', "location": "Loc. '), (F.col("event_id") % 7).cast("string"), F.lit('", "time": {"start": '), q(at("t_start")),
+        F.lit(', "patient": '), F.when(k % 5 == 0, "null").otherwise(q(F.col("patient"))), F.when(k % 7 == 0, ', "instrument": "Key 1", "recipient": "u9"').otherwise(""), F.when(k % 11 == 0, ', "source": "Pier 1", "destination": "Den 2"').otherwise(""), F.lit(', "location": "Loc. '), (F.col("event_id") % 7).cast("string"), F.lit('", "time": {"start": '), q(at("t_start")),
         F.when(k % 2 == 0, F.concat(F.lit(', "end": '), q(at("t_end")))).otherwise(""), F.lit('}, "requires_focus": '), F.when(k % 4 == 0, "true").otherwise("false"), F.lit(', "is_significant": '), F.when(F.col("value") > 100, "true").otherwise("false"),
         F.lit(', "story_fragment": "said\\n'), F.col("type"), F.lit(' \\"loud\\""}'),
     )
@@ -69,7 +69,7 @@ def queries() -> dict[str, Query]:
         "fact_location_graph": _of(structured.location_graph), "initial_event": _of(lambda s: ev(s).where("pos = 0").select("story_id", "event_id")), "significant_event": _of(lambda s: ev(s).where("is_significant").select("story_id", "event_id")),
         "domain_emotions": _of(lambda s: structured.domain_emotions(structured.fluents(s), ["afraid"])), "domain_entities": _of(lambda s: structured.entities(s, "characters").select("id").distinct()),
         "fact_object": _of(lambda s: structured.entities(s, "objects").select("story_id", "id")), "fact_location": _of(lambda s: structured.entities(s, "locations").select("story_id", "id")), "fact_location_type": _of(structured.location_types),
-        "fact_emotional_state": _of(structured.emotional_states), "fact_emotional_quote": _of(structured.emotional_quotes), "fact_instrument": _of(lambda s: role(s, "instrument")), "fact_recipient": _of(lambda s: role(s, "recipient")),
+        "fact_emotional_state": _of(structured.emotional_states), "fact_emotional_quote": _of(structured.emotional_quotes), "fact_source": _of(lambda s: role(s, "source")), "fact_destination": _of(lambda s: role(s, "destination")), "fact_instrument": _of(lambda s: role(s, "instrument")), "fact_recipient": _of(lambda s: role(s, "recipient")),
         "domain_relationships": _of(structured.domain_relationships), "domain_distance": _of(structured.domain_distance), "domain_rules": _of(lambda s: structured.rules(s).select("type", "polarity", "prop", "role").distinct()),
         "default_effects": lambda spark, sf_dir: _default_effects(spark, sf_dir), "domain_union": _of(lambda s: structured.domain_union(s, s.sparkSession.sql("SELECT 'decorative' AS kind, 'Old Vase' AS id"))),
         "reference_validation": _of(lambda s: structured.validate(s).groupBy("story_id", "problem").agg(F.count("*").alias("n"))), "story_defaults": _of(lambda s: s.select("story_id", F.size("relationships").alias("relationships"), F.size("character_relations").alias("character_relations"))),
@@ -98,6 +98,7 @@ st AS (SELECT DISTINCT story_id, who FROM s) """  # noqa: S608
         "domain_emotions": "SELECT story_id, who AS character, 'afraid' AS emotion, 't0' AS t FROM st", "domain_entities": "SELECT DISTINCT who AS id FROM st",
         "fact_object": "SELECT story_id, 'o1' AS id FROM st", "fact_location": "SELECT story_id, 'loc__1' AS id FROM st", "fact_location_type": "SELECT story_id, 'loc__1' AS location, 'cave' AS kind FROM st",
         "fact_emotional_state": "SELECT story_id, who AS character, 'joy' AS emotion, 't0' AS t FROM st", "fact_emotional_quote": "SELECT story_id, who AS character, 'joy' AS emotion, 'said ' || chr(92) || '\"hi' || chr(92) || '\"' AS fragment FROM st",
+        "fact_source": "SELECT story_id, event_id, 'pier_1' AS arg FROM s WHERE k % 11 = 0", "fact_destination": "SELECT story_id, event_id, 'den_2' AS arg FROM s WHERE k % 11 = 0",
         "fact_instrument": "SELECT story_id, event_id, 'key_1' AS arg FROM s WHERE k % 7 = 0", "fact_recipient": "SELECT story_id, event_id, 'u9' AS arg FROM s WHERE k % 7 = 0",
         "domain_relationships": "SELECT DISTINCT 'enemy' AS rel, who AS src, 'u9' AS dst FROM st", "domain_distance": "SELECT story_id, 'loc__2' AS src, 'loc__6' AS dst FROM st UNION ALL SELECT story_id, 'loc__6', 'loc__2' FROM st",
         "domain_rules": "SELECT DISTINCT * FROM (SELECT 'eat' AS type, 'neg' AS polarity, 'stale' AS prop, 'patient' AS role FROM st UNION SELECT 'eat', 'pos', 'owned', 'unknown' FROM st UNION SELECT 'lock', 'pos', 'shut', 'patient' FROM st WHERE CAST(substr(who, 3) AS INTEGER) % 3 = 0)",
