@@ -2,7 +2,8 @@
 
 Each stage works on all that the stage before kept, as read from Parquet, and returns the columns of documents; the
 last returns token ids. Rows are told apart by doc_id and text together, so repeated or missing ids are no matter. A
-null text counts as empty; an empty table stays empty; further columns are passed on.
+null text counts as empty; an empty table stays empty; further columns are passed on, whatever their names: columns of the
+stages' own take names that the table doesn't have.
 """
 
 from __future__ import annotations
@@ -23,13 +24,23 @@ def _row_key(doc_id: Column, sha256: Column) -> Column:
     return F.unhex(F.concat(number, F.substring(sha256, 1, 16)))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row_key", _row_key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+def _free(docs: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as the table's own columns make necessary."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _apply(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
-    """docs by decisions (row_key, ...), a written table: where it is small Spark broadcasts it, else it shuffles."""
-    return docs.join(decided, "row_key", how).drop("row_key")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of each row, and the key's name."""
+    key = _free(docs, "row_key")
+    return docs.withColumn(key, _row_key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256))), key
+
+
+def _apply(docs: DataFrame, key: str, decided: DataFrame, how: str) -> DataFrame:
+    """docs by decisions (key, ...), a written table: where it is small Spark broadcasts it, else it shuffles."""
+    return docs.join(decided, key, how).drop(key)
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,28 +49,29 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts have no letter. Repeated rows are decided alike. Where no row teaches a language there is no
     model, and only documents without a letter go.
     """
-    keyed = _keyed(docs)
-    found = language_id.predict(keyed, language_id.fit(language_id.labelled(docs)), id_col="row_key")
+    keyed, key = _keyed(docs)
+    found = language_id.predict(keyed, language_id.fit(language_id.labelled(docs)), id_col=key)
     # With a model, und is what has no letter; without one, all is und.
-    unclear = found.where((F.col("lang_pred") != "und") & (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("row_key"))
-    plain = keyed.where(~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select("row_key")
-    return _apply(keyed, saved(unclear.unionByName(plain).distinct(), "rejected"), "left_anti")
+    unclear = found.where((F.col("lang_pred") != "und") & (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias(key))
+    plain = keyed.where(~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(key)
+    return _apply(keyed, key, saved(unclear.unionByName(plain).distinct(), "rejected"), "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts (null: empty) that with the largest id stays, and of rows equal in both just one."""
-    decided = exact_dedup.exact_dedup(docs).groupBy("doc_id", F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("any_kept"), F.count("*").alias("n"))
-    decided = saved(decided.where("not any_kept or n > 1").select(_row_key(F.col("doc_id"), F.col("sha")).alias("row_key"), "any_kept"), "copies")
-    keyed = _keyed(docs)
-    repeated = keyed.join(decided.where("any_kept"), "row_key", "left_semi").dropDuplicates(["row_key"]).drop("row_key")
-    return _apply(keyed, decided, "left_anti").unionByName(repeated)
+    keyed, key = _keyed(docs)
+    decided = exact_dedup.exact_dedup(docs).groupBy("doc_id", F.col("text_sha256").alias("sha"))
+    decided = decided.agg(F.max("kept").alias("any_kept"), F.count("*").alias("n")).where("not any_kept or n > 1")
+    decided = saved(decided.select(_row_key(F.col("doc_id"), F.col("sha")).alias(key), "any_kept"), "copies")
+    repeated = keyed.join(decided.where("any_kept").select(key), key, "left_semi").dropDuplicates([key]).drop(key)
+    return _apply(keyed, key, decided.select(key), "left_anti").unionByName(repeated)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays. What has no word has no duplicate."""
-    keyed = _keyed(docs)
-    near = near_dup.near_dup(keyed, id_col="row_key").where("doc_id <> component_id").select(F.col("doc_id").alias("row_key")).distinct()
-    return _apply(keyed, saved(near, "near-copies"), "left_anti")
+    keyed, key = _keyed(docs)
+    near = near_dup.near_dup(keyed, id_col=key).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return _apply(keyed, key, saved(near, "near-copies"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +80,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows equal in id and text are taken equally often. What is taken has about as many rows as docs, so both sides are
     shuffled, never broadcast, at every size.
     """
-    keyed = _keyed(docs).withColumn("row_key", F.xxhash64("row_key"))
-    copies = mixing.mix(keyed, id_col="row_key").where("copies > 0").groupBy(F.col("doc_id").alias("row_key"))
-    copies = saved(copies.agg(F.max("copies").cast("int").alias("mixed_copies")), "copies")
-    mixed = _apply(keyed, copies.hint("merge"), "inner")
-    return mixed.withColumn("mixed_copy", F.explode(F.array_repeat(F.lit(0), F.col("mixed_copies")))).select(*docs.columns)
+    keyed, key = _keyed(docs)
+    keyed, times, copy = keyed.withColumn(key, F.xxhash64(key)), _free(docs, "mixed_copies"), _free(docs, "mixed_copy")
+    copies = mixing.mix(keyed, id_col=key).where("copies > 0").groupBy(F.col("doc_id").alias(key))
+    copies = saved(copies.agg(F.max("copies").cast("int").alias(times)), "copies")
+    mixed = _apply(keyed, key, copies.hint("merge"), "inner")
+    return mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
