@@ -32,3 +32,22 @@ def test_language_stage_without_labels(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.detect_language(spark, docs, None)
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1]
+
+
+def test_columns_that_clash(spark, tmp_path):
+    """Columns named like the stages' own stay as they are; repeated and missing ids, a long text and an empty table pass."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_key string, Mixed_Copies int, mixed_copy int, any_kept string"
+    rows = [(k % 9 if k % 7 else None, f"The thing {k} and the other.", "en", "ab"[k % 2], 5, f"r{k}", k, -k, "z") for k in range(30)]
+    rows += [rows[3], (50, "The word and " * 20000, "en", "a", 0, "long", 0, 0, None)]
+    for name, table in (("full", rows), ("empty", [])):
+        docs = spark.createDataFrame(table, schema)
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, None)
+            docs.write.parquet(str(tmp_path / f"{name}{n}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}{n}"))
+            if n < 4:
+                assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+                held = {tuple(r)[5:] for r in docs.collect()}
+                assert held <= {r[5:] for r in table}
+                assert n > 1 or name == "empty" or len(held) == 31
+    assert docs.count() == 0
