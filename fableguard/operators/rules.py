@@ -386,7 +386,8 @@ def sudden_shift(facts: Facts, ruleset: str) -> DataFrame:
 def once(facts: Facts) -> Facts:
     """The same facts, with events, roles and their join kept in memory or on local disks while rules read them many times.
 
-    What an executor loses is computed again from the source.
+    What an executor loses is computed again from the source. A session that checks many corpora calls once
+    itself, hands the result to check and releases it (``facts.release()``) when the findings are written.
     """
     if facts.kept is not None:
         return facts

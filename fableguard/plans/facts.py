@@ -91,6 +91,11 @@ class Facts:
     def has(self, name: str) -> bool:
         return name in self.tables
 
+    def release(self) -> None:
+        """Let go what rules.once keeps of these facts; they can still be read, from their source."""
+        for df in (self.events, self.event_role, *(self.kept or {}).values()):
+            df.unpersist()
+
     def acts(self, role: str = "agent") -> DataFrame:
         """The events with one row per participant in ``role``."""
         if self.kept and role in self.kept:

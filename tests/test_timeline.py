@@ -115,5 +115,9 @@ def test_own_rules(spark):
     """A user's rule in check, beside those of the ruleset."""
     ev = spark.createDataFrame([("s", 1, "talk", None, 1, 1, 1, 1, False)], "story_id string, event_id long, type string, location string, t_start long, t_end long, start_ord long, end_ord long, requires_focus boolean")
     roles = spark.createDataFrame([("s", 1, "agent", "ann"), ("s", 1, "patient", "ann")], "story_id string, event_id long, role string, arg string")
-    got = rules.check(Facts(spark, ev, roles), "general", own={"self_talk": documented.self_talk}).collect()
+    facts = rules.once(Facts(spark, ev, roles))
+    got = rules.check(facts, "general", own={"self_talk": documented.self_talk}).collect()
+    assert facts.events.storageLevel.useMemory
+    facts.release()
+    assert not facts.events.storageLevel.useMemory
     assert [(r["type"], r["subject"]) for r in got] == [("self_talk", "1")]
