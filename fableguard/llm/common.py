@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: What separates words: blank and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: So many equal rows are made of one row at once; beyond that the work is dealt over tasks.
+BLOCK = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +63,13 @@ def release(*tables: DataFrame) -> None:
 def uniform(*cols: Column) -> Column:
     """A number in [0, 1) that depends on cols alone."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11)).cast("double") / F.lit(float(2**53))
+
+
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` (0: never) tells, without that column."""
+    cols = [c for c in df.columns if c != times]
+    blocks = df.where(F.col(times) > BLOCK).withColumn("block_no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / BLOCK))))
+    blocks = blocks.repartition(*cols, "block_no").withColumn(times, F.least(F.lit(BLOCK), F.col(times) - F.col("block_no") * BLOCK))
+    few = df.where(F.col(times).between(1, BLOCK)).select(*cols, F.col(times).cast("long").alias(times))
+    whole = few.unionByName(blocks.select(*cols, F.col(times).cast("long").alias(times)))
+    return whole.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).select(*cols)

@@ -5,15 +5,17 @@ it is; of its fraction p the pivotal method makes 0 or 1: two documents at a tim
 and without bias, until one of them is whole. A chunk of documents so leaves one that is still a fraction; the chunks'
 remainders meet in chunks of the next level, and so on up a reduction tree, until one is left per source. As words are
 passed on and never lost, a source misses its target by less than one document.
+
+Rows of a source that are equal in id and size can't be told apart, so they are one unit with a count: among n of them
+with fraction p each, the method makes floor(n p) whole and leaves the rest of n p with one. Only that one meets others.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fableguard.llm.common import WORD, table, uniform
+from fableguard.llm.common import WORD, repeated, saved, table, uniform
 
 MOST = 3
 FIELDS = ("h", "doc_id", "size", "whole", "source_size", "target", "p", "u")
@@ -54,14 +56,17 @@ def _meet(acc: Column, b: Column) -> Column:
     return F.struct(F.array_append(acc["done"], F.when(a_whole, a).otherwise(b)).alias("done"), F.when(a_whole, b).otherwise(a).alias("left"))
 
 
+def _draw(depth: int, seed: int, n: int) -> list[Column]:
+    """What the n-th draw of a level depends on: the unit, the seed and the level, never the place of a row."""
+    return [F.col("doc_id"), F.col("size"), F.col("source"), F.lit(seed), F.lit(3 * depth + n)]
+
+
 def _level(units: DataFrame, chunk: Column, depth: int, seed: int) -> DataFrame:
-    """(source, done, left) per chunk of units."""
+    """(source, done, left) per chunk of units. Units are dealt to chunks by hash, so no chunk grows with the input."""
     # Large documents meet first, so that the one left over, and with it the miss, tends to be small.
-    unit = F.struct((-F.col("size")).alias("h"), "doc_id", "size", "whole", "source_size", "target", "p", uniform(F.col("doc_id"), F.lit(seed), F.lit(3 * depth + 1)).alias("u"))
+    unit = F.struct((-F.col("size")).alias("h"), "doc_id", "size", "whole", "source_size", "target", "p", uniform(*_draw(depth, seed, 1)).alias("u"))
     grouped = units.groupBy("source", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(unit)).alias("units"))
-    kind = "h bigint, doc_id bigint, size bigint, whole bigint, source_size bigint, target double, p double, u double"
-    kind = ", ".join(x.strip().replace(" ", ": ", 1) for x in kind.split(","))
-    start = F.struct(F.expr(f"cast(array() as array<struct<{kind}>>)").alias("done"), F.col("units")[0].alias("left"))
+    start = F.struct(F.expr(f"cast(array() as {dict(grouped.dtypes)['units']})").alias("done"), F.col("units")[0].alias("left"))
     others = F.slice("units", F.lit(2), F.size("units"))
     return grouped.select("source", F.aggregate(others, start, _meet).alias("out")).select("source", "out.done", "out.left")
 
@@ -70,12 +75,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per document: doc_id, size, source_size, target, taken, copies.
 
     A null text has size 0 and takes no words (0 copies); a null source is a source of its own, last in order.
-    Ids are expected to be integers; repeated rows count one by one. An empty table gives no rows. Draws depend on
-    doc_id and seed alone, so reruns agree.
+    Ids may be of any type that can be sorted, missing or repeated; repeated rows count one by one. An empty table gives
+    no rows. Draws depend on id, size, source and seed alone, so reruns agree.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source"))
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n_units"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source"))
+    base = saved(base.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n")), "mix-units")
+    sizes = saved(base.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n_units")), "mix-sources")
     targets = source_targets(sizes.drop("n_units"))
     counts = sizes.select("source", "n_units")
     most = sizes.agg(F.max("n_units")).first()[0] or 0
@@ -83,23 +88,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     t, c = targets.withColumnRenamed("source", "t_source"), counts.withColumnRenamed("source", "c_source")
     plan = t.join(c, F.col("t_source").eqNullSafe(F.col("c_source"))).drop("c_source")
     units = base.join(plan, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("share", share)
-    units = units.select("source", "n_units", "doc_id", "size", "source_size", "target", F.floor("share").alias("whole"), (F.col("share") - F.floor("share")).alias("p"))
-    fixed = (F.col("p") == 0) | (F.col("size") == 0)
-    result = [units.where(fixed).select("doc_id", "size", "source_size", "target", F.when(F.col("size") == 0, 0).otherwise(F.col("whole")).cast("long").alias("copies"))]
-    open_units, depth, n = units.where(~fixed), 0, most
+    units = units.withColumns({"whole": F.when(F.col("size") == 0, 0).otherwise(F.floor("share")).cast("long"), "mass": F.when(F.col("size") == 0, 0.0).otherwise((F.col("share") - F.floor("share")) * F.col("n"))})
+    units = units.withColumn("more", F.floor("mass")).withColumn("p", F.col("mass") - F.col("more"))
+    # Of a unit's rows `more` take one copy more than the whole part, one is open if a fraction is left.
+    shares = F.array(F.struct((F.col("whole") + 1).alias("copies"), F.col("more").alias("rows")), F.struct(F.col("whole").alias("copies"), (F.col("n") - F.col("more") - (F.col("p") > 0).cast("long")).alias("rows")))
+    fixed = units.select("doc_id", "size", "source_size", "target", F.explode(shares).alias("x"))
+    result = [repeated(fixed.select("doc_id", "size", "source_size", "target", "x.copies", "x.rows"), "rows")]
+    open_units, depth, n = units.where("p > 0").select("source", "n_units", "doc_id", "size", "source_size", "target", "whole", "p"), 0, most
     while True:
         chunks = F.ceil(F.col("n_units") / F.lit(float(chunk) ** (depth + 1)))
-        where = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed), F.lit(3 * depth + 2)), F.greatest(chunks, F.lit(1)))
-        out = _level(open_units, where, depth, seed).persist(StorageLevel.MEMORY_AND_DISK)
+        where = F.pmod(F.xxhash64(*_draw(depth, seed, 2)), F.greatest(chunks, F.lit(1)))
+        out = saved(_level(open_units, where, depth, seed), f"mix-level-{depth}")
         done = out.select(F.explode("done").alias("x"))
         n = -(-n // chunk)
         if n <= 1:
-            last = out.select("left").where(F.col("left").isNotNull()).select(F.col("left").withField("p", (F.col("left.u") < F.col("left.p")).cast("double")).alias("x"))
+            last = out.select(F.col("left").withField("p", (F.col("left.u") < F.col("left.p")).cast("double")).alias("x"))
             done = done.unionByName(last)
         result.append(done.select("x.doc_id", "x.size", "x.source_size", "x.target", (F.col("x.whole") + F.col("x.p").cast("long")).alias("copies")))
         if n <= 1:
             break
-        rest = out.where(F.col("left").isNotNull()).select("source", "left.*").drop("h", "u")
+        rest = out.select("source", "left.*").drop("h", "u")
         open_units = rest.join(c, F.col("source").eqNullSafe(F.col("c_source"))).drop("c_source")
         depth += 1
     whole = result[0]

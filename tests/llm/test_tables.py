@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fableguard.llm import exact_dedup, language_id, mixing, near_dup, pii, sentencepiece, sharding, vector_search, warc
-from fableguard.llm.common import new_folder
+from fableguard.llm.common import new_folder, repeated
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, sid long"
 EMPTY_OK = [exact_dedup.exact_dedup, mixing.mix, near_dup.near_dup, pii.find_pii, language_id.identify, sentencepiece.encode]
@@ -382,3 +382,29 @@ def test_components_of_paths_and_stars(spark):
     assert len({got[k] for k in range(100, 130)}) == 1
     assert got[0] != got[100]
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_repeated_rows_by_count(spark, monkeypatch):
+    monkeypatch.setattr("fableguard.llm.common.BLOCK", 4)
+    table = spark.createDataFrame([("a", 0), ("b", 1), ("c", 4), ("d", 11)], "x string, n long")
+    assert sorted(r["x"] for r in repeated(table, "n").collect()) == list("b" + "c" * 4 + "d" * 11)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_mixing_of_repeated_and_missing_ids(spark, kind):
+    """One id, and no id at all, on most rows: each source's words near its target, every row at one of two numbers of copies, unbiased and alike on reruns."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["7", "7", None, str(k)]), "w " * rng.choice([3, 3, 3, 10, rng.randint(1, 30)]), rng.choice("abc")) for k in range(4000)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, source string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = mixing.mix(table, chunk=16).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(table.repartition(7), chunk=16).collect()))
+    want = sorted((str(i), t.count("w")) for i, t, _ in rows)
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == want
+    for total in {r["source_size"] for r in got}:
+        own = [r for r in got if r["source_size"] == total]
+        share = own[0]["target"] / total
+        assert sum(r["size"] for r in own) == total
+        assert {r["copies"] for r in own} <= {int(share), int(share) + 1}
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 31
+        small = [r["copies"] for r in own if r["size"] == 3]
+        assert abs(sum(small) / len(small) - share) < 0.1
