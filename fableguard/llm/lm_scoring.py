@@ -9,7 +9,8 @@ bytes and of its end.
 The trie is dealt over tasks by the nearest bytes of its contexts: what lies beyond them is one branch, of bounded size,
 in which a task finds the longer contexts of all grams that end there; the levels below live in small Spark tables. Texts
 are packed in chunks of bounded size; each chunk asks for the scores of its distinct grams and words, by their positions
-in the chunk, and the answers meet the chunk's texts again. Nothing of the model goes through the driver.
+in the chunk, and the answers, packed per task and chunk, meet the chunk's texts again. Nothing of the model goes through
+the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fableguard.llm.common import release, saved, table
@@ -275,6 +276,42 @@ def gram_scores(counts: DataFrame, order: int) -> DataFrame:
     return out
 
 
+def _pack(at: np.ndarray, told: np.ndarray) -> bytes:
+    """Answers at ascending positions: their distances and the values, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.diff(at, prepend=0).astype("<i4").tobytes() + told.astype("<f8").tobytes())
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = len(raw) // 12
+    return np.frombuffer(raw, "<i4", n).cumsum(dtype=np.int64), np.frombuffer(raw, "<f8", n, 4 * n)
+
+
+def packed_answers(answers: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """(a_chunk, answers binary) from (chunk, at, told): about ``rows`` answers of a task are sorted and packed at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            chunk, at, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((at, chunk))
+            chunk, at, value = chunk[order], at[order], value[order]
+            starts = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1))
+            blobs = [_pack(at[i:j], value[i:j]) for i, j in zip(starts, [*starts[1:], len(chunk)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), pa.array(blobs, pa.binary())], ["a_chunk", "answers"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("chunk", "at", "told")))
+            size += batch.num_rows
+            if size >= rows:
+                yield told()
+                held, size = [], 0
+        if size:
+            yield told()
+
+    return answers.mapInArrow(run, "a_chunk long, answers binary")
+
+
 def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 
@@ -286,24 +323,21 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     kind = dict(rows.dtypes)["doc_id"]
     whole = saved(packed(rows, order, chunk_bytes), "chunks")
 
-    # A word has a row per chunk at most, so one shuffle by word both counts it and answers.
-    of_word = Window.partitionBy("word")
+    # A word has a row per chunk at most; one that all chunks hold is counted in parts and joined back as a stream.
     words = whole.where("word is not null").select("chunk", "pos", "word", "n")
-    words = words.select("chunk", "pos", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("chunk")) == 1).alias("first"), "n")
-    # Where a chunk has all of a word's count itself it needs no answer.
-    other = F.col("c") != F.col("n")
-    words = saved(words.where(other | F.col("first")).select(*(F.when(other, F.col(c)).alias(c) for c in ("chunk", "pos")), "c", "first"), "word-counts")
-    total = words.where("first").agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    word_counts = saved(words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
+    total = word_counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     asked = whole.where("gram is not null").select("chunk", "pos", "gram", "n")
     counts = saved(asked.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
     scores = gram_scores(counts, order)
     release(counts)
     # A gram's score at its position, a word's count at -1 less its position if other chunks add to it.
-    answers = asked.select("chunk", F.col("pos").alias("at"), "gram").join(scores, "gram").select("chunk", "at", F.col("lp").alias("told"))
-    answers = answers.unionByName(words.where("chunk is not null").select("chunk", (-1 - F.col("pos")).alias("at"), F.col("c").cast("double").alias("told")))
-    answers = saved(answers.select(F.col("chunk").alias("a_chunk"), F.col("at").cast("int").alias("at"), "told"), "answers")
-    release(scores, words)
+    at, told = F.col("pos").alias("at"), F.col("lp").alias("told")
+    of_words = words.join(word_counts, "word").where("c <> n").select("chunk", (-1 - F.col("pos")).alias("at"), F.col("c").cast("double").alias("told"))
+    answers = packed_answers(asked.join(scores, "gram").select("chunk", at, told)).unionByName(packed_answers(of_words))
+    answers = saved(answers, "answers")
+    release(scores, word_counts)
 
     def word_scores(texts: list[bytes], training: list[bool], pos: np.ndarray, told: np.ndarray) -> pd.DataFrame:
         words, ids_of, starts = _words(texts)
@@ -326,7 +360,7 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
             ids += list(x.ids)
             training += list(x.training)
             texts += [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-        at, value = told["at"].to_numpy(), told["told"].to_numpy()
+        at, value = map(np.concatenate, zip(*map(_unpack, told["answers"]), strict=True))
         is_word = at < 0
         out = word_scores(texts, training, -1 - at[is_word], value[is_word])
         lps = np.zeros((~is_word).sum())

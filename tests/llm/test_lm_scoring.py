@@ -83,3 +83,14 @@ def test_contexts_of_five_bytes(spark):
     docs = spark.createDataFrame([(1, "xabcdeK " * 30 + "ybcdeL " * 30), (2, "abcdeK")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_score(docs, F.col("doc_id") == 1).collect()}
     assert got[2] == pytest.approx(brute_force(["xabcdeK " * 30 + "ybcdeL " * 30, "abcdeK"], [True, False], 5)[1], rel=1e-9)
+
+
+def test_packed_answers(spark):
+    """Positions of both signs, several packs a chunk, repeated values: all come back once, with their chunk."""
+    rows = [(chunk, at, math.log10(1 / (1 + at % 7 + chunk))) for chunk in (3, 5, 2**62) for at in range(-50, 900, 1 + chunk % 3)]
+    table = spark.createDataFrame(rows, "chunk long, at long, told double").repartition(3)
+    got = []
+    for r in lm_scoring.packed_answers(table, rows=200).collect():
+        at, told = lm_scoring._unpack(r["answers"])
+        got += zip([r["a_chunk"]] * len(at), at.tolist(), told.tolist(), strict=True)
+    assert sorted(got) == sorted(rows)
