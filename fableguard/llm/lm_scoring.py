@@ -37,6 +37,8 @@ END = 0xFF
 SYMBOLS = 257
 #: About so many bytes of text have their grams held as 64-bit numbers at once.
 CODED = 1 << 20
+#: Grams meet their scores in at least so many buckets, and in as many as leave about HELD scores to each.
+BUCKETS, HELD = 64, 1 << 21
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The token that ends every text. Words hold no blank, so it is no word.
 STOP = b" "
@@ -287,17 +289,89 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<i4", n).cumsum(dtype=np.int64), np.frombuffer(raw, "<f8", n, 4 * n)
 
 
+def _groups(held: list[tuple], *keys: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs that are equal in the columns ``keys`` of the held batches, sorted by these, then by the column after them."""
+    cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+    order = np.lexsort([cols[k] for k in (keys[-1] + 1, *reversed(keys))])
+    cols = [c[order] for c in cols]
+    ends = np.flatnonzero(np.any([np.diff(cols[k]) != 0 for k in keys], axis=0)) + 1
+    for i, j in zip([0, *ends], [*ends, len(order)], strict=True):
+        yield tuple(c[i:j] for c in cols)
+
+
+def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
+    return ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _by_bucket(rows: DataFrame, chunk: str | None, value: str, kind: str, buckets: int, held_rows: int = 1 << 20) -> DataFrame:
+    """(bucket, chunk, grams binary) from rows (chunk, gram, value): about ``held_rows`` of a task are sorted and packed at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            keys, blobs = [], []
+            for bucket, of, gram, values in _groups(held, 0, 1):
+                keys.append((bucket[0], of[0]))
+                blobs.append(zstandard.ZstdCompressor(level=3).compress(np.diff(gram, prepend=0).astype("<i8").tobytes() + values.astype(kind).tobytes()))
+            bucket, of = zip(*keys, strict=True)
+            chunks = pa.array(of, pa.int64()) if chunk else pa.nulls(len(of), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), chunks, pa.array(blobs, pa.binary())], ["bucket", "chunk", "grams"])
+
+        held, size = [], 0
+        for batch in batches:
+            gram = batch.column("gram").to_numpy()
+            held.append((_bucket(gram, buckets), batch.column(chunk).to_numpy() if chunk else np.zeros(len(gram), np.int64), gram, batch.column(value).to_numpy()))
+            size += len(gram)
+            if size >= held_rows:
+                yield told()
+                held, size = [], 0
+        if size:
+            yield told()
+
+    return rows.mapInArrow(run, "bucket long, chunk long, grams binary")
+
+
+def gram_answers(asked: DataFrame, scores: DataFrame, buckets: int) -> DataFrame:
+    """(a_chunk, answers binary): the score of each gram of asked (chunk, pos, gram) from scores (gram, lp), which hold it.
+
+    Both sides are dealt to buckets of grams by hash and travel packed. In a task a bucket's scores come first and are
+    held; the chunks that ask stream by.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, gram, lp = None, [], np.empty(0, np.int64), np.empty(0)
+        for batch in batches:
+            chunks, blobs = [], []
+            for bucket, chunk, blob in zip(*(batch.column(c) for c in ("bucket", "chunk", "grams")), strict=True):
+                raw = zstandard.ZstdDecompressor().decompress(blob.as_buffer())
+                if bucket.as_py() != at:
+                    at, parts = bucket.as_py(), []
+                if not chunk.is_valid:
+                    n = len(raw) // 16
+                    parts.append((np.frombuffer(raw, "<i8", n).cumsum(), np.frombuffer(raw, "<f8", n, 8 * n)))
+                    continue
+                if parts:
+                    gram, lp = map(np.concatenate, zip(*parts, strict=True))
+                    order, parts = np.argsort(gram), []
+                    gram, lp = gram[order], lp[order]
+                n = len(raw) // 12
+                told = lp[np.searchsorted(gram, np.frombuffer(raw, "<i8", n).cumsum())]
+                pos = np.frombuffer(raw, "<i4", n, 8 * n)
+                order = np.argsort(pos)
+                chunks.append(chunk.as_py())
+                blobs.append(_pack(pos[order].astype(np.int64), told[order]))
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], ["a_chunk", "answers"])
+
+    both = _by_bucket(asked, "chunk", "pos", "<i4", buckets).unionByName(_by_bucket(scores, None, "lp", "<f8", buckets))
+    return both.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk")).mapInArrow(run, "a_chunk long, answers binary")
+
+
 def packed_answers(answers: DataFrame, rows: int = 1 << 20) -> DataFrame:
     """(a_chunk, answers binary) from (chunk, at, told): about ``rows`` answers of a task are sorted and packed at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told() -> pa.RecordBatch:
-            chunk, at, value = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((at, chunk))
-            chunk, at, value = chunk[order], at[order], value[order]
-            starts = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1))
-            blobs = [_pack(at[i:j], value[i:j]) for i, j in zip(starts, [*starts[1:], len(chunk)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), pa.array(blobs, pa.binary())], ["a_chunk", "answers"])
+            chunks, blobs = zip(*((chunk[0], _pack(at, value)) for chunk, at, value in _groups(held, 0)), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], ["a_chunk", "answers"])
 
         held, size = [], 0
         for batch in batches:
@@ -330,12 +404,12 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     n, v = total["n"] or 0, total["v"]
     asked = whole.where("gram is not null").select("chunk", "pos", "gram", "n")
     counts = saved(asked.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
+    buckets = max(BUCKETS, -(-counts.count() // HELD))
     scores = gram_scores(counts, order)
     release(counts)
     # A gram's score at its position, a word's count at -1 less its position if other chunks add to it.
-    at, told = F.col("pos").alias("at"), F.col("lp").alias("told")
     of_words = words.join(word_counts, "word").where("c <> n").select("chunk", (-1 - F.col("pos")).alias("at"), F.col("c").cast("double").alias("told"))
-    answers = packed_answers(asked.join(scores, "gram").select("chunk", at, told)).unionByName(packed_answers(of_words))
+    answers = gram_answers(asked.select("chunk", "pos", "gram"), scores, buckets).unionByName(packed_answers(of_words))
     answers = saved(answers, "answers")
     release(scores, word_counts)
 

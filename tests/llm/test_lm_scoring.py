@@ -94,3 +94,16 @@ def test_packed_answers(spark):
         at, told = lm_scoring._unpack(r["answers"])
         got += zip([r["a_chunk"]] * len(at), at.tolist(), told.tolist(), strict=True)
     assert sorted(got) == sorted(rows)
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 64])
+def test_gram_answers(spark, buckets):
+    """Every chunk gets the score of each of its grams at its position, however the grams are dealt."""
+    score = {k * k * 7919: -k / 3 for k in range(500)}
+    asked = [(chunk, pos, gram) for chunk in (0, 9, 2**62) for pos, gram in enumerate(sorted(score, key=lambda g: g * (chunk + 3) % 1009)) if (pos + chunk) % 4]
+    asks = spark.createDataFrame(asked, "chunk long, pos long, gram long").repartition(3)
+    got = []
+    for r in lm_scoring.gram_answers(asks, spark.createDataFrame(list(score.items()), "gram long, lp double"), buckets).collect():
+        at, told = lm_scoring._unpack(r["answers"])
+        got += zip([r["a_chunk"]] * len(at), at.tolist(), told.tolist(), strict=True)
+    assert sorted(got) == sorted((chunk, pos, score[gram]) for chunk, pos, gram in asked)
