@@ -40,18 +40,20 @@ CODED = 1 << 20
 #: Grams meet their scores in at least so many buckets, and in as many as leave about HELD scores to each.
 BUCKETS, HELD = 64, 1 << 21
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: The token that ends every text. Words hold no blank, so it is no word.
-STOP = b" "
+BLANKS = b" \t\n\v\f\r"
+INSIDE = bytes(c not in BLANKS for c in range(256))
+#: The token that ends every text, set apart by blanks. END stands in no word.
+STOP_WORD = b" " + bytes([END]) + b" "
 
 
 def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """(packed context and byte of each position, where each text's positions start); the byte is lowest."""
     pad = bytes([END]) * order
-    whole = np.frombuffer(pad + pad.join(t + bytes([END]) for t in texts), np.uint8) if texts else np.empty(0, np.uint8)
+    whole = bytes(7 - order) + pad + pad.join(t + bytes([END]) for t in texts) if texts else bytes(7)
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    out = np.zeros(max(0, len(whole) - order), np.int64)
-    for k in range(order + 1):  # k = 0: the farthest byte of the context
-        out = (out << 8) | whole[k : k + len(out)]
+    # Each position's eight bytes up to its own, as one number, without those beyond the context.
+    out = np.ndarray(len(whole) - 7, ">i8", whole, strides=(1,)).astype(np.int64)
+    out &= (1 << 8 * (order + 1)) - 1
     starts = np.cumsum([0, *(lengths + order)])[:-1]
     keep = np.ones(len(out), bool)
     for k in range(order):
@@ -71,25 +73,28 @@ def _runs(texts: list[bytes], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
         at = to
 
 
-class _Index(dict):
-    """Numbers keys in order of appearance."""
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
-
-
-def _words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct tokens in order of appearance, each token's place in that order, and where each text's tokens start."""
-    index, ids = _Index(), []
-    for text in texts:
-        tokens = text.translate(LOWER).split()
-        tokens.append(STOP)
-        ids.append(np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens)))
-    return list(index), np.concatenate(ids), np.cumsum([0, *map(len, ids)])[:-1]
-
-
-def _in_training(words: list[bytes], ids: np.ndarray, starts: np.ndarray, training: list[bool]) -> np.ndarray:
+    parts, starts, seen = [], [], 0
+    for at, to in _runs(texts, CODED):
+        whole = b"".join([b" ", *(t + STOP_WORD for t in texts[at:to])])
+        inside = np.frombuffer(whole.translate(INSIDE), bool)
+        begin, end = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
+        offsets = np.cumsum(np.concatenate([[0], end - begin]))
+        tokens = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(whole.translate(LOWER, BLANKS))])
+        parts.append(tokens.dictionary_encode())
+        lengths = [len(t) + len(STOP_WORD) for t in texts[at:to]]
+        starts.append(seen + np.searchsorted(begin, np.cumsum([0, *lengths])[:-1]))
+        seen += len(begin)
+    # Runs number their own words; the chunk numbers the runs' words.
+    of_all = pa.concat_arrays([p.dictionary for p in parts]).dictionary_encode()
+    ends = np.cumsum([0, *(len(p.dictionary) for p in parts)])
+    number = of_all.indices.to_numpy()
+    ids = [number[i:j][p.indices.to_numpy()] for p, i, j in zip(parts, ends[:-1], ends[1:], strict=True)]
+    return of_all.dictionary, np.concatenate(ids), np.concatenate(starts)
+
+
+def _in_training(words: pa.Array, ids: np.ndarray, starts: np.ndarray, training: list[bool]) -> np.ndarray:
     """How often each of a chunk's words is in its training texts."""
     lengths = np.diff([*starts, len(ids)])
     return np.bincount(ids[np.repeat(np.array(training, bool), lengths)], minlength=len(words))
@@ -111,7 +116,8 @@ def _schema(kind: pa.DataType) -> pa.Schema:
 
 def _rows(schema: pa.Schema, chunk: int, pos: np.ndarray, **cols: object) -> pa.RecordBatch:
     cols |= {"chunk": np.full(len(pos), chunk), "pos": pos}
-    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(len(pos), f.type) for f in schema], schema=schema)
+    column = lambda x, kind: x if isinstance(x, pa.Array) else pa.array(x, kind)
+    return pa.RecordBatch.from_arrays([column(cols[f.name], f.type) if f.name in cols else pa.nulls(len(pos), f.type) for f in schema], schema=schema)
 
 
 def _chunk(schema: pa.Schema, ids: list, texts: list[bytes], training: list[bool], order: int) -> Iterator[pa.RecordBatch]:
@@ -120,7 +126,7 @@ def _chunk(schema: pa.Schema, ids: list, texts: list[bytes], training: list[bool
     for seq, (at, to) in enumerate(_runs(texts)):
         yield _rows(schema, chunk, np.array([seq]), ids=[ids[at:to]], training=[training[at:to]], sizes=[list(map(len, texts[at:to]))], blob=[pack.compress(b"".join(texts[at:to]))])
     words, ids_of, starts = _words(texts)
-    yield _rows(schema, chunk, np.arange(len(words)), word=words, n=_in_training(words, ids_of, starts, training))
+    yield _rows(schema, chunk, np.arange(len(words)), word=words.cast(pa.binary()), n=_in_training(words, ids_of, starts, training))
     del words, ids_of
     uniques, weights = [], []
     for (unique, at, _), (i, j) in zip(_codes(texts, order), _runs(texts, CODED), strict=True):
@@ -292,7 +298,11 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _groups(held: list[tuple], *keys: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs that are equal in the columns ``keys`` of the held batches, sorted by these, then by the column after them."""
     cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-    order = np.lexsort([cols[k] for k in (keys[-1] + 1, *reversed(keys))])
+    order = np.argsort(cols[keys[-1] + 1])
+    for k in reversed(keys):
+        key = cols[k][order]
+        if (key != key[0]).any():
+            order = order[np.argsort(key, kind="stable")]
     cols = [c[order] for c in cols]
     ends = np.flatnonzero(np.any([np.diff(cols[k]) != 0 for k in keys], axis=0)) + 1
     for i, j in zip([0, *ends], [*ends, len(order)], strict=True):
@@ -300,7 +310,8 @@ def _groups(held: list[tuple], *keys: int) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
-    return ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+    """Buckets in the smallest type that holds them: two bytes sort by counting."""
+    return (((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets).astype(np.min_scalar_type(buckets))
 
 
 def _by_bucket(rows: DataFrame, chunk: str | None, value: str, kind: str, buckets: int, held_rows: int = 1 << 20) -> DataFrame:
