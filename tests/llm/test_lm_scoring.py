@@ -1,6 +1,7 @@
 """LM scoring against a plain, dictionary-based model."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -107,3 +108,20 @@ def test_gram_answers(spark, buckets):
         at, told = lm_scoring._unpack(r["answers"])
         got += zip([r["a_chunk"]] * len(at), at.tolist(), told.tolist(), strict=True)
     assert sorted(got) == sorted((chunk, pos, score[gram]) for chunk, pos, gram in asked)
+
+
+def test_words_and_grams_of_bytes():
+    draw = random.Random(3)
+    signs = ["a", "B", "Z", " ", "\t", "\n", "\x0b", "\x0c", "\r", "é", "\x1c", "\x00"]
+    cases = [[b""], [b"", b""], [b"  "], [b"A b", b"", b" c a"]]
+    cases += [["".join(draw.choices(signs, k=draw.randint(0, 30))).encode() for _ in range(draw.randint(1, 6))] for _ in range(100)]
+    for texts in cases:
+        tokens = [[*(w.lower() for w in t.split()), b"\xff"] for t in texts]
+        words, ids, starts = lm_scoring._words(texts)
+        assert words.to_pylist() == list(dict.fromkeys(w for ws in tokens for w in ws))
+        assert [words.to_pylist()[i] for i in ids] == [w for ws in tokens for w in ws]
+        assert list(starts) == [sum(map(len, tokens[:k])) for k in range(len(texts))]
+        for order in (0, 3, 5):
+            padded = [b"\xff" * order + t + b"\xff" for t in texts]
+            codes, _ = lm_scoring.grams(texts, order)
+            assert list(codes) == [int.from_bytes(p[k : k + order + 1]) for p in padded for k in range(len(p) - order)]
