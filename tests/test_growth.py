@@ -25,3 +25,11 @@ def test_meets_are_counted_without_pairs(spark):
     got = timeline.meets_count(facts)
     assert sorted(got.collect()) == sorted(timeline.meets(facts).groupBy("story_id").agg(F.count("*").alias("n")).collect())
     assert "Join" not in plan(got)
+
+
+def test_concurrent_pairs_come_once_without_telling_them_apart(spark):
+    facts = told(spark)
+    got = timeline.concurrent(facts)
+    want = timeline.symmetric(timeline.overlap(facts)).collect()
+    assert len(want) > 50 and sorted(got.collect()) == sorted(want)
+    assert not plan(got).lstrip().startswith("Aggregate")
