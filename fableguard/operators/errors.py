@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,12 +54,17 @@ def _first(c: Column, table: dict[str, list[str]]) -> Column:
 def by_score(category: Column, kind: Column, description: Column) -> Column:
     """A valid category as it is, else the one with most keywords in type and description; the earlier of equals."""
     text = F.concat_ws(" ", F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(description, F.lit(""))))
-    scores = {c: reduce(lambda a, w: a + text.contains(w).cast("int"), ws, F.lit(0)) for c, ws in KEYWORDS.items()}
-    best = F.greatest(*scores.values())
-    pick = reduce(lambda a, c: a.when(scores[c] == best, c), CATEGORIES, F.when(best == 0, "coherence"))
+    score = lambda t, c: reduce(lambda a, w: a + t.contains(w).cast("int"), KEYWORDS[c], F.lit(0))
+    scores = _let(text, lambda t: F.array(*(score(t, c) for c in CATEGORIES)))
+    pick = _let(scores, lambda s: F.when(F.array_max(s) == 0, "coherence").otherwise(F.element_at(F.array(*map(F.lit, CATEGORIES)), F.array_position(s, F.array_max(s)).cast("int"))))
     return F.when(F.lower(category).isin(*CATEGORIES), F.lower(category)).otherwise(pick)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where the value, used many times, is computed once a row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def raw_violation(first: Column) -> Column:
     """By the first part of a raw finding, whatever that is."""
     return _first(F.lower(F.coalesce(first, F.lit(""))), KEYWORDS)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fableguard.operators import timeline
+from fableguard.operators import errors, timeline
 from fableguard.plans.facts import Facts
 
 INTERVALS = "story_id string, event_id long, start_ord long, end_ord long, t_start long, t_end long"
@@ -33,3 +33,10 @@ def test_concurrent_pairs_come_once_without_telling_them_apart(spark):
     want = timeline.symmetric(timeline.overlap(facts)).collect()
     assert len(want) > 50 and sorted(got.collect()) == sorted(want)
     assert not plan(got).lstrip().startswith("Aggregate")
+
+
+def test_a_score_reads_the_text_once(spark):
+    df = spark.createDataFrame([("plot", "x", "Before the EFFECT, after"), (None, None, None), ("Location", "x", "cause"), (None, "cause", "time of ubiquity")], "c string, t string, d string")
+    got = df.select(errors.by_score(F.col("c"), F.col("t"), F.col("d")).alias("x"))
+    assert [r["x"] for r in got.collect()] == ["temporal", "coherence", "location", "causality"]
+    assert plan(got).count("lower(coalesce(d") == 1
