@@ -227,14 +227,16 @@ def fragments_by_keyword(text: Column, description: Column, context: int = 200,
     characters on both sides and goes on to the ends of its sentences; one of 20 characters or less is none. Start counts from 0, end is
     exclusive. A place is looked up after the one before, so the work is a few passes over the text for each keyword.
     """
-    plain, size = F.lower(text), F.length(text)
+    return _let(F.struct(text.alias("text"), F.lower(text).alias("plain"), F.length(text).alias("size")), lambda t: _keyword_pieces(t["text"], t["plain"], t["size"], description, context, each, most))
 
+
+def _keyword_pieces(text: Column, plain: Column, size: Column, description: Column, context: int, each: int, most: int) -> Column:
     def piece(word: Column, at: Column) -> Column:
         low, high = F.greatest(F.lit(0), at - 1 - context), F.least(size, at - 1 + F.length(word) + context)
-        left = F.substring(text, F.lit(1), low + 1)
-        tail = F.length(F.regexp_extract(left, r"[^.!?\n]*$", 0))
-        start = F.when(low == 0, 0).otherwise(F.greatest(F.lit(0), F.length(left) - tail - 1))
-        end = high + F.length(F.regexp_extract(F.substring(text, high + 1, size), r"^[^.!?\n]*", 0))
+        # Read backwards the start of a sentence is found at once, not tried for at every place.
+        tail = F.length(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), low + 1)), r"^[^.!?\n]*+", 0))
+        start = F.when(low == 0, 0).otherwise(F.greatest(F.lit(0), low - tail))
+        end = high + F.length(F.regexp_extract(F.substring(text, high + 1, size), r"^[^.!?\n]*+", 0))
         cut = F.regexp_replace(F.substring(text, start + 1, end - start), r"^\s+|\s+$", "")
         return F.struct(word.alias("keyword"), start.cast("int").alias("start"), end.cast("int").alias("end"), cut.alias("text"))
 

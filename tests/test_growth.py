@@ -40,3 +40,10 @@ def test_a_score_reads_the_text_once(spark):
     got = df.select(errors.by_score(F.col("c"), F.col("t"), F.col("d")).alias("x"))
     assert [r["x"] for r in got.collect()] == ["temporal", "coherence", "location", "causality"]
     assert plan(got).count("lower(coalesce(d") == 1
+
+
+def test_a_sentence_starts_after_the_line_end_that_the_context_starts_at(spark):
+    text = "Abc def ghi\n" + "x" * 199 + "Keyword here"
+    df = spark.createDataFrame([(text,)], "text string")
+    got = df.select(errors.fragments_by_keyword(F.col("text"), F.lit('A "keyword"')).alias("x")).first()["x"]
+    assert [(x["keyword"], x["start"], x["end"]) for x in got] == [("keyword", 11, len(text))]
