@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fableguard.operators import errors, timeline
 from fableguard.plans.facts import Facts
+from fableguard.plans.store import FactStore
 
 INTERVALS = "story_id string, event_id long, start_ord long, end_ord long, t_start long, t_end long"
 
@@ -47,3 +48,10 @@ def test_a_sentence_starts_after_the_line_end_that_the_context_starts_at(spark):
     df = spark.createDataFrame([(text,)], "text string")
     got = df.select(errors.fragments_by_keyword(F.col("text"), F.lit('A "keyword"')).alias("x")).first()["x"]
     assert [(x["keyword"], x["start"], x["end"]) for x in got] == [("keyword", 11, len(text))]
+
+
+def test_no_table_of_a_store_is_sent_through_the_driver(spark):
+    spark.range(3).selectExpr("'s' story_id", "id").createOrReplaceTempView("small_cast")
+    store = FactStore(spark, "small", "", [], {}, 1, None)
+    both = store.table("cast").join(store.table("cast").select("id").distinct(), "id")
+    assert both.count() == 3 and "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
