@@ -53,5 +53,5 @@ def test_a_sentence_starts_after_the_line_end_that_the_context_starts_at(spark):
 def test_no_table_of_a_store_is_sent_through_the_driver(spark):
     spark.range(3).selectExpr("'s' story_id", "id").createOrReplaceTempView("small_cast")
     store = FactStore(spark, "small", "", [], {}, 1, None)
-    both = store.table("cast").join(store.table("cast").select("id").distinct(), "id")
+    both = store.side("cast").join(store.side("cast").select("id").distinct(), "id")
     assert both.count() == 3 and "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
