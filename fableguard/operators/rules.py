@@ -393,7 +393,7 @@ def once(facts: Facts) -> Facts:
         return facts
     keep = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
     acts = {r: keep(facts.acts(r)) for r in ("agent", "patient")}
-    return Facts(facts.spark, keep(facts.events), keep(facts.event_role), facts.bucket, facts.tables, acts)
+    return Facts(facts.spark, keep(facts.events), keep(facts.event_role), facts.bucket, facts.tables, acts, facts.held)
 
 
 def check(facts: Facts, ruleset: str, only: list[str] | None = None, own: dict[str, Rule] | None = None) -> DataFrame:

@@ -217,26 +217,33 @@ def validate(stories: DataFrame) -> DataFrame:
 def load(stories: DataFrame, scope: str = "story") -> Facts:
     """All facts of structured stories. With scope ``corpus`` first events of any story exempt equal ids in all.
 
-    A story's own rules and distances hold in that story alone.
+    A story's own rules and distances hold in that story alone. What rules read many times is kept (``facts.release()`` lets
+    it go): without that a rule's plan reads and ranks the stories once per mention of them.
     """
-    spark, stories = stories.sparkSession, story_defaults(stories).persist(StorageLevel.MEMORY_AND_DISK)  # read by every table
-    ev = events(stories)
+    held = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return held[-1]
+
+    spark, stories = stories.sparkSession, keep(story_defaults(stories))
+    ev = keep(events(stories))
     points = time_points_ranked(ev)
     rank = lambda df, t, o: df.join(points.select("story_id", F.col("t").alias(t), F.col("t_ord").alias(o)), ["story_id", t], "left")
-    timed = rank(rank(ev, "t_start", "start_ord"), "t_end", "end_ord")
+    timed = keep(rank(rank(ev, "t_start", "start_ord"), "t_end", "end_ord"))
     fl = fluents(stories).where("not negated").drop("negated")
     first = ev.where("pos = 0").select("story_id", "event_id")
     if scope == "corpus":
         first = ev.select("story_id", "event_id").join(first.select("event_id").distinct(), "event_id", "left_semi")
-    own, of_story = rules(stories), F.col("story_id").alias("scope")
+    own, of_story = keep(rules(stories)), F.col("story_id").alias("scope")
     tables = {
         "characters": entities(stories, "characters").select("story_id", "id"), "objects": entities(stories, "objects"), "locations": entities(stories, "locations").select("story_id", "id"),
-        "fluents": rank(rank(fl, "t_start", "start_ord"), "t_end", "end_ord"), "traits": traits(stories), "relationships": relationships(stories).unionByName(relationship_inference(relationships(stories))).distinct(),
+        "fluents": keep(rank(rank(fl, "t_start", "start_ord"), "t_end", "end_ord")), "traits": traits(stories), "relationships": relationships(stories).unionByName(relationship_inference(relationships(stories))).distinct(),
         "emotional_states": rank(emotional_states(stories), "t", "t_ord"), "location_graph": location_graph(stories).select(of_story, "relation", "src", "dst").unionByName(domain_distance(stories).select(of_story, F.lit("distant").alias("relation"), "src", "dst")).distinct(), "location_types": location_types(stories),
         "causal_chain": causal_chain(stories), "significant_event": ev.where("is_significant").select("story_id", "event_id"), "initial_event": first,
         "names": entities(stories, "characters").select("story_id", "id", "name").unionByName(entities(stories, "objects").select("story_id", "id", "name")).unionByName(entities(stories, "locations").select("story_id", "id", "name")).dropDuplicates(["story_id", "id"]),
     }
-    facts = Facts(spark, timed, event_role(stories), 32, tables)
+    facts = Facts(spark, timed, keep(event_role(stories)), 32, tables, held=held)
     for table, kind in (("effects", "causes"), ("preconditions", "precondition")):
-        facts.tables[table] = getattr(Facts(spark, timed, timed), table).unionByName(own.where(F.col("kind") == kind).select(of_story, "type", "polarity", "prop", "role")).distinct()
+        facts.tables[table] = keep(getattr(Facts(spark, timed, timed), table).unionByName(own.where(F.col("kind") == kind).select(of_story, "type", "polarity", "prop", "role")).distinct())
     return facts

@@ -1,10 +1,13 @@
 """Work that has to grow with the input, against the plain forms of the same operators."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from fableguard.operators import errors, timeline
+from fableguard.operators import errors, rules, structured, timeline
 from fableguard.plans.facts import Facts
 from fableguard.plans.store import FactStore
+from fableguard.sources.stories import parse_stories
 
 INTERVALS = "story_id string, event_id long, start_ord long, end_ord long, t_start long, t_end long"
 
@@ -55,3 +58,14 @@ def test_no_table_of_a_store_is_sent_through_the_driver(spark):
     store = FactStore(spark, "small", "", [], {}, 1, None)
     both = store.side("cast").join(store.side("cast").select("id").distinct(), "id")
     assert both.count() == 3 and "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_structured_facts_that_rules_read_many_times_are_kept_until_released(spark):
+    story = {"events": [{"id": "e1", "type": "lock", "patient": "door", "time": {"start": "t1"}}, {"id": "e2", "type": "lock", "patient": "box", "time": {"start": "t2"}}]}
+    story |= {"fluents": [{"id": "shut(box)", "time_start": "t1"}], "rules": [{"type": "precondition", "head": "lock(A,B)", "body": ["shut(B)"]}]}
+    facts = structured.load(parse_stories(spark.createDataFrame([("s", json.dumps(story))], "id string, j string"), "id", "j"))
+    read = [facts.events, facts.event_role, facts.fluents, facts.preconditions, facts.effects]
+    assert all(df.storageLevel.useMemory for df in read)
+    assert [(r["subject"], r["detail"]) for r in rules.precondition_not_met(facts, "base").where("detail = 'shut'").collect()] == [("e1", "shut")]
+    facts.release()
+    assert not any(df.storageLevel.useMemory for df in read)
