@@ -88,25 +88,43 @@ def parse_stories(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
 #: The folders of a run.
 RUN_FOLDERS = ("stories", "structured_json", "llm_results", "logic_results", "fol_rules")
+#: The folder of a run's packed files.
+PACKED = "packed"
+
+
+def pack_run(df: DataFrame, path: str) -> None:
+    """The files of a run (folder, name, text), name without ending, as Parquet in the run's folder ``packed``.
+
+    A file of its own for each chapter costs some milliseconds and two entries of a directory; packed, many share one.
+    """
+    df.select("name", "text", "folder").write.mode("append").partitionBy("folder").parquet(f"{path}/{PACKED}")
 
 
 def results_scan(spark: SparkSession, path: str, folders: tuple[str, ...] = RUN_FOLDERS) -> DataFrame:
     """book, chapter, a column for each folder of a run, missing, corrupt: a row per book and chapter that any folder has.
 
     A file X_Chapter_007.json, or the files of a folder name=X_Chapter_007, are of book X and chapter 007; other names are books without
-    chapter. Text files come as they are, JSON as its text; what is not there is null and named in ``missing``, JSON that can't be
-    parsed is null and named, with its file, in ``corrupt``. All folders are read and grouped once.
+    chapter. What ``pack_run`` packed is read with the files. Text files come as they are, JSON as its text; what is not there is null and
+    named in ``missing``, JSON that can't be parsed is null and named, with its file, in ``corrupt``. All folders are read and grouped once.
     """
     have = [f for f in folders if _exists(spark, f"{path}/{f}")]
-    files = spark.read.text([f"{path}/{f}" for f in have], wholetext=True, recursiveFileLookup=True)
-    at = F.url_decode(F.col("_metadata.file_path"))
-    name = F.coalesce(F.nullif(F.regexp_extract(at, "/name=([^/]+)/[^/]+$", 1), F.lit("")), stem(at))
-    rows = files.select(
-        F.regexp_extract(at, f"/({'|'.join(folders)})/[^/]+(/[^/]+)*$", 1).alias("folder"),
-        F.coalesce(F.nullif(F.regexp_extract(name, "^(.*)_Chapter_", 1), F.lit("")), name).alias("book"),
-        F.nullif(F.regexp_extract(name, "_Chapter_([0-9]+)", 1), F.lit("")).alias("chapter"),
-        at.alias("file"),
-        F.col("value").alias("text"),
+    packed = _exists(spark, f"{path}/{PACKED}")
+    told = []
+    if have or not packed:
+        files = spark.read.text([f"{path}/{f}" for f in have], wholetext=True, recursiveFileLookup=True)
+        at = F.url_decode(F.col("_metadata.file_path"))
+        name = F.coalesce(F.nullif(F.regexp_extract(at, "/name=([^/]+)/[^/]+$", 1), F.lit("")), stem(at))
+        folder = F.regexp_extract(at, f"/({'|'.join(folders)})/[^/]+(/[^/]+)*$", 1)
+        told.append(files.select(folder.alias("folder"), name.alias("name"), at.alias("file"), F.col("value").alias("text")))
+    if packed:
+        packs = spark.read.schema("name string, text string, folder string").parquet(f"{path}/{PACKED}").where(F.col("folder").isin(*folders) & F.col("text").isNotNull())
+        told.append(packs.select("folder", "name", F.concat_ws("/", F.lit(PACKED), "name").alias("file"), "text"))
+    rows = (told[0] if len(told) == 1 else told[0].unionByName(told[1])).select(
+        "folder",
+        F.coalesce(F.nullif(F.regexp_extract("name", "^(.*)_Chapter_", 1), F.lit("")), F.col("name")).alias("book"),
+        F.nullif(F.regexp_extract("name", "_Chapter_([0-9]+)", 1), F.lit("")).alias("chapter"),
+        "file",
+        "text",
     )
     good = (F.col("folder") == "stories") | F.try_parse_json("text").isNotNull()
     rows = rows.withColumn("good", good)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fableguard.operators import errors, rules, structured, timeline
 from fableguard.plans.facts import Facts
 from fableguard.plans.store import FactStore
-from fableguard.sources.stories import parse_stories
+from fableguard.sources.stories import RUN_FOLDERS, pack_run, parse_stories, results_scan
 
 INTERVALS = "story_id string, event_id long, start_ord long, end_ord long, t_start long, t_end long"
 
@@ -69,3 +69,19 @@ def test_structured_facts_that_rules_read_many_times_are_kept_until_released(spa
     assert [(r["subject"], r["detail"]) for r in rules.precondition_not_met(facts, "base").where("detail = 'shut'").collect()] == [("e1", "shut")]
     facts.release()
     assert not any(df.storageLevel.useMemory for df in read)
+
+
+def test_packed_files_of_a_run_are_read_like_files_of_their_own(spark, tmp_path):
+    texts = [("stories", "b 1_Chapter_01", "Once.\n"), ("llm_results", "b 1_Chapter_01", '{"a": 1}'), ("llm_results", "b 1_Chapter_02", "{"), ("logic_results", "plain", "[]"), ("fol_rules", "c", None)]
+    for folder, name, text in texts:
+        if text is not None:
+            (tmp_path / "loose" / folder).mkdir(parents=True, exist_ok=True)
+            (tmp_path / "loose" / folder / f"{name}.json").write_text(text)
+    rows = lambda some: spark.createDataFrame(some, "folder string, name string, text string")
+    pack_run(rows(texts), str(tmp_path / "whole"))
+    pack_run(rows(texts[1:]), str(tmp_path / "mixed"))
+    (tmp_path / "mixed" / "stories").mkdir()
+    (tmp_path / "mixed" / "stories" / "b 1_Chapter_01.txt").write_text("Once.\n")
+    told = lambda run: sorted((r["book"], r["chapter"] or "", *(r[f] for f in RUN_FOLDERS), sorted(r["missing"]), len(r["corrupt"])) for r in results_scan(spark, str(tmp_path / run)).collect())
+    want = told("loose")
+    assert len(want) == 3 and told("whole") == want and told("mixed") == want
