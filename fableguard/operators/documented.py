@@ -73,7 +73,7 @@ def aquaphobia(facts: Facts) -> DataFrame:
 def focus_overlap(facts: Facts) -> DataFrame:
     """Overlapping acts of one character by verbs that need focus, whatever the events say."""
     acts = facts.acts().where(F.col("type").isin(K.FOCUS_VERBS)).select("story_id", "agent", "event_id", "start_ord", "end_ord")
-    both = timeline.together(acts, ["story_id", "agent"], facts.bucket).where("a_event_id < b_event_id").withColumnRenamed("a_story_id", "story_id")
+    both = timeline.together_by_agent(acts, ["story_id", "agent"], facts.bucket).where("a_event_id < b_event_id").withColumnRenamed("a_story_id", "story_id")
     return found(both, SET, "coherence", "focus_overlap", F.col("a_event_id"), F.col("b_event_id"))
 
 
@@ -114,7 +114,7 @@ def ubiquity(facts: Facts) -> DataFrame:
     cast = facts.characters.select("story_id", F.col("id").alias("agent")).distinct()
     at = at_during(facts).withColumnRenamed("entity", "agent").join(cast, ["story_id", "agent"], "left_semi")
     when = facts.events.select("story_id", "event_id", "start_ord", "end_ord").distinct()
-    both = timeline.together(at.join(when, ["story_id", "event_id"]), ["story_id", "agent"], facts.bucket)
+    both = timeline.together_by_agent(at.join(when, ["story_id", "event_id"]), ["story_id", "agent"], facts.bucket)
     both = both.where("a_location <> b_location and a_event_id <= b_event_id").withColumnRenamed("a_story_id", "story_id")
     return found(both, SET, "location", "ubiquity", F.col("a_event_id"), F.col("b_event_id"))
 

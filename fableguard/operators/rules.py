@@ -105,7 +105,7 @@ def at_during(facts: Facts, ruleset: str) -> DataFrame:
 
 def _together(facts: Facts, acts: DataFrame) -> DataFrame:
     acts = acts.select("story_id", "agent", "event_id", "location", "type", "start_ord", "end_ord")
-    return timeline.together(acts, ["story_id", "agent"], facts.bucket).withColumnsRenamed({"a_story_id": "story_id", "a_agent": "agent"})
+    return timeline.together_by_agent(acts, ["story_id", "agent"], facts.bucket).withColumnsRenamed({"a_story_id": "story_id", "a_agent": "agent"})
 
 
 @rule()

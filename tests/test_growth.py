@@ -85,3 +85,14 @@ def test_packed_files_of_a_run_are_read_like_files_of_their_own(spark, tmp_path)
     told = lambda run: sorted((r["book"], r["chapter"] or "", *(r[f] for f in RUN_FOLDERS), sorted(r["missing"]), len(r["corrupt"])) for r in results_scan(spark, str(tmp_path / run)).collect())
     want = told("loose")
     assert len(want) == 3 and told("whole") == want and told("mixed") == want
+
+
+def test_few_rows_of_a_key_meet_without_being_copied_for_the_index(spark):
+    df = told(spark).events
+    pairs = lambda out: sorted(map(str, out.collect()))
+    want = pairs(timeline.together(df, ["story_id"], 2))
+    for few in (0, 4, 5, 1000):  # story b has three rows, and all but the first of these leave a for the index
+        got = timeline.together_by_agent(df, ["story_id"], 2, few)
+        assert got.columns == timeline.together(df, ["story_id"], 2).columns and pairs(got) == want
+    joined = rules._together(Facts(spark, df.withColumns({"location": F.lit("l"), "type": F.lit("x"), "agent": F.lit("u")}), df, 2), df.withColumns({"location": F.lit("l"), "type": F.lit("x"), "agent": F.lit("u")}))
+    assert "LeftAnti" in plan(joined)
