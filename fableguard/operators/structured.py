@@ -189,29 +189,39 @@ def validate(stories: DataFrame) -> DataFrame:
 
     duplicate_id (within a section), malformed_id, malformed_event_id, malformed_time, missing_reference (agent, patient
     or location that no entity has), ends_before_start (by the numbers of the times) of events, and of fluents too.
+
+    A story is parsed and taken apart once: what its rows tell alone comes as problems, ids and references as candidates that
+    are counted with them, in one exchange.
     """
     stories = story_defaults(stories)
-    out = []
-    tell = lambda df, problem, ref: out.append(df.select("story_id", F.lit(problem).alias("problem"), ref.cast("string").alias("ref")))
-    ids = [stories.select("story_id", F.lit(k).alias("section"), F.explode(f"entities.{k}.id").alias("id")) for k in ("characters", "objects", "locations")]
-    known = ids[0].unionByName(ids[1]).unionByName(ids[2])
-    ev = _rows(stories, "events").select("story_id", "x.*").withColumns({"start": F.coalesce("time.start", "time_start"), "end": F.coalesce("time.end", "time_end", "time.start", "time_start")})
-    every = known.unionByName(ev.select("story_id", F.lit("events").alias("section"), "id"))
-    tell(every.groupBy("story_id", "section", "id").agg(F.count("*").alias("n")).where("n > 1"), "duplicate_id", F.col("id"))
-    tell(known.where(~F.coalesce(F.col("id").rlike("^[a-z][a-z0-9_]*$"), F.lit(False))), "malformed_id", F.col("id"))
-    tell(ev.where(~F.coalesce(F.col("id").rlike("^e[0-9]+$"), F.lit(False))), "malformed_event_id", F.col("id"))
-    fl = _rows(stories, "fluents").select("story_id", F.coalesce("x.id", "x.name", "x.property").alias("id"), F.coalesce("x.time.start", "x.start", "x.time_start").alias("start"), F.coalesce("x.time.end", "x.end", "x.time_end").alias("end"))
-    times = ev.select("story_id", "id", "start", "end").unionByName(fl)
-    tell(times.select("story_id", F.explode(F.array_compact(F.array("start", "end"))).alias("t")).where(~F.col("t").rlike("^t[0-9]+$")), "malformed_time", F.col("t"))
-    names = F.flatten(F.array(*(_several(F.col(c)) for c in ("agent", "patient", "location"))))
-    refs = ev.select("story_id", F.explode(F.array_distinct(names)).alias("id"))
-    tell(refs.join(known.select("story_id", sanitize_symbol(F.col("id")).alias("id")), ["story_id", "id"], "left_anti"), "missing_reference", F.col("id"))
+    kind = "array<struct<problem:string,ref:string,section:int,known:boolean>>"
+
+    def tell(refs: Column, problem: str, section: int | None = None, known: bool | None = None) -> Column:
+        row = lambda ref: F.struct(F.lit(problem).alias("problem"), ref.alias("ref"), F.lit(section).cast("int").alias("section"), F.lit(known).cast("boolean").alias("known"))
+        return F.coalesce(F.transform(refs, row), F.array()).cast(kind)
+
+    ids = [F.coalesce(F.col(f"entities.{k}.id"), F.array().cast("array<string>")) for k in ("characters", "objects", "locations")]
+    events, known = F.col("events.id"), F.concat(*ids)
+    time = lambda i, start, end: F.struct(i.alias("id"), start.alias("start"), end.alias("end"))
+    of_event = lambda e: time(e["id"], F.coalesce(e["time"]["start"], e["time_start"]), F.coalesce(e["time"]["end"], e["time_end"], e["time"]["start"], e["time_start"]))
+    of_fluent = lambda x: time(F.coalesce(x["id"], x["name"], x["property"]), F.coalesce(x["time"]["start"], x["start"], x["time_start"]), F.coalesce(x["time"]["end"], x["end"], x["time_end"]))
+    times = F.concat(F.transform("events", of_event), F.transform("fluents", of_fluent))
     number = lambda c: F.regexp_extract(c, "^t([0-9]+)$", 1).try_cast("long")
-    tell(times.where(number("end") < number("start")), "ends_before_start", F.col("id"))
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole.distinct()
+    names = F.flatten(F.transform("events", lambda e: F.flatten(F.array(*(_several(e[c]) for c in ("agent", "patient", "location"))))))
+    told = [tell(x, "duplicate_id", n) for n, x in enumerate([*ids, events])]
+    told += [
+        tell(F.filter(known, lambda i: ~F.coalesce(i.rlike("^[a-z][a-z0-9_]*$"), F.lit(False))), "malformed_id"),
+        tell(F.filter(events, lambda i: ~F.coalesce(i.rlike("^e[0-9]+$"), F.lit(False))), "malformed_event_id"),
+        tell(F.filter(F.flatten(F.transform(times, lambda t: F.array_compact(F.array(t["start"], t["end"])))), lambda t: ~t.rlike("^t[0-9]+$")), "malformed_time"),
+        tell(F.array_distinct(names), "missing_reference", known=False),
+        tell(F.transform(known, sanitize_symbol), "missing_reference", known=True),
+        tell(F.transform(F.filter(times, lambda t: number(t["end"]) < number(t["start"])), lambda t: t["id"]), "ends_before_start"),
+    ]
+    rows = stories.select("story_id", F.explode(F.concat(*told)).alias("x")).select("story_id", "x.*")
+    most = F.greatest(*(F.count(F.when(F.col("section") == n, 1)) for n in range(4))).alias("most")
+    each = rows.groupBy("story_id", "problem", "ref").agg(most, F.bool_or("known").alias("any"), F.bool_and("known").alias("all"))
+    missing = ~F.col("any") | (F.col("story_id").isNull() & ~F.col("all"))
+    return each.where(F.when(F.col("problem") == "duplicate_id", F.col("most") > 1).when(F.col("problem") == "missing_reference", missing).otherwise(True)).select("story_id", "problem", "ref")
 
 
 def load(stories: DataFrame, scope: str = "story") -> Facts:

@@ -96,3 +96,13 @@ def test_few_rows_of_a_key_meet_without_being_copied_for_the_index(spark):
         assert got.columns == timeline.together(df, ["story_id"], 2).columns and pairs(got) == want
     joined = rules._together(Facts(spark, df.withColumns({"location": F.lit("l"), "type": F.lit("x"), "agent": F.lit("u")}), df, 2), df.withColumns({"location": F.lit("l"), "type": F.lit("x"), "agent": F.lit("u")}))
     assert "LeftAnti" in plan(joined)
+
+
+def test_validation_takes_a_story_apart_once(spark):
+    story = {"entities": {"objects": [{"id": "o1"}, {"id": "o1"}]}, "events": [{"id": "e1", "agent": ["ann", "o1"], "time": {"start": "t2", "end": "t1"}}]}
+    rows = [("s", json.dumps(story)), ("s", json.dumps({"entities": {"characters": [{"id": "Ann"}]}})), (None, json.dumps(story))]
+    got = structured.validate(parse_stories(spark.createDataFrame(rows, "id string, j string"), "id", "j"))
+    own = {("duplicate_id", "o1"), ("ends_before_start", "e1")}
+    want = {("s", *x) for x in own | {("malformed_id", "Ann")}} | {(None, *x) for x in own | {("missing_reference", "ann"), ("missing_reference", "o1")}}
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert plan(got).count("Generate explode") == 1 and "Join" not in plan(got)
