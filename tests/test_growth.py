@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from fableguard.operators import errors, rules, structured, timeline
+from fableguard.plans import rule_queries
 from fableguard.plans.facts import Facts
 from fableguard.plans.store import FactStore
 from fableguard.sources.stories import RUN_FOLDERS, pack_run, parse_stories, results_scan
@@ -106,3 +107,9 @@ def test_validation_takes_a_story_apart_once(spark):
     want = {("s", *x) for x in own | {("malformed_id", "Ann")}} | {(None, *x) for x in own | {("missing_reference", "ann"), ("missing_reference", "o1")}}
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert plan(got).count("Generate explode") == 1 and "Join" not in plan(got)
+
+
+def test_v2_waits_for_no_store(spark):
+    found = rule_queries.queries()["violations_v2"](spark, "/root/testdata/sf0.001")
+    assert found.columns == ["ruleset", *rule_queries.COLS]
+    assert (spark.sparkContext.applicationId, "/root/testdata/sf0.001") not in rule_queries.STORES
