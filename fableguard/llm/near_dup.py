@@ -34,6 +34,8 @@ MASK = (1 << 64) - 1
 SKETCH_BITS = 512
 #: A bitmap of so many bits (4 MB) tells which texts a pass needs; where it fills up more sets are sent, never fewer.
 FILTER_BITS = 1 << 25
+#: Counts of shingles are held for so many at a time, by the task that counts and by that which adds up a bucket of them.
+COUNTED = 1 << 20
 
 
 class _Words:
@@ -124,19 +126,35 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInPandas(run, f"doc_id {kind}, sid long, n long, sketch array<long>")
 
 
+def buckets_of(total: int) -> int:
+    """Over how many tasks the counts of so many shingles are added up."""
+    return max(1, -(-total // COUNTED))
+
+
+def _counts(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and how often each occurs, or the sum of its times."""
+    if times is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, times = keys[order], times[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.diff(at, append=len(keys)) if times is None else np.add.reduceat(times, at, dtype=np.int64)
+
+
 def frequent(docs: DataFrame, n: int, total: int, least: int = 8, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(sorted upper 32 bits of shingle hashes, in how many sets) of the frequent shingles, counted over all texts.
 
     Frequent is what lies in ``least`` sets or more; if that holds for more than ``most`` shingles, the more frequent
     ones. Only the order in which shingles are indexed depends on it, never a result.
     """
-    buckets = max(1, total // (1 << 22))
+    buckets = buckets_of(total)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def flush() -> pd.DataFrame:
-            keys, times = np.unique(np.concatenate(held), return_counts=True)
+            keys, times = _counts(np.concatenate(held))
             at = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(buckets))
             rows = [(b, np.diff(keys[i:j], prepend=keys[i]), np.minimum(times[i:j], 65535)) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
             narrow = [(b, int(keys[at[b]]), (d.astype(np.uint16) if d.max() < 65536 else d.astype(np.uint32)).tobytes(), len(d), (t.astype(np.uint8) if t.max() < 256 else t.astype(np.uint16)).tobytes()) for b, d, t in rows]
@@ -145,7 +163,7 @@ def frequent(docs: DataFrame, n: int, total: int, least: int = 8, most: int = 1
         for _, s in _sets(batches, n):
             held.append((s >> np.uint64(32)).astype(np.uint32))
             size += len(s)
-            if size >= 1 << 22:
+            if size >= COUNTED:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -154,10 +172,9 @@ def frequent(docs: DataFrame, n: int, total: int, least: int = 8, most: int = 1
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, times = [], []
         for x in pdf.itertuples(index=False):
-            keys.append(np.cumsum(np.frombuffer(x.gaps, np.uint16 if len(x.gaps) == 2 * x.n else np.uint32), dtype=np.uint64) + np.uint64(x.first))
+            keys.append(np.cumsum(np.frombuffer(x.gaps, np.uint16 if len(x.gaps) == 2 * x.n else np.uint32), dtype=np.uint32) + np.uint32(x.first))
             times.append(np.frombuffer(x.times, np.uint8 if len(x.times) == x.n else np.uint16))
-        keys, of = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(of, np.concatenate(times)).astype(np.int64)
+        keys, sums = _counts(np.concatenate(keys), np.concatenate(times))
         often = sums >= least
         return pd.DataFrame({"key": keys[often].astype(np.int64), "df": sums[often]})
 

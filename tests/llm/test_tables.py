@@ -408,3 +408,13 @@ def test_mixing_of_repeated_and_missing_ids(spark, kind):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 31
         small = [r["copies"] for r in own if r["size"] == 3]
         assert abs(sum(small) / len(small) - share) < 0.1
+
+
+def test_shingle_counts_are_added_up_a_million_at_a_time():
+    assert [near_dup.buckets_of(n) for n in (0, 1, 1 << 20, (1 << 20) + 1, 100 << 20)] == [1, 1, 1, 2, 100]
+    keys = np.random.default_rng(1).integers(0, 50, 1000).astype(np.uint32)
+    times = np.arange(1000).astype(np.uint16)
+    once, summed = near_dup._counts(keys), near_dup._counts(keys, times)
+    assert once[0].tolist() == summed[0].tolist() == sorted(set(keys.tolist()))
+    assert once[1].tolist() == [int((keys == k).sum()) for k in once[0]]
+    assert summed[1].tolist() == [int(times[keys == k].sum()) for k in once[0]]
