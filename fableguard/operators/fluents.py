@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,19 @@ def role_arg(facts: Facts) -> DataFrame:
     return facts.event_role.where(F.col("role").isin("agent", "patient", "instrument")).select("story_id", "event_id", "role", "arg").distinct()
 
 
+def _of_types(facts: Facts, table: DataFrame, t: str, t_ord: str) -> DataFrame:
+    """The participants (arg) of events in the roles of table (scope, type, pred, role), with t and t_ord of the event."""
+    cols = ["story_id", "event_id", "type", t, t_ord]
+    if not facts.told:
+        return in_scope(facts.events.select(*cols), table, ["type"]).join(role_arg(facts), ["story_id", "event_id", "role"])
+    each = [facts.told[r].select(*cols, F.lit(r).alias("role"), F.col(r).alias("arg")) for r in ("agent", "patient", "instrument") if r in facts.told]
+    return in_scope(reduce(DataFrame.unionByName, each), table, ["type", "role"])
+
+
 def effects(facts: Facts, polarity: str) -> DataFrame:
     """story_id, pred, arg, t, t_ord of the effects of this polarity, at the end of the events that have them."""
     table = facts.effects.where(F.col("polarity") == polarity).select("scope", "type", F.col("prop").alias("pred"), "role")
-    at = in_scope(facts.events.select("story_id", "event_id", "type", "t_end", "end_ord"), table, ["type"]).join(role_arg(facts), ["story_id", "event_id", "role"])
+    at = _of_types(facts, table, "t_end", "end_ord")
     return at.select("story_id", "pred", "arg", F.col("t_end").alias("t"), F.col("end_ord").alias("t_ord")).distinct()
 
 
@@ -45,6 +56,8 @@ def holds_at(facts: Facts, ruleset: str, demand: DataFrame | None = None) -> Dat
     (story_id, pred, arg, t, t_ord) restricts the answer to the points asked for, which is all that a rule needs: then
     only stated intervals of the fluents asked for meet only the points asked for.
     """
+    if demand is not None and ruleset != "inertial":
+        return _holds_where_asked(facts, ruleset, demand)
     fluent = ["story_id", "pred", "arg"]
     neg, caused = effects(facts, "neg"), effects(facts, "pos")
     if demand is None:
@@ -82,6 +95,34 @@ def holds_at(facts: Facts, ruleset: str, demand: DataFrame | None = None) -> Dat
     return asked.join(here, [*fluent, "t"], "left_semi").select(*fluent, "t").unionByName(later.select(*fluent, "t")).distinct()
 
 
+def _holds_where_asked(facts: Facts, ruleset: str, demand: DataFrame) -> DataFrame:
+    """The points of demand at which their fluent holds, in ``base`` or the later rulesets.
+
+    All that is known of a fluent's points is dealt by fluent once, and told there; what is stated comes to it.
+    """
+    fluent, kinds = ["story_id", "pred", "arg"], ("asked", "caused", "neg")
+    parts = zip(kinds, (demand, effects(facts, "pos"), effects(facts, "neg")), strict=True)
+    rows = [df.select(*fluent, "t", "t_ord", *(F.lit(k == kind).alias(k) for k in kinds)) for kind, df in parts]
+    rows = reduce(DataFrame.unionByName, rows).where(reduce(lambda a, c: a & F.col(c).isNotNull(), [*fluent, "t"], F.lit(True)))
+    points = rows.repartition(*fluent).groupBy(*fluent, "t").agg(F.max("t_ord").alias("t_ord"), *(F.bool_or(k).alias(k) for k in kinds))
+    of_fluent, least = Window.partitionBy(*fluent), lambda k: F.min(F.when(F.col(k), F.col("t_ord")))
+    points = points.withColumns({"since": least("caused").over(of_fluent), "off": least("neg").over(of_fluent)}).where("asked")
+    # A stated fluent holds from its start, or, without one, from the first point that its story has.
+    stated = facts.fluents.select(*fluent, "start_ord", "end_ord")
+    ends = [(facts.events, "start"), (facts.events, "end"), (facts.fluents, "start"), (facts.fluents, "end")]
+    firsts = reduce(DataFrame.unionByName, [df.where(f"t_{x} is not null").select("story_id", F.col(f"{x}_ord").alias("first_ord")) for df, x in ends])
+    firsts = firsts.groupBy("story_id").agg(F.min("first_ord").alias("first_ord"))
+    loose = stated.where("start_ord is null").join(firsts, "story_id").select(*fluent, F.col("first_ord").alias("from_ord"), "start_ord", "end_ord")
+    stated = loose.unionByName(stated.where("start_ord is not null").select(*fluent, F.col("start_ord").alias("from_ord"), "start_ord", "end_ord"))
+    met = points.join(stated.withColumn("stated", F.lit(True)), fluent, "left")
+    inside = F.coalesce("stated", F.lit(False)) & ~lt(F.col("t_ord"), F.col("start_ord")) & ~lt(F.col("end_ord"), F.col("t_ord"))
+    start = F.least("since", F.when(~lt(F.col("end_ord"), F.col("from_ord")), F.col("from_ord")))
+    later = ~F.col("neg") & lt(start, F.col("t_ord"))
+    if ruleset == "base":
+        later &= ~F.coalesce(F.col("off") <= F.col("t_ord"), F.lit(False))
+    return met.where(F.col("caused") | inside | later).select(*fluent, "t").distinct()
+
+
 def _last_stated(stated: DataFrame, asked: DataFrame, fluent: list[str]) -> DataFrame:
     """A stated interval as changes at its start and end, for those that the points asked for come after."""
     ends = F.explode(F.array("start_ord", "end_ord")).alias("t_ord")
@@ -92,7 +133,7 @@ def _last_stated(stated: DataFrame, asked: DataFrame, fluent: list[str]) -> Data
 def requires(facts: Facts, polarity: str) -> DataFrame:
     """story_id, event_id, pred, arg, t, t_ord: what must (pos) or must not (neg) hold when an event starts."""
     table = facts.preconditions.where(F.col("polarity") == polarity).select("scope", "type", F.col("prop").alias("pred"), "role")
-    at = in_scope(facts.events.select("story_id", "event_id", "type", "t_start", "start_ord"), table, ["type"]).join(role_arg(facts), ["story_id", "event_id", "role"])
+    at = _of_types(facts, table, "t_start", "start_ord")
     return at.select("story_id", "event_id", "pred", "arg", F.col("t_start").alias("t"), F.col("start_ord").alias("t_ord")).distinct()
 
 

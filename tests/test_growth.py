@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from fableguard.operators import errors, rules, structured, timeline
+from fableguard.operators import errors, fluents, rules, structured, timeline
 from fableguard.plans import rule_queries
+from fableguard.plans.adapters import events_as_story
 from fableguard.plans.facts import Facts
 from fableguard.plans.store import FactStore
 from fableguard.sources.stories import RUN_FOLDERS, pack_run, parse_stories, results_scan
@@ -113,3 +114,23 @@ def test_v2_waits_for_no_store(spark):
     found = rule_queries.queries()["violations_v2"](spark, "/root/testdata/sf0.001")
     assert found.columns == ["ruleset", *rule_queries.COLS]
     assert (spark.sparkContext.applicationId, "/root/testdata/sf0.001") not in rule_queries.STORES
+
+
+def test_what_holds_where_asked_is_dealt_by_fluent_once(spark):
+    rows = [("s", k, kind, "l", k, k, k, k, False) for k, kind in enumerate(["open", "look", "close", "look", "look"])]
+    events = spark.createDataFrame(rows, "story_id string, event_id long, type string, location string, t_start long, t_end long, start_ord long, end_ord long, requires_focus boolean")
+    roles = spark.createDataFrame([("s", k, "patient", "door") for k in range(5)], "story_id string, event_id long, role string, arg string")
+    asked = spark.createDataFrame([("s", "open", who, t, t) for who in ("door", None, "box") for t in range(5)], "story_id string, pred string, arg string, t long, t_ord long")
+    for ruleset, want in (("base", [0, 1]), ("general", [0, 1, 3, 4])):
+        got = fluents.holds_at(Facts(spark, events, roles), ruleset, asked)
+        assert sorted((r["arg"], r["t"]) for r in got.collect()) == [("door", t) for t in want]
+        assert plan(got).count("RepartitionByExpression") == 1 and "LeftSemi" not in plan(got)
+
+
+def test_events_told_in_one_row_with_their_roles_are_not_joined(spark):
+    facts = rules.once(events_as_story(spark, "/root/testdata/sf0.001"))
+    assert all("Join" not in plan(facts.acts(r)) for r in ("agent", "patient")) and len(facts.held) == 1
+    assert sorted(facts.acts().columns) == sorted([*facts.events.columns, "agent"])
+    joined = Facts(spark, facts.events, facts.event_role).acts()
+    assert sorted(map(str, facts.acts().select(joined.columns).collect())) == sorted(map(str, joined.collect()))
+    facts.release()
