@@ -12,6 +12,7 @@ Rounds follow each other in tables of the shared folder, so lost executors cost
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -227,14 +228,15 @@ def holds_at(facts: Facts, order: Order, ruleset: str, demand: DataFrame) -> Dat
     ``base`` at or before the point asked for, in the other rulesets at that point only.
     """
     fluent = [S, "pred", "arg"]
-    asked = demand.select(*fluent, "t").distinct()
     ends = facts.fluents.select(*fluent, F.explode(F.array("t_start", "t_end")).alias("t"))
-    seed = ends.unionByName(fluents.effects(facts, "pos").select(*fluent, "t")).join(asked.select(*fluent).distinct(), fluent, "left_semi").distinct()
-    neg = fluents.effects(facts, "neg").select(*fluent, "t").distinct()
-    here = asked.join(seed, [*fluent, "t"], "left_semi")
-    later = order.before(asked.join(seed.withColumnRenamed("t", "since"), fluent), "since", "t").select(*fluent, "t").distinct()
-    later = later.join(neg, [*fluent, "t"], "left_anti")
-    if ruleset == "base":
-        off = order.before(later.join(neg.withColumnRenamed("t", "off"), fluent), "off", "t").select(*fluent, "t").distinct()
-        later = later.join(off, [*fluent, "t"], "left_anti")
-    return here.unionByName(later).distinct()
+    kinds = ("asked", "on", "off")
+    parts = [("asked", demand), ("on", ends), ("on", fluents.effects(facts, "pos")), ("off", fluents.effects(facts, "neg"))]
+    rows = [df.select(*fluent, "t", *(F.lit(k == kind).alias(k) for k in kinds)) for kind, df in parts]
+    rows = reduce(DataFrame.unionByName, rows).where(reduce(lambda a, c: a & F.col(c).isNotNull(), [*fluent, "t"], F.lit(True)))
+    # A fluent's points are dealt once; they meet, and are told apart, where they lie.
+    points = rows.repartition(*fluent).groupBy(*fluent, "t").agg(*(F.bool_or(k).alias(k) for k in kinds))
+    here = points.where("asked and on").select(*fluent, "t")
+    open_ = points.where("asked and not on and not off").select(*fluent, "t")
+    change = points.where("on or off" if ruleset == "base" else "on").select(*fluent, F.col("t").alias("since"), "on", "off")
+    told = order.before(open_.join(change.hint("merge"), fluent), "since", "t").groupBy(*fluent, "t").agg(F.bool_or("on").alias("on"), F.bool_or("off").alias("off"))
+    return here.unionByName(told.where("on and not off" if ruleset == "base" else "on").select(*fluent, "t"))

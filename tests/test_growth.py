@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from fableguard.operators import errors, fluents, rules, structured, timeline
+from fableguard.operators import errors, fluents, partial_order, rules, structured, timeline
 from fableguard.plans import rule_queries
 from fableguard.plans.adapters import events_as_story
 from fableguard.plans.facts import Facts
@@ -127,6 +127,20 @@ def test_what_holds_where_asked_is_dealt_by_fluent_once(spark):
         assert plan(got).count("RepartitionByExpression") == 1 and "LeftSemi" not in plan(got)
 
 
+def test_an_order_is_asked_once_for_what_begins_and_what_ends(spark, monkeypatch):
+    edges = spark.createDataFrame([("s", t, t + 1) for t in range(4)], "story_id string, t1 long, t2 long")
+    rows = [("s", t, kind, "l", t, t, None, None, False) for t, kind in enumerate(["look", "sleep", "look", "wake", "look"])]
+    events = spark.createDataFrame(rows, "story_id string, event_id long, type string, location string, t_start long, t_end long, start_ord long, end_ord long, requires_focus boolean")
+    roles = spark.createDataFrame([("s", t, "agent", "ann") for t in range(5)], "story_id string, event_id long, role string, arg string")
+    asked = events.selectExpr("story_id", "'asleep' pred", "'ann' arg", "t_start t")
+    order, calls = partial_order.Order.of(edges), []
+    before = partial_order.Order.before
+    monkeypatch.setattr(partial_order.Order, "before", lambda *args: calls.append(args) or before(*args))
+    for ruleset, want in (("base", [1, 2]), ("general", [1, 2, 4])):
+        assert sorted(r["t"] for r in partial_order.holds_at(Facts(spark, events, roles), order, ruleset, asked).collect()) == want
+    assert len(calls) == 2
+
+
 def test_events_told_in_one_row_with_their_roles_are_not_joined(spark):
     facts = rules.once(events_as_story(spark, "/root/testdata/sf0.001"))
     assert all("Join" not in plan(facts.acts(r)) for r in ("agent", "patient")) and len(facts.held) == 1
