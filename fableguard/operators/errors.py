@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,13 +52,34 @@ def _first(c: Column, table: dict[str, list[str]]) -> Column:
     return out.otherwise("coherence")
 
 
+def _in_texts(table: dict[str, list[str]]) -> Callable[[Column], Column]:
+    """A function of texts: array<int>, how many of its ASCII keywords, in lower case, each category has in a text of any case.
+
+    A task searches the bytes of an Arrow batch. Of signs outside ASCII but two become such letters when lower-cased, so whole
+    texts need no case mapping, which takes longer than the search.
+    """
+    words = [[w.encode() for w in ws] for ws in table.values()]
+
+    @F.arrow_udf("array<int>")
+    def count(texts: pa.Array) -> pa.Array:
+        def of(text: bytes) -> list[int]:
+            plain = text.replace("\u212a".encode(), b"k").replace("\u0130".encode(), "i\u0307".encode()).lower()
+            return [sum(w in plain for w in ws) for ws in words]
+
+        return pa.array((None if x is None else of(x) for x in texts.cast(pa.binary()).to_pylist()), pa.list_(pa.int32()))
+
+    return count
+
+
 def by_score(category: Column, kind: Column, description: Column) -> Column:
     """A valid category as it is, else the one with most keywords in type and description; the earlier of equals."""
-    text = F.concat_ws(" ", F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(description, F.lit(""))))
-    score = lambda t, c: reduce(lambda a, w: a + t.contains(w).cast("int"), KEYWORDS[c], F.lit(0))
-    scores = _let(text, lambda t: F.array(*(score(t, c) for c in CATEGORIES)))
+    valid = F.coalesce(F.lower(category).isin(*CATEGORIES), F.lit(False))
+    # Lower-casing ASCII is cheap here; other texts are left to the search.
+    told = F.when(F.octet_length(description) == F.length(description), F.lower(F.coalesce(description, F.lit("")))).otherwise(description)
+    text = F.when(~valid, F.concat_ws(" ", F.lower(F.coalesce(kind, F.lit(""))), told))
+    scores = _in_texts({c: KEYWORDS[c] for c in CATEGORIES})(text)
     pick = _let(scores, lambda s: F.when(F.array_max(s) == 0, "coherence").otherwise(F.element_at(F.array(*map(F.lit, CATEGORIES)), F.array_position(s, F.array_max(s)).cast("int"))))
-    return F.when(F.lower(category).isin(*CATEGORIES), F.lower(category)).otherwise(pick)
+    return F.when(valid, F.lower(category)).otherwise(pick)
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:

@@ -148,3 +148,13 @@ def test_events_told_in_one_row_with_their_roles_are_not_joined(spark):
     joined = Facts(spark, facts.events, facts.event_role).acts()
     assert sorted(map(str, facts.acts().select(joined.columns).collect())) == sorted(map(str, joined.collect()))
     facts.release()
+
+
+def test_a_score_takes_no_case_mapping_of_texts_outside_ascii(spark):
+    texts = ["KÖNIG CheKhov, UNEXPLAINED", "é BİFORE BEFORE", "é emotİon", "HATES 日本 loves", "Émotıon", "Distance", None]
+    df = spark.createDataFrame([(k, None, None, x) for k, x in enumerate(texts)] + [(9, "Temporal", "cause", "é cause")], "k int, c string, t string, d string")
+    got = df.select("k", errors.by_score(F.col("c"), F.col("t"), F.col("d")).alias("x"))
+    assert [r["x"] for r in got.orderBy("k").collect()] == ["causality", "temporal", "coherence", "emotional", "coherence", "location", "coherence", "temporal"]
+    assert plan(got).count("Contains(") == 0 and plan(got).count("octet_length(d") == 1
+    letters = spark.range(128, 0x110000).where("id not between 55296 and 57343").selectExpr("id", "lower(decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')) as x")
+    assert sorted((r["id"], r["x"]) for r in letters.where("x rlike '[ -~]'").collect()) == [(0x130, "i̇"), (0x212A, "k")]
