@@ -158,3 +158,15 @@ def test_a_score_takes_no_case_mapping_of_texts_outside_ascii(spark):
     assert plan(got).count("Contains(") == 0 and plan(got).count("octet_length(d") == 1
     letters = spark.range(128, 0x110000).where("id not between 55296 and 57343").selectExpr("id", "lower(decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')) as x")
     assert sorted((r["id"], r["x"]) for r in letters.where("x rlike '[ -~]'").collect()) == [(0x130, "i̇"), (0x212A, "k")]
+
+
+def test_one_ruleset_alone_writes_no_store(spark, monkeypatch):
+    folder, query = "/root/testdata/sf0.001", rule_queries.queries()["violations_narrative_context"]
+    monkeypatch.setattr(rule_queries, "STORES", {})
+    alone = query(spark, folder)
+    assert not rule_queries.STORES
+    rule_queries.fact_store(spark, folder)
+    kept = query(spark, folder)
+    assert alone.columns == kept.columns and "facts_" in plan(kept) and "facts_" not in plan(alone)
+    assert alone.count() > 100 and sorted(map(str, alone.collect())) == sorted(map(str, kept.collect()))
+    rule_queries.STORES.popitem()[1].drop()
