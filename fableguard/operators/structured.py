@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,11 +79,15 @@ def entities(stories: DataFrame, kind: str) -> DataFrame:
     return out.distinct()
 
 
+def _fluent_term(x: Column) -> Column:
+    """A stated fluent as a term: its id, or its name or property with what it is told of."""
+    made = F.when(x["name"].isNotNull(), F.concat(x["name"], F.lit("("), F.array_join(F.coalesce(x["args"], F.array().cast("array<string>")), ","), F.lit(")")))
+    return F.coalesce(x["id"], made, F.concat(x["property"], F.lit("("), x["entity"], F.lit(")")))
+
+
 def fluents(stories: DataFrame) -> DataFrame:
     """story_id, pred, arg, args, t_start, t_end, negated. ``arg`` is the argument of terms with one, ``args`` has all."""
-    x = _rows(stories, "fluents")
-    made = F.when(F.col("x.name").isNotNull(), F.concat(F.col("x.name"), F.lit("("), F.array_join(F.coalesce("x.args", F.array().cast("array<string>")), ","), F.lit(")")))
-    made = F.coalesce(F.col("x.id"), made, F.concat(F.col("x.property"), F.lit("("), F.col("x.entity"), F.lit(")")))
+    x, made = _rows(stories, "fluents"), _fluent_term(F.col("x"))
     x = x.withColumn("term", parse_term(made)).where("term is not null and term.functor is not null")
     arg = F.when(F.size("term.args") == 1, sanitize_symbol(F.col("term.args")[0]))
     args = F.transform("term.args", sanitize_symbol)
@@ -164,22 +170,39 @@ def domain_union(stories: DataFrame, marks: DataFrame | None = None) -> DataFram
 
     Distances (both ways), relationships, emotional states that fluents name, significant and first events, the default
     and the stories' own effects and preconditions (type and property), and ``marks`` (kind, id): decorative objects and
-    justified harms, named by the user.
+    justified harms, named by the user. A story is parsed and taken apart once, and its rows go through one exchange.
     """
     spark, stories = stories.sparkSession, story_defaults(stories)
-    ev, own, none = events(stories), rules(stories), F.lit(None).cast("string")
-    row = lambda df, kind, *cols: df.select(F.lit(kind).alias("kind"), *(c.alias(n) for c, n in zip([*map(F.col, cols), *[none] * (3 - len(cols))], "abc", strict=True)))
-    emotions = domain_emotions(fluents(stories).where("not negated"))
+    kind, text = "array<struct<kind:string,a:string,b:string,c:string>>", lambda c: F.coalesce(c, F.lit(""))
+
+    def row(name: str, *cells: Column) -> Column:
+        return F.struct(F.lit(name).alias("kind"), *(c.cast("string").alias(n) for c, n in zip([*cells, *[F.lit(None)] * (3 - len(cells))], "abc", strict=True)))
+
+    def each(section: Column | str, where: Callable[[Column], Column], tell: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter(section, where), tell)
+
+    ends = ("location1", "location2"), ("location2", "location1")
+    apart = lambda at: lambda x: row("distant", *(sanitize_symbol(x[c]) for c in at))
+    near = [each("constraints", lambda x: x["type"] == "distance", apart(at)) for at in ends]
+    told = ("type", "from", "to")
+    relations = each("relationships", lambda x: (text(x[told[0]]) != "") & (text(x[told[1]]) != "") & (text(x[told[2]]) != ""), lambda x: row("relationship", *(sanitize_symbol(x[c]) for c in told)))
+    start = lambda x: sanitize_symbol(F.coalesce(x["time"]["start"], x["start"], x["time_start"], F.lit("t_unknown")))
+    stated = F.transform("fluents", lambda x: F.struct(parse_term(_fluent_term(x)).alias("term"), start(x).alias("t")))
+    felt = lambda x: ~x["term"]["negated"] & x["term"]["functor"].isNotNull() & sanitize_symbol(x["term"]["functor"]).rlike("|".join(EMOTIONS)) & (F.size(x["term"]["args"]) == 1)
+    emotions = each(stated, felt, lambda x: row("emotional_state", sanitize_symbol(F.get(x["term"]["args"], F.lit(0))), sanitize_symbol(x["term"]["functor"]), F.when(x["t"] == "t_unknown", "t0").otherwise(x["t"])))
+    event = lambda name: lambda x: row(name, sanitize_symbol(x["id"]))
+    events = [each("events", lambda x: x["is_significant"], event("significant_event")), F.transform(F.slice("events", 1, 1), event("initial_event"))]
+    term = lambda r: F.transform(r["body"], lambda y: F.struct(F.lower(r["type"]).alias("kind"), parse_term(r["head"]).alias("head"), parse_term(y).alias("body")))
+    own = F.flatten(F.transform(F.filter("rules", lambda r: r["body"].isNotNull()), term))
+    ruled = lambda kinds: lambda x: ~x["head"]["negated"] & (F.size(x["body"]["args"]) == 1) & x["kind"].isin(kinds)
+    rule = lambda name: lambda x: row(name, sanitize_symbol(x["head"]["functor"]), F.when(x["body"]["negated"], "neg").otherwise("pos"), sanitize_symbol(x["body"]["functor"]))
+    effects, needs = each(own, ruled(["causes", "causal"]), rule("effect")), each(own, ruled(["precondition"]), rule("precondition"))
+    every = F.concat(*(c.cast(kind) for c in (*near, relations, emotions, *events, effects, needs)))
+    out = stories.select(F.explode(F.array_distinct(every)).alias("x")).select("x.*")
     defaults = small(spark, [*EFFECTS, *DOMAIN_EFFECTS], "type", "polarity", "prop", "role")
-    parts = [
-        row(domain_distance(stories), "distant", "src", "dst"), row(domain_relationships(stories), "relationship", "rel", "src", "dst"), row(emotions, "emotional_state", "character", "emotion", "t"),
-        row(ev.where("is_significant"), "significant_event", "event_id"), row(ev.where("pos = 0"), "initial_event", "event_id"), row(defaults, "effect", "type", "polarity", "prop"),
-        row(own.where("kind = 'causes'"), "effect", "type", "polarity", "prop"), row(own.where("kind = 'precondition'"), "precondition", "type", "polarity", "prop"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = out.unionByName(defaults.select(F.lit("effect").alias("kind"), F.col("type").alias("a"), F.col("polarity").alias("b"), F.col("prop").alias("c")))
     if marks is not None:
+        none = F.lit(None).cast("string")
         out = out.unionByName(marks.select("kind", sanitize_symbol(F.col("id")).alias("a"), none.alias("b"), none.alias("c")))
     return out.distinct()
 

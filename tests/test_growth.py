@@ -170,3 +170,17 @@ def test_one_ruleset_alone_writes_no_store(spark, monkeypatch):
     assert alone.columns == kept.columns and "facts_" in plan(kept) and "facts_" not in plan(alone)
     assert alone.count() > 100 and sorted(map(str, alone.collect())) == sorted(map(str, kept.collect()))
     rule_queries.STORES.popitem()[1].drop()
+
+
+def test_what_stories_say_together_is_read_off_each_once(spark):
+    story = {"events": [{"id": "E 1", "type": "eat"}, {"id": "E 2", "type": "eat", "is_significant": True}], "constraints": [{"type": "distance", "location1": "A", "location2": "B"}, {"type": "x"}]}
+    story |= {"fluents": [{"id": "love(Ann)"}, {"id": "not(love(Bob))"}, {"name": "love", "args": ["Cy"], "time_start": "T1"}, {"id": "love(a,b)"}, {}], "relationships": [{"type": "enemy", "from": "A", "to": "B"}, {"type": "enemy", "from": "A", "to": ""}]}
+    story |= {"rules": [{"type": "Causal", "head": "eat(A,B)", "body": ["not(raw(B))", "two(A,B)"]}, {"type": "precondition", "head": "eat(A,B)", "body": ["raw(B)"]}, {"type": "precondition", "head": "not(eat(A,B))", "body": ["raw(B)"]}, {"type": "precondition", "head": "eat(A)"}]}
+    rows = [("s", json.dumps(story)), ("t", json.dumps(story)), ("u", "{}"), ("v", "no story"), ("w", None)]
+    got = structured.domain_union(parse_stories(spark.createDataFrame(rows, "id string, j string"), "id", "j"), spark.sql("SELECT 'decorative' AS kind, 'Old Vase' AS id"))
+    effects = {("effect", t, p, x) for t, p, x, _ in (*structured.EFFECTS, *structured.DOMAIN_EFFECTS)}
+    want = {("distant", "a", "b", None), ("distant", "b", "a", None), ("relationship", "enemy", "a", "b"), ("significant_event", "e_2", None, None), ("initial_event", "e_1", None, None), ("decorative", "old_vase", None, None)}
+    want |= {("emotional_state", "ann", "love", "t0"), ("emotional_state", "cy", "love", "t1"), ("effect", "eat", "neg", "raw"), ("precondition", "eat", "pos", "raw")}
+    found = list(map(tuple, got.collect()))
+    assert len(found) == len(set(found)) and set(found) == want | effects
+    assert plan(got).count("Generate explode") == 1 and plan(got).count("from_json") == 1 and plan(got).count("Aggregate") == 1
