@@ -184,3 +184,35 @@ def test_what_stories_say_together_is_read_off_each_once(spark):
     found = list(map(tuple, got.collect()))
     assert len(found) == len(set(found)) and set(found) == want | effects
     assert plan(got).count("Generate explode") == 1 and plan(got).count("from_json") == 1 and plan(got).count("Aggregate") == 1
+
+
+def test_a_storys_rows_meet_blocks_of_rows(spark):
+    facts = told(spark)
+    rows = lambda out: sorted(map(str, out.collect()))
+    ords = [f"{p}_{c}" for p in "ab" for c in ("start_ord", "end_ord")]
+    both, ordered = timeline.together(facts.events, ["story_id"], 2), timeline.in_order(facts.events, ["story_id"], 2).drop(*ords)
+    for block in (1, 3, 1000):
+        got = timeline.together_by_story(facts.events, ["story_id"], 2, block)
+        assert got.columns == both.columns and rows(got) == rows(both)
+        got = timeline.in_order_by_story(facts.events, ["story_id"], 2, block)
+        assert got.columns == ordered.columns and rows(got) == rows(ordered)
+    for query in (timeline.precedes,):
+        assert "collect_list" in plan(query(facts)) and "RepartitionByExpression" in plan(query(facts))
+
+
+def test_two_cells_meet_at_one_node_that_few_others_share(spark):
+    cells, sizes = spark.range(64).toDF("c"), {}
+    nodes = lambda later: {r["c"]: list(map(tuple, r["n"])) for r in cells.select("c", timeline.quarters("c", "3", later).alias("n")).collect()}
+    first, last = nodes(False), nodes(True)
+    for a in range(64):
+        for b in range(64):
+            shared = set(first[a]) & set(last[b])
+            assert len(shared) == (a <= b)
+            for x in shared:
+                sizes[x] = sizes.get(x, 0) + 1
+    assert max(sizes.values()) <= sum(sizes.values()) / 8 and max(map(len, first.values())) <= 3 * 4 + 1
+
+
+def test_an_event_that_ends_before_it_starts_does_not_precede_itself(spark, tmp_path):
+    spark.sql("SELECT id AS event_id, timestamp'2024-01-01 10:00:00' AS ts, id AS user_id, 'view' AS event_type, -5.0D AS value, 'k1' AS props FROM range(2)").write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted((r["e1"], r["e2"]) for r in rule_queries.queries()["precedes"](spark, str(tmp_path)).collect()) == [(0, 1), (1, 0)]
