@@ -196,7 +196,7 @@ def test_a_storys_rows_meet_blocks_of_rows(spark):
         assert got.columns == both.columns and rows(got) == rows(both)
         got = timeline.in_order_by_story(facts.events, ["story_id"], 2, block)
         assert got.columns == ordered.columns and rows(got) == rows(ordered)
-    for query in (timeline.precedes, timeline.overlap):
+    for query in (timeline.precedes, timeline.overlap, timeline.concurrent):
         assert "collect_list" in plan(query(facts)) and "RepartitionByExpression" in plan(query(facts))
 
 
