@@ -27,11 +27,12 @@ def rule(*rulesets: str) -> Callable[[Rule], Rule]:
     return keep
 
 
-def found(df: DataFrame, ruleset: str, category: str, kind: str, subject: Column, detail: Column | None = None, message: Column | None = None) -> DataFrame:
-    """The findings, each once. ``narrative`` has a fixed text, ``v2`` its own message."""
+def found(df: DataFrame, ruleset: str, category: str, kind: str, subject: Column, detail: Column | None = None, message: Column | None = None, once: bool = False) -> DataFrame:
+    """The findings, each once, as they are if the rows give each ``once``. ``narrative`` has a fixed text, ``v2`` its own message."""
     context = message if ruleset == "v2" and message is not None else F.lit(K.CONTEXT.get(kind)) if ruleset == "narrative" else F.lit(None)
     none = F.lit("none") if ruleset == "v2" else F.lit(None)
-    return df.select("story_id", F.lit(category).alias("category"), F.lit(kind).alias("type"), subject.cast("string").alias("subject"), (none if detail is None else detail).cast("string").alias("detail"), context.cast("string").alias("context")).distinct()
+    out = df.select("story_id", F.lit(category).alias("category"), F.lit(kind).alias("type"), subject.cast("string").alias("subject"), (none if detail is None else detail).cast("string").alias("detail"), context.cast("string").alias("context"))
+    return out if once else out.distinct()
 
 
 def named(df: DataFrame, facts: Facts, **cols: str) -> DataFrame:
@@ -71,12 +72,16 @@ def negative_duration(facts: Facts, ruleset: str) -> DataFrame:
 
 @rule(*LATER)
 def explicit_order_violated(facts: Facts, ruleset: str) -> DataFrame:
-    times = facts.events.select("story_id", "event_id", "start_ord", "end_ord")
-    a = times.select("story_id", F.col("event_id").alias("e1"), F.col("end_ord").alias("ends"))
-    b = times.select("story_id", F.col("event_id").alias("e2"), F.col("start_ord").alias("starts"))
-    late = facts.must_precede.join(a, ["story_id", "e1"], "left").join(b, ["story_id", "e2"], "left").where(~lt(F.col("ends"), F.col("starts")))
+    """Pairs that must be in order and aren't. Pairs that are told with their times aren't looked up among the events."""
+    pairs = facts.must_precede
+    if not (told := {"ends", "starts"} <= set(pairs.columns)):
+        times = facts.events.select("story_id", "event_id", "start_ord", "end_ord")
+        a = times.select("story_id", F.col("event_id").alias("e1"), F.col("end_ord").alias("ends"))
+        b = times.select("story_id", F.col("event_id").alias("e2"), F.col("start_ord").alias("starts"))
+        pairs = pairs.join(a, ["story_id", "e1"], "left").join(b, ["story_id", "e2"], "left")
+    late = pairs.where(~lt(F.col("ends"), F.col("starts")))
     message = F.format_string("Temporal constraint violated: '%s' must precede '%s'", F.col("e1").cast("string"), F.col("e2").cast("string"))
-    return found(late, ruleset, "temporal", "order_violated" if ruleset == "v2" else "explicit_order_violated", F.col("e1"), F.col("e2"), message)
+    return found(late, ruleset, "temporal", "order_violated" if ruleset == "v2" else "explicit_order_violated", F.col("e1"), F.col("e2"), message, once=told)
 
 
 @rule("v2")

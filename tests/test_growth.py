@@ -216,3 +216,20 @@ def test_two_cells_meet_at_one_node_that_few_others_share(spark):
 def test_an_event_that_ends_before_it_starts_does_not_precede_itself(spark, tmp_path):
     spark.sql("SELECT id AS event_id, timestamp'2024-01-01 10:00:00' AS ts, id AS user_id, 'view' AS event_type, -5.0D AS value, 'k1' AS props FROM range(2)").write.parquet(str(tmp_path / "events.parquet"))
     assert sorted((r["e1"], r["e2"]) for r in rule_queries.queries()["precedes"](spark, str(tmp_path)).collect()) == [(0, 1), (1, 0)]
+
+
+def test_an_order_told_with_its_times_is_not_looked_up_again(spark, tmp_path):
+    day = lambda n: f"1996-01-{n:02}" if n else None
+    orders = [(1, 7, 10), (1, 7, 12), (2, 7, 10), (3, None, 10), (4, 8, None), (5, 8, 10), (6, 9, 10)]
+    lines = [(1, 1, 5, 6, 11), (1, 1, 5, 6, 11), (1, 2, 5, 6, 13), (2, 1, 5, 6, 9), (2, 1, 5, 6, 20), (3, 1, 5, 6, 10), (4, 1, 5, 6, 9), (5, 1, 5, 6, None), (6, None, 1, 2, 3), (6, 1, None, 2, 3), (None, 1, 5, 6, 1)]
+    spark.createDataFrame([(o, c, day(d)) for o, c, d in orders], "o_orderkey long, o_custkey long, o_orderdate string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(*x, day(d)) for *x, d in lines], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for r, kind in (("general", "explicit_order_violated"),):
+        got = rule_queries.queries()[f"explicit_order_violated_{r}"](spark, str(tmp_path))
+        want = [("7", "o1", "s1-1-5-6"), ("7", "o2", "s2-1-5-6"), (None, "o3", "s3-1-5-6"), ("9", "o6", None)]  # as by the SQL
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((s, "temporal", kind, a, b)) for s, a, b in want)
+        assert plan(got).count("Relation [") == 2 and plan(got).count("Aggregate") == 1
+    facts = rule_queries._lineitem_story(spark, str(tmp_path))
+    looked_up = Facts(spark, facts.events, facts.event_role, 32, {"must_precede": facts.must_precede.drop("ends", "starts")})
+    named = lambda f: sorted(map(str, rules.explicit_order_violated(f, "v2").where("story_id is not null and detail is not null").collect()))
+    assert named(looked_up) == named(facts)
