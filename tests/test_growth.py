@@ -224,7 +224,7 @@ def test_an_order_told_with_its_times_is_not_looked_up_again(spark, tmp_path):
     lines = [(1, 1, 5, 6, 11), (1, 1, 5, 6, 11), (1, 2, 5, 6, 13), (2, 1, 5, 6, 9), (2, 1, 5, 6, 20), (3, 1, 5, 6, 10), (4, 1, 5, 6, 9), (5, 1, 5, 6, None), (6, None, 1, 2, 3), (6, 1, None, 2, 3), (None, 1, 5, 6, 1)]
     spark.createDataFrame([(o, c, day(d)) for o, c, d in orders], "o_orderkey long, o_custkey long, o_orderdate string").write.parquet(str(tmp_path / "orders.parquet"))
     spark.createDataFrame([(*x, day(d)) for *x, d in lines], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate string").write.parquet(str(tmp_path / "lineitem.parquet"))
-    for r, kind in (("general", "explicit_order_violated"), ("narrative", "explicit_order_violated")):
+    for r, kind in (("general", "explicit_order_violated"), ("narrative", "explicit_order_violated"), ("v2", "order_violated")):
         got = rule_queries.queries()[f"explicit_order_violated_{r}"](spark, str(tmp_path))
         want = [("7", "o1", "s1-1-5-6"), ("7", "o2", "s2-1-5-6"), (None, "o3", "s3-1-5-6"), ("9", "o6", None)]  # as by the SQL
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((s, "temporal", kind, a, b)) for s, a, b in want)
